@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, mixing, sharding
+from . import chat_format, fast_minhash, mixing, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,11 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the component that it is linked into; 2-word shingles."""
+    return fast_minhash.near_duplicates(table(spark, sf_dir, "documents"), k=2, percent=80)
+
+
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and the adversarial conversation -1, digested from the formatted text."""
     said = "<|im_end|><|im_start|>assistant ok"
@@ -35,7 +40,7 @@ def op9_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op5_mix_sources, op7_chat_format, op9_histogram_shards)}
+QUERIES = {f.__name__: f for f in (op5_mix_sources, op6_near_duplicates, op7_chat_format, op9_histogram_shards)}
 
 _COIN = "('0x' || substr(md5('{d}:' || coalesce(doc_id::VARCHAR, '')), {a}, 8))::BIGINT / 4294967296.0"
 _COINS = [_COIN.format(d=k // 4, a=1 + 8 * (k % 4)) for k in range(16)]

@@ -53,7 +53,7 @@ def build(keys: DataFrame, column: str, bits: int) -> Broadcast:
 
     dealt = keys.select(F.col(column).cast("long").alias("k")).repartition(SLICES, F.shiftrightunsigned("k", 58))
     whole = np.zeros(bits // 8, np.uint8)
-    for r in dealt.mapInArrow(fill, "slice int, field binary").toLocalIterator():
+    for r in dealt.mapInArrow(fill, "slice int, field binary").collect():
         whole[r["slice"] * part // 8 : (r["slice"] + 1) * part // 8] |= np.frombuffer(r["field"], np.uint8)
     return keys.sparkSession.sparkContext.broadcast(whole)
 

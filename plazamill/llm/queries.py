@@ -5,13 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, fast_minhash, mixing, sharding
+from . import chat_format, fast_minhash, mixing, sharding, substring_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document less its words in windows of 35 that occur elsewhere."""
+    out = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), window=35)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256"))
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document the words that the mix takes of it."""
     out = mixing.copies(table(spark, sf_dir, "documents"))
@@ -40,7 +46,7 @@ def op9_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op5_mix_sources, op6_near_duplicates, op7_chat_format, op9_histogram_shards)}
+QUERIES = {f.__name__: f for f in (op2_substring_dedup, op5_mix_sources, op6_near_duplicates, op7_chat_format, op9_histogram_shards)}
 
 _COIN = "('0x' || substr(md5('{d}:' || coalesce(doc_id::VARCHAR, '')), {a}, 8))::BIGINT / 4294967296.0"
 _COINS = [_COIN.format(d=k // 4, a=1 + 8 * (k % 4)) for k in range(16)]

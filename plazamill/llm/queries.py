@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, fast_minhash, mixing, sharding, substring_dedup
+from . import chat_format, fast_minhash, mixing, sharding, substring_dedup, token_store
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,7 +46,15 @@ def op9_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_substring_dedup, op5_mix_sources, op6_near_duplicates, op7_chat_format, op9_histogram_shards)}
+def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded, written to segments and read back from them."""
+    import public_tokenizers
+
+    store = token_store.write_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end=2)
+    return token_store.read_documents(spark, store, digest="crc32")
+
+
+QUERIES = {f.__name__: f for f in (op2_substring_dedup, op5_mix_sources, op6_near_duplicates, op7_chat_format, op9_histogram_shards, op10_token_store)}
 
 _COIN = "('0x' || substr(md5('{d}:' || coalesce(doc_id::VARCHAR, '')), {a}, 8))::BIGINT / 4294967296.0"
 _COINS = [_COIN.format(d=k // 4, a=1 + 8 * (k % 4)) for k in range(16)]

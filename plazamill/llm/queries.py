@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, fast_minhash, mixing, sharding, substring_dedup, token_store, toxicity_fm
+from . import chat_format, cotrain, fast_minhash, mixing, sharding, substring_dedup, token_store, toxicity_fm
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,13 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality score by both views."""
+    docs = table(spark, sf_dir, "documents")
+    out = cotrain.score(docs, cotrain.fit(docs, table(spark, sf_dir, "labels")))
+    return out.select("doc_id", "score", "text_score", "page_score", F.col("keep").alias("kept"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's toxicity score; learnt from the learning fold's labels."""
     docs = table(spark, sf_dir, "documents")
@@ -60,7 +67,7 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_documents(spark, store, digest="crc32")
 
 
-QUERIES = {f.__name__: f for f in (op2_substring_dedup, op4_toxicity, op5_mix_sources, op6_near_duplicates, op7_chat_format, op9_histogram_shards, op10_token_store)}
+QUERIES = {f.__name__: f for f in (op2_substring_dedup, op3_quality, op4_toxicity, op5_mix_sources, op6_near_duplicates, op7_chat_format, op9_histogram_shards, op10_token_store)}
 
 _COIN = "('0x' || substr(md5('{d}:' || coalesce(doc_id::VARCHAR, '')), {a}, 8))::BIGINT / 4294967296.0"
 _COINS = [_COIN.format(d=k // 4, a=1 + 8 * (k % 4)) for k in range(16)]

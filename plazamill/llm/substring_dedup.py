@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import bloom
 from .scratch import Scratch, without
@@ -238,9 +239,7 @@ def remove_repeats(docs: DataFrame, window: int = 35, period: int = 13, filter_b
                 yield pa.RecordBatch.from_arrays([*(c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in t.columns), *kept(w, np.cumsum(gone)[:n] > 0)], [*t.column_names, "n_words", "n_removed", "kept_text", "removed"])
 
     out = "n_words long, n_removed long, kept_text string, removed array<struct<start: long, stop: long>>"
-    schema = docs.schema
-    for f in spark.createDataFrame([], out).schema.fields:
-        schema = schema.add(f)
+    schema = T.StructType([*docs.schema.fields, *spark.createDataFrame([], out).schema.fields])
     return chunks.join(said, "chunk", "left").select("rows", "said").mapInArrow(cut, schema)
 
 

@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, cotrain, fast_minhash, mixing, sharding, substring_dedup, token_store, toxicity_fm
+from . import chat_format, cotrain, decontaminate, fast_minhash, mixing, perm_index, sharding, substring_dedup, token_store, toxicity_fm
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that leak a benchmark item, with the item and the alignment score."""
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document less its words in windows of 35 that occur elsewhere."""
     out = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), window=35)
@@ -50,6 +55,12 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digests(chat_format.format_chats(rows.unionByName(extra)))
 
 
+def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest of every vector whose id is divisible by 100, among all vectors."""
+    rows = table(spark, sf_dir, "embeddings")
+    return perm_index.search(rows, rows.where("vec_id % 100 = 0"), k=10)
+
+
 def op9_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in 40 shards of near equal bytes; digests are taken from the rows as they arrived."""
     out = sharding.shard(table(spark, sf_dir, "documents"), 40)
@@ -67,7 +78,7 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_documents(spark, store, digest="crc32")
 
 
-QUERIES = {f.__name__: f for f in (op2_substring_dedup, op3_quality, op4_toxicity, op5_mix_sources, op6_near_duplicates, op7_chat_format, op9_histogram_shards, op10_token_store)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_substring_dedup, op3_quality, op4_toxicity, op5_mix_sources, op6_near_duplicates, op7_chat_format, op8_nearest, op9_histogram_shards, op10_token_store)}
 
 _COIN = "('0x' || substr(md5('{d}:' || coalesce(doc_id::VARCHAR, '')), {a}, 8))::BIGINT / 4294967296.0"
 _COINS = [_COIN.format(d=k // 4, a=1 + 8 * (k % 4)) for k in range(16)]

@@ -1,11 +1,79 @@
-"""The corpus pipeline: quality, near-duplicates, decontamination, mixing, sharding."""
+"""The corpus pipeline: quality, near duplicates, decontamination, mixing, sharding.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir), works on all that the stage before it kept, and returns a DataFrame; all but
+the last return the columns of the documents. ``run`` writes each stage's result as Parquet in the shared folder and
+re-reads it, so a lost executor costs one stage's tasks at most.
+"""
+
+from __future__ import annotations
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from plazamill.llm import bloom, cotrain, decontaminate, fast_minhash, mixing, sharding
+from plazamill.llm.scratch import Scratch
+
+N_SHARDS = 40
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the co-trained classifier rejects go."""
+    model = cotrain.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return cotrain.score(docs, model).where("keep").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component stays (5-word shingles, similarity 0.8), and one row of each repeated id.
+
+    Rows whose id surely isn't among those to drop pass without an exchange; only the rest is joined.
+    """
+    found = Scratch(spark, "stage-near").save(fast_minhash.near_duplicates(docs, k=5, percent=80), "found")
+    known = found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
+    concerned = Scratch(spark, "stage-near").save(known.where("NOT kept OR n > 1").select("doc_id", "kept", F.xxhash64("doc_id").alias("h")), "concerned")
+    field = bloom.build(concerned, "h", bloom.size_for(concerned.count()))
+
+    @F.pandas_udf("boolean")
+    def maybe(h: pd.Series) -> pd.Series:
+        return pd.Series(bloom.has(field.value, h.to_numpy().view("uint64")))
+
+    key = F.xxhash64(F.col("doc_id").cast("long"))
+    free = docs.where(~maybe(key) | F.col("doc_id").isNull())
+    gone = concerned.where("NOT kept").select(F.col("doc_id").alias("__gone"))
+    held = docs.where(maybe(key) & F.col("doc_id").isNotNull()).join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    return free.unionByName(held.dropDuplicates(["doc_id"]))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that leak a benchmark item go."""
+    marked = decontaminate.with_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return marked.where(F.size("leaks") == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
+    return mixing.mix(docs)
+
+
+def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mixed corpus in shards of near equal bytes: the document columns with size, shard and slot."""
+    return sharding.shard(docs, N_SHARDS)
+
+
+STAGES = [
+    ("quality", quality),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("mixing", mixing_sources),
+    ("sharding", shards),
+]
+#: Trained models and sketches have no SQL; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = scratch.save(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

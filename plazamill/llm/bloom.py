@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .words import mixed
 
-SLICES = 64
+SLICES = 16
 PROBES = 4
 MOST_BITS = 1 << 28
 LEAST_BITS = 1 << 16
@@ -29,7 +29,7 @@ def places(keys: np.ndarray, bits: int):
     part = bits // SLICES
     with np.errstate(over="ignore"):
         x = mixed(keys ^ np.uint64(0xA0761D6478BD642F))
-        base = (keys >> np.uint64(58)) * np.uint64(part)
+        base = (keys >> np.uint64(60)) * np.uint64(part)
         step = (x >> np.uint64(32)) | np.uint64(1)
         for i in range(PROBES):
             yield base + (x + np.uint64(i) * step) % np.uint64(part)
@@ -43,7 +43,7 @@ def build(keys: DataFrame, column: str, bits: int) -> Broadcast:
         mine: dict[int, np.ndarray] = {}
         for b in batches:
             k = b.column(0).to_numpy().view(np.uint64)
-            slot = (k >> np.uint64(58)).astype(np.int64)
+            slot = (k >> np.uint64(60)).astype(np.int64)
             for at in places(k, bits):
                 for s in np.unique(slot):
                     field = mine.setdefault(int(s), np.zeros(part, bool))
@@ -51,7 +51,7 @@ def build(keys: DataFrame, column: str, bits: int) -> Broadcast:
         if mine:
             yield pa.RecordBatch.from_arrays([pa.array(list(mine), pa.int32()), pa.array([np.packbits(f).tobytes() for f in mine.values()], pa.binary())], ["slice", "field"])
 
-    dealt = keys.select(F.col(column).cast("long").alias("k")).repartition(SLICES, F.shiftrightunsigned("k", 58))
+    dealt = keys.select(F.col(column).cast("long").alias("k")).repartition(SLICES, F.shiftrightunsigned("k", 60))
     whole = np.zeros(bits // 8, np.uint8)
     for r in dealt.mapInArrow(fill, "slice int, field binary").collect():
         whole[r["slice"] * part // 8 : (r["slice"] + 1) * part // 8] |= np.frombuffer(r["field"], np.uint8)

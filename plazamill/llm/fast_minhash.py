@@ -6,10 +6,11 @@ filled (after `bins` random rounds, round bins + j fills bin j), so small sets f
 share of equal coordinates is concentrated about the Jaccard similarity. `bands` groups of `rows` coordinates are
 bucket keys: at similarity 0.8 a pair misses all 50 bands of 6 with probability below 3e-7.
 
-Equal sets form a class, and only classes are linked. Inside a bucket no pairs are listed wholesale: members are
-verified against the bucket's least id first, then against the leaders of their other buckets, and only members
-still apart from the bucket's leader are verified against the rest. Every candidate pair of a bucket that isn't in
-one component already is verified exactly, on full sets recomputed from the texts.
+Equal sets form a class, and only classes are linked. Inside a bucket no pairs are listed wholesale: a class is
+verified against the best leader of its buckets first, then against all their leaders; buckets that hold several
+components even then are gathered into clusters and compared in blocks. So every candidate pair that isn't in one
+component already is verified exactly, on full sets recomputed from the texts; pairs inside a component need no
+check, since they can't change it.
 
 Defined cases: words are `[^\\x20\\x09-\\x0D]+` of the text with A-Z lower-cased; with fewer words than a shingle the
 whole sequence is the one shingle; null text, empty text and text of blanks have an empty set, linked with nothing;
@@ -21,7 +22,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bloom
@@ -30,7 +31,9 @@ from .scratch import Scratch
 from .words import Words, mixed, rolling, slices
 
 BANDS, ROWS = 50, 6
-HUB = 500
+HUB, BLOCK, COLUMNS = 500, 512, 4096
+#: Tables of one row per node with a partner are broadcast up to this many rows, else exchanged.
+BROADCAST_IDS = 400_000
 SKETCH_BYTES = 4 << 20
 
 
@@ -140,9 +143,92 @@ def verified(pairs: DataFrame, sets: DataFrame, k: int, percent: int, scratch: S
     return scratch.save(rows.mapInArrow(run, "u long, v long"), name)
 
 
-def labelled(frame: DataFrame, comps: DataFrame, column: str, out: str) -> DataFrame:
+def in_blocks(placed: DataFrame, sets: DataFrame, k: int, percent: int, scratch: Scratch, name: str) -> DataFrame:
+    """Links (u, v) between the rows (id, now, cluster) of one cluster whose components (now) differ.
+
+    A cluster is cut into blocks of about BLOCK documents and every two blocks meet in one task, which counts all
+    common shingles by products of 0/1 matrices and returns links that join components, a forest at most. No pair
+    of documents becomes a row.
+    """
+    size = placed.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n"))
+    dealt = placed.join(size, "cluster").withColumn("own", F.pmod(F.xxhash64("id"), F.col("n")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, n - 1)")))
+    dealt = dealt.select("id", "now", "cluster", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own")
+    rows = sets.join(dealt, F.col("doc_id") == F.col("id")).repartition("cluster", "a", "b").sortWithinPartitions("cluster", "a", "b", "id").select("cluster", "a", "b", "own", "id", "now", "text")
+
+    def run(batches):
+        at, held = None, []
+        for s in slices(batches):
+            flat, sizes = shingle_sets(s.column("text"), k)
+            ends = np.cumsum(sizes)
+            for i, (c, a, b, own, name, now) in enumerate(zip(*(s.column(j).to_pylist() for j in range(6)))):
+                if at != (c, a, b):
+                    yield from links(held, at)
+                    at, held = (c, a, b), []
+                held.append((own, name, now, flat[ends[i] - sizes[i] : ends[i]].copy()))
+        yield from links(held, at)
+
+    def links(held, at):
+        left = [x for x in held if x[0] == at[1]]
+        right = [x for x in held if x[0] == at[2]]
+        found = joined(left, right, percent) if left and right else []
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], ["u", "v"])
+
+    return scratch.save(rows.mapInArrow(run, "u long, v long"), name)
+
+
+def joined(left: list, right: list, percent: int) -> list[tuple[int, int]]:
+    """left, right: (block, id, component, sorted set) rows; a forest of the similar pairs across components."""
+    na, nb = (np.array([len(x[3]) for x in side]) for side in (left, right))
+    ca, cb = (np.array([x[2] for x in side]) for side in (left, right))
+    flat = np.concatenate([x[3] for side in (left, right) for x in side])
+    _, column, count = np.unique(flat, return_inverse=True, return_counts=True)
+    number = np.cumsum(count > 1) - 1
+    row = np.repeat(np.arange(len(left) + len(right)), np.concatenate([na, nb]))
+    use = count[column] > 1
+    row, column = row[use], number[column[use]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    common = np.zeros((len(left), len(right)), np.float32)
+    for a in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        lo, hi = np.searchsorted(column, [a, a + COLUMNS])
+        x = np.zeros((len(left) + len(right), COLUMNS), np.float32)
+        x[row[lo:hi], column[lo:hi] - a] = 1
+        common += x[: len(left)] @ x[len(left) :].T
+    similar = (100 * common >= percent * (na[:, None] + nb[None, :] - common)) & (ca[:, None] != cb[None, :])
+    parent: dict[int, int] = {}
+
+    def top(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    out = []
+    for i, j in zip(*np.nonzero(similar)):
+        x, y = top(int(ca[i])), top(int(cb[j]))
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+            out.append((left[i][1], right[j][1]))
+    return out
+
+
+def labelled(frame: DataFrame, comps: DataFrame, column: str, out: str, small: bool) -> DataFrame:
+    """With the component of a column's node, itself where it has no link. small: comps is known to fit a broadcast."""
     side = comps.select(F.col("id").alias("__id"), F.col("comp").alias("__comp"))
-    return frame.join(side, F.col(column) == F.col("__id"), "left").withColumn(out, F.coalesce("__comp", column)).drop("__id", "__comp")
+    return frame.join(F.broadcast(side) if small else side, F.col(column) == F.col("__id"), "left").withColumn(out, F.coalesce("__comp", column)).drop("__id", "__comp")
+
+
+def bucket_members(classes: DataFrame, scratch: Scratch) -> DataFrame:
+    """(band, rep, lead) of each bucket of two classes or more.
+
+    The lead of a bucket is its member that meets most others in all of its buckets (ties: the least id): among
+    edited copies of one text that is the text itself, since copies are nearer to it than to one another.
+    """
+    every = classes.select("rep", F.explode("bands").alias("band"))
+    met = scratch.save(every.withColumn("n", F.expr("count(*) OVER (PARTITION BY band)")).where("n > 1"), "met")
+    degree = met.groupBy("rep").agg(F.sum(F.col("n") - 1).alias("degree"))
+    best = F.max(F.struct("degree", (-F.col("rep")).alias("least"))).over(Window.partitionBy("band"))
+    return scratch.save(met.join(degree, "rep").withColumn("best", best).select("band", "rep", (-F.col("best.least")).alias("lead"), F.col("best.degree").alias("degree")), "members")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -155,14 +241,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     classes = scratch.save(known.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands")), "classes")
     # a repeated id ties its sets together
     ties = known.join(classes.select("k1", "k2", "rep"), ["k1", "k2"]).where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
-    ties = ties.join(classes.select(F.col("rep").alias("u")), "u", "left_semi")
+    ties = scratch.save(ties.join(classes.select(F.col("rep").alias("u")), "u", "left_semi").distinct(), "ties")
 
-    member = classes.select("rep", F.explode("bands").alias("band"))
-    by_band = F.expr("count(*) OVER (PARTITION BY band)"), F.expr("min(rep) OVER (PARTITION BY band)")
-    members = scratch.save(member.withColumn("n", by_band[0]).withColumn("lead", by_band[1]).where("n > 1").select("band", "rep", "lead"), "members")
-
-    ids = members.select(F.xxhash64("rep").alias("h"), "rep").distinct()
-    field = bloom.build(ids, "h", bloom.size_for(ids.count()))
+    members = bucket_members(classes, scratch)
+    wanted = scratch.save(members.select(F.col("rep").alias("doc_id")).distinct(), "wanted")
+    n_wanted = wanted.count()
+    small = n_wanted <= BROADCAST_IDS
+    field = bloom.build(wanted.select(F.xxhash64("doc_id").alias("h")), "h", bloom.size_for(n_wanted))
 
     def maybe(batches):
         for b in batches:
@@ -170,47 +255,35 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
             yield b.filter(pa.array(bloom.has(field.value, h))).drop_columns(["h"])
 
     some = slim.where("doc_id IS NOT NULL").select("doc_id", "text", F.xxhash64("doc_id").alias("h")).mapInArrow(maybe, "doc_id long, text string")
-    wanted = members.select(F.col("rep").alias("doc_id")).distinct()
     # with a repeated id any one of its texts may stand for it: its sets are tied anyway, and the least text is as good
-    sets = scratch.save(some.join(wanted, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), "sets")
-
-    first = members.where("rep <> lead").groupBy("rep").agg(F.min("lead").alias("lead")).select(F.col("lead").alias("u"), F.col("rep").alias("v"))
-    tried = scratch.save(first, "tried-0")
-    links = verified(tried, sets, k, percent, scratch, "links-0").union(ties)
-    comps = scratch.save(components(links, scratch, "c0"), "comps-0")
-
-    turn = 0
-    while True:
-        turn += 1
-        now = scratch.save(labelled(labelled(members, comps, "rep", "comp"), comps, "lead", "lead_comp"), f"now-{turn}")
-        if turn == 1:
-            more = now.where("comp <> lead_comp").select(F.col("lead").alias("u"), F.col("rep").alias("v"))
-        else:
-            apart = now.where("comp <> lead_comp")
-            sizes = apart.groupBy("band").agg(F.count("*").alias("apart"), F.min(F.struct(F.xxhash64("rep", F.lit(turn)), "rep", "comp")).alias("pick"))
-            mixed_ = now.join(sizes, "band")
-            total, most = mixed_.agg(F.coalesce(F.sum("apart"), F.lit(0)), F.count("*")).first()
-            if not most:
-                break
-            if total > 8 * most + 10_000 and turn < 24:  # one member that is apart stands against its whole bucket
-                more = mixed_.where("comp <> pick.comp").select(F.least("rep", "pick.rep").alias("u"), F.greatest("rep", "pick.rep").alias("v"))
-            else:
-                one = apart.select("band", F.col("rep").alias("a"), F.col("comp").alias("a_comp"))
-                more = mixed_.join(one, "band").where("comp <> a_comp AND (comp = lead_comp OR rep < a)").select(F.least("rep", "a").alias("u"), F.greatest("rep", "a").alias("v"))
-        more = scratch.save(more.distinct().join(tried, ["u", "v"], "left_anti"), f"more-{turn}")
-        n = more.count()
-        if not n and turn > 1:
-            break
-        if n:
-            tried = scratch.save(tried.union(more), f"tried-{turn}")
-            found = verified(more, sets, k, percent, scratch, f"links-{turn}")
-            if not found.isEmpty():
-                links = links.union(found)
-                linked = labelled(labelled(found, comps, "u", "cu"), comps, "v", "cv").select(F.col("cu").alias("u"), F.col("cv").alias("v"))
-                joined = scratch.save(components(linked, scratch, f"c{turn}"), f"joined-{turn}")
-                every = comps.union(found.select(F.col("u").alias("id"), F.col("u").alias("comp"))).union(found.select(F.col("v").alias("id"), F.col("v").alias("comp"))).groupBy("id").agg(F.min("comp").alias("comp"))
-                comps = scratch.save(labelled(every, joined, "comp", "top").select("id", F.col("top").alias("comp")), f"comps-{turn}")
+    sets = scratch.save(some.join(F.broadcast(wanted) if small else wanted, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), "sets")
+
+    def settle(comps: DataFrame | None, found: DataFrame, turn: int) -> DataFrame:
+        """The components once the links found are added."""
+        if comps is None:
+            return scratch.save(components(found, scratch, "c0"), "comps-0")
+        linked = scratch.save(labelled(labelled(found, comps, "u", "cu", small), comps, "v", "cv", small).select("u", "v", "cu", "cv"), f"linked-{turn}")
+        joined = scratch.save(components(linked.select(F.col("cu").alias("u"), F.col("cv").alias("v")), scratch, f"c{turn}"), f"joined-{turn}")
+        every = comps.union(linked.select("u", "cu")).union(linked.select("v", "cv")).distinct()
+        return scratch.save(labelled(every, joined, "comp", "top", small).select("id", F.col("top").alias("comp")), f"comps-{turn}")
+
+    best = F.max(F.struct("degree", (-F.col("lead")).alias("least")))["least"]
+    tried = scratch.save(members.where("rep <> lead").groupBy("rep").agg((-best).alias("u")).select("u", F.col("rep").alias("v")), "tried-0")
+    found = verified(tried, sets, k, percent, scratch, "links-0")
+    comps = settle(None, scratch.save(found.union(ties), "edges-0"), 0)
+
+    more = labelled(labelled(members, comps, "rep", "comp", small), comps, "lead", "lead_comp", small).where("comp <> lead_comp").select(F.col("lead").alias("u"), F.col("rep").alias("v")).distinct()
+    found = verified(scratch.save(more.join(tried, ["u", "v"], "left_anti"), "tried-1"), sets, k, percent, scratch, "links-1")
+    comps = settle(comps, found, 1)
+
+    # buckets that still hold several components: all their pairs, in blocks, wherever the components differ
+    bands_of = F.expr("min(comp) OVER (PARTITION BY band) <> max(comp) OVER (PARTITION BY band)")
+    rest = labelled(members, comps, "rep", "comp", small).withColumn("several", bands_of).where("several")
+    rest = scratch.save(rest.select("rep", "lead", "comp").distinct(), "rest")
+    clusters = components(scratch.save(rest.select(F.col("rep").alias("u"), F.col("lead").alias("v")).distinct(), "rest-links"), scratch, "c2")
+    placed = clusters.withColumnRenamed("comp", "cluster").join(rest.groupBy("rep").agg(F.min("comp").alias("now")), F.col("id") == F.col("rep")).select("id", "now", "cluster")
+    comps = settle(comps, in_blocks(scratch.save(placed, "placed"), sets, k, percent, scratch, "links-2"), 2)
 
     out = marked.select("doc_id", "n_shingles", "k1", "k2").join(classes.select("k1", "k2", "rep"), ["k1", "k2"], "left")
-    out = labelled(out, comps, "rep", "top").withColumn("component_id", F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("top", "rep", "doc_id")))
+    out = labelled(out, comps, "rep", "top", small).withColumn("component_id", F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("top", "rep", "doc_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))

@@ -45,7 +45,9 @@ SAMPLE_DOCS, SAMPLE_BYTES = 2000, 16 << 10
 DICTIONARY_BYTES = 64 << 10
 SEGMENT_BYTES = 16 << 20
 RANGE_BYTES = 64 << 20
-MOST_PIECES = 400_000
+MOST_PIECES = 300_000
+#: An encoding holds far more than its ids, so few of them live at a time.
+ASK = 2000
 SPECIAL = re.compile(rb"<\|(startoftext|endoftext)\|>", re.I)
 TAIL = re.compile(rb"([a-z]+)([,.!?;:]+)")
 
@@ -78,14 +80,14 @@ class Encoder:
         self.at, self.len = np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int64)
 
     def ids(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [e.ids for a in range(0, len(texts), ASK) for e in self.tokenizer.encode_batch_fast(texts[a : a + ASK], add_special_tokens=False)]
 
     def learn(self) -> None:
         """Encodes the waiting pieces; trailing stops are cut off words of plain letters, and each part is encoded once."""
         new, self.pieces.new = self.pieces.new, []
         parts = [(m.groups() if (m := TAIL.fullmatch(p)) else (p,)) for p in new]
         ask = list({x for p in parts for x in p if x not in self.cores})
-        self.cores.update(zip(ask, self.ids([x.decode() for x in ask])))
+        self.cores.update(zip(ask, (tuple(x) for x in self.ids([x.decode() for x in ask]))))
         lens = np.array([sum(len(self.cores[x]) for x in p) for p in parts], np.int64)
         flat = np.fromiter((i for p in parts for x in p for i in self.cores[x]), np.uint32, int(lens.sum()))
         n = len(self.pieces)

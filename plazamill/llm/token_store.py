@@ -45,11 +45,12 @@ SAMPLE_DOCS, SAMPLE_BYTES = 2000, 16 << 10
 DICTIONARY_BYTES = 64 << 10
 SEGMENT_BYTES = 16 << 20
 RANGE_BYTES = 64 << 20
-MOST_PIECES = 300_000
+MOST_PIECES = 500_000
 #: An encoding holds far more than its ids, so few of them live at a time.
 ASK = 2000
 SPECIAL = re.compile(rb"<\|(startoftext|endoftext)\|>", re.I)
-TAIL = re.compile(rb"([a-z]+)([,.!?;:]+)")
+PLAIN = re.compile("[a-zß-öø-ÿ]+")
+TAIL = re.compile(rb"((?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+)([,.!?;:]+)")
 
 
 class Pieces(dict):
@@ -72,6 +73,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model, self.spelt = self.tokenizer.model, {}
         self.reset()
 
     def reset(self) -> None:
@@ -82,14 +84,37 @@ class Encoder:
     def ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for a in range(0, len(texts), ASK) for e in self.tokenizer.encode_batch_fast(texts[a : a + ASK], add_special_tokens=False)]
 
+    def ids_of(self, pieces: list[bytes]) -> list[bytes]:
+        """Serialised ids. A word of small Latin letters is one pre-token that normalising leaves as it is, so the
+        library's model takes it directly; all else goes through the library whole."""
+        out, rest = [], []
+        for p in pieces:
+            word = p.decode()
+            if PLAIN.fullmatch(word):
+                spelt = word if word.isascii() else "".join(map(self.spelling, word))
+                out.append(np.array([t.id for t in self.model.tokenize(spelt)], "<u4").tobytes())
+            else:
+                rest.append((len(out), word))
+                out.append(b"")
+        for (i, _), ids in zip(rest, self.ids([w for _, w in rest])):
+            out[i] = np.array(ids, "<u4").tobytes()
+        return out
+
+    def spelling(self, letter: str) -> str:
+        """How the byte-level pre-tokeniser writes a letter."""
+        if letter not in self.spelt:
+            self.spelt[letter] = self.tokenizer.pre_tokenizer.pre_tokenize_str(letter)[0][0]
+        return self.spelt[letter]
+
     def learn(self) -> None:
-        """Encodes the waiting pieces; trailing stops are cut off words of plain letters, and each part is encoded once."""
+        """Encodes the waiting pieces; trailing stops are cut off plain words, and each part is encoded once."""
         new, self.pieces.new = self.pieces.new, []
         parts = [(m.groups() if (m := TAIL.fullmatch(p)) else (p,)) for p in new]
         ask = list({x for p in parts for x in p if x not in self.cores})
-        self.cores.update(zip(ask, (tuple(x) for x in self.ids([x.decode() for x in ask]))))
-        lens = np.array([sum(len(self.cores[x]) for x in p) for p in parts], np.int64)
-        flat = np.fromiter((i for p in parts for x in p for i in self.cores[x]), np.uint32, int(lens.sum()))
+        self.cores.update(zip(ask, self.ids_of(ask)))
+        said = [b"".join([self.cores[x] for x in p]) for p in parts]
+        lens = np.array([len(x) // 4 for x in said], np.int64)
+        flat = np.frombuffer(b"".join(said), "<u4")
         n = len(self.pieces)
         while self.used + len(flat) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
@@ -137,7 +162,8 @@ def open_fs(path: str):
 
 def train_dictionary(docs: DataFrame, tokenizer: str, end: int, dtype: str) -> bytes:
     """From the serialised ids of a bounded sample; it shapes compression only."""
-    some = docs.select("text").orderBy(F.xxhash64("doc_id", F.lit(1)), F.col("doc_id")).limit(SAMPLE_DOCS).select("text")
+    ids = docs.select("doc_id").orderBy(F.xxhash64("doc_id", F.lit(1)), F.col("doc_id")).limit(SAMPLE_DOCS).distinct()
+    some = docs.join(F.broadcast(ids), "doc_id", "left_semi").select("text").limit(SAMPLE_DOCS)
 
     def run(batches):
         for b in slices(batches):

@@ -1,4 +1,6 @@
 """All queries of the library proper with the SQL that says the same."""
 
-QUERIES = {}
-SQL = {}
+from plazamill.plans import aggregates, base, listing  # noqa: F401  (they register)
+
+QUERIES = base.QUERIES
+SQL = base.SQL

@@ -1,8 +1,8 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
 The n-grams of the test items are counted over the whole corpus (documents that hold each). A seed is an n-gram that
-is rare in the corpus, or at least no more frequent than the median of its item, so an item that leaked into very
-many documents keeps seeds. Documents are joined to items where they hold a seed; seeds on near diagonals make a
+is rare in the corpus (in RARE of the documents or LEAST of them at most), or at most four times as frequent as the
+median of its item, so an item that leaked whole into very many documents still has seeds for its edited copies. Documents are joined to items where they hold a seed; seeds on near diagonals make a
 region; item and region are aligned word by word (match +1, mismatch and gap -1), and the best local alignment,
 divided by the item's words, is the score. From `threshold` on the document leaks the item.
 
@@ -29,7 +29,7 @@ from .features import _PUNCT, _span_hashes
 from .scratch import without
 
 SEED = 4
-RARE = 1e-3
+RARE, LEAST = 1e-3, 50
 THRESHOLD = 0.5
 BLOCK_BYTES = 32 << 20
 LEAK = T.ArrayType(T.StructType().add("item_id", "long").add("score", "double").add("start", "integer").add("stop", "integer"))
@@ -73,12 +73,12 @@ class Items:
         self.use = np.ones(len(self.item), bool)
 
     def choose(self, frequency: np.ndarray, documents: int) -> None:
-        """Keeps the n-grams that are rare, or at most as frequent as the median of their item."""
+        """Keeps the n-grams that are rare, or not much more frequent than the median of their item."""
         of = np.repeat(frequency, np.diff(self.edge))
         for i in range(len(self.words)):
             own = self.item == i
             if own.any():
-                self.use[own] = of[own] <= max(RARE * documents, np.median(of[own]))
+                self.use[own] = of[own] <= max(LEAST, RARE * documents, 4 * np.median(of[own]))
 
     def hits(self, h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions of the words where an n-gram of the items begins, and the n-gram's number."""

@@ -45,7 +45,7 @@ SAMPLE_DOCS, SAMPLE_BYTES = 2000, 16 << 10
 DICTIONARY_BYTES = 64 << 10
 SEGMENT_BYTES = 16 << 20
 RANGE_BYTES = 64 << 20
-MOST_PIECES = 500_000
+MOST_PIECES, KEPT_PIECES = 250_000, 100_000
 #: An encoding holds far more than its ids, so few of them live at a time.
 ASK = 2000
 SPECIAL = re.compile(rb"<\|(startoftext|endoftext)\|>", re.I)
@@ -67,7 +67,7 @@ class Pieces(dict):
 
 
 class Encoder:
-    """Texts to ids. Memory is bounded: past MOST_PIECES distinct pieces the table starts anew."""
+    """Texts to ids. Memory is bounded: past MOST_PIECES distinct pieces only the KEPT_PIECES most used ones stay."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -79,7 +79,20 @@ class Encoder:
     def reset(self) -> None:
         self.pieces, self.cores = Pieces(), {}
         self.flat, self.used = np.zeros(1 << 20, np.uint32), 0
-        self.at, self.len = np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int64)
+        self.at, self.len, self.uses = np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int64)
+
+    def shrink(self) -> None:
+        names = list(self.pieces)
+        keep = np.sort(np.argsort(-self.uses[: len(names)], kind="stable")[:KEPT_PIECES])
+        flat, at, lens, uses = self.flat, self.at[keep], self.len[keep], self.uses[keep]
+        self.reset()
+        for i in keep.tolist():
+            self.pieces[names[i]]
+        self.pieces.new = []
+        own = np.concatenate([flat[a : a + n] for a, n in zip(at.tolist(), lens.tolist())])
+        self.flat = np.concatenate([own, np.zeros(1 << 19, np.uint32)])
+        self.used = len(own)
+        self.at[: len(keep)], self.len[: len(keep)], self.uses[: len(keep)] = np.cumsum(lens) - lens, lens, uses // 2
 
     def ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for a in range(0, len(texts), ASK) for e in self.tokenizer.encode_batch_fast(texts[a : a + ASK], add_special_tokens=False)]
@@ -111,6 +124,9 @@ class Encoder:
         new, self.pieces.new = self.pieces.new, []
         parts = [(m.groups() if (m := TAIL.fullmatch(p)) else (p,)) for p in new]
         ask = list({x for p in parts for x in p if x not in self.cores})
+        if len(self.cores) > MOST_PIECES // 2:
+            self.cores = {}
+            ask = list({x for p in parts for x in p})
         self.cores.update(zip(ask, self.ids_of(ask)))
         said = [b"".join([self.cores[x] for x in p]) for p in parts]
         lens = np.array([len(x) // 4 for x in said], np.int64)
@@ -119,14 +135,14 @@ class Encoder:
         while self.used + len(flat) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         while n > len(self.at):
-            self.at, self.len = np.concatenate([self.at, np.zeros_like(self.at)]), np.concatenate([self.len, np.zeros_like(self.len)])
+            self.at, self.len, self.uses = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.len, self.uses))
         self.flat[self.used : self.used + len(flat)] = flat
         self.at[n - len(new) : n], self.len[n - len(new) : n] = self.used + np.cumsum(lens) - lens, lens
         self.used += len(flat)
 
     def encode(self, texts: list[str | None], end: int) -> list[np.ndarray]:
         if len(self.pieces) > MOST_PIECES:
-            self.reset()
+            self.shrink()
         raw = [(t or "").encode() for t in texts]
         whole = {i: None for i, r in enumerate(raw) if b"<|" in r and SPECIAL.search(r)}
         if whole:
@@ -136,6 +152,7 @@ class Encoder:
         codes = np.fromiter(map(self.pieces.__getitem__, (p for s in split for p in s)), np.int64, int(counts.sum()))
         if self.pieces.new:
             self.learn()
+        self.uses[: len(self.pieces)] += np.bincount(codes, minlength=len(self.pieces))
         lens = self.len[codes]
         stop = np.cumsum(lens)
         tokens = self.flat[np.repeat(self.at[codes] - (stop - lens), lens) + np.arange(stop[-1] if len(stop) else 0)]

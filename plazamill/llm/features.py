@@ -87,8 +87,13 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     The chosen labels are at most 2 * per_class rows, so they are broadcast and no text is shuffled.
     """
     ids = labels.where(F.col(label).isin(0, 1) & learning_fold(F.col("doc_id"))).groupBy(F.col("doc_id").alias("__id")).agg(F.max(label).alias("y"))
-    least = Window.partitionBy("y").orderBy(F.xxhash64("__id", F.lit(7)), "__id")
-    chosen = ids.withColumn("__n", F.row_number().over(least)).where(F.col("__n") <= per_class).drop("__n")
+    ids = ids.withColumn("__h", F.xxhash64("__id", F.lit(7)).bitwiseAND(F.lit((1 << 63) - 1)))
+    # of a class of n rows, the per_class least hashes lie below 3 * per_class / n of their range
+    cut = F.lit(0).cast("long")
+    for r in ids.groupBy("y").count().collect():
+        cut = F.when(F.col("y") == r["y"], F.lit(min((1 << 63) - 1, (1 << 63) * 3 * per_class // r["count"]))).otherwise(cut)
+    least = Window.partitionBy("y").orderBy("__h", "__id")
+    chosen = ids.where(F.col("__h") <= cut).withColumn("__n", F.row_number().over(least)).where(F.col("__n") <= per_class).select("__id", "y")
     return docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("__id")).drop("__id")
 
 

@@ -36,7 +36,7 @@ from .words import Words, rolling, slices
 
 COVERS = {7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16)}
 CHUNK_BYTES = 4 << 20
-BUCKET_WORDS = 8_000_000
+BUCKET_WORDS = 2_000_000
 
 
 def packed(frame: DataFrame) -> DataFrame:
@@ -179,7 +179,7 @@ def remove_repeats(docs: DataFrame, window: int = 35, period: int = 13, filter_b
     docs = without(docs, "n_words", "n_removed", "kept_text", "removed")
     chunks = scratch.save(packed(docs), "chunks")
     words = chunks.agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0]
-    buckets = max(24, math.ceil(words / BUCKET_WORDS))
+    buckets = max(12, math.ceil(words / BUCKET_WORDS))
     spread = chunks.repartition(max(spark.sparkContext.defaultParallelism * 2, math.ceil(words / 2_000_000)))
 
     def anchor_keys(blob):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from plazamill.context import EVENTS, OFFERS
 from plazamill.functions import dates as DT
 from plazamill.functions import money as M
+from plazamill.functions import policy_lists as PL
 from plazamill.functions import text as T
 from plazamill.operators import rules as R
 from plazamill.sources import adapters as A
@@ -225,16 +226,20 @@ def v06_minimum_fields(spark, sf_dir):
     return A.offers(spark, sf_dir).select("id", R.minimum_fields(F.col("cargo"), F.col("url_oferta")).alias("motivo"))
 
 
-_POS, _NEG, _NEGURL, _INT = ["the", "concurso", "vacante", "cargo", "renta", "plazo", "postulacion", "con"], "(in the end|proceso cerrado|resultados)", "(noticia|/blog|news)", "(solo interno|internal only)"
-_HITS = " + ".join(f"contains(b, '{p}')::INT" for p in _POS)
+#: Titles that the policy judges, alike in Spark and DuckDB.
+TITLE = """CASE o_orderkey % 12 WHEN 0 THEN 'Concurso público: vacante de planta, ver bases y requisitos' WHEN 1 THEN 'Noticias del servicio' WHEN 2 THEN 'Llamado a becas para funcionarios' WHEN 3 THEN 'Cargo a contrata, sólo difusión interna' WHEN 4 THEN 'Aviso'
+ WHEN 5 THEN 'Suplencia: postulación hasta el viernes' WHEN 6 THEN 'Nómina de seleccionados, concurso cerrado' WHEN 7 THEN '' WHEN 8 THEN 'Trabaja con nosotros' WHEN 9 THEN 'Resultados del concurso público' WHEN 10 THEN NULL ELSE concat('Empleo ', o_orderpriority) END"""
+LINK = "CASE o_orderkey % 5 WHEN 0 THEN '/Noticias/2024' WHEN 1 THEN '/blog' WHEN 2 THEN NULL ELSE '/empleos' END"
+_URLS = "|".join(PL.NEGATIVE_URL)
 
 
-@query(f"""SELECT doc_id, round(greatest(-1.0, least(1.0, s)), 4) AS score, round(s, 4) >= 0.2 AND hits > 0 AND NOT inside AS acepta FROM (SELECT *, least(0.75, hits * 0.1) - bad_url * 0.45 - bad_text * 0.35 - inside::INT * 0.6 - (length(b) < 8)::INT * 0.25 AS s FROM (
- SELECT doc_id, b, ({_HITS})::DOUBLE AS hits, regexp_matches(source, '{_NEGURL}')::INT AS bad_url, regexp_matches(b, '{_NEG}')::INT AS bad_text, regexp_matches(b, '{_INT}') AS inside FROM (SELECT doc_id, source, {sql_fold('text')} AS b FROM documents)))""", cte=False)
+@query(f"""SELECT id, round(greatest(-1.0, least(1.0, s)), 4) AS score, round(s, 4) >= 0.2 AND hits > 0 AND NOT inside AS acepta, array_to_string(list_filter([CASE WHEN hits > 0 THEN 'positive_signals_detected' END, CASE WHEN bad_url THEN 'negative_url_pattern' END, CASE WHEN bad_text THEN 'negative_text_pattern' END, CASE WHEN inside THEN 'internal_only_signal' END,
+ CASE WHEN length(b) < 8 THEN 'insufficient_text' END, CASE WHEN round(s, 4) >= 0.2 AND hits > 0 AND NOT inside THEN 'policy_accept' ELSE 'policy_reject' END], lambda x: x IS NOT NULL), ',') AS codigos FROM (SELECT *, least(0.75, hits * 0.1) - bad_url::INT * 0.45 - bad_text::INT * 0.35 - inside::INT * 0.6 - (length(b) < 8)::INT * 0.25 AS s FROM (
+ SELECT id, b, ({" + ".join(f"contains(b, '{p}')::INT" for p in PL.POSITIVE)})::DOUBLE AS hits, regexp_matches(u, '{_URLS}') AS bad_url, regexp_matches(b, '{"|".join(PL.NEGATIVE)}') AS bad_text, regexp_matches(b, '{"|".join(PL.INTERNAL)}') AS inside FROM (SELECT o_orderkey AS id, {sql_fold(TITLE)} AS b, {sql_fold(LINK)} AS u FROM orders)))""", cte=False)
 def v03_policy_score(spark, sf_dir):
-    p = R.policy(F.col("b"), F.col("source"), _POS, _NEG, _NEGURL, _INT)
-    rows = docs(spark, sf_dir).select("doc_id", "source", T.ascii_fold(F.col("text")).alias("b")).select("doc_id", p.alias("p"))
-    return rows.select("doc_id", "p.score", F.col("p.accept").alias("acepta"))
+    p = R.policy(F.col("b"), F.col("u"), list(PL.POSITIVE), "|".join(PL.NEGATIVE), _URLS, "|".join(PL.INTERNAL))
+    rows = A.read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), T.ascii_fold(F.expr(TITLE)).alias("b"), T.ascii_fold(F.expr(LINK)).alias("u"))
+    return rows.select("id", p.alias("p")).select("id", "p.score", F.col("p.accept").alias("acepta"), F.array_join("p.reasons", ",").alias("codigos"))
 
 
 _CHECKS = [

@@ -248,9 +248,9 @@ def w06_fingerprint_duplicates(spark, sf_dir):
     return A.offers(spark, sf_dir).withColumn("k", key).withColumn("rn", F.row_number().over(w)).where("rn > 1").select("id")
 
 
-@query("SELECT oferta_id, linea, capturado_en, renta - lag(renta) OVER (PARTITION BY oferta_id ORDER BY capturado_en, linea) AS cambio FROM snapshots")
+@query("SELECT oferta_id, linea, capturado_en, renta - lag(renta) OVER (PARTITION BY oferta_id ORDER BY capturado_en, linea, renta) AS cambio FROM snapshots")
 def w09_snapshot_timeline(spark, sf_dir):
-    w = Window.partitionBy("oferta_id").orderBy("capturado_en", "linea")
+    w = Window.partitionBy("oferta_id").orderBy("capturado_en", "linea", "renta")
     return A.snapshots(spark, sf_dir).select("oferta_id", "linea", "capturado_en", (F.col("renta") - F.lag("renta").over(w)).alias("cambio"))
 
 

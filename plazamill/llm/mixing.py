@@ -61,7 +61,7 @@ def targets(totals: DataFrame, weights=(1, 2, 3), cap: int = 3) -> DataFrame:
 
 def with_source_row(rows: DataFrame, per_source: DataFrame, n_sources: int, source: Column) -> DataFrame:
     """Joins one row per source. A hot source never meets in one task: broadcast while small, salted beyond."""
-    side = per_source.withColumnRenamed("source", "__mix_source")
+    side = per_source.withColumnsRenamed({c: f"__mix_{c}" for c in ("source", "whole", "part", "seed")})
     if n_sources <= BROADCAST_SOURCES:
         return rows.join(F.broadcast(side), source.eqNullSafe(F.col("__mix_source")), "left").drop("__mix_source")
     side = side.withColumn("__mix_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
@@ -80,14 +80,14 @@ def copies(docs: DataFrame, weights=(1, 2, 3), cap: int = 3, seeds: int = 16) ->
     joined = with_source_row(slim, per_source, n_sources, F.col("source"))
     sums = joined.groupBy("source").agg(
         F.first("target").alias("target"),
-        *[F.sum(F.col("size") * (F.col("whole") + (coin(k, F.col("doc_id")) < F.col("part")).cast("long"))).alias(f"t{k}") for k in range(seeds)],
+        *[F.sum(F.col("size") * (F.col("__mix_whole") + (coin(k, F.col("doc_id")) < F.col("__mix_part")).cast("long"))).alias(f"t{k}") for k in range(seeds)],
     )
     best = F.array_min(F.array(*[F.struct(F.abs(F.col(f"t{k}") - F.col("target")).alias("off"), F.lit(k).alias("k")) for k in range(seeds)]))["k"]
     chosen = sums.select(F.col("source").alias("__source"), best.alias("seed"))
     per_source = scratch.save(per_source.join(F.broadcast(chosen) if n_sources <= BROADCAST_SOURCES else chosen, F.col("source").eqNullSafe(F.col("__source")), "left").drop("__source"), "chosen")
     out = with_source_row(docs.withColumn("size", n_words(F.col("text"))), per_source, n_sources, F.col("source"))
-    flip = F.coalesce(*[F.when(F.col("seed") == k, coin(k, F.col("doc_id"))) for k in range(seeds)])
-    return out.withColumn("copies", (F.col("whole") + (flip < F.col("part")).cast("long")).cast("int")).drop("whole", "part", "seed")
+    flip = F.coalesce(*[F.when(F.col("__mix_seed") == k, coin(k, F.col("doc_id"))) for k in range(seeds)])
+    return out.withColumn("copies", (F.col("__mix_whole") + (flip < F.col("__mix_part")).cast("long")).cast("int")).drop("__mix_whole", "__mix_part", "__mix_seed")
 
 
 def mix(docs: DataFrame, weights=(1, 2, 3), cap: int = 3, seeds: int = 16) -> DataFrame:

@@ -215,7 +215,9 @@ def test_quality(spark):
 
 
 def test_mixing(spark, docs, rows):
-    out = mixing.copies(docs.withColumnRenamed("extra", "size")).collect()
+    clashing = docs.withColumnRenamed("extra", "size").withColumns({c: docs["lang"] for c in ("whole", "part", "seed", "weight", "level")})
+    assert {"whole", "part", "seed", "copies", "target"} < set(mixing.copies(clashing).columns)
+    out = mixing.copies(clashing).collect()
     assert len(out) == len(rows)
     size, total = defaultdict(int), 0
     for r in rows:

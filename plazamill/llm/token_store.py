@@ -28,7 +28,6 @@ import struct
 import uuid
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
@@ -45,7 +44,7 @@ SAMPLE_DOCS, SAMPLE_BYTES = 2000, 16 << 10
 DICTIONARY_BYTES = 64 << 10
 SEGMENT_BYTES = 16 << 20
 RANGE_BYTES = 64 << 20
-MOST_PIECES, KEPT_PIECES = 250_000, 100_000
+MOST_PIECES, KEPT_PIECES = 300_000, 120_000
 #: An encoding holds far more than its ids, so few of them live at a time.
 ASK = 2000
 SPECIAL = re.compile(rb"<\|(startoftext|endoftext)\|>", re.I)
@@ -214,24 +213,21 @@ def write_tokens(docs: DataFrame, tokenizer: str, end: int = 2, out: str | None
     with files.open_output_stream(f"{root}/dictionary.zdict") as f:
         f.write(trained)
 
-    def encode(batches):
-        press = zstandard.ZstdCompressor(level=3, dict_data=dictionary(trained), write_content_size=True)
-        for b in slices(batches):
-            ids = encoder(tokenizer).encode(b.column(1).to_pylist(), end)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array([press.compress(x.astype(dtype).tobytes()) for x in ids], pa.binary())], ["doc_id", "tokens", "frame"])
-
     total = slim.agg(F.sum(F.octet_length("text")), F.count("*")).first()
     ranges = max(1, math.ceil((total[0] or 0) / RANGE_BYTES), min(12, math.ceil(total[1] / 500)))
     cuts = slim.agg(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)] or [0.5], 10_000)).first()[0] or []
     cuts = np.unique(np.array(cuts[: ranges - 1], np.int64))
     least = -(1 << 63)
 
-    @F.pandas_udf("int")
-    def range_of(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(cuts, ids.to_numpy(), "right").astype(np.int32))
+    def encode(batches):
+        press = zstandard.ZstdCompressor(level=3, dict_data=dictionary(trained), write_content_size=True)
+        for b in slices(batches):
+            ids = encoder(tokenizer).encode(b.column(1).to_pylist(), end)
+            at = np.searchsorted(cuts, b.column(0).fill_null(least).to_numpy(), "right").astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(at), b.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array([press.compress(x.astype(dtype).tobytes()) for x in ids], pa.binary())], ["range", "doc_id", "tokens", "frame"])
 
-    framed = slim.mapInArrow(encode, "doc_id long, tokens long, frame binary")
-    dealt = framed.withColumn("range", range_of(F.coalesce("doc_id", F.lit(least))) if len(cuts) else F.lit(0)).repartitionById(len(cuts) + 1, F.col("range"))
+    framed = slim.mapInArrow(encode, "range int, doc_id long, tokens long, frame binary")
+    dealt = framed.repartitionById(len(cuts) + 1, F.col("range"))
     rows = dealt.sortWithinPartitions("range", "doc_id", "frame").select("range", "doc_id", "tokens", "frame")
 
     def write(batches):

@@ -5,7 +5,8 @@ the page view is one over the metadata (source, language, length, layout of line
 of labelled rows; in each round either view labels the pool documents that it is surest of (the same share of each
 class as among the labels) and hands them to the other view as training rows. Then each view is calibrated on labels
 kept from training (Platt), and the calibrated views are weighed into one score, again on those labels: a view that
-tells nothing gets a weight near 0. The models (three small arrays) are broadcast and every document is scored over
+tells nothing gets a weight near 0. A sampled row weighs as many labels as it stands for wherever shares of classes
+matter (bias, pseudo-labels, calibration), so the sample's bound doesn't change them. The models (three small arrays) are broadcast and every document is scored over
 its whole text.
 
 Bounds: PER_CLASS labelled documents of each class, POOL unlabelled ones, both by least hash. Defined cases: null or
@@ -107,8 +108,9 @@ class Rows:
         return model[0] + np.bincount(doc, model[1][self.idx] * self.value, self.n)
 
 
-def logistic(rows: Rows, which: np.ndarray, y: np.ndarray, width: int, epochs: int = 6, seed: int = 3):
-    """(bias, weights) by mini-batch AdaGrad, over features that the rows allow to learn."""
+def logistic(rows: Rows, which: np.ndarray, y: np.ndarray, stands: np.ndarray, width: int, epochs: int = 6, seed: int = 3):
+    """(bias, weights) by mini-batch AdaGrad, over features that the rows allow to learn; the bias is then moved to the
+    odds that the classes have when each row counts as the rows it stands for."""
     rng = np.random.default_rng(seed)
     doc, idx, _ = rows.take(which)
     seen, in_1 = np.bincount(idx, minlength=width), np.bincount(idx, y[doc], width)
@@ -126,15 +128,19 @@ def logistic(rows: Rows, which: np.ndarray, y: np.ndarray, width: int, epochs: i
             w -= 0.3 * d / np.sqrt(g2) * use
             b2 += g.sum() ** 2
             bias -= 0.3 * g.sum() / np.sqrt(b2)
+    if 0 < y.sum() < len(y):
+        bias += np.log(stands[y == 1].mean() / stands[y == 0].mean())
     return float(bias), w
 
 
-def platt(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Intercept and slopes (x: one column per view) of a logistic fit by damped Newton steps, slopes kept >= 0."""
+def platt(x: np.ndarray, y: np.ndarray, stands: np.ndarray) -> np.ndarray:
+    """Intercept and slopes (x: one column per view) of a logistic fit by damped Newton steps, slopes kept >= 0; rows
+    weigh in proportion to what they stand for."""
+    weight = stands / stands.mean()
     X, b = np.column_stack([np.ones(len(y)), x]), np.zeros(1 + x.shape[1])
     for _ in range(50):
         p = sigmoid(X @ b)
-        step = np.linalg.solve(X.T @ (X * (p * (1 - p))[:, None]) + np.diag([1e-6, *[0.05] * x.shape[1]]), X.T @ (y - p) - np.append(0, 0.05 * b[1:]))
+        step = np.linalg.solve(X.T @ (X * (weight * p * (1 - p))[:, None]) + np.diag([1e-6, *[0.05] * x.shape[1]]), X.T @ (weight * (y - p)) - np.append(0, 0.05 * b[1:]))
         b += np.clip(step, -1, 1)
         if np.abs(step).max() < 1e-6:
             break
@@ -142,14 +148,16 @@ def platt(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return b
 
 
-def cotrain(text: Rows, page: Rows, y: np.ndarray):
-    """y: 1, 0 or -1 (pool). The two views, their calibrations and the weights of the combination."""
+def cotrain(text: Rows, page: Rows, y: np.ndarray, stands: tuple[float, float] = (1.0, 1.0)):
+    """y: 1, 0 or -1 (pool); a labelled row of class c stands for stands[c] labels. The two views, their calibrations
+    and the weights of the combination."""
+    each_stands = np.where(y == 1, stands[1], np.where(y == 0, stands[0], 1.0))
     labelled = np.flatnonzero(y >= 0)
     check, train = labelled[::4], labelled[np.arange(len(labelled)) % 4 != 0]
     pool = np.flatnonzero(y < 0)
-    own = {"text": (train, y[train].astype(float)), "page": (train, y[train].astype(float))}
+    own = {v: (train, y[train].astype(float), each_stands[train]) for v in ("text", "page")}
     views = {"text": (text, DIM + STATS * BINS), "page": (page, DIM)}
-    good = y[train].mean()
+    good = np.average(y[train], weights=each_stands[train])
     for turn in range(ROUNDS + 1):
         models = {v: logistic(rows, *own[v], width) for v, (rows, width) in views.items()}
         if turn == ROUNDS or not len(pool):
@@ -160,11 +168,11 @@ def cotrain(text: Rows, page: Rows, y: np.ndarray):
             n = int(SHARE * (turn + 1) * len(pool))
             low, high = order[: int(n * (1 - good))], order[len(order) - int(n * good) :]
             low, high = low[score[low] < -2], high[score[high] > 2]  # surer than 88 %
-            own[taker] = (np.concatenate([train, pool[low], pool[high]]), np.concatenate([y[train], np.zeros(len(low)), np.ones(len(high))]))
+            own[taker] = (np.concatenate([train, pool[low], pool[high]]), np.concatenate([y[train], np.zeros(len(low)), np.ones(len(high))]), np.concatenate([each_stands[train], np.ones(len(low) + len(high))]))
     margins = np.column_stack([views[v][0].margin(models[v])[check] for v in ("text", "page")])
-    each = [platt(margins[:, [i]], y[check]) for i in (0, 1)]
+    each = [platt(margins[:, [i]], y[check], each_stands[check]) for i in (0, 1)]
     calibrated = np.column_stack([e[0] + e[1] * margins[:, i] for i, e in enumerate(each)])
-    return models["text"], models["page"], each, platt(calibrated, y[check])
+    return models["text"], models["page"], each, platt(calibrated, y[check], each_stands[check])
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", metadata=("source", "lang"), per_class: int = PER_CLASS, pool: int = POOL):
@@ -172,7 +180,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", metadata=("s
     spark = docs.sparkSession
     scratch = Scratch(spark, "cotrain")
     columns = ["doc_id", "text", *[c for c in metadata if c in docs.columns]]
-    some = labelled_sample(docs.select(columns), labels, label, per_class).select(*columns, F.col("y").cast("int").alias("y"))
+    some, stands = labelled_sample(docs.select(columns), labels, label, per_class)
+    some = some.select(*columns, F.col("y").cast("int").alias("y"))
     # unlabelled rows: a bounded number by least hash; what of them is labelled counts as pool too, without its label
     free = docs.select("doc_id").orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id").limit(pool).distinct()
     rest = docs.select(columns).join(F.broadcast(free), "doc_id").withColumn("y", F.lit(-1))
@@ -188,9 +197,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", metadata=("s
         if not n:
             return
         y = np.array(y)
-        found = (0.0, np.zeros(DIM + STATS * BINS)), (0.0, np.zeros(DIM)), [np.zeros(2)] * 2, np.array([4.0 if not (y >= 0).any() else np.log((np.sum(y == 1) + 0.5) / (np.sum(y == 0) + 0.5)), 0, 0])
+        found = (0.0, np.zeros(DIM + STATS * BINS)), (0.0, np.zeros(DIM)), [np.zeros(2)] * 2, np.array([4.0 if not (y >= 0).any() else np.log((stands[1] * np.sum(y == 1) + 0.5) / (stands[0] * np.sum(y == 0) + 0.5)), 0, 0])
         if (y == 0).sum() >= 8 and (y == 1).sum() >= 8:
-            found = cotrain(*(Rows(*(np.concatenate([x[k] for x in rows]) for k in range(3)), n) for rows in (t, p)), y)
+            found = cotrain(*(Rows(*(np.concatenate([x[k] for x in rows]) for k in range(3)), n) for rows in (t, p)), y, stands)
         (tb, tw), (pb, pw), each, both = found
         numbers = np.concatenate([[tb, pb], each[0], each[1], both, tw, pw])
         yield pa.RecordBatch.from_arrays([pa.array([numbers.tobytes()], pa.binary())], ["numbers"])

@@ -81,20 +81,22 @@ def learning_fold(doc_id) -> F.Column:
     return F.coalesce(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % 5 != 0, F.lit(False))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> DataFrame:
-    """At most per_class documents of each class of the learning fold, those of least hash, with column y.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> tuple[DataFrame, tuple[float, float]]:
+    """At most per_class documents of each class of the learning fold, those of least hash, with column y, and the
+    number of labels that a row of class 0 and one of class 1 stands for (1 where the class is whole).
 
     The chosen labels are at most 2 * per_class rows, so they are broadcast and no text is shuffled.
     """
     ids = labels.where(F.col(label).isin(0, 1) & learning_fold(F.col("doc_id"))).groupBy(F.col("doc_id").alias("__id")).agg(F.max(label).alias("y"))
     ids = ids.withColumn("__h", F.xxhash64("__id", F.lit(7)).bitwiseAND(F.lit((1 << 63) - 1)))
     # of a class of n rows, the per_class least hashes lie below 3 * per_class / n of their range
-    cut = F.lit(0).cast("long")
+    cut, stands = F.lit(0).cast("long"), [1.0, 1.0]
     for r in ids.groupBy("y").count().collect():
         cut = F.when(F.col("y") == r["y"], F.lit(min((1 << 63) - 1, (1 << 63) * 3 * per_class // r["count"]))).otherwise(cut)
+        stands[int(r["y"])] = max(1.0, r["count"] / per_class)
     least = Window.partitionBy("y").orderBy("__h", "__id")
     chosen = ids.where(F.col("__h") <= cut).withColumn("__n", F.row_number().over(least)).where(F.col("__n") <= per_class).select("__id", "y")
-    return docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("__id")).drop("__id")
+    return docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("__id")).drop("__id"), (stands[0], stands[1])
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:

@@ -4,7 +4,9 @@ score = sigmoid(bias + sum of term weights + sum over pairs of <v_i, v_j> / n),
 next to the weight of each term there is a learnt weight for each pair of terms, through RANK factors a term, so an
 insult beside a group mention can count for more than both apart. It is trained in one task on a bounded sample
 (at most PER_CLASS documents of each class of the learning fold, see features.labelled_sample) and broadcast: DIM *
-(RANK + 1) floats. Every document is then scored over its whole text.
+(RANK + 1) floats. Where the sample holds another share of a class than the labels do, the bias is moved by the
+difference of log odds, so scores keep to the labels' shares at every input size. Every document is then scored over
+its whole text.
 
 Terms that the sample can't teach (features.telling) have no weight. Defined cases: null or empty text gets the
 score of no terms; labels of one class only give every document that class's score, no labels a score of 0.5; label
@@ -42,9 +44,9 @@ def margins(model, doc: np.ndarray, idx: np.ndarray, n_docs: int) -> np.ndarray:
     return bias + np.bincount(doc, w[idx], n_docs) + pair_sums(v, doc, idx, n_docs)[1] / n
 
 
-def train(samples: list[np.ndarray], y: np.ndarray, seed: int = 1):
+def train(samples: list[np.ndarray], y: np.ndarray, seed: int = 1, stands: tuple[float, float] = (1.0, 1.0)):
     """Mini-batch AdaGrad on the logistic loss, over the terms that the sample allows to learn; weights begin at half
-    the log odds of their term."""
+    the log odds of their term. A sample of class c stands for stands[c] labels."""
     rng = np.random.default_rng(seed)
     ones = [s for s, one in zip(samples, y) if one]
     seen, in_1 = (np.bincount(np.concatenate(x), minlength=DIM) if x else np.zeros(DIM) for x in (samples, ones))
@@ -74,13 +76,14 @@ def train(samples: list[np.ndarray], y: np.ndarray, seed: int = 1):
                     v[:, f] -= 0.05 * d / np.sqrt(gv[:, f]) * use
                 gb += g.sum() ** 2
                 bias -= 0.1 * g.sum() / np.sqrt(gb)
+        bias += np.log(stands[1] / stands[0])
     return float(bias), w.astype(np.float32), v.astype(np.float32)
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = PER_CLASS):
     """The model (bias, weights, factors); its size does not depend on the input."""
     scratch = Scratch(docs.sparkSession, "fm")
-    sample = labelled_sample(docs.select(F.col("doc_id"), "text"), labels, label, per_class)
+    sample, stands = labelled_sample(docs.select(F.col("doc_id"), "text"), labels, label, per_class)
 
     def vectors(batches):
         for b in slices(batches):
@@ -96,7 +99,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int
             col = b.column("terms")
             rows += [col[i].values.to_numpy() for i in range(b.num_rows)]
             y += b.column("y").to_pylist()
-        bias, w, v = train(rows, np.array(y, float))
+        bias, w, v = train(rows, np.array(y, float), stands=stands)
         yield pa.RecordBatch.from_arrays([pa.array([bias]), pa.array([w.tobytes()], pa.binary()), pa.array([v.tobytes()], pa.binary())], ["bias", "w", "v"])
 
     one = known.repartition(1).sortWithinPartitions("doc_id", "y")

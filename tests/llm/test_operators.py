@@ -211,6 +211,18 @@ def test_quality(spark):
     assert cotrain.score(docs.where("false"), cotrain.fit(docs, labels)).count() == 0
 
 
+def test_shares_of_classes_survive_the_sample(spark):
+    r = random.Random(6)
+    docs = [(i, " ".join(r.choice("abcdefgh") * 3 for _ in range(20)), "es", "s0") for i in range(2500)]
+    labels = [(i, int(i % 10 != 0), int(i % 10 == 0)) for i in range(2500)]
+    docs, labels = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    for bound in (100, 5000):
+        toxic = toxicity_fm.score(docs, toxicity_fm.fit(docs, labels, per_class=bound)).collect()
+        assert 0.03 < np.mean([x["score"] for x in toxic]) < 0.2 and np.mean([x["predicted"] for x in toxic]) < 0.05
+        good = cotrain.score(docs, cotrain.fit(docs, labels, per_class=bound, pool=200)).collect()
+        assert all(0.8 < np.mean([x[c] for x in good]) < 0.97 for c in ("score", "text_score", "page_score")) and np.mean([x["keep"] for x in good]) > 0.95
+
+
 # --- 5: mixing
 
 

@@ -2,8 +2,13 @@
 
 The score is the matching-blocks ratio, 2 * M / T; it can't reach a threshold where 2 * min(len) / (sum of lengths) or
 the shared letters stay below it, so those pairs are never scored. Names equal after folding are joined directly;
-the rest meets only catalog names of its length range and with a trigram in common, in the JVM, and one Arrow batch
-of candidate pairs at a time is scored in Python.
+the rest meets only catalog names of its length range and edit distance with one of its rare trigrams in common, in
+the JVM, and one Arrow batch of candidate pairs at a time is scored in Python.
+
+A match of ratio t between names of la and lb letters leaves ua and ub letters unmatched, ua (2 - t) + ub t <=
+2 (1 - t) la. An unmatched letter of the name breaks at most 3 of its trigrams, one that the catalog name has in
+between at most 2, so of any `broken` + 1 trigrams of the name one stands in the catalog name. Names with fewer
+trigrams meet all catalog names of their length range.
 """
 
 from __future__ import annotations
@@ -17,6 +22,8 @@ from pyspark.sql.types import DoubleType
 
 from plazamill.functions.text import normal
 
+FEW = 2000
+
 
 @F.pandas_udf(DoubleType())
 def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -27,23 +34,42 @@ def trigrams(c):
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 2, F.lit(1))), lambda i: F.substring(c, i, F.lit(3))))
 
 
+def broken(length, t):
+    """Trigrams of a name of this length that a match of ratio t or more can break, at most."""
+    return F.floor(2 * (1 - t) * length * F.greatest(3 / (2 - t), 2 / t) + 1e-6)
+
+
 def best_match(names: DataFrame, catalog: DataFrame, name: str, key: str, catalog_name: str, threshold: float = 0.88, rarest: int = 6) -> DataFrame:
     """names with key and ratio of the best catalog row at or above the threshold (ties: least key), else nulls.
 
-    Distinct names only are matched. A pair at threshold t shares most of its trigrams, so it shares one of the
-    `rarest` trigrams of either name; those are chosen by their frequency in the catalog.
+    Distinct names only are matched. The first pass scores what shares one of the `rarest` trigrams of the name, as
+    long as those are in at most FEW catalog names; the best ratio it finds is the threshold of the second, which
+    misses nothing at or above it.
     """
     own = names.select(F.col(name).alias("__raw")).distinct().withColumn("a", normal(F.col("__raw")))
-    cat = catalog.select(F.col(key).alias("k"), normal(F.col(catalog_name)).alias("b"))
-    exact = own.join(cat.groupBy("b").agg(F.min("k").alias("k")), F.col("a") == F.col("b")).select("__raw", "k", F.lit(1.0).alias("r"))
-    rest = own.join(exact.select("__raw"), "__raw", "left_anti")
+    cat = catalog.select(F.col(key).alias("k"), normal(F.col(catalog_name)).alias("b")).groupBy("b").agg(F.min("k").alias("k"))
+    exact = own.join(cat, F.col("a") == F.col("b")).select("__raw", "k", F.lit(1.0).alias("r"))
+    rest = own.join(cat, F.col("a") == F.col("b"), "left_anti")
     grams = cat.select("k", "b", F.explode(trigrams(F.col("b"))).alias("g"))
     frequency = grams.groupBy("g").agg(F.count("*").alias("n"))
-    rare = Window.partitionBy("k").orderBy("n", "g")
-    seeds = grams.join(frequency, "g").withColumn("i", F.row_number().over(rare)).where(F.col("i") <= rarest).select("g", "k", "b")
-    pairs = rest.select("__raw", "a", F.explode(trigrams(F.col("a"))).alias("g")).join(seeds, "g").select("__raw", "a", "k", "b").distinct()
-    low, total = F.least(F.length("a"), F.length("b")), F.length("a") + F.length("b")
-    scored = pairs.where(2 * low >= threshold * total).withColumn("r", ratio("a", "b")).where(F.col("r") >= threshold)
-    top = scored.groupBy("__raw").agg(F.max(F.struct("r", (-F.col("k")).alias("m"))).alias("x")).select("__raw", (-F.col("x.m")).alias("k"), "x.r")
+    rare = Window.partitionBy("__raw").orderBy("n", "g")
+    of_name = rest.select("__raw", "a", F.explode(trigrams(F.col("a"))).alias("g"))
+
+    def scored(pairs):
+        low, total = F.least(F.length("a"), F.length("b")), F.length("a") + F.length("b")
+        near = pairs.where((2 * low >= F.col("t") * total - 1e-6) & (F.levenshtein("a", "b") <= (1 - F.col("t")) * total + 1e-6))
+        return near.withColumn("r", ratio("a", "b")).where(F.col("r") >= F.col("t"))
+
+    first = of_name.join(frequency, "g").withColumn("i", F.row_number().over(rare)).withColumn("sum", F.sum("n").over(rare.rowsBetween(Window.unboundedPreceding, 0)))
+    first = first.where((F.col("i") <= rarest) & (F.col("sum") <= FEW)).join(grams, "g").select("__raw", "a", "k", "b").distinct()
+    floor = scored(first.withColumn("t", F.lit(threshold))).groupBy(F.col("__raw").alias("__one")).agg(F.max("r").alias("t"))
+    limits = rest.join(floor, F.col("__raw").eqNullSafe(F.col("__one")), "left").select("__raw", "a", F.coalesce("t", F.lit(threshold)).alias("t"))
+    limits = limits.withColumn("most", broken(F.length("a"), F.col("t"))).withColumn("gs", trigrams(F.col("a")))
+    posted = limits.where(F.size("gs") > F.col("most")).select("__raw", "a", "t", "most", F.explode("gs").alias("g")).join(frequency, "g", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    posted = posted.withColumn("i", F.row_number().over(rare)).where(F.col("i") <= F.col("most") + 1).join(grams, "g").select("__raw", "a", "t", "k", "b").distinct()
+    share = F.col("t") / (2 - F.col("t"))
+    short = limits.where(F.size("gs") <= F.col("most")).select("__raw", "a", "t", F.explode(F.sequence(F.ceil(F.length("a") * share - 1e-6), F.floor(F.length("a") / share + 1e-6))).alias("length"))
+    short = short.join(cat.withColumn("length", F.length("b").cast("long")), "length").select("__raw", "a", "t", "k", "b")
+    top = scored(posted.unionByName(short)).groupBy("__raw").agg(F.max(F.struct("r", (-F.col("k")).alias("m"))).alias("x")).select("__raw", (-F.col("x.m")).alias("k"), "x.r")
     found = exact.unionByName(top)
     return names.join(found, names[name].eqNullSafe(found["__raw"]), "left").drop("__raw").withColumnsRenamed({"k": "match_id", "r": "match_ratio"})

@@ -246,7 +246,7 @@ def j13_law_lookup(spark, sf_dir):
 def j08_fuzzy_names(spark, sf_dir):
     """Names with one letter changed find their institution again."""
     c = A.read(spark, sf_dir, "customer")
-    names = c.where("c_custkey % 5 = 0").select(F.col("c_custkey").alias("id"), F.regexp_replace("c_name", "Customer", "Custumer").alias("nombre"))
+    names = c.select(F.col("c_custkey").alias("id"), F.regexp_replace("c_name", "Customer", "Custumer").alias("nombre"))
     return fuzzy.best_match(names, c, "nombre", "c_custkey", "c_name")
 
 

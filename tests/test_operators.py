@@ -34,6 +34,24 @@ def test_fuzzy_match_finds_what_brute_force_finds(spark):
             assert got[i] == (None, None)
 
 
+def test_fuzzy_match_survives_edits_of_all_rare_trigrams(spark):
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("bcdfgklmnprst") + r.choice("aeio") for _ in range(5))
+    catalog = [(i, f"municipalidad de {word()}") for i in range(120)] + [(200, "municipalidad de blediranno"), (201, "abcd"), (202, "aaaaaaaaaaaaaaaaaa")]
+    names = [(900, "municipalidad de blekikaono"), (901, "abcde"), (902, "aaaaaaaabaaaaaaaaa"), (903, "zz")]
+    for i, n in catalog[:100]:
+        t = list(n)
+        for p in r.sample(range(17, len(n)), 3):
+            t[p] = r.choice("aeiobcdf")
+        names.append((i, "".join(t)))
+    out = fuzzy.best_match(spark.createDataFrame(names, "id int, nombre string"), spark.createDataFrame(catalog, "k long, n string"), "nombre", "k", "n").collect()
+    got = {x["id"]: (x["match_id"], x["match_ratio"]) for x in out}
+    assert len(out) == len(names)
+    for i, n in names:
+        best, k = max((SequenceMatcher(None, n, c).ratio(), -k) for k, c in catalog)
+        assert got[i] == ((-k, best) if best >= 0.88 else (None, None))
+
+
 def test_html_candidates(spark):
     page = """<html><script type="application/ld+json">{"@graph": [{"@type": "JobPosting", "title": "Analista", "url": "/a"}]}</script><style>h1{}</style>
     <h1>Concurso <b>público</b></h1><table><tr><td>Cargo</td><td><a href="/x">Ver</a></td></tr></table><a href="/x">Ver de nuevo</a><a href="/y">Otro</a>"""

@@ -42,3 +42,10 @@ def test_query_agrees_with_sql(spark, con, name):
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.SQL)))
 def test_query_without_sql_runs(spark, con, name):
     assert registry.QUERIES[name](spark, SF).columns
+
+
+def test_fuzzy_names_looks_up_every_customer(spark, con):
+    out = registry.QUERIES["j08_fuzzy_names"](spark, SF).collect()
+    names = dict(con.sql("SELECT c_custkey, lower(c_name) FROM customer").fetchall())
+    assert len(out) == len(names) and {r["id"] for r in out} == set(names)
+    assert all(r["match_id"] == r["id"] for r in out)

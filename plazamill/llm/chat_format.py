@@ -6,15 +6,17 @@ that doesn't begin with the one before it shows a template that rewrites history
 and gets no loss mask, since its spans can't be trusted. Inside a span the text is located by rendering the turn
 twice more with two probe texts that differ in their one character.
 
-Prefixes of a conversation of more than EXACT turns would cost the square of its length. There each turn is
-rendered after its predecessor only, and the pieces are accepted if, laid end to end, they equal the rendering of
-the whole; if not, all prefixes are rendered.
+Every prefix of every conversation is rendered, whatever its length, so the answer can't depend on it; only the last
+rendering is held, so memory is linear. The work grows with the square of a conversation's length, at the speed of
+joining strings: the default template keeps the pieces of turns it has rendered. A conversation is one task's work,
+since a template may look at all of it.
 
 Rows are dealt by conversation and sorted in Spark, so only one conversation is in memory at a time.
 
 Defined cases: null text and null role are empty strings; turns order by (turn, role, text), nulls first; rows with
-a null conv_id form one conversation; repeated rows are turns of their own; an empty table gives no rows; other
-columns are ignored.
+a null conv_id form one conversation; repeated rows are turns of their own; very long texts are rendered whole; an
+empty table gives no rows; other columns are ignored, whatever their names. A turn whose text the probes can't locate
+(the template drops or repeats it) has a span and no loss.
 """
 
 from __future__ import annotations
@@ -30,7 +32,8 @@ from pyspark.sql import functions as F
 
 Turn = tuple[str, str]
 Template = Callable[[list[Turn]], str]
-EXACT = 24
+#: Rendered turns that the default template keeps, in characters.
+KEPT_CHARS = 64 << 20
 BATCH_CHARS = 4 << 20
 SCHEMA = "conv_id long, n_turns long, formatted string, spans array<struct<start: long, stop: long>>, loss array<struct<start: long, stop: long>>, rewrites_history boolean"
 
@@ -52,9 +55,25 @@ def unescape_role(role: str) -> str:
     return re.sub(r"\\(.)", lambda m: "\n" if m[1] == "n" else m[1], unescape(role))
 
 
-def chatml(turns: list[Turn]) -> str:
+class ChatML:
     """The default template: <|im_start|>role, a line feed, the text, <|im_end|> and a line feed; all escaped."""
-    return "".join(f"<|im_start|>{escape_role(r)}\n{escape(t)}<|im_end|>\n" for r, t in turns)
+
+    def __init__(self):
+        self.pieces, self.chars = {}, 0
+
+    def piece(self, turn: Turn) -> str:
+        if turn not in self.pieces:
+            if self.chars > KEPT_CHARS:
+                self.pieces, self.chars = {}, 0
+            self.pieces[turn] = f"<|im_start|>{escape_role(turn[0])}\n{escape(turn[1])}<|im_end|>\n"
+            self.chars += len(turn[1]) + 100
+        return self.pieces[turn]
+
+    def __call__(self, turns: list[Turn]) -> str:
+        return "".join(map(self.piece, turns))
+
+
+chatml = ChatML()
 
 
 def parse(formatted: str) -> list[Turn]:
@@ -66,52 +85,32 @@ def parse(formatted: str) -> list[Turn]:
     return turns
 
 
-def located(template: Template, before: list[Turn], role: str, base: int, stop: int) -> tuple[int, int] | None:
-    """Where the text of a turn stands in its span [base, stop): offsets found with two probes."""
-    start = len(template(before)) if before else 0
-    a, b = template([*before, (role, "a")]), template([*before, (role, "b")])
-    head = next((i for i in range(start, min(len(a), len(b))) if a[i] != b[i]), None)
+def located(template: Template, turns: list[Turn], before: int, stop: int) -> tuple[int, int] | None:
+    """Where the text of the last turn stands in the rendering of these turns, from two probes; before: the characters
+    that the rendering of the turns before it has, all of them unchanged."""
+    role = turns[-1][0]
+    a, b = template([*turns[:-1], (role, "a")]), template([*turns[:-1], (role, "b")])
+    head = next((i for i in range(before, min(len(a), len(b))) if a[i] != b[i]), None)
     if head is None or len(a) != len(b) or a[head + 1 :] != b[head + 1 :]:
         return None
-    return base + head - start, stop - (len(a) - head - 1)
-
-
-def spans_of(template: Template, turns: list[Turn]) -> tuple[str, list[tuple[int, int]], bool]:
-    """The whole rendering, the span of each turn, and whether history is rewritten."""
-    whole = template(turns)
-    if len(turns) > EXACT:
-        at, spans = len(template(turns[:1])), []
-        spans.append((0, at))
-        good = whole.startswith(template(turns[:1]))
-        for i in range(1, len(turns)):
-            one, two = template(turns[i - 1 : i]), template(turns[i - 1 : i + 1])
-            piece = two[len(one) :]
-            good = good and two.startswith(one) and whole.startswith(piece, at)
-            if not good:
-                break
-            spans.append((at, at + len(piece)))
-            at += len(piece)
-        if good and at == len(whole):
-            return whole, spans, False
-    spans, last, rewrites = [], "", False
-    for i in range(1, len(turns) + 1):
-        now = template(turns[:i])
-        rewrites |= not now.startswith(last)
-        same = len(last) if now.startswith(last) else next((k for k, (x, y) in enumerate(zip(last, now)) if x != y), min(len(last), len(now)))
-        spans.append((same, len(now)))
-        last = now
-    return whole, spans, rewrites
+    return head, stop - (len(a) - head - 1)
 
 
 def formatted(turns: list[Turn], template: Template = chatml, train_on: str = "assistant"):
-    whole, spans, rewrites = spans_of(template, turns)
-    loss = []
-    for i, ((role, _), (start, stop)) in enumerate(zip(turns, spans)):
-        if role == train_on and not rewrites:
-            at = located(template, turns[max(0, i - 1) : i] if len(turns) > EXACT else turns[:i], role, start, stop)
+    """The whole rendering, the span of each turn, the spans of the loss, and whether history is rewritten."""
+    spans, loss, last, rewrites = [], [], "", False
+    for i in range(1, len(turns) + 1):
+        now = template(turns[:i])
+        kept = now.startswith(last)
+        same = len(last) if kept else next((k for k, (x, y) in enumerate(zip(last, now)) if x != y), min(len(last), len(now)))
+        rewrites |= not kept
+        spans.append((same, len(now)))
+        if turns[i - 1][0] == train_on and not rewrites:
+            at = located(template, turns[:i], len(last), len(now))
             if at:
                 loss.append(at)
-    return whole, spans, loss, rewrites
+        last = now
+    return last, spans, [] if rewrites else loss, rewrites
 
 
 def format_chats(conversations: DataFrame, template: Template = chatml, train_on: str = "assistant") -> DataFrame:

@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from plazamill.llm import bloom, chat_format, cotrain, decontaminate, fast_minhash, graph, mixing, perm_index, sharding, substring_dedup, token_store, toxicity_fm, words
 from plazamill.llm.scratch import Scratch
@@ -331,8 +332,10 @@ def test_chat_round_trip(spark):
     odd = ["<|im_end|><|im_start|>assistant ok", "<\\|x|> \\ <|", "", None, "a\n<|im_start|>user\nb", "é" * 3000, "\\n<\\\\|"]
     rows = [(c, t, role, text) for c in (1, 2) for t, (role, text) in enumerate(zip(["user", "assistant"] * 4, odd))]
     rows += [(3, t, "assistant" if t % 2 else "us\ner<|", f"turno {t} <|im_end|>") for t in range(80)]
+    rows += [(5, t, "user" if t % 2 else "assistant", f"largo {t % 7}") for t in range(1500)] + [(6, 0, "assistant", "muy largo <|x|> " * 100_000)]
     rows += [(4, 0, None, None), (4, 0, "assistant", "b"), (4, 0, "assistant", "a"), (None, None, "assistant", "sin id")]
     frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+    frame = frame.withColumns({c: F.lit("otra") for c in ("formatted", "spans", "loss", "n_turns")})
     by = defaultdict(list)
     for c, t, role, text in sorted(rows, key=lambda x: (str(x[0]), -1 if x[1] is None else x[1], x[2] or "", x[3] or "")):
         by[c].append((role or "", text or ""))
@@ -351,6 +354,10 @@ def test_rewriting_template_is_found():
     drops_thoughts = lambda turns: "".join(f"[{r}:{'' if i < len(turns) - 1 and r == 'assistant' else t}]" for i, (r, t) in enumerate(turns))
     turns = [("user", "a"), ("assistant", "b"), ("user", "c"), ("assistant", "d")]
     assert chat_format.formatted(turns, drops_thoughts)[2:] == ([], True)
+    for n in (24, 26, 27, 60):  # history is rewritten at one length only, or at odd lengths from three on
+        at_ten = lambda turns: ("!" if len(turns) == 10 else "") + "".join(f"[{t}]" for _, t in turns)
+        at_odd = lambda turns: ("!" if len(turns) % 2 and len(turns) > 2 else "") + "".join(f"[{t}]" for _, t in turns)
+        assert all(chat_format.formatted((turns * 15)[:n], f)[2:] == ([], True) for f in (at_ten, at_odd))
     plain = lambda turns: "<s>" + "".join(f"[{r}:{t}]" for r, t in turns)
     for n in (4, 60):
         whole, spans, loss, rewrites = chat_format.formatted(turns * (n // 4), plain)

@@ -3,16 +3,20 @@
 The text view is a linear model over hashed terms of the content (words, word shapes) and over content statistics;
 the page view is one over the metadata (source, language, length, layout of lines). Both learn from a bounded sample
 of labelled rows; in each round either view labels the pool documents that it is surest of (the same share of each
-class as among the labels) and hands them to the other view as training rows. Then each view is calibrated on labels
-kept from training (Platt), and the calibrated views are weighed into one score, again on those labels: a view that
-tells nothing gets a weight near 0. A sampled row weighs as many labels as it stands for wherever shares of classes
-matter (bias, pseudo-labels, calibration), so the sample's bound doesn't change them. The models (three small arrays) are broadcast and every document is scored over
-its whole text.
-
-Bounds: PER_CLASS labelled documents of each class, POOL unlabelled ones, both by least hash. Defined cases: null or
-empty text has no terms and is scored by its metadata; null metadata is a value of its own; without labels of both
-classes every document gets the share of good labels (1 without any labels) and is kept; an empty table gives no
-rows. A document is rejected when its score is below 0.5.
+class as among the labels) and hands them to the other view as training rows. The pool holds no id that has a label.
+Then each view is calibrated on labels kept from training (Platt), and the calibrated views are averaged in log odds:
+a view weighs what it saves there of the log loss of the bare shares (see weighed), and the average is calibrated once
+more. A sampled row weighs as many labels as it stands for wherever shares of classes matter (bias, pseudo-labels,
+calibration), so the sample's bound doesn't change them. The models (three small arrays) are broadcast and every
+document is scored over its whole text.
+
+Bounds: PER_CLASS labelled ids of each class, POOL unlabelled ones, both by least hash, one row an id; rows become
+features before they are exchanged. Defined cases: null or empty text has no terms and is scored by its metadata; null
+metadata is a value of its own; without labels of both classes every document gets the share of good labels (1 without
+any labels) and is kept; an id labelled twice is good if either says so; of rows that repeat a labelled id the one of
+least text hash is learnt from, and all are scored; equal rows get equal scores; ties in hashes go to the smaller id;
+very long texts count whole; columns named like the outputs are replaced in any case, further columns pass unread; an
+empty table gives no rows. A document is rejected when its score is below 0.5.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import words as W
-from .features import DIM, labelled_sample, sigmoid, telling, terms
+from .features import DIM, labelled_ids, one_row_an_id, sigmoid, telling, terms, unlabelled_ids
 from .scratch import Scratch, without
 
 PER_CLASS = 4000
@@ -75,15 +79,16 @@ W_PUNCT[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = Tr
 
 
 def page_rows(batch: pa.RecordBatch):
-    """(row number, feature, value) from the metadata columns there are, the length and the layout of lines."""
+    """(row number, feature, value) from the metadata columns there are (those after the text), the length and the
+    layout of lines."""
     n = batch.num_rows
     text = pc.fill_null(batch.column("text"), "")
     size = pc.binary_length(text).to_numpy(zero_copy_only=False).astype(float)
     lines = pc.count_substring(text, "\n").to_numpy(zero_copy_only=False).astype(float) + 1
     said = []
-    for c in batch.schema.names:
-        if c not in ("doc_id", "text", "y"):
-            said.append([xxhash.xxh3_64_intdigest(f"{c}={v}") % DIM for v in batch.column(c).to_pylist()])
+    for c, values in zip(batch.schema.names, batch.columns):
+        if c != "text":
+            said.append([xxhash.xxh3_64_intdigest(f"{c}={v}") % DIM for v in values.to_pylist()])
     for name, x in (("size", np.log2(size + 1)), ("lines", np.log2(lines)), ("line", np.log2(size / lines + 1))):
         said.append([xxhash.xxh3_64_intdigest(f"{name}:{v}") % DIM for v in np.round(x).astype(int)])
     idx = np.array(said, np.int64).reshape(len(said), n).T.reshape(-1)
@@ -134,18 +139,38 @@ def logistic(rows: Rows, which: np.ndarray, y: np.ndarray, stands: np.ndarray, w
 
 
 def platt(x: np.ndarray, y: np.ndarray, stands: np.ndarray) -> np.ndarray:
-    """Intercept and slopes (x: one column per view) of a logistic fit by damped Newton steps, slopes kept >= 0; rows
-    weigh in proportion to what they stand for."""
+    """Intercept and slope (x: one column) of a logistic fit by damped Newton steps; a slope below 0 becomes 0 and the
+    intercept is fitted without it. Rows weigh in proportion to what they stand for."""
     weight = stands / stands.mean()
-    X, b = np.column_stack([np.ones(len(y)), x]), np.zeros(1 + x.shape[1])
-    for _ in range(50):
-        p = sigmoid(X @ b)
-        step = np.linalg.solve(X.T @ (X * (weight * p * (1 - p))[:, None]) + np.diag([1e-6, *[0.05] * x.shape[1]]), X.T @ (weight * (y - p)) - np.append(0, 0.05 * b[1:]))
-        b += np.clip(step, -1, 1)
-        if np.abs(step).max() < 1e-6:
-            break
-    b[1:] = np.maximum(b[1:], 0)
-    return b
+
+    def fitted(X, ridge):
+        b = np.zeros(X.shape[1])
+        for _ in range(50):
+            p = sigmoid(X @ b)
+            step = np.linalg.solve(X.T @ (X * (weight * p * (1 - p))[:, None]) + np.diag(ridge), X.T @ (weight * (y - p)) - ridge * b)
+            b += np.clip(step, -1, 1)
+            if np.abs(step).max() < 1e-6:
+                break
+        return b
+
+    one = np.ones((len(y), 1))
+    both = fitted(np.column_stack([one, x]), np.array([1e-6, 0.05]))
+    return both if both[1] > 0 else np.append(fitted(one, np.array([1e-6])), 0.0)
+
+
+def log_loss(logit: np.ndarray, y: np.ndarray, stands: np.ndarray) -> float:
+    return float(np.average(np.logaddexp(0, np.where(y == 1, -logit, logit)), weights=stands))
+
+
+def weighed(logits: np.ndarray, y: np.ndarray, stands: np.ndarray) -> np.ndarray:
+    """Intercept and one weight per view of the combination: views are averaged by the share of the log loss that each
+    takes off that of the bare shares (views that take nothing off: 1 in 1000), then the average is calibrated."""
+    good = np.average(y, weights=stands)
+    bare = log_loss(np.full(len(y), np.log(good / (1 - good))), y, stands)
+    skill = np.maximum([1 - log_loss(x, y, stands) / bare for x in logits.T], 1e-3)
+    share = skill / skill.sum()
+    a, b = platt((logits @ share)[:, None], y, stands)
+    return np.array([a, *(max(b, 1e-3) * share)])
 
 
 def cotrain(text: Rows, page: Rows, y: np.ndarray, stands: tuple[float, float] = (1.0, 1.0)):
@@ -172,59 +197,89 @@ def cotrain(text: Rows, page: Rows, y: np.ndarray, stands: tuple[float, float] =
     margins = np.column_stack([views[v][0].margin(models[v])[check] for v in ("text", "page")])
     each = [platt(margins[:, [i]], y[check], each_stands[check]) for i in (0, 1)]
     calibrated = np.column_stack([e[0] + e[1] * margins[:, i] for i, e in enumerate(each)])
-    return models["text"], models["page"], each, platt(calibrated, y[check], each_stands[check])
+    return models["text"], models["page"], each, weighed(calibrated, y[check], each_stands[check])
+
+
+def viewed(docs: DataFrame, metadata: list[str]) -> DataFrame:
+    """text and the metadata under names of their own, so that no other column's name matters."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[F.col(f"`{c}`").cast("string").alias(f"m_{c.lower()}") for c in metadata])
+
+
+def known_metadata(docs: DataFrame, metadata) -> list[str]:
+    own = {c.lower() for c in docs.columns}
+    return [c for c in metadata if c.lower() in own]
+
+
+def sample_of(docs: DataFrame, labels: DataFrame, label: str, metadata, per_class: int, pool: int) -> tuple[DataFrame, tuple[float, float]]:
+    """(doc_id, text, metadata, y) of labelled documents and, with y = -1, of pool documents."""
+    rows = viewed(docs, known_metadata(docs, metadata))
+    ids, stands = labelled_ids(labels, label, per_class)
+    chosen = ids.union(unlabelled_ids(docs, labels, pool).select("__id", F.lit(-1).alias("y")))
+    return rows.join(F.broadcast(chosen), F.col("doc_id") == F.col("__id")).drop("__id"), stands
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", metadata=("source", "lang"), per_class: int = PER_CLASS, pool: int = POOL):
     """The model; its size does not depend on the input."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "cotrain")
-    columns = ["doc_id", "text", *[c for c in metadata if c in docs.columns]]
-    some, stands = labelled_sample(docs.select(columns), labels, label, per_class)
-    some = some.select(*columns, F.col("y").cast("int").alias("y"))
-    # unlabelled rows: a bounded number by least hash; what of them is labelled counts as pool too, without its label
-    free = docs.select("doc_id").orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id").limit(pool).distinct()
-    rest = docs.select(columns).join(F.broadcast(free), "doc_id").withColumn("y", F.lit(-1))
-    known = scratch.save(some.unionByName(rest.select(some.columns)), "sample")
+    scratch = Scratch(docs.sparkSession, "cotrain")
+    rows, stands = sample_of(docs, labels, label, metadata, per_class, pool)
+    names = [c for c in rows.columns if c not in ("doc_id", "y")]
 
-    def learn(batches):
-        t, p, y, n = [], [], [], 0
+    def features(batches):
         for b in W.slices(batches):
-            for out, (d, i, v) in ((t, text_rows(b.column("text"))), (p, page_rows(b))):
-                out.append((d + n, i, v))
+            n, kinds = b.num_rows, (pa.int32(), pa.float64())
+            lists = []
+            for doc, idx, value in (text_rows(b.column("text")), page_rows(b.select(names))):
+                r = Rows(doc, idx, value, n)
+                lists += [pa.ListArray.from_arrays(pa.array(r.edge.astype(np.int32)), pa.array(x, k)) for x, k in zip((r.idx, r.value), kinds)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("h"), b.column("y"), *lists], ["doc_id", "h", "y", "t_idx", "t_value", "p_idx", "p_value"])
+
+    made = rows.withColumn("h", F.xxhash64("text")).mapInArrow(features, "doc_id long, h long, y int, t_idx array<int>, t_value array<double>, p_idx array<int>, p_value array<double>")
+    known = scratch.save(one_row_an_id(made), "sample")
+
+    def learn(batches):
+        y, lens, parts = [], ([], []), ([], [], [], [])
+        for b in batches:
             y += b.column("y").to_pylist()
-            n += b.num_rows
-        if not n:
+            for i, c in enumerate(("t_idx", "t_value", "p_idx", "p_value")):
+                x = b.column(c)
+                parts[i].append(x.flatten().to_numpy())
+                if not i % 2:
+                    lens[i // 2].append(pc.list_value_length(x).to_numpy())
+        if not y:
             return
         y = np.array(y)
         found = (0.0, np.zeros(DIM + STATS * BINS)), (0.0, np.zeros(DIM)), [np.zeros(2)] * 2, np.array([4.0 if not (y >= 0).any() else np.log((stands[1] * np.sum(y == 1) + 0.5) / (stands[0] * np.sum(y == 0) + 0.5)), 0, 0])
         if (y == 0).sum() >= 8 and (y == 1).sum() >= 8:
-            found = cotrain(*(Rows(*(np.concatenate([x[k] for x in rows]) for k in range(3)), n) for rows in (t, p)), y, stands)
+            views = [Rows(np.repeat(np.arange(len(y)), np.concatenate(n)), np.concatenate(i), np.concatenate(v), len(y)) for n, i, v in zip(lens, parts[::2], parts[1::2])]
+            found = cotrain(*views, y, stands)
         (tb, tw), (pb, pw), each, both = found
         numbers = np.concatenate([[tb, pb], each[0], each[1], both, tw, pw])
         yield pa.RecordBatch.from_arrays([pa.array([numbers.tobytes()], pa.binary())], ["numbers"])
 
-    got = known.repartition(1).sortWithinPartitions("y", F.xxhash64("doc_id", F.lit(5)), "doc_id").mapInArrow(learn, "numbers binary").first()
-    x = np.frombuffer(got["numbers"]) if got else np.concatenate([np.zeros(6), [4, 0, 0], np.zeros(2 * DIM + STATS * BINS)])
+    got = known.repartition(1).sortWithinPartitions("y", F.xxhash64("doc_id", F.lit(5)), "doc_id").mapInArrow(learn, "numbers binary").collect()
+    x = np.frombuffer(got[0]["numbers"]) if got else np.concatenate([np.zeros(6), [4, 0, 0], np.zeros(2 * DIM + STATS * BINS)])
     width = DIM + STATS * BINS
-    return {"text": (x[0], x[9 : 9 + width]), "page": (x[1], x[9 + width :]), "each": (x[2:4], x[4:6]), "both": x[6:9], "columns": columns}
+    return {"text": (x[0], x[9 : 9 + width]), "page": (x[1], x[9 + width :]), "each": (x[2:4], x[4:6]), "both": x[6:9], "metadata": known_metadata(docs, metadata)}
 
 
 def score(docs: DataFrame, model) -> DataFrame:
     """All input columns with text_score, page_score, score and keep; columns of these names are replaced."""
     docs = without(docs, "text_score", "page_score", "score", "keep")
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    view = viewed(docs, model["metadata"]).columns[1:]
+    width, first = len(docs.columns), f"__v0_{view[0]}"
+    seen = docs.select("*", *[c.alias(f"__v{i}_{n}") for i, (c, n) in enumerate(zip([F.col("text").cast("string"), *[F.col(f"`{c}`").cast("string") for c in model["metadata"]]], view))])
 
     def run(batches):
         m = shared.value
         known = m["text"][1][:DIM] != 0
-        for b in W.slices(batches):
+        for b in W.slices(batches, first):
             n = b.num_rows
-            view = b.select(m["columns"])
-            margin = [Rows(*text_rows(view.column("text"), known), n).margin(m["text"]), Rows(*page_rows(view), n).margin(m["page"])]
+            own = pa.RecordBatch.from_arrays(b.columns[width:], view)
+            margin = [Rows(*text_rows(own.column("text"), known), n).margin(m["text"]), Rows(*page_rows(own), n).margin(m["page"])]
             logit = [e[0] + e[1] * x for e, x in zip(m["each"], margin)]
             both = sigmoid(m["both"][0] + m["both"][1] * logit[0] + m["both"][2] * logit[1])
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(sigmoid(logit[0])), pa.array(sigmoid(logit[1])), pa.array(both), pa.array(both >= 0.5)], [*b.schema.names, "text_score", "page_score", "score", "keep"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:width], pa.array(sigmoid(logit[0])), pa.array(sigmoid(logit[1])), pa.array(both), pa.array(both >= 0.5)], [*b.schema.names[:width], "text_score", "page_score", "score", "keep"])
 
     added = T.StructType().add("text_score", "double").add("page_score", "double").add("score", "double").add("keep", "boolean")
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *added.fields]))
+    return seen.mapInArrow(run, T.StructType([*docs.schema.fields, *added.fields]))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
@@ -81,22 +81,51 @@ def learning_fold(doc_id) -> F.Column:
     return F.coalesce(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % 5 != 0, F.lit(False))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> tuple[DataFrame, tuple[float, float]]:
-    """At most per_class documents of each class of the learning fold, those of least hash, with column y, and the
-    number of labels that a row of class 0 and one of class 1 stands for (1 where the class is whole).
+def least_hashes(ids: DataFrame, n: int, count: int) -> tuple[int, int]:
+    """The n-th least (__h, __id) of `count` rows of distinct ids: a cut that about 3 * n rows lie below bounds what
+    the driver sees. (-1, 0) if there are no rows, the greatest pair if there are no more than n."""
+    if count <= n:
+        return (1 << 63) - 1, (1 << 63) - 1
+    cut = min((1 << 63) - 1, (1 << 63) * 3 * n // count)
+    some = sorted((r["__h"], r["__id"]) for r in ids.where(F.col("__h") <= cut).select("__h", "__id").collect())
+    return some[min(n, len(some)) - 1] if some and n else (-1, 0)
 
-    The chosen labels are at most 2 * per_class rows, so they are broadcast and no text is shuffled.
-    """
-    ids = labels.where(F.col(label).isin(0, 1) & learning_fold(F.col("doc_id"))).groupBy(F.col("doc_id").alias("__id")).agg(F.max(label).alias("y"))
-    ids = ids.withColumn("__h", F.xxhash64("__id", F.lit(7)).bitwiseAND(F.lit((1 << 63) - 1)))
-    # of a class of n rows, the per_class least hashes lie below 3 * per_class / n of their range
-    cut, stands = F.lit(0).cast("long"), [1.0, 1.0]
-    for r in ids.groupBy("y").count().collect():
-        cut = F.when(F.col("y") == r["y"], F.lit(min((1 << 63) - 1, (1 << 63) * 3 * per_class // r["count"]))).otherwise(cut)
-        stands[int(r["y"])] = max(1.0, r["count"] / per_class)
-    least = Window.partitionBy("y").orderBy("__h", "__id")
-    chosen = ids.where(F.col("__h") <= cut).withColumn("__n", F.row_number().over(least)).where(F.col("__n") <= per_class).select("__id", "y")
-    return docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("__id")).drop("__id"), (stands[0], stands[1])
+
+def hashed(ids: DataFrame, salt: int) -> DataFrame:
+    return ids.withColumn("__h", F.xxhash64("__id", F.lit(salt)).bitwiseAND(F.lit((1 << 63) - 1)))
+
+
+def below(at: tuple[int, int]):
+    return (F.col("__h") < at[0]) | (F.col("__h") == at[0]) & (F.col("__id") <= at[1])
+
+
+def labelled_ids(labels: DataFrame, label: str, per_class: int) -> tuple[DataFrame, tuple[float, float]]:
+    """(__id, y): at most per_class ids of each class of the learning fold, those of least hash, and the number of
+    labels that an id of class 0 and one of class 1 stands for (1 where the class is whole)."""
+    ids = labels.where(F.col(label).isin(0, 1) & learning_fold(F.col("doc_id"))).groupBy(F.col("doc_id").cast("long").alias("__id")).agg(F.max(label).cast("int").alias("y"))
+    ids = hashed(ids, 7)
+    counts = {int(r["y"]): r["count"] for r in ids.groupBy("y").count().collect()}
+    use, stands = F.lit(False), [1.0, 1.0]
+    for y, n in counts.items():
+        use = use | ((F.col("y") == y) & below(least_hashes(ids.where(F.col("y") == y), per_class, n)))
+        stands[y] = max(1.0, n / per_class)
+    return ids.where(use).select("__id", "y"), (stands[0], stands[1])
+
+
+def unlabelled_ids(docs: DataFrame, labels: DataFrame, n: int) -> DataFrame:
+    """(__id): n ids of documents that have no row in labels, those of least hash. Both sides are cut by hash before
+    they meet, at a share that leaves about 3 * n such ids where labels cover only ids of documents."""
+    every = hashed(docs.select(F.col("doc_id").cast("long").alias("__id")).where("__id IS NOT NULL"), 11)
+    said = hashed(labels.select(F.col("doc_id").cast("long").alias("__id")).where("__id IS NOT NULL"), 11)
+    rows, known = every.count(), said.count()
+    cut = min((1 << 63) - 1, (1 << 63) * 3 * n // max(rows - known, n, 1))
+    free = every.where(F.col("__h") <= cut).join(said.where(F.col("__h") <= cut).select("__id"), "__id", "left_anti").distinct()
+    return free.orderBy("__h", "__id").limit(n).select("__id")
+
+
+def one_row_an_id(rows: DataFrame, *more: str) -> DataFrame:
+    """Of rows that repeat a doc_id the least one: by hash of its text (column h), then by all other columns."""
+    return rows.groupBy("doc_id").agg(F.min(F.struct("h", *[c for c in rows.columns if c not in ("doc_id", "h")])).alias("r")).select("doc_id", "r.*").drop("h")
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:

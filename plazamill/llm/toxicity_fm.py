@@ -3,15 +3,17 @@
 score = sigmoid(bias + sum of term weights + sum over pairs of <v_i, v_j> / n), n the number of terms of the text:
 next to the weight of each term there is a learnt weight for each pair of terms, through RANK factors a term, so an
 insult beside a group mention can count for more than both apart. It is trained in one task on a bounded sample
-(at most PER_CLASS documents of each class of the learning fold, see features.labelled_sample) and broadcast: DIM *
-(RANK + 1) floats. Where the sample holds another share of a class than the labels do, the bias is moved by the
+(at most PER_CLASS documents of each class of the learning fold, one row an id, see features.labelled_ids) and
+broadcast: DIM * (RANK + 1) floats. Texts become terms before they are exchanged. Where the sample holds another share of a class than the labels do, the bias is moved by the
 difference of log odds, so scores keep to the labels' shares at every input size. Every document is then scored over
 its whole text.
 
 Terms that the sample can't teach (features.telling) have no weight. Defined cases: null or empty text gets the
 score of no terms; labels of one class only give every document that class's score, no labels a score of 0.5; label
-values other than 0 and 1 are ignored; a document labelled twice is toxic if either says so; an empty table gives
-no rows.
+values other than 0 and 1 are ignored; a document labelled twice is toxic if either says so; of rows that repeat a
+labelled id one (of least text hash) is learnt from, and all are scored; repeated texts get one score; ties in hashes
+go to the smaller id; very long texts count whole, each term once; columns other than doc_id and text are ignored,
+whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .features import DIM, labelled_sample, learning_fold, sigmoid, telling, terms
+from .features import DIM, labelled_ids, learning_fold, one_row_an_id, sigmoid, telling, terms
 from .scratch import Scratch
 from .words import slices
 
@@ -83,15 +85,17 @@ def train(samples: list[np.ndarray], y: np.ndarray, seed: int = 1, stands: tuple
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = PER_CLASS):
     """The model (bias, weights, factors); its size does not depend on the input."""
     scratch = Scratch(docs.sparkSession, "fm")
-    sample, stands = labelled_sample(docs.select(F.col("doc_id"), "text"), labels, label, per_class)
+    ids, stands = labelled_ids(labels, label, per_class)
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    sample = slim.join(F.broadcast(ids), F.col("doc_id") == F.col("__id")).select("doc_id", "text", "y", F.xxhash64("text").alias("h"))
 
     def vectors(batches):
         for b in slices(batches):
             doc, idx, _ = terms(b.column("text"))
             edge = np.searchsorted(doc, np.arange(b.num_rows + 1))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y").cast(pa.int32()), pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), pa.array(idx.astype(np.int32)))], ["doc_id", "y", "terms"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("h"), b.column("y"), pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), pa.array(idx.astype(np.int32)))], ["doc_id", "h", "y", "terms"])
 
-    known = scratch.save(sample.select("doc_id", "text", "y").mapInArrow(vectors, "doc_id long, y int, terms array<int>"), "sample")
+    known = scratch.save(one_row_an_id(sample.mapInArrow(vectors, "doc_id long, h long, y int, terms array<int>")), "sample")
 
     def learn(batches):
         rows, y = [], []

@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from plazamill.llm import bloom, chat_format, cotrain, decontaminate, fast_minhash, graph, mixing, perm_index, sharding, substring_dedup, token_store, toxicity_fm, words
+from plazamill.llm import bloom, chat_format, cotrain, decontaminate, fast_minhash, features, graph, mixing, perm_index, sharding, substring_dedup, token_store, toxicity_fm, words
 from plazamill.llm.scratch import Scratch
 
 WORD = re.compile("[^\x20\x09-\x0D]+")
@@ -224,6 +224,67 @@ def test_shares_of_classes_survive_the_sample(spark):
         assert all(0.8 < np.mean([x[c] for x in good]) < 0.97 for c in ("score", "text_score", "page_score")) and np.mean([x["keep"] for x in good]) > 0.95
 
 
+def test_samples_are_bounded_and_pool_is_unlabelled(spark):
+    docs, labels = labelled(spark)
+    many = docs.union(spark.createDataFrame([(8, f"otro texto {i % 3}", "es", "s1") for i in range(3000)], docs.schema))
+    for view in (toxicity_fm.fit(many, labels, per_class=50), toxicity_fm.fit(many.repartition(5), labels, per_class=50)):
+        first = locals().get("first", view)
+        assert all(np.array_equal(a, b) for a, b in zip(first, view))
+    ids, stands = features.labelled_ids(labels, "toxic", 50)
+    got = ids.groupBy("y").count().collect()
+    assert all(r["count"] <= 50 for r in got) and stands[0] > 1
+    for pool in (20, 4000):
+        rows, _ = cotrain.sample_of(many, labels, "quality", ("source", "lang"), 60, pool)
+        free = {r["doc_id"] for r in rows.where("y = -1").collect()}
+        assert len(free) <= pool and not free & {r["doc_id"] for r in labels.collect()}
+    with_free = docs.union(spark.createDataFrame([(10_000 + i, f"libre {i}", "es", "s1") for i in range(200)], docs.schema))
+    rows, _ = cotrain.sample_of(with_free, labels, "quality", ("source", "lang"), 60, 50)
+    free = [r["doc_id"] for r in rows.where("y = -1").collect()]
+    assert len(free) == len(set(free)) == 50
+    made = features.one_row_an_id(many.select("doc_id", F.xxhash64("text").alias("h"), "text")).where("doc_id = 8").collect()
+    assert len(made) == 1
+
+
+def test_least_hashes_is_the_exact_cut(spark):
+    ids = features.hashed(spark.range(3000).withColumnRenamed("id", "__id"), 7)
+    want = sorted((r["__h"], r["__id"]) for r in ids.collect())[:100]
+    assert sorted((r["__h"], r["__id"]) for r in ids.where(features.below(features.least_hashes(ids, 100, 3000))).collect()) == want
+
+
+def test_both_quality_views_count(spark):
+    """The page tells something of its own, so its weight is above 0 and scores change without it."""
+    r = random.Random(4)
+    docs, labels = [], []
+    for i in range(1200):
+        good = r.random() < 0.6
+        text = " ".join(r.choice(["claro", "sereno", "pleno"] if good == (r.random() < 0.85) else ["gratis", "oferta", "ya"]) if j == 3 else f"w{r.randrange(50)}" for j in range(12))
+        docs.append((i, text, "es", ("sA" if good == (r.random() < 0.8) else "sB")))
+        labels.append((i, int(good), 0))
+    docs, labels = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    labels = labels.where("doc_id < 900")
+    model = cotrain.fit(docs, labels)
+    assert model["both"][1] > 0.05 and model["both"][2] > 0.05
+    alone = {**model, "both": np.array([model["both"][0], model["both"][1], 0.0])}
+    a, b = ({x["doc_id"]: x["score"] for x in cotrain.score(docs, m).collect()} for m in (model, alone))
+    assert sum(abs(a[i] - b[i]) > 0.01 for i in a) > 300
+    names = docs.selectExpr("doc_id", "text AS Text", "lang AS LANG", "source AS Source", "1 AS y", "2 AS h", "3 AS m_source", "4 AS KEEP")
+    again = cotrain.score(names, cotrain.fit(names, labels)).collect()
+    assert {x["doc_id"]: round(x["score"], 9) for x in again} == {i: round(v, 9) for i, v in a.items()}
+
+
+def test_classifier_cases(spark):
+    """Repeated rows, very long texts and ties get defined scores; other columns don't matter."""
+    docs, labels = labelled(spark)
+    odd = spark.createDataFrame([(5000, "palabra1 " * 200_000, "es", "s1"), (5001, "palabra1 insulton", "es", "s1"), (5001, "palabra1 insulton", "es", "s1"), (5002, "\x00 \u2028", None, None)], docs.schema)
+    every = docs.union(odd).withColumns({"y": F.lit(3), "terms": F.lit(1), "held_out": F.lit("x"), "Predicted": F.lit(None).cast("int")})
+    out = toxicity_fm.score(every, toxicity_fm.fit(every, labels)).where("doc_id >= 5000").collect()
+    plain_out = toxicity_fm.score(docs.union(odd), toxicity_fm.fit(docs.union(odd), labels)).where("doc_id >= 5000").collect()
+    assert len(out) == 4 and sorted(map(tuple, out)) == sorted(map(tuple, plain_out))
+    assert len({r["score"] for r in out if r["doc_id"] == 5001}) == 1
+    kept = cotrain.score(every, cotrain.fit(every, labels)).where("doc_id >= 5000").collect()
+    assert len(kept) == 4 and len({r["score"] for r in kept if r["doc_id"] == 5001}) == 1
+
+
 # --- 5: mixing
 
 

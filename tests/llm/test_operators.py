@@ -434,7 +434,7 @@ def test_nearest(spark):
     x[100:400] = x[50]
     rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(2000, None), (2001, []), (2002, [0.0] * 16), (2003, [float("nan")] * 16), (2004, [None] * 16), (2005, [1.0] * 15), (None, [1.0] * 16)]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    out = perm_index.search(frame, frame.where("vec_id % 100 = 0"), k=10, reach=0.3, min_reach=400).collect()
+    out = perm_index.search(frame.withColumns({c: F.lit(1) for c in ("id", "v", "block", "copy", "kind")}), frame.where("vec_id % 100 = 0"), k=10, reach=0.3).collect()
     by = defaultdict(list)
     for o in sorted(out, key=lambda o: (o["query_id"], o["rank"])):
         by[o["query_id"]].append((o["vec_id"], o["score"]))
@@ -451,6 +451,47 @@ def test_nearest(spark):
     assert perm_index.search(frame.where("false"), frame).count() == 0
 
 
+def recall(frame, queries, k=10):
+    """Mean recall of the ids at distances up to the exact k-th, and the rows of each query."""
+    rows = [(r["vec_id"], np.array(r["embedding"], float)) for r in frame.collect()]
+    ids, x = np.array([i for i, _ in rows]), np.stack([v for _, v in rows])
+    by = defaultdict(list)
+    for r in perm_index.search(frame, queries, k).collect():
+        by[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
+    share = []
+    for q in {r["vec_id"] for r in queries.collect()}:
+        d = np.sqrt(((x - x[np.flatnonzero(ids == q)[0]]) ** 2).sum(1))
+        near = np.sort(d[ids != q])[:k]
+        share.append(np.mean([s <= near[-1] for _, _, s in by[q]] + [False] * (len(near) - len(by[q]))))
+        assert [r for r, _, _ in sorted(by[q])] == list(range(1, len(near) + 1))
+    return float(np.mean(share))
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.1"])
+def test_recall_with_production_parameters(spark, sf):
+    frame = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet").select("vec_id", "embedding")
+    assert recall(frame, frame.where("vec_id % 20 = 0")) >= 0.9
+
+
+def test_recall_beside_a_hot_vector(spark):
+    r = np.random.default_rng(8)
+    x = r.normal(size=(3000, 24))
+    hashes = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "i long, v array<double>").select("i", F.xxhash64("v").alias("h")).orderBy("h").collect()
+    hot = x[hashes[0]["i"]].tolist()
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(10_000 + i, hot) for i in range(6000)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert len(perm_index.pivots_of(perm_index.usable(frame, "vec_id", "embedding"))) == perm_index.PIVOTS
+    assert recall(frame, frame.where("vec_id % 100 = 0 AND vec_id < 10000")) >= 0.9
+
+
+def test_nearest_of_repeated_ids_and_lengths(spark):
+    rows = [(1, [0.0, 1.0])] * 15 + [(2, [0.0, 1.0]), (3, [0.0, 1.1]), (4, [5.0, 1.0]), (4, [0.0, 1.05]), (5, [1.0, 2.0, 3.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [tuple(r) for r in perm_index.search(frame, frame.where("vec_id = 1"), k=2).orderBy("rank").collect()]
+    assert [g[:3] for g in got] == [(1, 1, 2), (1, 2, 4)] and got[0][3] == 0 and got[1][3] == pytest.approx(0.05)
+    assert perm_index.search(frame, frame.where("vec_id = 5"), k=2).count() == 0
+
+
 # --- 9: shards
 
 

@@ -11,17 +11,22 @@ So a short document is read by one seek in the index and one small frame. `dicti
 trained on the serialised ids of a bounded sample of documents (the SAMPLE_DOCS least hashes of doc_id, up to
 SAMPLE_BYTES of each; compression only, no result depends on it); its xxh64 stands in each segment and is checked by the reader.
 
-Texts are encoded whole. White space never joins two pieces of this vocabulary's pre-tokeniser, so a text is split
-there, and each distinct piece is encoded once per Python worker and then looked up; texts that spell a special
-token go to the library as they are.
-
-Segments are cut by ranges of doc_id, written under a name of their own by each attempt, and the manifest (Parquet)
-names the files of the attempts that counted. Null text is an empty document (end id only); null ids come first;
-rows that repeat an id follow each other in the order of their ids; an empty table writes no segment.
+Texts are encoded whole. Where the tokenizer's own file proves that white space never joins two pieces and that
+letters are lower-cased (see `separable`), a text is split there, and each distinct piece is encoded once per Python
+worker and then looked up; texts that spell an added token go to the library as they are. With any other file every
+text goes to the library as it is.
+
+Frames are written to a table first; ranges of (doc_id, hash of the text, a number drawn once) are then cut by Spark's
+range partitioning, so neither null ids nor any number of repeats of one id make a range that can't be cut. Segments
+are written under a name of their own by each attempt, and the manifest (Parquet) names the files of the attempts that
+counted. Null text is an empty document (end id only); null ids come first; rows that repeat an id follow each other
+in the order of their texts' hashes; very long texts are one frame; other columns are ignored, whatever their names; an
+empty table writes no segment.
 """
 
 from __future__ import annotations
 
+import json
 import math
 import re
 import struct
@@ -43,13 +48,31 @@ ENTRY = np.dtype([("doc_id", "<i8"), ("at", "<u8"), ("tokens", "<u8"), ("flags",
 SAMPLE_DOCS, SAMPLE_BYTES = 2000, 16 << 10
 DICTIONARY_BYTES = 64 << 10
 SEGMENT_BYTES = 16 << 20
-RANGE_BYTES = 64 << 20
+RANGE_BYTES = 32 << 20
 MOST_PIECES, KEPT_PIECES = 300_000, 120_000
 #: An encoding holds far more than its ids, so few of them live at a time.
-ASK = 2000
-SPECIAL = re.compile(rb"<\|(startoftext|endoftext)\|>", re.I)
+ASK, ASK_CHARS = 2000, 1 << 20
 PLAIN = re.compile("[a-zß-öø-ÿ]+")
 TAIL = re.compile(rb"((?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+)([,.!?;:]+)")
+#: The normalizer and pre-tokenizer under which pieces between white space are independent: white space becomes one
+#: blank and is dropped by a pattern whose matches hold none; letters are lower-cased before; bytes are spelt after.
+SPLITTING = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+
+
+def separable(spec: dict) -> bool:
+    """Whether a tokenizer's file says that it splits at white space and lower-cases, as SPLITTING does, over a model
+    that maps each pre-token by itself and always alike."""
+    model = spec.get("model") or {}
+    return all(spec.get(k) == v for k, v in SPLITTING.items()) and model.get("type") == "BPE" and not model.get("dropout") and not spec.get("truncation") and not spec.get("padding")
 
 
 class Pieces(dict):
@@ -72,6 +95,12 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.by_piece = separable(spec)
+        added = [re.escape(t["content"].encode()) for t in spec.get("added_tokens") or []]
+        #: Spelt in any case: such a token may be looked for before or after lower-casing.
+        self.added = re.compile(b"|".join(added), re.I) if added else None
         self.model, self.spelt = self.tokenizer.model, {}
         self.reset()
 
@@ -94,7 +123,15 @@ class Encoder:
         self.at[: len(keep)], self.len[: len(keep)], self.uses[: len(keep)] = np.cumsum(lens) - lens, lens, uses // 2
 
     def ids(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for a in range(0, len(texts), ASK) for e in self.tokenizer.encode_batch_fast(texts[a : a + ASK], add_special_tokens=False)]
+        out, a = [], 0
+        while a < len(texts):
+            z, chars = a, 0
+            while z < len(texts) and z - a < ASK and (z == a or chars + len(texts[z]) <= ASK_CHARS):
+                chars += len(texts[z])
+                z += 1
+            out += [e.ids for e in self.tokenizer.encode_batch_fast(texts[a:z], add_special_tokens=False)]
+            a = z
+        return out
 
     def ids_of(self, pieces: list[bytes]) -> list[bytes]:
         """Serialised ids. A word of small Latin letters is one pre-token that normalising leaves as it is, so the
@@ -140,10 +177,12 @@ class Encoder:
         self.used += len(flat)
 
     def encode(self, texts: list[str | None], end: int) -> list[np.ndarray]:
+        if not self.by_piece:
+            return [np.array([*x, end], np.uint32) for x in self.ids([t or "" for t in texts])]
         if len(self.pieces) > MOST_PIECES:
             self.shrink()
         raw = [(t or "").encode() for t in texts]
-        whole = {i: None for i, r in enumerate(raw) if b"<|" in r and SPECIAL.search(r)}
+        whole = {i: None for i, r in enumerate(raw) if self.added and self.added.search(r)}
         if whole:
             whole = dict(zip(whole, self.ids([texts[i] for i in whole])))
         split = [() if i in whole else r.lower().split() for i, r in enumerate(raw)]
@@ -213,22 +252,21 @@ def write_tokens(docs: DataFrame, tokenizer: str, end: int = 2, out: str | None
     with files.open_output_stream(f"{root}/dictionary.zdict") as f:
         f.write(trained)
 
-    total = slim.agg(F.sum(F.octet_length("text")), F.count("*")).first()
-    ranges = max(1, math.ceil((total[0] or 0) / RANGE_BYTES), min(12, math.ceil(total[1] / 500)))
-    cuts = slim.agg(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)] or [0.5], 10_000)).first()[0] or []
-    cuts = np.unique(np.array(cuts[: ranges - 1], np.int64))
     least = -(1 << 63)
 
     def encode(batches):
         press = zstandard.ZstdCompressor(level=3, dict_data=dictionary(trained), write_content_size=True)
         for b in slices(batches):
             ids = encoder(tokenizer).encode(b.column(1).to_pylist(), end)
-            at = np.searchsorted(cuts, b.column(0).fill_null(least).to_numpy(), "right").astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(at), b.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array([press.compress(x.astype(dtype).tobytes()) for x in ids], pa.binary())], ["range", "doc_id", "tokens", "frame"])
+            drawn = np.frombuffer(uuid.uuid4().bytes[:8], np.int64)[0] ^ np.arange(b.num_rows)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(drawn), pa.array([len(x) for x in ids], pa.int64()), pa.array([press.compress(x.astype(dtype).tobytes()) for x in ids], pa.binary())], ["doc_id", "h", "drawn", "tokens", "frame"])
 
-    framed = slim.mapInArrow(encode, "range int, doc_id long, tokens long, frame binary")
-    dealt = framed.repartitionById(len(cuts) + 1, F.col("range"))
-    rows = dealt.sortWithinPartitions("range", "doc_id", "frame").select("range", "doc_id", "tokens", "frame")
+    hashed = slim.select("doc_id", "text", F.xxhash64("text").alias("h"))
+    framed = scratch.save(hashed.mapInArrow(encode, "doc_id long, h long, drawn long, tokens long, frame binary"), "frames")
+    ranges = max(1, math.ceil((slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / RANGE_BYTES))
+    order = ["doc_id", "h", "drawn"]
+    # the number of a range is that of its partition, and ranges ascend
+    rows = framed.repartitionByRange(ranges, *order).sortWithinPartitions(*order).select(F.spark_partition_id().alias("range"), "doc_id", "tokens", "frame")
 
     def write(batches):
         files, root = open_fs(out)
@@ -289,10 +327,21 @@ class Segment:
         self.unpress = zstandard.ZstdDecompressor(dict_data=dictionary(trained))
 
     def ids(self, i: int) -> np.ndarray:
-        """The ids of the i-th document."""
+        """The ids of the i-th document, by one small read."""
         start = int(self.index["at"][i])
         stop = int(self.index["at"][i + 1]) if i + 1 < self.documents else self.end
-        return np.frombuffer(self.unpress.decompress(self.file.read_at(stop - start, start)), f"<u{self.width}")
+        return self.decoded(self.file.read_at(stop - start, start))
+
+    def decoded(self, frame) -> np.ndarray:
+        return np.frombuffer(self.unpress.decompress(frame), f"<u{self.width}")
+
+    def every(self, at_once: int = 2000):
+        """(first document, their ids) in pieces; the frames come in one read a piece."""
+        edge = np.append(self.index["at"].astype(np.int64), self.end)
+        for a in range(0, self.documents, at_once):
+            z = min(a + at_once, self.documents)
+            raw = memoryview(self.file.read_at(int(edge[z] - edge[a]), int(edge[a])))
+            yield a, [self.decoded(raw[edge[i] - edge[a] : edge[i + 1] - edge[a]]) for i in range(a, z)]
 
 
 def read_documents(spark: SparkSession, store: str, digest=None) -> DataFrame:
@@ -308,9 +357,9 @@ def read_documents(spark: SparkSession, store: str, digest=None) -> DataFrame:
                 seg = Segment(files, f"{root}/{name}", trained)
                 index = seg.index
                 start = base + np.cumsum(index["tokens"].astype(np.int64)) - index["tokens"].astype(np.int64)
-                for a in range(0, seg.documents, 2000):
-                    part = slice(a, min(a + 2000, seg.documents))
-                    all_ids = [seg.ids(i).astype("<u4") for i in range(part.start, part.stop)]
+                for a, some in seg.every():
+                    part = slice(a, a + len(some))
+                    all_ids = [x.astype("<u4") for x in some]
                     last = pa.array([zlib.crc32(x.tobytes()) for x in all_ids], pa.int64()) if digest else pa.array([x.tolist() for x in all_ids], pa.list_(pa.int64()))
                     yield pa.RecordBatch.from_arrays([pa.array(index["doc_id"][part], mask=index["flags"][part] == 1), pa.array(start[part]), pa.array([len(x) for x in all_ids], pa.int64()), last], ["doc_id", "start", "n_tokens", "x"])
 

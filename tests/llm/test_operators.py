@@ -544,6 +544,41 @@ def test_tokens(spark, docs, rows):
     assert token_store.read_documents(spark, empty).count() == 0
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_any_tokenizer_of_the_library(spark, name, tmp_path):
+    import json
+
+    P = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    texts = ["Hello World again, don't stop  now", " \t two  spaces\n", "<|endoftext|> a<|EndOfText|>b", "Ñandú ÉL İ ſ 3.14 it's IT'S", "", "x" * 3000, "[NEW] word [new]"]
+    spec = json.load(open(P.path(name)))
+    spec["added_tokens"].append({"id": spec["added_tokens"][-1]["id"] + 1, "content": "[NEW]", "single_word": False, "lstrip": False, "rstrip": False, "normalized": False, "special": True})
+    with open(tmp_path / "added.json", "w") as f:
+        json.dump(spec, f)
+    for path in (P.path(name), str(tmp_path / "added.json")):
+        tk = Tokenizer.from_file(path)
+        got = token_store.Encoder(path)
+        assert got.by_piece == (name == "word_bpe_49k.json")
+        assert [x.tolist() for x in got.encode(texts, 2)] == [tk.encode(t, add_special_tokens=False).ids + [2] for t in texts]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r["doc_id"]: r["ids"] for r in token_store.read_documents(spark, token_store.write_tokens(frame, path)).collect()}
+    assert out == {i: tk.encode(t, add_special_tokens=False).ids + [2] for i, t in enumerate(texts)}
+
+
+def test_tokens_of_one_id_many_times(spark, monkeypatch):
+    P = pytest.importorskip("public_tokenizers")
+    monkeypatch.setattr(token_store, "RANGE_BYTES", 20_000)
+    rows = spark.range(20_000).select(F.when(F.col("id") % 3 != 0, F.lit(7)).alias("doc_id"), F.concat(F.lit("texto "), F.col("id") % 4).alias("text"), F.lit("x").alias("h"), F.lit("y").alias("frame"))
+    store = token_store.write_tokens(rows, P.path("word_bpe_49k.json"))
+    out = token_store.read_documents(spark, store).select("doc_id", "start", "n_tokens", "ids").orderBy("start").collect()
+    assert len(out) == 20_000 and spark.read.parquet(f"{store}/manifest").count() > 2
+    assert [r["doc_id"] for r in out] == [None] * 6667 + [7] * 13_333
+    assert [r["start"] for r in out] == np.append(0, np.cumsum([r["n_tokens"] for r in out]))[:-1].tolist()
+    again = token_store.read_documents(spark, token_store.write_tokens(rows.repartition(7), P.path("word_bpe_49k.json"))).orderBy("start").collect()
+    assert [r["ids"] for r in again] == [r["ids"] for r in out]
+
+
 def test_tokens_refuse_another_dictionary(spark, docs):
     P = pytest.importorskip("public_tokenizers")
     store = token_store.write_tokens(docs.limit(5), P.path("word_bpe_49k.json"))

@@ -120,6 +120,58 @@ def test_alignment_is_smith_waterman():
     assert best.tolist() == [slow(a.tolist(), b.tolist()) for a, b in pairs]
 
 
+def slow_score(a, b):
+    """Best local alignment of two word lists (match +1, mismatch and gap -1)."""
+    h, best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)], 0
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            h[i][j] = max(0, h[i - 1][j - 1] + (1 if a[i - 1] == b[j - 1] else -1), h[i - 1][j] - 1, h[i][j - 1] - 1)
+            best = max(best, h[i][j])
+    return best
+
+
+def test_decontamination_against_brute_force(spark):
+    """All pairs of document and item aligned; edited, cut, stretched and shuffled copies among plain texts."""
+    r = random.Random(12)
+    items = [[f"v{r.randrange(700)}" for _ in range(r.choice([1, 2, 3, 9, 20, 40]))] for _ in range(14)]
+    docs = []
+    for i in range(120):
+        w = [f"v{r.randrange(700)}" for _ in range(r.randrange(60))]
+        if i % 2:
+            copy = list(r.choice(items))
+            for _ in range(r.randrange(1 + len(copy) // 2)):
+                j = r.randrange(len(copy))
+                copy[j : j + 1] = r.choice([[], ["nuevo"], [copy[j], "relleno"]])
+                copy = copy or ["nada"]
+            w[len(w) // 2 : len(w) // 2] = copy[: r.randrange(1 + len(copy))] if i % 3 == 0 else copy
+        docs.append((i, " ".join(w)))
+    stretched = [x for j, v in enumerate(items[-1]) for x in ([v, "y"] if j % 3 == 2 else [v])]
+    docs += [(900, " ".join(stretched)), (901, (" ".join(items[5]) + " ") * 30), (902, "v1 " * 5000 + " ".join(items[6]))]
+    want = {(d, 100 + i): s / len(item) for d, t in docs for i, item in enumerate(items) if (s := slow_score(item, t.split()) if d < 902 else len(item) * (i == 6)) >= 0.5 * len(item)}
+    frame = spark.createDataFrame(docs, "doc_id long, Text string").withColumn("__text", F.lit(1))
+    bench = spark.createDataFrame([(100 + i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    got = {(x["doc_id"], y["item_id"]): y["score"] for x in decontaminate.with_leaks(frame, bench).collect() for y in x["leaks"]}
+    got = {k: v for k, v in got.items() if k[0] != 902 or k[1] == 106}
+    at_edge = {k for k, v in want.items() if v <= 0.5 + 1 / len(items[k[1] - 100])}  # may hold no three words in a row
+    assert set(got) <= set(want) and set(want) - set(got) <= at_edge and (900, 113) in got
+    assert all(got[k] == pytest.approx(want[k]) for k in got)
+
+
+def test_seed_choice_keeps_every_part_and_is_linear():
+    import time
+
+    r = random.Random(3)
+    texts = [" ".join(f"w{r.randrange(50_000)}" for _ in range(60)) for _ in range(8000)]
+    items = decontaminate.Items(list(range(8000)), texts)
+    often = np.where(np.arange(len(items.keys)) % 3 == 0, 100_000, 1)
+    began = time.time()
+    items.choose(often, 1_000_000)
+    assert time.time() - began < 5
+    for i in range(0, 8000, 997):
+        places = np.sort(items.place[items.item == i])
+        assert np.diff(np.concatenate([[-1], places, [58]])).max() <= 16
+
+
 # --- 2: substrings
 
 

@@ -15,14 +15,15 @@ check, since they can't change it.
 Defined cases: words are `[^\\x20\\x09-\\x0D]+` of the text with A-Z lower-cased; with fewer words than a shingle the
 whole sequence is the one shingle; null text, empty text and text of blanks have an empty set, linked with nothing;
 rows with a null id take no part (component null, kept); rows that repeat an id share a fate: if their texts differ,
-their sets are linked through the id. An empty table gives no rows.
+all their sets are linked through the id, and each is verified against its candidates; very long texts are whole sets;
+columns other than doc_id and text are ignored, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
@@ -114,8 +115,8 @@ def marks(docs: DataFrame, k: int, bands: int = BANDS, rows: int = ROWS) -> Data
 def verified(pairs: DataFrame, sets: DataFrame, k: int, percent: int, scratch: Scratch, name: str) -> DataFrame:
     """The pairs (u, v) whose full sets have 100 * intersection >= percent * union.
 
-    A pair travels to its u: the text of u comes first and is held, those of its partners follow. A hub with more
-    than HUB partners is dealt over several tasks, each with a copy of its text.
+    A pair travels to its u: the texts of u (one, unless rows repeat the id) come first and are held, those of its
+    partners follow. A hub with more than HUB partners is dealt over several tasks, each with a copy of its texts.
     """
     hubs = pairs.groupBy("u").agg(F.ceil(F.count("*") / HUB).alias("__deals"))
     dealt = pairs.join(hubs, "u").select("u", "v", F.pmod(F.xxhash64("v"), F.col("__deals")).alias("deal"))
@@ -123,7 +124,7 @@ def verified(pairs: DataFrame, sets: DataFrame, k: int, percent: int, scratch: S
     rows = sets.join(wanted, "doc_id").repartition("u", "deal").sortWithinPartitions("u", "deal", "kind").select("u", "kind", "doc_id", "text")
 
     def run(batches):
-        hub, own = None, None
+        hub, held = None, []
         for b in slices(batches):
             flat, sizes = shingle_sets(b.column("text"), k)
             ends = np.cumsum(sizes)
@@ -131,12 +132,16 @@ def verified(pairs: DataFrame, sets: DataFrame, k: int, percent: int, scratch: S
             good = np.zeros(len(us), bool)
             for i in range(len(us)):
                 mine = flat[ends[i] - sizes[i] : ends[i]]
+                if hub != us[i]:
+                    hub, held = us[i], []
                 if not kinds[i]:
-                    hub, own = us[i], mine.copy()
-                elif hub == us[i] and len(own) and len(mine) and 100 * min(len(own), len(mine)) >= percent * max(len(own), len(mine)):
-                    at = np.searchsorted(own, mine)
-                    both = int((own[np.minimum(at, len(own) - 1)] == mine).sum())
-                    good[i] = 100 * both >= percent * (len(own) + len(mine) - both)
+                    held.append(mine.copy())
+                    continue
+                for own in held:
+                    if len(own) and len(mine) and 100 * min(len(own), len(mine)) >= percent * max(len(own), len(mine)):
+                        at = np.searchsorted(own, mine)
+                        both = int((own[np.minimum(at, len(own) - 1)] == mine).sum())
+                        good[i] |= 100 * both >= percent * (len(own) + len(mine) - both)
             if good.any():
                 yield pa.RecordBatch.from_arrays([pa.array(us[good]), pa.array(ids[good])], ["u", "v"])
 
@@ -225,10 +230,12 @@ def bucket_members(classes: DataFrame, scratch: Scratch) -> DataFrame:
     edited copies of one text that is the text itself, since copies are nearer to it than to one another.
     """
     every = classes.select("rep", F.explode("bands").alias("band"))
-    met = scratch.save(every.withColumn("n", F.expr("count(*) OVER (PARTITION BY band)")).where("n > 1"), "met")
+    shared = every.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    met = scratch.save(every.join(shared, "band"), "met")
     degree = met.groupBy("rep").agg(F.sum(F.col("n") - 1).alias("degree"))
-    best = F.max(F.struct("degree", (-F.col("rep")).alias("least"))).over(Window.partitionBy("band"))
-    return scratch.save(met.join(degree, "rep").withColumn("best", best).select("band", "rep", (-F.col("best.least")).alias("lead"), F.col("best.degree").alias("degree")), "members")
+    ranked = scratch.save(met.join(degree, "rep").select("band", "rep", "degree"), "ranked")
+    best = ranked.groupBy("band").agg(F.max(F.struct("degree", (-F.col("rep")).alias("least"))).alias("best"))
+    return scratch.save(ranked.drop("degree").join(best, "band").select("band", "rep", (-F.col("best.least")).alias("lead"), F.col("best.degree").alias("degree")), "members")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -239,9 +246,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     marked = scratch.save(marks(slim, k, bands, rows), "marks")
     known = marked.where("doc_id IS NOT NULL AND k1 IS NOT NULL")
     classes = scratch.save(known.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands")), "classes")
-    # a repeated id ties its sets together
-    ties = known.join(classes.select("k1", "k2", "rep"), ["k1", "k2"]).where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
-    ties = scratch.save(ties.join(classes.select(F.col("rep").alias("u")), "u", "left_semi").distinct(), "ties")
+    tagged = scratch.save(marked.select("doc_id", "n_shingles", "k1", "k2").join(classes.select("k1", "k2", "rep"), ["k1", "k2"], "left").drop("k1", "k2"), "tagged")
+    # an id in several classes ties their least ids together
+    several = tagged.where("doc_id IS NOT NULL AND rep IS NOT NULL").groupBy("doc_id").agg(F.min("rep").alias("v"), F.max("rep").alias("w")).where("v <> w")
+    ties = scratch.save(tagged.join(several.select("doc_id", "v"), "doc_id").where("rep <> v").select(F.col("rep").alias("u"), "v").distinct(), "ties")
 
     members = bucket_members(classes, scratch)
     wanted = scratch.save(members.select(F.col("rep").alias("doc_id")).distinct(), "wanted")
@@ -255,8 +263,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
             yield b.filter(pa.array(bloom.has(field.value, h))).drop_columns(["h"])
 
     some = slim.where("doc_id IS NOT NULL").select("doc_id", "text", F.xxhash64("doc_id").alias("h")).mapInArrow(maybe, "doc_id long, text string")
-    # with a repeated id any one of its texts may stand for it: its sets are tied anyway, and the least text is as good
-    sets = scratch.save(some.join(F.broadcast(wanted) if small else wanted, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), "sets")
+    # one row, unless rows repeat the id with several texts: then each of them counts
+    sets = scratch.save(some.join(F.broadcast(wanted) if small else wanted, "doc_id", "left_semi").groupBy("doc_id", F.xxhash64("text").alias("h"), F.length("text").alias("l")).agg(F.min("text").alias("text")).select("doc_id", "text"), "sets")
 
     def settle(comps: DataFrame | None, found: DataFrame, turn: int) -> DataFrame:
         """The components once the links found are added."""
@@ -277,13 +285,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     comps = settle(comps, found, 1)
 
     # buckets that still hold several components: all their pairs, in blocks, wherever the components differ
-    bands_of = F.expr("min(comp) OVER (PARTITION BY band) <> max(comp) OVER (PARTITION BY band)")
-    rest = labelled(members, comps, "rep", "comp", small).withColumn("several", bands_of).where("several")
+    now = scratch.save(labelled(members, comps, "rep", "comp", small), "now")
+    several = now.groupBy("band").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("band")
+    rest = now.join(several, "band")
     rest = scratch.save(rest.select("rep", "lead", "comp").distinct(), "rest")
     clusters = components(scratch.save(rest.select(F.col("rep").alias("u"), F.col("lead").alias("v")).distinct(), "rest-links"), scratch, "c2")
     placed = clusters.withColumnRenamed("comp", "cluster").join(rest.groupBy("rep").agg(F.min("comp").alias("now")), F.col("id") == F.col("rep")).select("id", "now", "cluster")
     comps = settle(comps, in_blocks(scratch.save(placed, "placed"), sets, k, percent, scratch, "links-2"), 2)
 
-    out = marked.select("doc_id", "n_shingles", "k1", "k2").join(classes.select("k1", "k2", "rep"), ["k1", "k2"], "left")
-    out = labelled(out, comps, "rep", "top", small).withColumn("component_id", F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("top", "rep", "doc_id")))
+    out = labelled(tagged, comps, "rep", "top", small).withColumn("component_id", F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("top", "rep", "doc_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))

@@ -12,11 +12,14 @@ costs as much as any other text.
 
 The rows are packed into chunks with their texts, compressed, in one map-only pass; hashes travel as one sorted
 block per chunk and bucket, each value once per chunk with a mark if the chunk itself holds it twice. A bucket answers every
-chunk with the bits of the hashes that repeat, and the chunk, met again by its number, cuts its words.
+chunk with the bits of the hashes that repeat, and the chunk, met again by its number, cuts its words. A chunk sends at
+most one block a bucket and at most one a hash, and a task takes its buckets one after another from a sorted stream, so
+work and memory stay in proportion whatever the number of buckets.
 
 Defined cases: words are `[^\\x20\\x09-\\x0D]+`, unchanged; null text has none; text shorter than a window
 keeps everything; repeated rows repeat their windows; null ids are ordinary; input columns named like the outputs
-(n_words, n_removed, kept_text, removed) are replaced; an empty table gives no rows.
+(n_words, n_removed, kept_text, removed) are replaced in any case, others pass unread; very long texts are one chunk;
+an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -37,6 +40,8 @@ from .words import Words, rolling, slices
 COVERS = {7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16)}
 CHUNK_BYTES = 4 << 20
 BUCKET_WORDS = 2_000_000
+#: Beyond so many, a task takes several buckets.
+MOST_TASKS = 20_000
 
 
 def packed(frame: DataFrame) -> DataFrame:
@@ -116,24 +121,24 @@ def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return k[first], np.diff(np.append(first, len(k))) > 1
 
 
-def by_bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
-    """Bounds of the buckets in keys sorted by their first 64 bits."""
-    edges = [np.uint64((i << 64) // buckets) for i in range(buckets)]
+def by_bucket(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of keys sorted by their first 64 bits, and where each begins, with the end of the last."""
     head = keys[:, 0] if keys.ndim == 2 else keys
-    return np.append(np.searchsorted(head, np.array(edges, np.uint64), "left"), len(keys))
+    bucket = ((head >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+    start = np.flatnonzero(np.diff(bucket, prepend=np.uint64(buckets)))
+    return bucket[start].astype(np.int32), np.append(start, len(keys))
 
 
 def blocks(batches, buckets: int, keys_of):
     for b in batches:
         for i in range(b.num_rows):
             keys, twice = distinct(keys_of(b.column("rows")[i].as_buffer().to_pybytes()))
-            edge = by_bucket(keys, buckets)
-            full = np.flatnonzero(np.diff(edge))
+            full, edge = by_bucket(keys, buckets)
+            spans = list(zip(edge[:-1].tolist(), edge[1:].tolist()))
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(full.astype(np.int32)), pa.array(np.full(len(full), b.column("chunk")[i].as_py(), np.int64)),
-                    pa.array([keys[edge[x] : edge[x + 1]].tobytes() for x in full], pa.binary()),
-                    pa.array([np.packbits(twice[edge[x] : edge[x + 1]]).tobytes() for x in full], pa.binary()),
+                    pa.array(full), pa.array(np.full(len(full), b.column("chunk")[i].as_py(), np.int64)),
+                    pa.array([keys[x:y].tobytes() for x, y in spans], pa.binary()), pa.array([np.packbits(twice[x:y]).tobytes() for x, y in spans], pa.binary()),
                 ],
                 ["bucket", "chunk", "keys", "twice"],
             )
@@ -180,7 +185,8 @@ def remove_repeats(docs: DataFrame, window: int = 35, period: int = 13, filter_b
     chunks = scratch.save(packed(docs), "chunks")
     words = chunks.agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0]
     buckets = max(12, math.ceil(words / BUCKET_WORDS))
-    spread = chunks.repartition(max(spark.sparkContext.defaultParallelism * 2, math.ceil(words / 2_000_000)))
+    tasks = min(buckets, MOST_TASKS)
+    spread = chunks.repartition(max(spark.sparkContext.defaultParallelism * 2, min(MOST_TASKS, math.ceil(words / 2_000_000))))
 
     def anchor_keys(blob):
         w = Words(column(unpacked(blob), "text"))
@@ -192,7 +198,7 @@ def remove_repeats(docs: DataFrame, window: int = 35, period: int = 13, filter_b
             yield pa.RecordBatch.from_arrays([pa.array(np.unique(keys[twice]).view(np.int64))], ["h"])
 
     sent = spread.select("chunk", "rows").mapInArrow(lambda bs: blocks(bs, buckets, anchor_keys), BLOCK)
-    shared = scratch.save(sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(twins, "h long"), "anchors")
+    shared = scratch.save(sent.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(twins, "h long"), "anchors")
     field = bloom.build(shared, "h", bloom.size_for(shared.count(), filter_bits))
     scratch.drop("anchors")
 
@@ -211,7 +217,7 @@ def remove_repeats(docs: DataFrame, window: int = 35, period: int = 13, filter_b
                     yield pa.RecordBatch.from_arrays([pa.array([r["chunk"]], pa.int64()), pa.array([r["bucket"]], pa.int32()), pa.array([np.packbits(own).tobytes()], pa.binary())], ["chunk", "bucket", "bits"])
 
     sent = spread.select("chunk", "rows").mapInArrow(lambda bs: blocks(bs, buckets, lambda blob: keys_of(Words(column(unpacked(blob), "text")))[1]), BLOCK)
-    said = sent.repartition(buckets, "bucket").sortWithinPartitions("bucket", "chunk").mapInArrow(answers, "chunk long, bucket int, bits binary")
+    said = sent.repartition(tasks, "bucket").sortWithinPartitions("bucket", "chunk").mapInArrow(answers, "chunk long, bucket int, bits binary")
     said = scratch.save(said.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "bits")).alias("said")), "answers")
 
     def cut(batches):
@@ -224,10 +230,11 @@ def remove_repeats(docs: DataFrame, window: int = 35, period: int = 13, filter_b
                 if bits.as_py():
                     at, keys = keys_of(w)
                     own, _ = distinct(keys)
-                    edge = by_bucket(own, buckets)
+                    full, edge = by_bucket(own, buckets)
                     dup = np.zeros(len(own), bool)
                     for x in bits.as_py():
-                        dup[edge[x["bucket"]] : edge[x["bucket"] + 1]] = np.unpackbits(np.frombuffer(x["bits"], np.uint8))[: edge[x["bucket"] + 1] - edge[x["bucket"]]]
+                        lo, hi = edge[(j := np.searchsorted(full, x["bucket"])) : j + 2]
+                        dup[lo:hi] = np.unpackbits(np.frombuffer(x["bits"], np.uint8))[: hi - lo]
                     # a window repeats if its key does; rank it among the chunk's sorted distinct keys
                     order = np.lexsort(keys.T[::-1])
                     k = keys[order]

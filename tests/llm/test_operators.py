@@ -175,6 +175,15 @@ def test_seed_choice_keeps_every_part_and_is_linear():
 # --- 2: substrings
 
 
+@pytest.mark.parametrize("buckets", [1, 12, 999, 8_000_000])
+def test_buckets_are_monotone_and_cheap(buckets):
+    keys = np.sort(np.random.default_rng(1).integers(0, 2**64, 5000, np.uint64))
+    full, edge = substring_dedup.by_bucket(keys, buckets)
+    assert (np.diff(full) > 0).all() and edge[0] == 0 and edge[-1] == 5000 and len(edge) == len(full) + 1
+    assert full.min() >= 0 and full.max() < buckets
+    assert len(substring_dedup.by_bucket(keys[:0], buckets)[0]) == 0
+
+
 def test_difference_covers():
     for v, d in substring_dedup.COVERS.items():
         assert {(a - b) % v for a in d for b in d} == set(range(v))
@@ -429,6 +438,21 @@ def test_near_duplicates_chain_and_blocks(spark, monkeypatch):
     assert fast_minhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string"), k=2).count() == 0
 
 
+def test_repeated_ids_with_different_texts(spark, monkeypatch):
+    r = random.Random(11)
+    say = lambda: [f"w{r.randrange(5000)}" for _ in range(80)]
+    A, B, C, D = say(), say(), say(), say()
+    near = lambda w: " ".join([*w[:40], "otra", *w[41:]])
+    rows = [(2, " ".join(A)), (3, " ".join(B)), (5, " ".join(A)), (5, " ".join(B)), (7, " ".join(C)), (7, " ".join(D)), (8, near(C)), (9, near(D)), (9, near(D)), (11, "solo"), (11, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(9) for c in ("rep", "bands", "k1", "comp", "n")})
+    want = {2: 2, 3: 2, 5: 2, 7: 7, 8: 7, 9: 7, 11: 11}
+    for small in (fast_minhash.BROADCAST_IDS, 0):
+        monkeypatch.setattr(fast_minhash, "BROADCAST_IDS", small)
+        got = fast_minhash.near_duplicates(frame, k=2).collect()
+        assert len(got) == len(rows) and {x["doc_id"]: x["component_id"] for x in got} == want
+        assert all(len({x["component_id"] for x in got if x["doc_id"] == i}) == 1 for i in want)
+
+
 def test_sketch_fills_and_estimates():
     r = np.random.default_rng(1)
     a = r.integers(0, 2**63, 400).astype(np.uint64)

@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 
 from . import words as W
 from .features import DIM, labelled_ids, one_row_an_id, sigmoid, telling, terms, unlabelled_ids
-from .scratch import Scratch, without
+from .scratch import Scratch, fresh, without
 
 PER_CLASS = 4000
 POOL = 4000
@@ -267,8 +267,9 @@ def score(docs: DataFrame, model) -> DataFrame:
     docs = without(docs, "text_score", "page_score", "score", "keep")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     view = viewed(docs, model["metadata"]).columns[1:]
-    width, first = len(docs.columns), f"__v0_{view[0]}"
-    seen = docs.select("*", *[c.alias(f"__v{i}_{n}") for i, (c, n) in enumerate(zip([F.col("text").cast("string"), *[F.col(f"`{c}`").cast("string") for c in model["metadata"]]], view))])
+    width, inner = len(docs.columns), fresh(docs, *[f"view_{c}" for c in view])
+    first = inner[0]
+    seen = docs.select("*", *[F.col(f"`{c}`").cast("string").alias(n) for c, n in zip(["text", *model["metadata"]], inner)])
 
     def run(batches):
         m = shared.value

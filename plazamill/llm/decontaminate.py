@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 from . import bloom
 from . import words as W
 from .features import _PUNCT, _span_hashes
-from .scratch import Scratch, without
+from .scratch import Scratch, fresh, without
 
 SEED = 3
 RARE = 1e-3
@@ -205,7 +205,8 @@ def with_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
     """The input rows with `leaks`: item_id, score and the aligned words (about where) of each leaked item."""
     spark = docs.sparkSession
     docs = without(docs, "leaks")
-    out = docs.select("*", F.col("text").cast("string").alias("__whole_text"), F.array().cast(LEAK).alias("leaks"))
+    (whole,) = fresh(docs, "whole_text")
+    out = docs.select("*", F.col("text").cast("string").alias(whole), F.array().cast(LEAK).alias("leaks"))
     tests = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
     size = tests.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(1, math.ceil(2 * size / block_bytes)) if size > block_bytes else 1
@@ -220,8 +221,8 @@ def with_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
             frequency = np.zeros(len(items.keys), np.int64)
             frequency[np.searchsorted(items.keys, got.column("key").to_numpy().view(np.uint64))] = got.column("n").to_numpy()
             items.choose(frequency, documents)
-            out = found_in(out, spark.sparkContext.broadcast(items), threshold)
-    return out.drop("__whole_text")
+            out = found_in(out, spark.sparkContext.broadcast(items), threshold, whole)
+    return out.drop(whole)
 
 
 def counted(texts: DataFrame, tests: DataFrame) -> DataFrame:
@@ -257,10 +258,10 @@ def counted(texts: DataFrame, tests: DataFrame) -> DataFrame:
     return scratch.save(texts.mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "counts")
 
 
-def found_in(rows: DataFrame, shared, threshold: float) -> DataFrame:
+def found_in(rows: DataFrame, shared, threshold: float, whole: str) -> DataFrame:
     def run(batches):
-        for b in W.slices(batches, "__whole_text"):
-            new = leaks_in(shared.value, b.column("__whole_text"), threshold)
+        for b in W.slices(batches, whole):
+            new = leaks_in(shared.value, b.column(whole), threshold)
             merged = [[*old, *x] for old, x in zip(b.column("leaks").to_pylist(), new)]
             at = b.schema.get_field_index("leaks")
             yield pa.RecordBatch.from_arrays([c if i != at else pa.array(merged, ARROW) for i, c in enumerate(b.columns)], b.schema.names)

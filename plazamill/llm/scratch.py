@@ -1,8 +1,9 @@
 """Durable intermediate tables in the folder that the cluster shares.
 
 Every lineage cut in this subpackage is a written Parquet table below ``spark.checkpoint.dir``: any executor
-can be lost afterwards and the next stage only re-reads files. Where the setting is absent (tests) a temporary
-folder is made and set.
+can be lost afterwards and the next stage only re-reads files. Where the setting is absent and the master is local
+(tests) a temporary folder is made and set; on a cluster its absence is an error, since executors don't see each
+other's disks. ``drop`` is for tables that nothing returned depends on any more.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="plazamill-")
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
@@ -45,3 +48,14 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     """The frame without columns of these names in any case: an operator's own outputs win over extra inputs."""
     own = {n.lower() for n in names}
     return df.select(*[df[f"`{c}`"] for c in df.columns if c.lower() not in own])
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for inner columns that no column of the frame has in any case."""
+    own, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in own:
+            n = f"_{n}"
+        own.add(n.lower())
+        out.append(n)
+    return out

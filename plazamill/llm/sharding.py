@@ -1,15 +1,17 @@
 """Sharding by histogram sort.
 
 Rows are ordered by (hash of text, doc_id), so equal texts stand together and may still be cut by a boundary when
-a group is larger than a shard. Splitters come from repeated histograms: every task counts exact bytes and rows
-below the candidate boundaries, the sums (a few hundred numbers, whatever the input) go to the driver, and the
-probes close in until each splitter is within tolerance or between two neighbouring keys. Then the rows move once,
-straight to the piece that holds their place; shards larger than ``piece_bytes`` are cut into several pieces, so
-no task sorts a whole shard.
+a group is larger than a shard. Splitters between shards come from repeated histograms: every task counts exact bytes
+and rows below the candidate boundaries, the sums (at most about PROBES numbers, whatever the input) go to the driver,
+and the probes close in until each splitter is within tolerance or between two neighbouring keys. Then the rows move
+once, by (shard, key), into pieces of about `piece_bytes` that Spark's range partitioning cuts, so no task sorts a
+whole shard; the moved rows are a written table, and a row's slot is its place in its piece plus the rows of the shard
+in the pieces before, which are counted there.
 
 Law: ``bytes``. Size of a row: UTF-8 bytes of its text (null: 0) plus 16. Rows that repeat both text and id have
-one key and stay together. Null ids sort first. An empty table gives no rows. Input columns named like the outputs
-(size, shard, slot) are replaced.
+one key and stay together, in one piece. Null ids sort first, null texts by the hash of null. Very long texts are rows
+like others. Reruns agree in the shard of every row; rows of one key may swap slots. An empty table gives no rows.
+Input columns named like the outputs (size, shard, slot) are replaced in any case, others pass under any name.
 """
 
 from __future__ import annotations
@@ -23,11 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import Scratch, without
+from .scratch import Scratch, fresh, without
 
-PROBES = 15
+#: Probes of one round, dealt to the splitters that are still open (LEAST_PROBES each at least).
+PROBES, LEAST_PROBES = 4096, 15
 TOLERANCE = 0.002
 PIECE_BYTES = 64 << 20
+BROADCAST_PIECES = 200_000
 TOP = 1 << 64
 
 
@@ -81,13 +85,16 @@ def splitters(keys: DataFrame, total: int, rows: int, pieces: int, tolerance: fl
 
     while True:
         order = sorted(known)
-        probes, done = set(), []
+        probes, done, open_ = set(), [], []
         for goal in ideal:
             lo, hi = bracket(goal)
             best = min((lo, hi), key=lambda k: (abs(known[k][0] - goal), k))
             done.append((best, known[best][1]))
             if abs(known[best][0] - goal) > slack and hi - lo > 1 and known[hi][1] - known[lo][1] > 1:
-                probes.update(lo + (hi - lo) * i // (PROBES + 1) for i in range(1, PROBES + 1))
+                open_.append((lo, hi))
+        each = max(LEAST_PROBES, PROBES // max(1, len(open_)))
+        for lo, hi in set(open_):
+            probes.update(lo + (hi - lo) * i // (each + 1) for i in range(1, each + 1))
         probes = sorted(probes - known.keys())
         if not probes:
             return done
@@ -96,27 +103,26 @@ def splitters(keys: DataFrame, total: int, rows: int, pieces: int, tolerance: fl
 
 def shard(docs: DataFrame, n_shards: int = 40, tolerance: float = TOLERANCE, piece_bytes: int = PIECE_BYTES) -> DataFrame:
     """The rows of docs, exchanged once, with size, shard and slot (gapless from 0 in each shard)."""
-    spark = docs.sparkSession
+    scratch = Scratch(docs.sparkSession, "shard")
     docs = without(docs, "size", "shard", "slot")
-    least = -(1 << 63)
-    keyed = docs.withColumn("__k1", F.xxhash64("text")).withColumn("__k2", F.coalesce(F.col("doc_id").cast("long"), F.lit(least))).withColumn("size", (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).cast("long"))
-    keys = Scratch(spark, "shard").save(keyed.select("__k1", "__k2", "size"), "keys")
+    key1, key2, place, piece, first, before, of, inside = fresh(docs, "key1", "key2", "place", "piece", "first", "before", "of", "inside")
+    keyed = docs.select("*", (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).cast("long").alias("size"), F.xxhash64("text").alias(key1), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias(key2))
+    keys = scratch.save(keyed.select(key1, key2, "size"), "keys")
     total, rows = keys.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
-    per_shard = max(1, math.ceil(total / n_shards / piece_bytes))
-    pieces = n_shards * per_shard
-    found = splitters(keys, total, rows, pieces, tolerance) if rows else [(0, 0)] * (pieces - 1)
-    bounds, starts = [k for k, _ in found], [0, *(r for _, r in found)]
-    offsets = [starts[p] - starts[p - p % per_shard] for p in range(pieces)]
+    bounds = [k for k, _ in splitters(keys, total, rows, n_shards, tolerance)] if rows else []
+    scratch.drop("keys")
 
     @F.pandas_udf("int")
-    def piece_of(k1: pd.Series, k2: pd.Series) -> pd.Series:
+    def shard_of(k1: pd.Series, k2: pd.Series) -> pd.Series:
         return pd.Series(bins(unsigned(k1.to_numpy()), unsigned(k2.to_numpy()), bounds).astype(np.int32))
 
-    moved = keyed.withColumn("__piece", piece_of("__k1", "__k2") if pieces > 1 else F.lit(0)).repartitionById(pieces, F.col("__piece"))
-    place = Window.partitionBy("__piece").orderBy("__k1", "__k2", "size")
-    offset = F.element_at(F.array(*[F.lit(x).cast("long") for x in offsets]), F.col("__piece") + 1)
-    return (
-        moved.withColumn("slot", F.row_number().over(place) - 1 + offset)
-        .withColumn("shard", F.floor(F.col("__piece") / per_shard).cast("int"))
-        .drop("__k1", "__k2", "__piece")
-    )
+    order = ["shard", key1, key2]
+    pieces = max(n_shards, math.ceil(total / piece_bytes))
+    dealt = keyed.withColumn("shard", shard_of(key1, key2) if bounds else F.lit(0)).repartitionByRange(pieces, *order).sortWithinPartitions(*order)
+    moved = scratch.save(dealt.drop(key1, key2).withColumn(place, F.monotonically_increasing_id()).withColumn(piece, F.shiftright(F.col(place), 33)), "moved")
+    # one row per piece and shard in it: pieces + n_shards at most
+    cells = moved.groupBy(F.col(piece).alias(of), F.col("shard").alias(inside)).agg(F.min(place).alias(first), F.count("*").alias("n"))
+    earlier = Window.partitionBy(inside).orderBy(of).rowsBetween(Window.unboundedPreceding, -1)
+    cells = scratch.save(cells.withColumn(before, F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n"), "cells")
+    placed = moved.join(F.broadcast(cells) if pieces <= BROADCAST_PIECES else cells, (F.col(piece) == F.col(of)) & (F.col("shard") == F.col(inside)))
+    return placed.withColumn("slot", F.col(place) - F.col(first) + F.col(before)).select(*[F.col(f"`{c}`") for c in docs.columns], "size", "shard", "slot")

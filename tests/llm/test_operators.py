@@ -586,6 +586,40 @@ def test_shards(spark, docs, rows):
     assert sharding.shard(docs.where("false"), 5).count() == 0
 
 
+def brute_shards(rows, n):
+    """Splitters by sorting everything: the boundary key nearest each ideal, in bytes."""
+    keys = sorted(((h, -(1 << 63) if i is None else i), z) for h, i, z in rows)
+    edge, at = {}, 0
+    for k, z in keys:
+        edge.setdefault(k, at)
+        at += z
+    edges = [*edge.items(), ((1 << 63, 0), at)]
+    return [min(edges, key=lambda e: abs(e[1] - at * j / n))[1] for j in range(1, n)]
+
+
+def test_shards_against_sorting_everything(spark, docs, monkeypatch):
+    """Hot text, repeated identical rows, inner names taken, small tolerance: bytes below each boundary are the best."""
+    hot = spark.createDataFrame([(3000 + i, "siempre lo mismo " * 20, "en", "s0", 1, None) for i in range(200)] + [(4000, "igual", "en", "s0", 1, None)] * 30, SCHEMA)
+    every = docs.union(hot).withColumns({c: F.col("lang") for c in ("key1", "PLACE", "piece", "first", "of", "inside", "n")}).repartition(5)
+    got = sharding.shard(every, 7, tolerance=1e-9, piece_bytes=9000).withColumn("h", F.xxhash64("text")).collect()
+    want = brute_shards([(r["h"], r["doc_id"], r["size"]) for r in got], 7)
+    below, slots = Counter(), defaultdict(list)
+    for r in got:
+        below.update({j: r["size"] for j in range(r["shard"], 6)})
+        slots[r["shard"]].append(r["slot"])
+        assert r["PLACE"] == r["lang"] == r["n"]
+    total, biggest = sum(r["size"] for r in got), 30 * (5 + 16)
+    for j in range(6):
+        ideal = total * (j + 1) / 7
+        assert abs(below[j] - ideal) <= max(abs(want[j] - ideal), 1) + 1e-6 or abs(below[j] - ideal) <= biggest
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and len(got) == every.count()
+    again = sharding.shard(every.repartition(2), 7, tolerance=1e-9, piece_bytes=50_000).collect()
+    shown = lambda rows: Counter((r["doc_id"], r["text"], r["shard"]) for r in rows)
+    assert shown(got) == shown(again)
+    monkeypatch.setattr(sharding, "BROADCAST_PIECES", 0)
+    assert shown(sharding.shard(every, 7, tolerance=1e-9, piece_bytes=9000).collect()) == shown(got)
+
+
 def test_histogram_counts_are_exact():
     r = np.random.default_rng(2)
     k1, k2 = r.integers(0, 4, 500).astype(np.uint64), r.integers(0, 2**60, 500).astype(np.uint64)

@@ -721,3 +721,48 @@ def test_pipeline_stages(spark, tmp_path, docs):
     assert 9 in kept and seen["decontamination"].where("doc_id = 9").count() == 0
     assert seen["decontamination"].count() == seen["near_duplicates"].count() - 1
     assert seen["sharding"].count() == seen["mixing"].count() == corpus_pipeline.run(spark, str(tmp_path)).count()
+
+
+def test_repeated_ids_keep_the_same_row(spark):
+    import corpus_pipeline
+
+    r = random.Random(21)
+    words_ = [" ".join(f"w{r.randrange(900)}" for _ in range(30)) for _ in range(8)]
+    rows = [(1, w, "en", "s1", i, "x") for i, w in enumerate(words_)] + [(2, "a b c d e f g", "en", "s1", 1, "x"), (None, "a", None, None, None, None), (None, "a", None, None, None, None)]
+    frame = spark.createDataFrame(rows, SCHEMA).withColumns({c: F.lit(1) for c in ("kept", "n", "h", "row", "__h")})
+    seen = set()
+    for n in (1, 3, 7):
+        out = corpus_pipeline.near_duplicates(spark, frame.repartition(n), "").orderBy("doc_id", "text").collect()
+        seen.add(tuple((x["doc_id"], x["text"]) for x in out))
+    assert len(seen) == 1 and [x[0] for x in seen.pop()] == [None, None, 1, 2]
+
+
+def test_every_stage_with_odd_rows_and_empty_tables(spark, tmp_path, docs):
+    """Nulls in any column, repeats and clashing names pass each stage; kept rows are those of a plain reading."""
+    import corpus_pipeline
+
+    _, labels = labelled(spark)
+    bench = spark.createDataFrame([(1, docs.where("doc_id = 9").first()["text"]), (None, None), (3, "")], "item_id long, text string")
+    for name, frame in (("labels", labels), ("benchmark", bench)):
+        frame.write.parquet(f"{tmp_path}/{name}.parquet")
+    odd = docs.union(docs.where("doc_id IS NULL OR doc_id = 1000")).withColumns({c: F.lit("z") for c in ("keep", "leaks", "size", "copies", "shard", "target")})
+    stages = dict(corpus_pipeline.STAGES)
+    for name, stage in stages.items():
+        out = stage(spark, odd, str(tmp_path))
+        if name != "sharding":
+            assert sorted(out.columns) == sorted(odd.columns), name
+        n = out.count()
+        assert stage(spark, odd.where("false"), str(tmp_path)).count() == 0, name
+        if name == "decontamination":
+            assert {r["doc_id"] for r in odd.collect()} - {r["doc_id"] for r in out.collect()} == {9}
+        elif name == "mixing":
+            assert n == sum(r["copies"] for r in mixing.copies(odd).collect())
+        elif name == "sharding":
+            assert n == odd.count() and {r["shard"] for r in out.collect()} == {*map(int, range(40))} & {r["shard"] for r in out.collect()}
+        elif name == "quality":
+            kept = cotrain.score(odd, cotrain.fit(odd, labels)).where("keep")
+            assert n == kept.count() and {r["doc_id"] for r in out.collect()} == {r["doc_id"] for r in kept.collect()}
+        else:
+            comp = {i: c for i, (_, c) in brute_components([(r["doc_id"], r["text"]) for r in odd.collect() if r["doc_id"] is not None], 5).items()}
+            assert sorted(r["doc_id"] for r in out.collect() if r["doc_id"] is not None) == sorted(i for i, c in comp.items() if i == c)
+            assert out.where("doc_id IS NULL").count() == odd.where("doc_id IS NULL").count()

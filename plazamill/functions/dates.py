@@ -67,3 +67,14 @@ def long_date(c: Column) -> Column:
 
 def in_force(closes: Column, published: Column, today: Column, grace: int = 0, life: int = 60) -> Column:
     return F.when(closes.isNotNull(), F.datediff(today, closes) <= grace).when(published.isNotNull(), F.datediff(today, published) <= life).otherwise(True)
+
+
+def date_range(text: Column) -> Column:
+    """struct(start, stop): "a - b" as written, else the first and the last d/m/y date, which may be one."""
+    day = "[0-9]{1,2}[/-][0-9]{1,2}[/-][0-9]{4}"
+    t = F.trim(F.regexp_replace(text, "\\s+", " "))
+    pair = f"({day})\\s*(?:-|–|—|a)\\s*({day})"
+    found, both = F.regexp_extract_all(t, F.lit(day), F.lit(0)), t.rlike(pair)
+    date = lambda c: F.try_to_date(F.replace(c, F.lit("/"), F.lit("-")), "d-M-yyyy")
+    part = lambda g, i: date(F.when(both, F.regexp_extract(t, pair, g)).otherwise(F.get(found, i)))
+    return F.struct(part(1, F.lit(0)).alias("start"), part(2, F.size(found) - 1).alias("stop"))

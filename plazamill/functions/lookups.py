@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,8 +20,6 @@ CONTRACTS = {
     "planta": "planta", "contrata": "contrata", "honorario": "honorarios", "honorarios": "honorarios", "honorarios asimilados": "honorarios", "codigo del trabajo": "codigo_trabajo", "codigo trabajo": "codigo_trabajo",
     "cod. del trabajo": "codigo_trabajo", "reemplazo": "reemplazo", "suplencia": "reemplazo",
 }
-#: Platform to difficulty, first match wins.
-DIFFICULTY = (("wordpress", "baja"), ("trabajando", "media"), ("hiringroom", "media"), ("buk", "media"), ("propia", "alta"))
 
 
 def by_length(table: dict[str, str]) -> list[tuple[str, str]]:
@@ -40,3 +40,26 @@ def first_key(folded: Column, table, default: str | None = None) -> Column:
     for key, value in reversed(list(table)):
         out = F.when(F.contains(folded, F.lit(key)), value).otherwise(out)
     return out
+
+
+def contains_any(c: Column, words) -> Column:
+    """Whether c contains one of the words: one alternation, so long lists stay one compact expression."""
+    return c.rlike("|".join(re.escape(w) for w in words))
+
+
+def count_of(c: Column, words) -> Column:
+    """How many of the words c contains."""
+    return sum((F.contains(c, F.lit(w)).cast("int") for w in words), F.lit(0))
+
+
+def first_group(c: Column, table, default: str | None = None) -> Column:
+    """table: (words, label); the first group with a word in c gives its label."""
+    out = F.lit(default).cast("string")
+    for words, label in reversed(list(table)):
+        out = F.when(contains_any(c, words), label).otherwise(out)
+    return out
+
+
+def first_word(c: Column, words) -> Column:
+    """The first word of the list that c contains."""
+    return F.get(F.filter(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(c, w)), 0)

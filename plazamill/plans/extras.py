@@ -67,19 +67,6 @@ def k12_config_upsert(spark, sf_dir):
 
 
 
-@query("SELECT id, CASE WHEN regexp_matches(t, 'urgent|high') THEN 'alto' WHEN contains(t, 'medium') THEN 'medio' ELSE 'bajo' END AS nivel FROM (SELECT id, " + sql_normal("cargo") + " AS t FROM ofertas)")
-def l04_level(spark, sf_dir):
-    t = T.normal(F.col("cargo"))
-    return A.offers(spark, sf_dir).select("id", F.when(t.rlike("urgent|high"), "alto").when(F.contains(t, F.lit("medium")), "medio").otherwise("bajo").alias("nivel"))
-
-
-@query("SELECT id, trim(split_part(lugar, ',', 1)) AS ciudad, nullif(trim(split_part(lugar, ',', 2)), '') AS region FROM (SELECT id, coalesce(ciudad, '') || CASE WHEN region IS NULL THEN '' ELSE ', ' || region END AS lugar FROM ofertas)")
-def l08_city_region(spark, sf_dir):
-    place = F.concat(F.coalesce("ciudad", F.lit("")), F.when(F.col("region").isNull(), "").otherwise(F.concat(F.lit(", "), F.col("region"))))
-    part = lambda i: F.trim(F.split_part(place, F.lit(","), F.lit(i)))
-    return A.offers(spark, sf_dir).select("id", part(1).alias("ciudad"), F.nullif(part(2), F.lit("")).alias("region"))
-
-
 _LAST = "([0-9]{1,2})/([0-9]{1,2})/([0-9]{4})"
 
 
@@ -91,19 +78,6 @@ def d11_last_date(spark, sf_dir):
     return notices(spark, sf_dir).select("id", DT.first_date(last).cast("string").alias("fecha"))
 
 
-@query("SELECT page_id, CASE WHEN contains(h, 'wp-content') THEN 'wordpress' WHEN contains(h, 'buk.cl') THEN 'buk' WHEN contains(h, '<table') THEN 'tabla' ELSE 'sitio' END AS plataforma FROM (SELECT page_id, lower(html) AS h FROM pages)", cte=False)
-def s32_platform_markers(spark, sf_dir):
-    h = F.lower("html")
-    has = lambda m: F.contains(h, F.lit(m))
-    return A.read(spark, sf_dir, "pages").select("page_id", F.when(has("wp-content"), "wordpress").when(has("buk.cl"), "buk").when(has("<table"), "tabla").otherwise("sitio").alias("plataforma"))
-
-
-@query("SELECT id, CASE region WHEN 'Region 1' THEN 'Tarapacá' WHEN 'Region 13' THEN 'Metropolitana' ELSE region END AS region FROM ofertas")
-def s31_region_alias(spark, sf_dir):
-    r = F.col("region")
-    return A.offers(spark, sf_dir).select("id", F.when(r == "Region 1", "Tarapacá").when(r == "Region 13", "Metropolitana").otherwise(r).alias("region"))
-
-
 PAY = StructType([StructField("amount", LongType()), StructField("score", DoubleType()), StructField("status", StringType())])
 
 

@@ -114,27 +114,6 @@ def s18_query_value(spark, sf_dir):
     return A.offers(spark, sf_dir).select("id", F.expr("try_parse_url(url_original, 'QUERY', 'id')").alias("externo"))
 
 
-_AREAS = (("urgent", "Urgencias"), ("high", "Dirección"), ("medium|low", "Administración"))
-
-
-@query("SELECT id, " + "CASE " + " ".join(f"WHEN regexp_matches(t, '{p}') THEN '{n}'" for p, n in _AREAS) + f" ELSE 'Otra' END AS area FROM (SELECT id, {sql_normal('cargo')} AS t FROM ofertas)")
-def l03_area(spark, sf_dir):
-    t = T.normal(F.col("cargo"))
-    out = F.when(t.rlike(_AREAS[0][0]), _AREAS[0][1])
-    for p, n in _AREAS[1:]:
-        out = out.when(t.rlike(p), n)
-    return A.offers(spark, sf_dir).select("id", out.otherwise("Otra").alias("area"))
-
-
-@query(f"SELECT id, CASE WHEN regexp_matches(t, 'jornada completa|44 horas') THEN 'completa' WHEN regexp_matches(t, 'media jornada|22 horas') THEN 'media' END AS jornada FROM (SELECT id, {sql_normal('texto')} AS t FROM {_N})", cte=False)
-def l07_workday(spark, sf_dir):
-    t = T.normal(F.col("texto"))
-    return notices(spark, sf_dir).select("id", F.when(t.rlike("jornada completa|44 horas"), "completa").when(t.rlike("media jornada|22 horas"), "media").alias("jornada"))
-
-
-@query("SELECT page_id, regexp_matches(lower(html), 'href=\"[^\"]*\\.pdf') AS con_pdf FROM pages", cte=False)
-def l12_pdf_attachments(spark, sf_dir):
-    return A.read(spark, sf_dir, "pages").select("page_id", F.lower("html").rlike('href="[^"]*\\.pdf').alias("con_pdf"))
 
 
 @query(f"SELECT id, CASE WHEN d IS NULL THEN 'sin plazo' WHEN d < 0 THEN 'cerrado' WHEN d = 0 THEN 'cierra hoy' WHEN d = 1 THEN 'queda 1 día' ELSE 'quedan ' || d::VARCHAR || ' días' END AS etiqueta FROM (SELECT id, fecha_cierre - {D} AS d FROM ofertas)")
@@ -144,13 +123,6 @@ def d14_deadline_label(spark, sf_dir):
     return A.offers(spark, sf_dir).select("id", label.alias("etiqueta"))
 
 
-@query("SELECT id, CASE status WHEN 200 THEN 'ok' WHEN 403 THEN 'blocked' WHEN 404 THEN 'not_found' ELSE CASE WHEN status >= 500 THEN 'server_error' WHEN status IS NULL THEN 'timeout' ELSE 'unknown' END END AS disponibilidad FROM (SELECT event_id AS id, CASE event_id % 6 WHEN 0 THEN 200 WHEN 1 THEN 403 WHEN 2 THEN 404 WHEN 3 THEN 502 WHEN 4 THEN NULL ELSE 301 END AS status FROM events)", cte=False)
-def v15_availability(spark, sf_dir):
-    s = F.expr("CASE event_id % 6 WHEN 0 THEN 200 WHEN 1 THEN 403 WHEN 2 THEN 404 WHEN 3 THEN 502 WHEN 4 THEN NULL ELSE 301 END")
-    out = F.when(s == 200, "ok").when(s == 403, "blocked").when(s == 404, "not_found").when(s >= 500, "server_error").when(s.isNull(), "timeout").otherwise("unknown")
-    return A.read(spark, sf_dir, "events").select(F.col("event_id").alias("id"), out.alias("disponibilidad"))
-
-
 @query(f"""SELECT o.id, round(greatest(0.0, 0.30 * (coalesce(o.cargo, '') <> '')::INT + 0.25 * (o.fecha_cierre IS NOT NULL)::INT + 0.20 * (o.url_oferta IS NOT NULL)::INT + 0.10 * (o.renta_bruta_min IS NOT NULL)::INT + 0.15 * (o.region IS NOT NULL)::INT), 4) AS calidad FROM ofertas o""")
 def v11_completeness_score(spark, sf_dir):
     has = lambda c, w: F.when(c, w).otherwise(0.0)

@@ -42,36 +42,12 @@ def l02_contract(spark, sf_dir):
     return A.read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), L.longest_key(F.expr(_KINDS), L.CONTRACTS).alias("tipo"))
 
 
-@query(f"SELECT id, {_case('lower(plataforma_empleo)', L.DIFFICULTY)} AS dificultad FROM instituciones")
-def s21_platform_difficulty(spark, sf_dir):
-    return A.institutions(spark, sf_dir).select("id", L.first_key(F.lower("plataforma_empleo"), L.DIFFICULTY).alias("dificultad"))
-
-
 @query("SELECT c_custkey AS id, regexp_replace(" + sql_normal("t") + ", '^(ilustre municipalidad de|i\\. municipalidad de|municipalidad de|municipio de)\\s+', '') AS nombre FROM (SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'Ilustre Municipalidad de  Ñuñoa' WHEN 1 THEN 'I. MUNICIPALIDAD DE ' || c_name ELSE c_name END AS t FROM customer)", cte=False)
 def s09_municipal_prefix(spark, sf_dir):
     t = F.expr("CASE c_custkey % 3 WHEN 0 THEN 'Ilustre Municipalidad de  Ñuñoa' WHEN 1 THEN concat('I. MUNICIPALIDAD DE ', c_name) ELSE c_name END")
     return A.read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), T.without_municipal_prefix(t).alias("nombre"))
 
 
-@query("SELECT c_custkey AS id, 'https://' || p || regexp_replace(lower(c_name), '[^a-z0-9]+', '', 'g') || t AS url FROM customer, (VALUES ('www.'), ('empleos.'), ('')) a(p), (VALUES ('.cl'), ('.gob.cl')) b(t) WHERE c_custkey % 10 = 0", cte=False)
-def s19_domain_variations(spark, sf_dir):
-    slug = F.regexp_replace(F.lower("c_name"), "[^a-z0-9]+", "")
-    made = F.array(*[F.concat(F.lit(f"https://{p}"), slug, F.lit(t)) for p in ("www.", "empleos.", "") for t in (".cl", ".gob.cl")])
-    return A.read(spark, sf_dir, "customer").where("c_custkey % 10 = 0").select(F.col("c_custkey").alias("id"), F.explode(made).alias("url"))
-
-
-_STRONG, _WEAK = (("/trabaj", 5), ("/empleo", 5), ("/concurso", 4)), (("/page", 3), ("/item", 2))
-_S = " + ".join(f"contains(u, '{k}')::INT * {v}" for k, v in _STRONG)
-_W = " + ".join(f"contains(u, '{k}')::INT * {v}" for k, v in _WEAK)
-
-
-@query(f"SELECT page_id, s + CASE WHEN s < 4 THEN {_W} ELSE 0 END - regexp_matches(u, '/[12][0-9]{{3}}/[0-9]{{1,2}}/')::INT * 10 - contains(u, '/noticia')::INT * 5 - contains(u, '.pdf')::INT * 3 - (length(u) > 120)::INT * 3 AS puntaje FROM (SELECT page_id, lower(url) AS u, {_S.replace('u,', 'lower(url),')} AS s FROM pages)", cte=False)
-def s20_link_score(spark, sf_dir):
-    u = F.lower("url")
-    points = lambda table: sum((F.contains(u, F.lit(k)).cast("int") * v for k, v in table), F.lit(0))
-    strong = points(_STRONG)
-    bad = u.rlike("/[12][0-9]{3}/[0-9]{1,2}/").cast("int") * 10 + F.contains(u, F.lit("/noticia")).cast("int") * 5 + F.contains(u, F.lit(".pdf")).cast("int") * 3 + (F.length(u) > 120).cast("int") * 3
-    return A.read(spark, sf_dir, "pages").select("page_id", (strong + F.when(strong < 4, points(_WEAK)).otherwise(0) - bad).alias("puntaje"))
 
 
 _PHRASES = ("plazo hasta", "hasta el", "cierra el", "recepcion")
@@ -101,12 +77,6 @@ def d03_closing_date(spark, sf_dir):
     return notices(spark, sf_dir).select("id", _first_near(F.col("texto")).cast("string").alias("fecha"))
 
 
-@query(f"SELECT id, CAST(list_min(e) AS VARCHAR) AS desde, CAST(list_max(e) AS VARCHAR) AS hasta FROM (SELECT id, list_filter({_EVERY}, lambda x: x IS NOT NULL) AS e FROM {_N})", cte=False)
-def d09_date_range(spark, sf_dir):
-    e = DT.all_dates(F.coalesce("texto", F.lit("")))
-    return notices(spark, sf_dir).select("id", F.array_min(e).cast("string").alias("desde"), F.array_max(e).cast("string").alias("hasta"))
-
-
 @query(f"SELECT id, {_sql_pesos('texto')} AS pesos FROM (SELECT id, regexp_extract(texto, '\\$ ?([0-9.]+)', 1) AS texto FROM {_N})", cte=False)
 def n01_pesos(spark, sf_dir):
     return notices(spark, sf_dir).select("id", M.pesos(F.regexp_extract("texto", "\\$ ?([0-9.]+)", 1)).alias("pesos"))
@@ -196,18 +166,6 @@ def v04_intake_gate(spark, sf_dir):
     return A.offers(spark, sf_dir).select("id", g["discard"].alias("descarta"), g["reason"].alias("motivo"))
 
 
-@query("""SELECT nivel FROM (SELECT CASE WHEN b * 100.0 / n > 30 OR u * 100.0 / n > 60 THEN 'critical' WHEN b * 100.0 / n > 10 THEN 'warning' ELSE 'ok' END AS nivel FROM (SELECT count(*) AS n, count(*) FILTER (WHERE url_oferta_valida = FALSE) AS b, count(*) FILTER (WHERE fecha_cierre IS NULL) AS u FROM ofertas WHERE activa))""")
-def v27_alert_level(spark, sf_dir):
-    row = A.offers(spark, sf_dir).where("activa").agg(F.count("*").alias("n"), F.count_if(~F.col("url_oferta_valida")).alias("b"), F.count_if(F.col("fecha_cierre").isNull()).alias("u"))
-    return row.select(F.when((F.col("b") * 100.0 / F.col("n") > 30) | (F.col("u") * 100.0 / F.col("n") > 60), "critical").when(F.col("b") * 100.0 / F.col("n") > 10, "warning").otherwise("ok").alias("nivel"))
-
-
-_MOTIVES = (("negativ", "negativo"), ("expired", "vencida"), ("duplicate", "duplicada"), ("missing", "sin_keywords"))
-
-
-@query(f"SELECT id, {_case('reason', _MOTIVES, chr(39) + 'otro' + chr(39))} AS motivo FROM evaluaciones")
-def v29_legacy_motive(spark, sf_dir):
-    return A.evaluations(spark, sf_dir).select("id", L.first_key(F.col("reason"), _MOTIVES, "otro").alias("motivo"))
 
 
 @query("""SELECT c.id, coalesce(a.fuente_id, b.fuente_id) AS fuente_id FROM (SELECT id, plataforma_empleo, regexp_replace(lower(regexp_extract(url_empleo, '^[a-z]+://([^/]+)', 1)), '^www\\.', '') AS host FROM instituciones) c LEFT JOIN (VALUES ('WordPress', 1), ('Trabajando', 2)) a(nombre, fuente_id) ON a.nombre = c.plataforma_empleo LEFT JOIN (VALUES ('empleo7.cl', 3), ('empleo8.cl', 4)) b(host, fuente_id) ON b.host = c.host""")
@@ -233,13 +191,6 @@ def j15_override_join(spark, sf_dir):
     return A.institutions(spark, sf_dir).select("id").join(F.broadcast(o), "id", "left").select("id", F.coalesce("status", F.lit("active")).alias("status"))
 
 
-_LAWS = (("region 1", "Ley A"), ("servicio", "Ley B"))
-
-
-@query(f"SELECT id, coalesce({_case('lower(institucion_nombre)', _LAWS)}, CASE WHEN sector = 'Salud' THEN 'Ley S' ELSE 'Ley general' END) AS ley FROM ofertas")
-def j13_law_lookup(spark, sf_dir):
-    default = F.when(F.col("sector") == "Salud", "Ley S").otherwise("Ley general")
-    return A.offers(spark, sf_dir).select("id", F.coalesce(L.first_key(F.lower("institucion_nombre"), _LAWS), default).alias("ley"))
 
 
 @query()
@@ -262,11 +213,6 @@ def u13_html_candidates(spark, sf_dir):
     return html.candidates(A.read(spark, sf_dir, "pages"))
 
 
-@query("SELECT page_id, trim(regexp_extract(html, '<title>([^<]*)</title>', 1)) AS titulo FROM pages", cte=False)
-def l09_page_title(spark, sf_dir):
-    return A.read(spark, sf_dir, "pages").select("page_id", F.trim(F.regexp_extract("html", "<title>([^<]*)</title>", 1)).alias("titulo"))
-
-
 @query("SELECT page_id, len(list_distinct(regexp_extract_all(html, '[A-Za-z0-9._+-]+@[A-Za-z0-9-]+\\.[A-Za-z.]+'))) AS correos FROM pages", cte=False)
 def l11_emails(spark, sf_dir):
     found = F.array_distinct(F.regexp_extract_all("html", F.lit("[A-Za-z0-9._+-]+@[A-Za-z0-9-]+\\.[A-Za-z.]+"), F.lit(0)))

@@ -103,12 +103,6 @@ def s30_long_date(spark, sf_dir):
     return A.offers(spark, sf_dir).select("id", DT.long_date(F.col("fecha_cierre")).alias("fecha"))
 
 
-@query("SELECT c_custkey AS id, regexp_matches(mail, '^[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}$') AS ok FROM (SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'a.b@correo.cl' WHEN 1 THEN 'sin-arroba' WHEN 2 THEN 'x@y' ELSE c_name || '@mail.com' END AS mail FROM customer)", cte=False)
-def s28_email(spark, sf_dir):
-    mail = F.expr("CASE c_custkey % 4 WHEN 0 THEN 'a.b@correo.cl' WHEN 1 THEN 'sin-arroba' WHEN 2 THEN 'x@y' ELSE concat(c_name, '@mail.com') END")
-    return A.read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), T.email_ok(mail).alias("ok"))
-
-
 #: A notice text with dates and amounts, alike in Spark and DuckDB.
 NOTICE = """CASE o_orderkey % 6 WHEN 0 THEN concat('Plazo hasta el ', CAST(day(o_orderdate) AS VARCHAR(9)), '/', CAST(month(o_orderdate) AS VARCHAR(9)), '/', CAST(year(o_orderdate) AS VARCHAR(9)), ' y renta de $ 1.2', CAST(o_orderkey % 10 AS VARCHAR(9)), '0.000 mensual')
  WHEN 1 THEN concat('Cierra el ', CAST(day(o_orderdate) AS VARCHAR(9)), ' de ', CASE month(o_orderdate) WHEN 1 THEN 'enero' WHEN 2 THEN 'Febrero' WHEN 5 THEN 'mayo' WHEN 9 THEN 'septiembre' ELSE 'brumario' END, ' de ', CAST(year(o_orderdate) AS VARCHAR(9)))

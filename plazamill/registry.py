@@ -1,6 +1,6 @@
 """All queries of the library proper with the SQL that says the same."""
 
-from plazamill.plans import aggregates, base, extras, listing, more, policy, scalars, state  # noqa: F401  (they register)
+from plazamill.plans import aggregates, base, extras, labels, listing, more, policy, scalars, state  # noqa: F401  (they register)
 
 QUERIES = base.QUERIES
 SQL = base.SQL

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from plazamill.context import OFFERS
 from plazamill.functions import text as T
@@ -78,35 +76,6 @@ def d11_last_date(spark, sf_dir):
     return notices(spark, sf_dir).select("id", DT.first_date(last).cast("string").alias("fecha"))
 
 
-PAY = StructType([StructField("amount", LongType()), StructField("score", DoubleType()), StructField("status", StringType())])
-
-
-@query()
-def n03_context_pay(spark, sf_dir):
-    """Amounts scored by the words within 80 characters: 3 a good one, -2 a bad one; the best of 250 000 or more wins.
-    Offsets of matches have no native function, so an Arrow batch of texts at a time is scanned."""
-
-    @F.pandas_udf(PAY)
-    def best(texts: pd.Series) -> pd.DataFrame:
-        import re
-
-        good, bad = ("renta", "sueldo", "remuneracion", "mensual"), ("presupuesto", "anual", "monto total")
-        out = []
-        for t in texts.fillna("").str.lower():
-            found = []
-            for m in re.finditer(r"\$\s*(\d{1,3}(?:\.\d{3})+)", t):
-                n, near = int(m[1].replace(".", "")), t[max(0, m.start() - 80) : m.end() + 80]
-                p, q = sum(w in near for w in good), sum(w in near for w in bad)
-                if n >= 250_000:
-                    found.append((3 * p - 2 * q, p - q, -n))
-            if not found:
-                out.append((None, None, "none"))
-                continue
-            score, _, n = max(found)
-            out.append((-n, float(score), "rejected" if -n >= 15_000_000 or score < 0 else "doubtful" if -n >= 10_000_000 or score == 0 else "ok"))
-        return pd.DataFrame(out, columns=["amount", "score", "status"])
-
-    return notices(spark, sf_dir).withColumn("p", best("texto")).select("id", "p.amount", "p.score", "p.status")
 
 
 @query("SELECT user_id % 20 AS run_id, count(*) AS instituciones, sum((event_type = 'purchase')::BIGINT)::BIGINT AS nuevas, sum((event_type = 'error')::BIGINT)::BIGINT AS errores FROM events GROUP BY 1", cte=False)

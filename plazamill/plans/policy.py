@@ -213,12 +213,6 @@ def u13_html_candidates(spark, sf_dir):
     return html.candidates(A.read(spark, sf_dir, "pages"))
 
 
-@query("SELECT page_id, len(list_distinct(regexp_extract_all(html, '[A-Za-z0-9._+-]+@[A-Za-z0-9-]+\\.[A-Za-z.]+'))) AS correos FROM pages", cte=False)
-def l11_emails(spark, sf_dir):
-    found = F.array_distinct(F.regexp_extract_all("html", F.lit("[A-Za-z0-9._+-]+@[A-Za-z0-9-]+\\.[A-Za-z.]+"), F.lit(0)))
-    return A.read(spark, sf_dir, "pages").select("page_id", F.size(found).cast("long").alias("correos"))
-
-
 # --- named queries
 
 

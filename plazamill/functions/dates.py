@@ -78,3 +78,36 @@ def date_range(text: Column) -> Column:
     date = lambda c: F.try_to_date(F.replace(c, F.lit("/"), F.lit("-")), "d-M-yyyy")
     part = lambda g, i: date(F.when(both, F.regexp_extract(t, pair, g)).otherwise(F.get(found, i)))
     return F.struct(part(1, F.lit(0)).alias("start"), part(2, F.size(found) - 1).alias("stop"))
+
+
+#: The months of contextual dates, folded.
+MONTH_NAMES = {"enero": 1, "febrero": 2, "marzo": 3, "abril": 4, "mayo": 5, "junio": 6, "julio": 7, "agosto": 8, "septiembre": 9, "setiembre": 9, "octubre": 10, "noviembre": 11, "diciembre": 12}
+#: A date in folded text, by order; the first form that occurs decides, even if it is no date.
+FORMS = (("\\b([0-9]{4})-([0-9]{1,2})-([0-9]{1,2})\\b", (1, 2, 3)), ("\\b([0-9]{1,2})/([0-9]{1,2})/([0-9]{4})\\b", (3, 2, 1)), ("\\b([0-9]{1,2})-([0-9]{1,2})-([0-9]{4})\\b", (3, 2, 1)), ("\\b([0-9]{1,2})\\.([0-9]{1,2})\\.([0-9]{4})\\b", (3, 2, 1)))
+NAMED = "\\b([0-9]{1,2})\\s+de\\s+([a-z]+)(?:\\s+de\\s+([0-9]{4}))?\\b"
+
+
+def date_in(folded: Column, today: Column, future: bool) -> Column:
+    """The date that folded text holds. A day and month without a year takes the year of last, this and next year that
+    lies within [-30, +365] days: the earliest to come if `future`, else the nearest."""
+    month = F.try_element_at(F.create_map(*[F.lit(x) for kv in MONTH_NAMES.items() for x in kv]), F.regexp_extract(folded, NAMED, 2))
+    day, year = F.regexp_extract(folded, NAMED, 1), F.regexp_extract(folded, NAMED, 3)
+    near = F.filter(F.array_compact(F.array(*[day_of((F.year(today) + k).cast("string"), month.cast("string"), day) for k in (-1, 0, 1)])), lambda x: F.datediff(x, today).between(-30, 365))
+    nearest = F.array_min(F.transform(near, lambda x: F.struct(F.abs(F.datediff(x, today)).alias("off"), x.alias("day"))))["day"]
+    inferred = F.coalesce(F.array_min(F.filter(near, lambda x: x >= today)), nearest) if future else nearest
+    named = F.when(month.isNull(), None).when(year != "", day_of(year, month.cast("string"), day)).otherwise(inferred)
+    out = F.when(folded.rlike(NAMED), named)
+    for pattern, groups in reversed(FORMS):
+        out = F.when(folded.rlike(pattern), day_of(*[F.regexp_extract(folded, pattern, g) for g in groups])).otherwise(out)
+    return out
+
+
+def labelled_dates(folded: Column, labels, today: Column, future: bool) -> Column:
+    """array<date>: for every occurrence of every label the date within 120 characters from its start."""
+
+    def of(label: str) -> Column:
+        parts = F.split(folded, label.replace(".", "\\."), -1)
+        starts = F.transform(F.slice(parts, F.lit(1), F.size(parts) - 1), lambda x, i: F.aggregate(F.slice(parts, 1, i + 1), i * len(label), lambda a, y: a + F.length(y)))
+        return F.transform(starts, lambda s: date_in(F.substring(folded, s + 1, F.lit(120)), today, future))
+
+    return F.array_compact(F.concat(*[of(x) for x in labels]))

@@ -179,7 +179,3 @@ def t22_autocomplete(spark, sf_dir):
     return rows.orderBy("id").limit(8)
 
 
-@query("SELECT id, CASE WHEN institucion_id % 50 = 1 THEN 'fijo' WHEN contains(signals_json, '\"k\": 7') THEN 'señal' WHEN platform = 'wordpress' THEN 'wordpress' ELSE 'generico' END AS perfil FROM evaluaciones")
-def j11_profile_cascade(spark, sf_dir):
-    c = F.col
-    return A.evaluations(spark, sf_dir).select("id", F.when(c("institucion_id") % 50 == 1, "fijo").when(F.contains(c("signals_json"), F.lit('"k": 7')), "señal").when(c("platform") == "wordpress", "wordpress").otherwise("generico").alias("perfil"))

@@ -102,12 +102,6 @@ _V21 = f"""SELECT id, CASE WHEN url_empleo IS NULL AND id % 2 = 0 THEN 'broken'
  CASE WHEN url_empleo IS NULL AND id % 2 = 0 OR {_JS} THEN 'skip' WHEN {_CEN} THEN 'empleos_publicos' WHEN contains(p, 'trabajando') THEN 'custom_trabajando' WHEN contains(p, 'wordpress') THEN 'wordpress' WHEN contains(p, 'propia') THEN 'generic' ELSE 'skip' END AS kind FROM (SELECT *, {sql_normal('plataforma_empleo')} AS p FROM instituciones)"""
 
 
-@query(_V21)
-def v21_source_status(spark, sf_dir):
-    s = _status(A.institutions(spark, sf_dir))
-    return s.select("id", "s.status", "s.kind")
-
-
 def _status(i):
     has_url = F.col("url_empleo").isNotNull() | (F.col("id") % 2 != 0)
     return i.withColumn("s", P.source_status(T.normal(F.col("plataforma_empleo")), F.expr(_VER), F.expr(_CEN), has_url, F.expr(_JS)))
@@ -137,27 +131,12 @@ def v24_cooldown_partition(spark, sf_dir):
 _OPEN, _SHUT = "id % 4 = 1", "id % 6 = 1"
 
 
-@query(f"""SELECT id, CASE WHEN inicio < {D} THEN 'expired_confirmed' WHEN inicio IS NOT NULL THEN 'open_confirmed' WHEN fecha_cierre < {D} THEN 'expired_confirmed' WHEN fecha_cierre IS NOT NULL THEN 'open_confirmed' WHEN {_SHUT} AND NOT {_OPEN} THEN 'expired_confirmed' WHEN {_OPEN} AND NOT {_SHUT} THEN 'open_confirmed' WHEN {_OPEN} AND {_SHUT} THEN 'manual_review'
- WHEN id % 2 = 0 AND {D} - fecha_publicacion > 90 AND url_bases IS NULL THEN 'expired_by_publication_age' ELSE 'unknown_validity' END AS status FROM (SELECT *, fecha_inicio AS inicio FROM ofertas)""")
-def v14_validity(spark, sf_dir):
-    n = lambda e: F.expr(f"CAST({e} AS INT)")
-    v = P.validity(F.col("fecha_inicio"), F.col("fecha_cierre"), F.col("fecha_publicacion"), n(_OPEN), n(_SHUT), F.col("id") % 2 == 0, F.col("url_bases").isNotNull(), OFFERS.day)
-    return A.offers(spark, sf_dir).select("id", v["status"].alias("status"))
-
-
 _AV = "CASE id % 9 WHEN 0 THEN 'js_required' WHEN 1 THEN 'timeout' ELSE 'ok' END"
 _PG = "CASE id % 7 WHEN 0 THEN 'document_page' WHEN 1 THEN 'ats_external' WHEN 2 THEN 'wordpress_post' WHEN 3 THEN 'listing_page' ELSE 'general_page' END"
 _RL = "CASE WHEN id % 5 = 0 THEN 'non_job' ELSE 'job' END"
 _VL = "CASE id % 8 WHEN 0 THEN 'expired_by_publication_age' WHEN 1 THEN 'expired_confirmed' ELSE 'open_confirmed' END"
 
 
-@query(f"""SELECT id, CASE WHEN av = 'js_required' THEN CASE WHEN s THEN 'extract' ELSE 'manual_review' END WHEN av <> 'ok' THEN 'source_status_only' WHEN pg = 'document_page' THEN 'extract' WHEN pg = 'ats_external' THEN CASE WHEN s THEN 'extract' ELSE 'manual_review' END WHEN pg LIKE 'wordpress%' AND (rl = 'non_job' OR vl = 'expired_by_publication_age') THEN 'skip' WHEN pg LIKE 'wordpress%' THEN CASE WHEN s THEN 'extract' ELSE 'manual_review' END
- WHEN vl = 'expired_confirmed' THEN 'skip' WHEN pg = 'listing_page' AND NOT s THEN 'manual_review' WHEN s THEN 'extract' WHEN q >= 0.55 THEN 'manual_review' ELSE 'skip' END AS decision FROM (SELECT id, coalesce(quality_score, 0) AS q, coalesce(quality_score, 0) >= 0.75 AS s, {_AV} AS av, {_PG} AS pg, {_RL} AS rl, {_VL} AS vl FROM evaluaciones)""")
-def v19_routing(spark, sf_dir):
-    r = P.route(F.expr(_AV), F.expr(_PG), F.expr(_RL), F.expr(_VL), F.coalesce("quality_score", F.lit(0.0)), F.lit(0.75), F.lit(0.55))
-    return A.evaluations(spark, sf_dir).select("id", r["decision"].alias("decision"))
-
-
 @query(f"""SELECT id, m IS NOT NULL AS descarta, m AS motivo FROM (SELECT id, CASE WHEN trim(coalesce(cargo, '')) = '' THEN 'sin_cargo' WHEN trim(coalesce(url_oferta, '')) = '' THEN 'sin_url' WHEN length(trim(cargo)) < 5 THEN 'cargo_demasiado_corto' WHEN id % 23 = 0 THEN 'politica_rechaza' WHEN fecha_cierre < {D} THEN 'fecha_cierre_vencida' WHEN fecha_cierre >= {D} THEN NULL WHEN {D} - fecha_publicacion > 365 THEN 'publicacion_excede_365_dias' WHEN {D} - fecha_publicacion > 180 THEN 'publicacion_excede_180_dias_sin_cierre' END AS m FROM ofertas)""")
 def v04_intake_gate(spark, sf_dir):
     v = R.vigency(F.col("fecha_publicacion"), F.col("fecha_cierre"), OFFERS.day)

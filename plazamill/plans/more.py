@@ -123,14 +123,6 @@ def d14_deadline_label(spark, sf_dir):
     return A.offers(spark, sf_dir).select("id", label.alias("etiqueta"))
 
 
-@query(f"""SELECT o.id, round(greatest(0.0, 0.30 * (coalesce(o.cargo, '') <> '')::INT + 0.25 * (o.fecha_cierre IS NOT NULL)::INT + 0.20 * (o.url_oferta IS NOT NULL)::INT + 0.10 * (o.renta_bruta_min IS NOT NULL)::INT + 0.15 * (o.region IS NOT NULL)::INT), 4) AS calidad FROM ofertas o""")
-def v11_completeness_score(spark, sf_dir):
-    has = lambda c, w: F.when(c, w).otherwise(0.0)
-    c = F.col
-    score = has(F.coalesce("cargo", F.lit("")) != "", 0.30) + has(c("fecha_cierre").isNotNull(), 0.25) + has(c("url_oferta").isNotNull(), 0.20) + has(c("renta_bruta_min").isNotNull(), 0.10) + has(c("region").isNotNull(), 0.15)
-    return A.offers(spark, sf_dir).select("id", F.round(F.greatest(F.lit(0.0), score), 4).alias("calidad"))
-
-
 @query("SELECT coalesce(a.id, b.id) AS id, coalesce(b.region, a.region) AS region, coalesce(b.freq, a.freq) AS freq, a.id IS NULL AS nueva FROM (SELECT c_custkey AS id, lower(c_name) AS email, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE '' END AS region, 'diaria' AS freq FROM customer WHERE c_custkey % 2 = 0) a FULL JOIN (SELECT c_custkey AS id, lower(c_name) AS email, '' AS region, 'semanal' AS freq FROM customer WHERE c_custkey % 5 = 0) b ON a.email = b.email AND coalesce(a.region, '') = coalesce(b.region, '')", cte=False)
 def k09_subscription_upsert(spark, sf_dir):
     """Null and "" are one value in the composite key."""

@@ -137,16 +137,6 @@ _RL = "CASE WHEN id % 5 = 0 THEN 'non_job' ELSE 'job' END"
 _VL = "CASE id % 8 WHEN 0 THEN 'expired_by_publication_age' WHEN 1 THEN 'expired_confirmed' ELSE 'open_confirmed' END"
 
 
-@query(f"""SELECT id, m IS NOT NULL AS descarta, m AS motivo FROM (SELECT id, CASE WHEN trim(coalesce(cargo, '')) = '' THEN 'sin_cargo' WHEN trim(coalesce(url_oferta, '')) = '' THEN 'sin_url' WHEN length(trim(cargo)) < 5 THEN 'cargo_demasiado_corto' WHEN id % 23 = 0 THEN 'politica_rechaza' WHEN fecha_cierre < {D} THEN 'fecha_cierre_vencida' WHEN fecha_cierre >= {D} THEN NULL WHEN {D} - fecha_publicacion > 365 THEN 'publicacion_excede_365_dias' WHEN {D} - fecha_publicacion > 180 THEN 'publicacion_excede_180_dias_sin_cierre' END AS m FROM ofertas)""")
-def v04_intake_gate(spark, sf_dir):
-    v = R.vigency(F.col("fecha_publicacion"), F.col("fecha_cierre"), OFFERS.day)
-    pay = M.assessed(F.col("renta_bruta_min"), F.col("renta_bruta_max"), F.col("descripcion"))["reason"]
-    g = P.intake(R.minimum_fields(F.col("cargo"), F.col("url_oferta")), F.col("id") % 23 != 0, v, pay, F.length(F.coalesce("descripcion", F.lit(""))) < 80)
-    return A.offers(spark, sf_dir).select("id", g["discard"].alias("descarta"), g["reason"].alias("motivo"))
-
-
-
-
 @query("""SELECT c.id, coalesce(a.fuente_id, b.fuente_id) AS fuente_id FROM (SELECT id, plataforma_empleo, regexp_replace(lower(regexp_extract(url_empleo, '^[a-z]+://([^/]+)', 1)), '^www\\.', '') AS host FROM instituciones) c LEFT JOIN (VALUES ('WordPress', 1), ('Trabajando', 2)) a(nombre, fuente_id) ON a.nombre = c.plataforma_empleo LEFT JOIN (VALUES ('empleo7.cl', 3), ('empleo8.cl', 4)) b(host, fuente_id) ON b.host = c.host""")
 def j10_source_resolution(spark, sf_dir):
     """By extractor, then by host: two small keyed tables, each joined once."""

@@ -246,14 +246,6 @@ _REJECT = ["invalid_institution_reference", "stale_active_offer", "closing_date_
 _REVIEW = ["salary_outlier", "extractor_failed_validation", "missing_validity_signal"]
 
 
-@query(f"""SELECT id, CASE WHEN r[1].a IN ({", ".join(repr(x) for x in _REJECT)}) THEN 'reject' WHEN r[1].a IN ({", ".join(repr(x) for x in _REVIEW)}) THEN CASE WHEN s >= 0.35 THEN 'review' ELSE 'reject' END ELSE 'publish' END AS decision, r[1].a AS primera, array_to_string(list_transform(r, lambda x: x.a), ',') AS motivos, greatest(0.0, s) AS puntaje
- FROM (SELECT id, r, round(1.0 - coalesce(list_sum(list_transform(r, lambda x: x.b)), 0), 4) AS s FROM (SELECT id, list_filter([{", ".join(f"CASE WHEN {c} THEN {{'a': '{n}', 'b': {p}}} END" for c, n, p in _CHECKS)}], lambda x: x IS NOT NULL) AS r FROM ofertas))""")
-def v07_quality_validator(spark, sf_dir):
-    q = R.quality([(F.expr(c), n, p) for c, n, p in _CHECKS], _REJECT, _REVIEW)
-    rows = A.offers(spark, sf_dir).select("id", q.alias("q"))
-    return rows.select("id", "q.decision", F.col("q.primary").alias("primera"), F.col("q.reasons").alias("motivos"), F.col("q.score").alias("puntaje"))
-
-
 _HOURS = "CASE retry_policy " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in R.TIER_HOURS.items()) + " ELSE 12 END"
 
 

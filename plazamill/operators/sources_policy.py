@@ -41,17 +41,6 @@ def thresholds(rows: DataFrame) -> DataFrame:
     return j.withColumn("manual_applied", F.round(manual, 4)).drop(*COLUMNS[1:], "shift")
 
 
-def source_status(platform: Column, verified: Column, central: Column, has_url: Column, js: Column) -> Column:
-    """struct(status, kind): ordered rules over a folded platform name; the first that holds decides."""
-    row = lambda s, k: F.struct(F.lit(s).alias("status") if isinstance(s, str) else s.alias("status"), F.lit(k).alias("kind"))
-    tested = F.when(verified, "active").otherwise("experimental")
-    own = platform.rlike("sitio propio|portal propio|cms|joomla|php|propia")
-    out = F.when(~has_url, row("broken", "skip")).when(js, row("js_required", "skip")).when(central, row("active", "empleos_publicos"))
-    for key, kind in (("trabajando", "custom_trabajando"), ("hiringroom", "custom_hiringroom"), ("buk", "custom_buk"), ("wordpress", "wordpress")):
-        out = out.when(F.contains(platform, F.lit(key)), row(tested, kind))
-    return out.when(own, row(F.when(verified, "active").otherwise("manual_review"), "generic")).otherwise(row("manual_review", "skip"))
-
-
 def tier(status: Column, kind: Column, sector: Column, central: Column, override: Column) -> Column:
     default = (
         F.when(status != "active", "exploratory").when(kind == "empleos_publicos", "critical").when(F.contains(F.lower(F.coalesce(sector, F.lit(""))), F.lit("municip")), "low")
@@ -71,31 +60,6 @@ def cooldown(institution: Column, known: Column, policy: Column, last: Column, z
     )
 
 
-def validity(deadline: Column, closes: Column, published: Column, open_n: Column, expired_n: Column, plain_page: Column, has_bases: Column, today: Column) -> Column:
-    """struct(status, reason): deadline, closing date, text signals, then the age of the publication."""
-    row = lambda s, r=None: F.struct(F.lit(s).alias("status"), F.lit(r).cast("string").alias("reason"))
-    old = F.coalesce(plain_page & (F.datediff(today, published) > 90) & ~has_bases, F.lit(False))
-    return (
-        F.when(deadline < today, row("expired_confirmed", "deadline_passed")).when(deadline.isNotNull(), row("open_confirmed")).when(closes < today, row("expired_confirmed", "closing_date_passed"))
-        .when(closes.isNotNull(), row("open_confirmed")).when((expired_n > 0) & (open_n == 0), row("expired_confirmed", "expired_text_signal")).when((open_n > 0) & (expired_n == 0), row("open_confirmed"))
-        .when((open_n > 0) & (expired_n > 0), row("manual_review", "manual_review_required")).when(old, row("expired_by_publication_age", "publication_too_old")).otherwise(row("unknown_validity"))
-    )
-
-
-def route(availability: Column, page: Column, relevance: Column, validity_: Column, confidence: Column, extract_at: Column, manual_at: Column) -> Column:
-    """struct(decision, reason) of the extractor choice: ten ordered rules and a default."""
-    row = lambda d, r=None: F.struct((F.lit(d) if isinstance(d, str) else d).alias("decision"), (F.lit(r).cast("string") if r is None or isinstance(r, str) else r).alias("reason"))
-    sure = confidence >= extract_at
-    judged = row(F.when(sure, "extract").otherwise("manual_review"), F.when(~sure, "manual_review_required"))
-    wordpress = page.isin("wordpress_post", "wordpress_listing")
-    return (
-        F.when(availability == "js_required", judged).when(availability != "ok", row("source_status_only", availability)).when(page == "document_page", row("extract")).when(page == "ats_external", judged)
-        .when(wordpress & (relevance == "non_job"), row("skip", "not_job_related")).when(wordpress & (validity_ == "expired_by_publication_age"), row("skip", "publication_too_old")).when(wordpress, judged)
-        .when(validity_ == "expired_confirmed", row("skip", "only_expired_calls")).when((page == "listing_page") & ~sure, row("manual_review", "listing_without_offer_detail")).when(sure, row("extract"))
-        .when(confidence >= manual_at, row("manual_review", "manual_review_required")).otherwise(row("skip", "low_confidence"))
-    )
-
-
 def intake(minimum: Column, policy_ok: Column, vigency: Column, pay_reason: Column, body_short: Column) -> Column:
     """struct(discard, reason, review): the first failure decides; pay that can't be believed and short bodies ask for review."""
     reason = F.coalesce(minimum, F.when(~policy_ok, "politica_rechaza"), F.when(vigency["discard"], vigency["reason"]))

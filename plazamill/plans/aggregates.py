@@ -191,15 +191,6 @@ def a22_anomalies(spark, sf_dir):
     return sample.join(rows.groupBy("anomaly").agg(F.count("*").alias("total")), "anomaly").select("anomaly", "total", "id")
 
 
-@query("""SELECT token, rejects, publishes FROM (SELECT token, count(*) FILTER (WHERE quality = 0) AS rejects, count(*) FILTER (WHERE quality = 1) AS publishes FROM (
- SELECT DISTINCT doc_id, quality, unnest(regexp_extract_all(lower(text), '[a-z]{4,}')) AS token FROM documents JOIN labels USING (doc_id)) GROUP BY token) WHERE rejects >= 3 AND rejects >= 3 * publishes ORDER BY rejects DESC, token LIMIT 25""", cte=False)
-def a23_token_mining(spark, sf_dir):
-    docs = A.read(spark, sf_dir, "documents").join(A.read(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
-    tokens = docs.select("quality", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), F.lit(0)))).alias("token"))
-    counts = tokens.groupBy("token").agg(F.count_if(F.col("quality") == 0).alias("rejects"), F.count_if(F.col("quality") == 1).alias("publishes"))
-    return counts.where("rejects >= 3 AND rejects >= 3 * publishes").orderBy(F.desc("rejects"), "token").limit(25).select("token", "rejects", "publishes")
-
-
 @query("SELECT institucion_id, n, publicadas, round(publicadas * 100.0 / n, 1) AS precision_pct FROM (SELECT institucion_id, count(*) AS n, count(*) FILTER (WHERE decision = 'publish') AS publicadas FROM evaluaciones GROUP BY 1) WHERE n >= 5 AND publicadas * 100.0 / n < 70")
 def a25_low_precision(spark, sf_dir):
     rows = A.evaluations(spark, sf_dir).groupBy("institucion_id").agg(F.count("*").alias("n"), F.count_if(F.col("decision") == "publish").alias("publicadas"))

@@ -56,15 +56,6 @@ def f21_state_before_paging(spark, sf_dir):
     return O.page(A.offers(spark, sf_dir).where(O.status(OFFERS) == "upcoming"), [F.asc("id")], 1, 20).select("id")
 
 
-@query("SELECT coalesce(n.k, o.k) AS k, coalesce(n.v, o.v) AS v FROM (VALUES ('a', '1'), ('b', '2')) o(k, v) FULL JOIN (VALUES ('b', '3'), ('c', '4')) n(k, v) ON o.k = n.k")
-def k12_config_upsert(spark, sf_dir):
-    from plazamill.operators import merge
-
-    old, new = spark.createDataFrame([("a", "1"), ("b", "2")], "k string, v string"), spark.createDataFrame([("b", "3"), ("c", "4")], "k string, v string")
-    return merge.upsert(old, new, "k", ["v"]).select("k", "v")
-
-
-
 _LAST = "([0-9]{1,2})/([0-9]{1,2})/([0-9]{4})"
 
 

@@ -49,12 +49,6 @@ def o07_best_evidence(spark, sf_dir):
     return A.evaluations(spark, sf_dir).groupBy("institucion_id").agg(F.min_by("id", F.struct(-F.coalesce("quality_score", F.lit(0.0)), F.col("evaluated_at"), F.col("id"))).alias("mejor"))
 
 
-@query("SELECT min(page_id) AS page_id, substring(coalesce(nullif(url, ''), html), 1, 60) AS clave FROM pages GROUP BY 2", cte=False)
-def w05_first_seen_key(spark, sf_dir):
-    key = F.substring(F.coalesce(F.nullif("url", F.lit("")), "html"), 1, 60)
-    return A.read(spark, sf_dir, "pages").groupBy(key.alias("clave")).agg(F.min("page_id").alias("page_id"))
-
-
 @query("SELECT fuente_id, id FROM (SELECT fuente_id, id, row_number() OVER (PARTITION BY fuente_id ORDER BY fecha_publicacion DESC NULLS LAST, id) AS rn FROM ofertas) WHERE rn <= 20")
 def w10_top_per_group(spark, sf_dir):
     w = Window.partitionBy("fuente_id").orderBy(F.desc_nulls_last("fecha_publicacion"), "id")
@@ -68,23 +62,12 @@ def a25_top_reasons(spark, sf_dir):
     return n.withColumn("rn", F.row_number().over(w)).where("rn <= 3").drop("rn")
 
 
-@query("SELECT institucion_id, count(*) AS n, array_to_string(list_sort(list_distinct(list(coalesce(reason, 'none')))), ',') AS motivos FROM evaluaciones GROUP BY 1")
-def a24_reasons_by_institution(spark, sf_dir):
-    return A.evaluations(spark, sf_dir).groupBy("institucion_id").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set(F.coalesce("reason", F.lit("none")))), ",").alias("motivos"))
-
-
 @query("SELECT event_id, 'k' AS clave, json_extract_string(props, '$.k')::BIGINT AS valor FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL", cte=False)
 def a27_json_map(spark, sf_dir):
     rows = A.read(spark, sf_dir, "events").select("event_id", F.explode(F.from_json("props", "map<string,long>")).alias("clave", "valor"))
     return rows.where("clave = 'k' AND valor IS NOT NULL")
 
 
-@query("SELECT plataforma_empleo AS familia, count(*) AS total, count(*) FILTER (WHERE url_empleo IS NOT NULL AND nombre IS NOT NULL) AS minimos, count(*) FILTER (WHERE activa) AS validas FROM instituciones GROUP BY 1")
-def a28_family_summary(spark, sf_dir):
-    ok = F.col("url_empleo").isNotNull() & F.col("nombre").isNotNull()
-    return A.institutions(spark, sf_dir).groupBy(F.col("plataforma_empleo").alias("familia")).agg(F.count("*").alias("total"), F.count_if(ok).alias("minimos"), F.count_if("activa").alias("validas"))
-
-
 @query("SELECT id, TRY_CAST(json_extract_string(signals_json, '$.k') AS BIGINT) % 7 AS resto FROM evaluaciones")
 def m01_json_access(spark, sf_dir):
     return A.evaluations(spark, sf_dir).select("id", (F.get_json_object("signals_json", "$.k").try_cast("long") % 7).alias("resto"))
@@ -96,12 +79,6 @@ def s07_smart_truncate(spark, sf_dir):
     return A.read(spark, sf_dir, "documents").select("doc_id", F.when(F.length("text") <= 200, F.col("text")).otherwise(cut).alias("corto"))
 
 
-@query("SELECT id, sha1(coalesce(institucion_id::VARCHAR, '') || '|' || " + sql_normal("cargo") + " || '|' || coalesce(fecha_cierre::VARCHAR, '')) AS huella FROM ofertas")
-def s14_fingerprint(spark, sf_dir):
-    blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    return A.offers(spark, sf_dir).select("id", F.sha1(F.concat_ws("|", blank("institucion_id"), T.normal(F.col("cargo")), blank("fecha_cierre"))).alias("huella"))
-
-
 @query("SELECT page_id, CASE WHEN regexp_matches(u, '[?&]page=[0-9]+') THEN regexp_replace(u, '([?&])page=[0-9]+', '\\1page=3') WHEN contains(u, '?') THEN u || '&page=3' ELSE u || '?page=3' END AS url FROM (SELECT page_id, regexp_replace(url, '#.*$', '') AS u FROM pages)", cte=False)
 def s17_set_page(spark, sf_dir):
     u = F.regexp_replace("url", "#.*$", "")
@@ -123,47 +100,18 @@ def d14_deadline_label(spark, sf_dir):
     return A.offers(spark, sf_dir).select("id", label.alias("etiqueta"))
 
 
-@query("SELECT coalesce(a.id, b.id) AS id, coalesce(b.region, a.region) AS region, coalesce(b.freq, a.freq) AS freq, a.id IS NULL AS nueva FROM (SELECT c_custkey AS id, lower(c_name) AS email, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE '' END AS region, 'diaria' AS freq FROM customer WHERE c_custkey % 2 = 0) a FULL JOIN (SELECT c_custkey AS id, lower(c_name) AS email, '' AS region, 'semanal' AS freq FROM customer WHERE c_custkey % 5 = 0) b ON a.email = b.email AND coalesce(a.region, '') = coalesce(b.region, '')", cte=False)
-def k09_subscription_upsert(spark, sf_dir):
-    """Null and "" are one value in the composite key."""
-    c = A.read(spark, sf_dir, "customer").withColumn("email", F.lower("c_name"))
-    old = c.where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("id"), "email", F.when(F.col("c_custkey") % 3 != 0, "").alias("region"), F.lit("diaria").alias("freq"))
-    new = c.where("c_custkey % 5 = 0").select(F.col("c_custkey").alias("n_id"), F.col("email").alias("n_email"), F.lit("").alias("n_region"), F.lit("semanal").alias("n_freq"))
-    same = (F.col("email") == F.col("n_email")) & (F.coalesce("region", F.lit("")) == F.coalesce("n_region", F.lit("")))
-    return old.join(new, same, "full").select(F.coalesce("id", "n_id").alias("id"), F.coalesce("n_region", "region").alias("region"), F.coalesce("n_freq", "freq").alias("freq"), F.col("id").isNull().alias("nueva"))
-
-
 @query("SELECT i.id, coalesce(n.nombre, i.nombre) AS nombre FROM instituciones i LEFT JOIN (SELECT id, upper(nombre) AS nombre FROM instituciones WHERE id % 4 = 0) n ON n.id = i.id")
 def k08_institution_sync(spark, sf_dir):
     i = A.institutions(spark, sf_dir).select("id", "nombre")
     return K.upsert(i, i.where("id % 4 = 0").withColumn("nombre", F.upper("nombre")), "id", ["nombre"], "if_not_null").select("id", "nombre")
 
 
-@query("SELECT i.id, coalesce(c.u, b.u, a.u, i.url_empleo) AS url, CASE WHEN c.u IS NULL AND b.u IS NULL AND a.u IS NULL AND i.url_empleo IS NULL THEN 'muerta' ELSE 'viva' END AS estado FROM instituciones i LEFT JOIN (SELECT id, 'a' AS u FROM instituciones WHERE id % 6 = 0) a USING (id) LEFT JOIN (SELECT id, 'b' AS u FROM instituciones WHERE id % 10 = 0) b USING (id) LEFT JOIN (SELECT id, 'c' AS u FROM instituciones WHERE id % 15 = 0) c USING (id)")
-def k13_catalog_patch(spark, sf_dir):
-    """Three evidence tables; the later wins."""
-    i = A.institutions(spark, sf_dir).select("id", "url_empleo")
-    out = i
-    for name, n in (("a", 6), ("b", 10), ("c", 15)):
-        out = out.join(i.where(F.col("id") % n == 0).select("id", F.lit(name).alias(name)), "id", "left")
-    url = F.coalesce("c", "b", "a", "url_empleo")
-    return out.select("id", url.alias("url"), F.when(url.isNull(), "muerta").otherwise("viva").alias("estado"))
-
-
 @query(f"SELECT o.id, to_json(struct_pack(title := coalesce(o.cargo, 'Sin cargo'), region := coalesce(o.region, i.region, ''), activo := {ACTIVE}))::VARCHAR AS doc {BASE}")
 def p12_json_documents(spark, sf_dir):
     doc = F.to_json(F.struct(F.coalesce("cargo", F.lit("Sin cargo")).alias("title"), F.coalesce("region", "i_region", F.lit("")).alias("region"), O.is_active(OFFERS).alias("activo")))
     return joined(spark, sf_dir).select("id", doc.alias("doc"))
 
 
-@query(f"SELECT i.id, d.dominio FROM instituciones i LEFT JOIN LATERAL (SELECT dominio FROM (VALUES ('customer#00000', 'a.cl'), ('customer#0000001', 'b.cl')) t(k, dominio) WHERE contains(lower(translate(i.nombre, {ACC})), t.k) ORDER BY length(t.k) DESC LIMIT 1) d ON TRUE")
-def p09_web_domain(spark, sf_dir):
-    """The longest catalog key contained in the folded name; the catalog is a fixed short table."""
-    keys = sorted((("customer#00000", "a.cl"), ("customer#0000001", "b.cl")), key=lambda kv: -len(kv[0]))
-    name = F.lower(T.strip_accents(F.col("nombre")))
-    return A.institutions(spark, sf_dir).select("id", F.coalesce(*[F.when(F.contains(name, F.lit(k)), v) for k, v in keys]).alias("dominio"))
-
-
 @query("SELECT min(c_custkey) AS id, lower(c_mktsegment) AS opcion FROM customer WHERE lower(c_mktsegment) LIKE '%u%' GROUP BY 2 ORDER BY id LIMIT 8", cte=False)
 def t22_autocomplete(spark, sf_dir):
     """Case-folded, first seen first."""

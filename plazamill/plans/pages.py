@@ -8,6 +8,7 @@ from plazamill.context import OFFERS
 from plazamill.functions import dates as DT
 from plazamill.functions import tables as TB
 from plazamill.operators import evaluation as E
+from plazamill.operators import sources_policy as P
 from plazamill.sources import adapters as A
 
 from .base import lit, picked, query, sql_any, sql_count
@@ -240,3 +241,9 @@ def v20_source_evaluation(spark, sf_dir):
     )
     out = E.evaluate(pages, OFFERS.today, noise=F.when(F.col("id") % 2 == 0, 0.4).otherwise(0.0))
     return out.withColumns({c: F.col(c).cast("string") for c in ("published", "closes", "deadline")})
+
+
+@query(f"""SELECT id, CASE WHEN id % 29 = 0 THEN 'eventual' WHEN status <> 'active' THEN 'exploratory' WHEN kind = 'empleos_publicos' THEN 'critical' WHEN contains(lower(coalesce(sector, '')), 'municip') THEN 'low' WHEN kind IN ('custom_trabajando', 'custom_hiringroom', 'custom_buk') THEN 'high' WHEN kind IN ('generic', 'wordpress') AND central THEN 'low' ELSE 'medium' END AS tier FROM (SELECT s.*, f.sector FROM ({V21}) s JOIN {dealt_sql('c_custkey', 'customer', sector=SOURCE['sector'])} f USING (id))""", cte=False)
+def v22_frequency_tier(spark, sf_dir):
+    override = F.when(F.col("id") % 29 == 0, " Eventual ").when(F.col("id") % 31 == 0, "nunca")
+    return _sources(spark, sf_dir).select("id", P.tier(F.col("s.status"), F.col("s.kind"), F.col("sector"), F.coalesce("s.central", F.lit(False)), override).alias("tier"))

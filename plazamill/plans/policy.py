@@ -95,25 +95,6 @@ def v18_adaptive_thresholds(spark, sf_dir):
     return P.thresholds(rows).select("id", "band", "extract_applied", "manual_applied")
 
 
-_VER, _CEN, _JS = "id % 3 = 0", "id % 11 = 0", "id % 17 = 0"
-
-
-_V21 = f"""SELECT id, CASE WHEN url_empleo IS NULL AND id % 2 = 0 THEN 'broken' WHEN {_JS} THEN 'js_required' WHEN {_CEN} THEN 'active' WHEN contains(p, 'trabajando') OR contains(p, 'wordpress') THEN CASE WHEN {_VER} THEN 'active' ELSE 'experimental' END WHEN contains(p, 'propia') THEN CASE WHEN {_VER} THEN 'active' ELSE 'manual_review' END ELSE 'manual_review' END AS status,
- CASE WHEN url_empleo IS NULL AND id % 2 = 0 OR {_JS} THEN 'skip' WHEN {_CEN} THEN 'empleos_publicos' WHEN contains(p, 'trabajando') THEN 'custom_trabajando' WHEN contains(p, 'wordpress') THEN 'wordpress' WHEN contains(p, 'propia') THEN 'generic' ELSE 'skip' END AS kind FROM (SELECT *, {sql_normal('plataforma_empleo')} AS p FROM instituciones)"""
-
-
-def _status(i):
-    has_url = F.col("url_empleo").isNotNull() | (F.col("id") % 2 != 0)
-    return i.withColumn("s", P.source_status(T.normal(F.col("plataforma_empleo")), F.expr(_VER), F.expr(_CEN), has_url, F.expr(_JS)))
-
-
-@query(f"""SELECT id, CASE WHEN id % 29 = 0 THEN 'eventual' WHEN status <> 'active' THEN 'exploratory' WHEN kind = 'empleos_publicos' THEN 'critical' WHEN contains(lower(coalesce(sector, '')), 'municip') THEN 'low' WHEN kind IN ('custom_trabajando', 'custom_hiringroom', 'custom_buk') THEN 'high' WHEN kind IN ('generic', 'wordpress') AND id % 11 = 0 THEN 'low' ELSE 'medium' END AS tier FROM (SELECT s.*, i.sector FROM ({_V21}) s JOIN instituciones i USING (id))""")
-def v22_frequency_tier(spark, sf_dir):
-    rows = _status(A.institutions(spark, sf_dir))
-    override = F.when(F.col("id") % 29 == 0, " Eventual ").when(F.col("id") % 31 == 0, "nunca")
-    return rows.select("id", P.tier(F.col("s.status"), F.col("s.kind"), F.col("sector"), F.expr(_CEN), override).alias("tier"))
-
-
 _HOURS = "CASE retry_policy " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in R.TIER_HOURS.items()) + " ELSE 12 END"
 _LATE = "TIMESTAMP '2024-01-30 12:00:00'"
 
@@ -128,36 +109,6 @@ def v24_cooldown_partition(spark, sf_dir):
     return j.select("id", c["reason"].alias("motivo"))
 
 
-_OPEN, _SHUT = "id % 4 = 1", "id % 6 = 1"
-
-
-_AV = "CASE id % 9 WHEN 0 THEN 'js_required' WHEN 1 THEN 'timeout' ELSE 'ok' END"
-_PG = "CASE id % 7 WHEN 0 THEN 'document_page' WHEN 1 THEN 'ats_external' WHEN 2 THEN 'wordpress_post' WHEN 3 THEN 'listing_page' ELSE 'general_page' END"
-_RL = "CASE WHEN id % 5 = 0 THEN 'non_job' ELSE 'job' END"
-_VL = "CASE id % 8 WHEN 0 THEN 'expired_by_publication_age' WHEN 1 THEN 'expired_confirmed' ELSE 'open_confirmed' END"
-
-
-@query("""SELECT c.id, coalesce(a.fuente_id, b.fuente_id) AS fuente_id FROM (SELECT id, plataforma_empleo, regexp_replace(lower(regexp_extract(url_empleo, '^[a-z]+://([^/]+)', 1)), '^www\\.', '') AS host FROM instituciones) c LEFT JOIN (VALUES ('WordPress', 1), ('Trabajando', 2)) a(nombre, fuente_id) ON a.nombre = c.plataforma_empleo LEFT JOIN (VALUES ('empleo7.cl', 3), ('empleo8.cl', 4)) b(host, fuente_id) ON b.host = c.host""")
-def j10_source_resolution(spark, sf_dir):
-    """By extractor, then by host: two small keyed tables, each joined once."""
-    by_name = spark.createDataFrame([("WordPress", 1), ("Trabajando", 2)], "n string, f1 int")
-    by_host = spark.createDataFrame([("empleo7.cl", 3), ("empleo8.cl", 4)], "h string, f2 int")
-    i = A.institutions(spark, sf_dir).select("id", "plataforma_empleo", T.host(F.col("url_empleo")).alias("host"))
-    j = i.join(F.broadcast(by_name), i["plataforma_empleo"] == by_name["n"], "left").join(F.broadcast(by_host), F.col("host") == by_host["h"], "left")
-    return j.select("id", F.coalesce("f1", "f2").alias("fuente_id"))
-
-
-@query("""SELECT id, coalesce(x.m, d.m) AS modulo FROM instituciones i LEFT JOIN (VALUES ('WordPress', 'wp'), ('Propia', 'generico')) x(p, m) ON x.p = i.plataforma_empleo CROSS JOIN (VALUES ('comodin')) d(m)""")
-def j14_runtime_dispatch(spark, sf_dir):
-    exact = spark.createDataFrame([("WordPress", "wp"), ("Propia", "generico")], "p string, m string")
-    i = A.institutions(spark, sf_dir)
-    return i.join(F.broadcast(exact), i["plataforma_empleo"] == exact["p"], "left").select("id", F.coalesce("m", F.lit("comodin")).alias("modulo"))
-
-
-@query("SELECT i.id, coalesce(o.status, 'active') AS status FROM instituciones i LEFT JOIN (VALUES (5, 'blocked'), (10, 'manual_review')) o(id, status) ON o.id = i.id")
-def j15_override_join(spark, sf_dir):
-    o = spark.createDataFrame([(5, "blocked"), (10, "manual_review")], "id long, status string")
-    return A.institutions(spark, sf_dir).select("id").join(F.broadcast(o), "id", "left").select("id", F.coalesce("status", F.lit("active")).alias("status"))
 
 
 

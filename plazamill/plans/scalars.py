@@ -236,16 +236,6 @@ def v03_policy_score(spark, sf_dir):
     return rows.select("id", p.alias("p")).select("id", "p.score", F.col("p.accept").alias("acepta"), F.array_join("p.reasons", ",").alias("codigos"))
 
 
-_CHECKS = [
-    ("cargo IS NULL", "extractor_failed_validation", 0.5), ("trim(coalesce(institucion_nombre, '')) = '' AND institucion_id IS NULL", "invalid_institution_reference", 0.5), ("url_oferta IS NULL", "missing_publishable_url", 0.6),
-    ("fecha_cierre IS NULL AND estado <> 'activo'", "missing_validity_signal", 0.6), ("fecha_cierre < fecha_publicacion", "extractor_failed_validation", 0.5), (f"fecha_cierre < {D} AND estado = 'activo'", "stale_active_offer", 0.8),
-    (f"fecha_cierre < {D} AND estado <> 'activo'", "closing_date_passed", 0.8), ("renta_bruta_max > 15000000 OR renta_bruta_max < 250000", "salary_outlier", 0.7),
-    ("(renta_bruta_max IS NULL OR renta_bruta_max BETWEEN 250000 AND 15000000) AND renta_bruta_min < 250000", "salary_outlier", 0.4),
-]
-_REJECT = ["invalid_institution_reference", "stale_active_offer", "closing_date_passed", "missing_publishable_url"]
-_REVIEW = ["salary_outlier", "extractor_failed_validation", "missing_validity_signal"]
-
-
 _HOURS = "CASE retry_policy " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in R.TIER_HOURS.items()) + " ELSE 12 END"
 
 

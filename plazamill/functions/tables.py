@@ -227,3 +227,48 @@ LAWS = (
     ("CORFO", "DFL 211 (Hacienda)", "Ley Orgánica de CORFO", "4804"),
     ("Servicio de Salud", "DFL 1 (Salud, 2005)", "Ley que fija texto refundido del DL 2.763 (Salud)", "249177"),
 )
+#: Words of titles that stay in capitals.
+TITLE_CAPITALS = (
+    "rrhh", "tic", "ti", "qa", "ux", "ui", "it", "pm", "api", "sql", "sap", "erp", "crm", "bi", "seo", "sem", "upc", "uci", "sapu", "aps", "slep", "cmsc", "sence", "minsal", "mineduc", "minvu",
+    "mop", "mma", "mtt", "segpres", "cft", "ip", "dgac", "conaf", "sernac", "sernapesca", "sernatur", "sernam", "indap", "inia", "corfo", "fosis", "sii", "srcei", "sag", "sml", "senama",
+    "senapred", "ffaa", "pdi", "gope", "dmc", "dom", "dideco", "daem", "dgac", "oirs", "asistente", "eus", "esu", "eur", "icp", "etcp", "hep", "ii", "iii", "iv", "v", "vi", "vii", "viii", "ix",
+    "x",
+)
+#: Words of titles with a spelling of their own.
+TITLE_PROPER = {
+    "chile": "Chile", "santiago": "Santiago", "valparaiso": "Valparaíso", "biobio": "Biobío", "araucania": "Araucanía", "o'higgins": "O'Higgins", "nuble": "Ñuble", "magallanes": "Magallanes",
+    "aysen": "Aysén", "tarapaca": "Tarapacá", "antofagasta": "Antofagasta", "coquimbo": "Coquimbo", "maule": "Maule", "los": "Los", "rios": "Ríos", "lagos": "Lagos", "excel": "Excel",
+    "python": "Python", "java": "Java", "javascript": "JavaScript", "typescript": "TypeScript", "react": "React", "node": "Node", "aws": "AWS", "power": "Power", "office": "Office",
+}
+#: Words that stay small inside a title.
+TITLE_SMALL = (
+    "de", "del", "la", "las", "el", "los", "y", "e", "en", "para", "con", "por", "al", "a", "o", "u", "sin",
+)
+#: Words of titles that take accents.
+TITLE_ACCENTS = {
+    "tecnico": "técnico", "tecnica": "técnica", "administracion": "administración", "organizacion": "organización", "enfermeria": "enfermería", "campana": "campaña",
+    "imagenologia": "imagenología", "farmacia": "farmacia", "gestion": "gestión", "publica": "pública", "analisis": "análisis", "clinica": "clínica", "logistica": "logística",
+    "academica": "académica", "programacion": "programación",
+}
+#: Words whose full stop ends no sentence.
+ABBREVIATIONS = (
+    "dr", "dra", "drs", "sr", "sra", "srta", "srs", "sres", "sras", "prof", "ing", "lic", "arq", "téc", "tec", "mag", "mg", "mgr", "ph", "phd", "univ", "u", "ud", "uds", "dn", "don", "doña",
+    "dona", "art", "n", "no", "núm", "num", "cap", "pág", "pag", "av", "avda", "cía", "cia", "ltda", "spa", "depto", "dpto", "fac", "adm", "admin", "asist", "aux", "eus", "esu", "apu", "apr",
+    "apt", "slep", "cmsc", "sercotec", "minsal", "mineduc", "minjus",
+)
+#: Search terms and what they also find.
+SYNONYMS = {
+    "RRHH": ("Recursos Humanos", "Gestión de Personas", "Capital Humano"), "Recursos Humanos": ("RRHH", "Gestión de Personas", "Capital Humano"),
+    "TI": ("Tecnología", "Informática", "Sistemas", "IT", "Computación"), "Informática": ("TI", "Tecnología", "Sistemas", "IT"), "IT": ("TI", "Tecnología", "Informática", "Sistemas"),
+    "Contabilidad": ("Contable", "Finanzas", "Contador"), "Contador": ("Contabilidad", "Contable", "Finanzas"), "Abogado": ("Jurídico", "Legal", "Derecho"),
+    "Legal": ("Abogado", "Jurídico", "Derecho"), "Jurídico": ("Abogado", "Legal", "Derecho"), "Enfermería": ("Enfermera", "Enfermero", "TENS"), "TENS": ("Técnico en Enfermería", "Enfermería"),
+    "Psicólogo": ("Psicología", "Salud Mental"), "Psicología": ("Psicólogo", "Salud Mental"), "Asistente Social": ("Trabajo Social", "Trabajadora Social", "Trabajador Social"),
+    "Trabajo Social": ("Asistente Social", "Trabajadora Social"), "Ingeniero": ("Ingeniería", "Ingeniera"), "Ingeniera": ("Ingeniería", "Ingeniero"),
+    "Administrativo": ("Administrativa", "Administración", "Secretaria"), "Secretaria": ("Secretario", "Administrativo", "Administrativa"),
+    "Médico": ("Medicina", "Doctor", "Doctora", "Médica"), "Kinesiólogo": ("Kinesiología", "Kinesióloga"), "Nutricionista": ("Nutrición",), "Odontólogo": ("Odontología", "Dentista"),
+    "Paramédico": ("Paramédica", "TENS"), "Matrona": ("Matrón", "Obstetricia"), "Conductor": ("Chofer",), "Chofer": ("Conductor",), "Auxiliar": ("Auxiliar de Servicio", "Auxiliar de Aseo"),
+    "Planta": ("Titular", "Titularidad"), "Contrata": ("Contrato a contrata",), "Honorarios": ("Honorario", "A honorarios", "Boleta de honorarios"), "ADP": ("Alta Dirección Pública",),
+    "Municipalidad": ("Municipio", "Municipal", "Ilustre Municipalidad"), "Municipio": ("Municipalidad", "Municipal"),
+}
+#: Acronyms of titles that always stand in capitals.
+TITLE_ACRONYMS = ("SLEP", "CMSC", "SENCE", "MINSAL", "MINEDUC", "MINVU", "SEGPRES", "CFT", "DGAC", "CONAF", "CORFO", "FOSIS", "SII", "SRCEI", "SAG", "SML", "SENAMA", "SENAPRED", "FFAA", "PDI", "DAEM", "DIDECO", "DOM", "OIRS", "IP", "UCI", "UPC", "SAPU", "APS", "EUS", "ESU", "RRHH", "TIC", "ERP", "CRM", "API", "SQL")

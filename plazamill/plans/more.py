@@ -112,10 +112,3 @@ def p12_json_documents(spark, sf_dir):
     return joined(spark, sf_dir).select("id", doc.alias("doc"))
 
 
-@query("SELECT min(c_custkey) AS id, lower(c_mktsegment) AS opcion FROM customer WHERE lower(c_mktsegment) LIKE '%u%' GROUP BY 2 ORDER BY id LIMIT 8", cte=False)
-def t22_autocomplete(spark, sf_dir):
-    """Case-folded, first seen first."""
-    rows = A.read(spark, sf_dir, "customer").where(F.lower("c_mktsegment").like("%u%")).groupBy(F.lower("c_mktsegment").alias("opcion")).agg(F.min("c_custkey").alias("id"))
-    return rows.orderBy("id").limit(8)
-
-

@@ -121,13 +121,6 @@ def j08_fuzzy_names(spark, sf_dir):
     return fuzzy.best_match(names, c, "nombre", "c_custkey", "c_name")
 
 
-@query(f"""SELECT doc_id, list_has_all(string_split(t, ' '), ['the', 'that']) AS coincide FROM (SELECT doc_id, {sql_normal('text')} AS t FROM documents)""", cte=False)
-def t20_token_match(spark, sf_dir):
-    """AND of folded tokens; stems aren't applied."""
-    tokens = F.split(T.normal(F.col("text")), " ")
-    return docs(spark, sf_dir).select("doc_id", (F.array_contains(tokens, "the") & F.array_contains(tokens, "that")).alias("coincide"))
-
-
 @query()
 def u13_html_candidates(spark, sf_dir):
     return html.candidates(A.read(spark, sf_dir, "pages"))

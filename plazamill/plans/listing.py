@@ -225,19 +225,6 @@ def j07_not_any_seen(spark, sf_dir):
     return A.offers(spark, sf_dir).where("fuente_id = 2 AND activa").join(seen, "id", "left_anti").select("id")
 
 
-@query(f"""SELECT sub.id AS sub_id, o.id AS offer_id, row_number() OVER (PARTITION BY sub.id ORDER BY o.fecha_publicacion DESC NULLS LAST, o.id) AS pos
- FROM (SELECT c_custkey AS id, CASE WHEN c_custkey % 2 = 0 THEN 'Region ' || (c_custkey % 16)::VARCHAR END AS region, CASE WHEN c_custkey % 3 = 0 THEN 'urgent' END AS termino FROM customer WHERE c_custkey % 50 = 0) sub
- JOIN ofertas o ON (sub.region IS NULL OR o.region ILIKE '%' || sub.region || '%') AND (sub.termino IS NULL OR o.cargo ILIKE '%' || sub.termino || '%') AND {SEEN} >= {NOW} - INTERVAL 240 HOUR AND {SEEN} <= {NOW} AND {ACTIVE} QUALIFY pos <= 20""")
-def j12_alert_matches(spark, sf_dir):
-    """Subscriptions are few beside postings: the fresh postings of one day meet them by their criteria."""
-    sub = A.read(spark, sf_dir, "customer").where("c_custkey % 50 = 0").selectExpr("c_custkey AS sub_id", "CASE WHEN c_custkey % 2 = 0 THEN concat('Region ', c_custkey % 16) END AS s_region", "CASE WHEN c_custkey % 3 = 0 THEN 'urgent' END AS s_term")
-    fresh = A.offers(spark, sf_dir).where(O.is_active(OFFERS) & (O.seen_at() >= OFFERS.instant - F.expr("INTERVAL 240 HOURS")) & (O.seen_at() <= OFFERS.instant))
-    meets = lambda want, c: F.col(want).isNull() | F.expr(f"{c} ILIKE concat('%', {want}, '%')")
-    w = Window.partitionBy("sub_id").orderBy(F.desc_nulls_last("fecha_publicacion"), "id")
-    hits = fresh.join(sub, meets("s_region", "region") & meets("s_term", "cargo"))
-    return hits.withColumn("pos", F.row_number().over(w)).where("pos <= 20").select("sub_id", F.col("id").alias("offer_id"), "pos")
-
-
 def _page(order: str):
     def run(spark, sf_dir):
         return O.page(A.offers(spark, sf_dir).where(O.is_active(OFFERS)), O.listing_order(order, OFFERS), 2, 25).select("id")

@@ -30,11 +30,15 @@ def month_number(name: Column) -> Column:
 
 
 def first_date(text: Column) -> Column:
-    found = [day_of(*[F.regexp_extract(text, p, g) for g in groups]) for p, groups in PATTERNS]
-    part = lambda g: F.regexp_extract(text, SPANISH, g)
-    month = month_number(part(2))
-    spanish = F.when(month.isNotNull(), day_of(part(3), month.cast("string"), part(1)))
-    return F.coalesce(*found, spanish)
+    """Each pattern is looked for once and its match cut into parts; texts without a digit are done at once."""
+
+    def numeric(pattern: str, groups: tuple[int, int, int]) -> Column:
+        parts = F.split(F.regexp_extract(text, pattern, 0), "[-/.]")
+        return day_of(*[F.get(parts, g - 1) for g in groups])
+
+    words = F.split(F.regexp_extract(text, SPANISH, 0), "(?i)\\s+de\\s+")
+    spanish = F.get(F.transform(F.array(words), lambda w: F.when(month_number(F.get(w, 1)).isNotNull(), day_of(F.get(w, 2), month_number(F.get(w, 1)).cast("string"), F.get(w, 0)))), 0)
+    return F.when(text.rlike("[0-9]"), F.coalesce(*[numeric(p, g) for p, g in PATTERNS], spanish))
 
 
 def all_dates(text: Column) -> Column:

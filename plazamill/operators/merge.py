@@ -19,9 +19,9 @@ def upsert(state: DataFrame, delta: DataFrame, key: str, columns: Iterable[str],
     a delta repeats counts once, by its first row in the order of its columns.
     """
     columns = list(columns)
-    first = Window.partitionBy(key).orderBy(*[F.asc_nulls_last(c) for c in columns])
-    new = delta.select(key, *columns).withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n")
-    new = new.select(F.col(key).alias("__key"), *[F.col(c).alias(f"__{c}") for c in columns])
+    row = F.struct(*[F.col(c).alias(f"__{c}") for c in columns])
+    nulls_last = F.struct(*[x for i, c in enumerate(columns) for x in (F.col(c).isNull().alias(f"n{i}"), F.col(c).alias(f"v{i}"))])
+    new = delta.groupBy(F.col(key).alias("__key")).agg(F.min_by(row, nulls_last).alias("r")).select("__key", "r.*")
     both = state.join(new, F.col(key) == F.col("__key"), "full")
     isnew, touched = F.col(key).isNull(), F.col("__key").isNotNull()
 
@@ -63,15 +63,23 @@ def close_expired(state: DataFrame, today, at, keep_first: bool = True) -> DataF
     return state.withColumn("cerrada_en", F.when(gone, stamp).otherwise(F.col("cerrada_en"))).withColumn("activa", F.col("activa") & ~gone)
 
 
-def sequence_codes(rows: DataFrame, year: str, sector, order: list, counters: DataFrame | None = None) -> DataFrame:
-    """EE-<last three digits of the year>-<sector>-<six digits>, counted on within (year, sector)."""
-    rows = rows.withColumn("__sector", sector)
-    n = F.row_number().over(Window.partitionBy("__sector").orderBy(*order))
+def sequence_codes(rows: DataFrame, year: str, sector, order: list, counters: DataFrame | None = None, slice_=None) -> DataFrame:
+    """EE-<last three digits of the year>-<sector>-<six digits>, counted on within (year, sector).
+
+    slice_: an expression that never falls along the order (a day of its first column, say). Rows are numbered within
+    (sector, slice) and shifted by the rows of the slices before, counted in a table of one row a slice, so a large
+    sector is many tasks; without it a sector is one slice.
+    """
+    rows = rows.withColumn("__sector", sector).withColumn("__slice", F.lit(0) if slice_ is None else slice_)
+    sizes = rows.groupBy(F.col("__sector").alias("__s"), F.col("__slice").alias("__l")).agg(F.count("*").alias("__size"))
+    earlier = Window.partitionBy("__s").orderBy(F.asc_nulls_first("__l")).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("__before", F.coalesce(F.sum("__size").over(earlier), F.lit(0))).drop("__size")
     if counters is not None:
-        last = counters.where(F.col("anio") == year[-3:]).select(F.col("sector").alias("__s"), "ultimo")
-        rows = rows.join(F.broadcast(last), F.col("__sector") == F.col("__s"), "left").drop("__s")  # at most one row per sector code
-        n = n + F.coalesce("ultimo", F.lit(0))
-    return rows.withColumn("codigo", F.concat(F.lit(f"EE-{year[-3:]}-"), F.col("__sector"), F.lit("-"), F.lpad(n.cast("string"), 6, "0"))).drop("__sector", "ultimo")
+        last = counters.where(F.col("anio") == year[-3:]).select(F.col("sector").alias("__c"), "ultimo")
+        sizes = sizes.join(F.broadcast(last), F.col("__s") == F.col("__c"), "left").withColumn("__before", F.col("__before") + F.coalesce("ultimo", F.lit(0))).drop("__c", "ultimo")  # at most one row per sector code
+    n = F.row_number().over(Window.partitionBy("__sector", "__slice").orderBy(*order)) + F.col("__before")
+    rows = rows.join(sizes, F.col("__sector").eqNullSafe(F.col("__s")) & F.col("__slice").eqNullSafe(F.col("__l")))
+    return rows.withColumn("codigo", F.concat(F.lit(f"EE-{year[-3:]}-"), F.col("__sector"), F.lit("-"), F.lpad(n.cast("string"), 6, "0"))).drop("__sector", "__slice", "__s", "__l", "__before")
 
 
 def zero_streak(runs: DataFrame, key: str, order: str, extracted: str, found: str) -> DataFrame:

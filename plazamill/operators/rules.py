@@ -46,18 +46,27 @@ def minimum_fields(title: Column, url: Column) -> Column:
 
 def policy(blob: Column, url: Column, positives: list[str], negative_text: str, negative_url: str, internal: str) -> Column:
     """struct(score, accept, reasons) over folded text: 0.10 a positive word up to 0.75, less 0.45, 0.35, 0.60 and 0.25
-    for a bad URL, bad text, an internal call and too little text."""
-    hits = sum((F.contains(blob, F.lit(p)).cast("int") for p in dict.fromkeys(positives)), F.lit(0))
-    bad_url, bad_text, inside, short = url.rlike(negative_url), blob.rlike(negative_text), blob.rlike(internal), F.length(blob) < 8
-    score = F.least(F.lit(0.75), hits * 0.1) - bad_url.cast("int") * 0.45 - bad_text.cast("int") * 0.35 - inside.cast("int") * 0.6 - short.cast("int") * 0.25
-    accept = (F.round(score, 4) >= 0.2) & (hits > 0) & ~inside
-    reasons = F.array_compact(
-        F.array(
-            F.when(hits > 0, "positive_signals_detected"), F.when(bad_url, "negative_url_pattern"), F.when(bad_text, "negative_text_pattern"), F.when(inside, "internal_only_signal"),
-            F.when(short, "insufficient_text"), F.when(accept, "policy_accept").otherwise("policy_reject"),
-        )
-    )
-    return F.struct(F.round(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), score)), 4).alias("score"), accept.alias("accept"), reasons.alias("reasons"))
+    for a bad URL, bad text, an internal call and too little text.
+
+    The signs are found once, as the one element of an array, and judged from there: used side by side they would be
+    looked for again in every place that names them.
+    """
+    words = F.array(*[F.lit(p) for p in dict.fromkeys(positives)])
+    hits = F.size(F.filter(words, lambda w: F.contains(blob, w)))
+    found = F.array(F.struct(hits.alias("hits"), url.rlike(negative_url).alias("url"), blob.rlike(negative_text).alias("text"), blob.rlike(internal).alias("inside"), (F.length(blob) < 8).alias("short")))
+
+    def judged(x: Column) -> Column:
+        score = F.least(F.lit(0.75), x["hits"] * 0.1) - x["url"].cast("int") * 0.45 - x["text"].cast("int") * 0.35 - x["inside"].cast("int") * 0.6 - x["short"].cast("int") * 0.25
+        accept = (F.round(score, 4) >= 0.2) & (x["hits"] > 0) & ~x["inside"]
+        reasons = F.array_compact(
+            F.array(
+                F.when(x["hits"] > 0, "positive_signals_detected"), F.when(x["url"], "negative_url_pattern"), F.when(x["text"], "negative_text_pattern"), F.when(x["inside"], "internal_only_signal"),
+                F.when(x["short"], "insufficient_text"), F.when(accept, "policy_accept").otherwise("policy_reject"),
+            )
+        )
+        return F.struct(F.round(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), score)), 4).alias("score"), accept.alias("accept"), reasons.alias("reasons"))
+
+    return F.get(F.transform(found, judged), 0)
 
 
 def cooldown_hours(tier: Column) -> Column:

@@ -90,7 +90,7 @@ def k10_bulk_deactivate(spark, sf_dir):
 def w07_sequence_codes(spark, sf_dir):
     counters = spark.createDataFrame([("998", "MUN", 40)], "anio string, sector string, ultimo int")
     sector = R.sector_code(F.lower(T.strip_accents(F.coalesce("sector", F.lit("")))))
-    return K.sequence_codes(A.offers(spark, sf_dir), "1998", sector, [F.asc("creada_en"), F.asc("id")], counters).select("id", "codigo")
+    return K.sequence_codes(A.offers(spark, sf_dir), "1998", sector, [F.asc("creada_en"), F.asc("id")], counters, F.to_date("creada_en")).select("id", "codigo")
 
 
 @query("""SELECT id, institucion_id, (sum((ex AND f = 0)::INT) OVER (PARTITION BY institucion_id, p ORDER BY id))::BIGINT AS ceros FROM (SELECT *, sum((ex AND f > 0)::INT) OVER (PARTITION BY institucion_id ORDER BY id) AS p FROM (SELECT id, institucion_id, decision <> 'review' AS ex, CASE WHEN decision = 'publish' THEN 1 ELSE 0 END AS f FROM evaluaciones))""")

@@ -124,6 +124,9 @@ def dates(html: Column, text: Column, today: Column) -> Column:
     def value(tag: Column, name: str) -> Column:
         return F.nullif(F.regexp_extract(tag, f"(?i)\\b{name}=\"([^\"]*)\"", 1), F.lit(""))
 
+    def stamped(v: Column, future: bool = True) -> Column:
+        return F.coalesce(date_in(key(v), today, future), F.try_to_date(F.regexp_extract(v, "^\\s*([0-9]{4}-[0-9]{2}-[0-9]{2})[Tt ]", 1), "yyyy-MM-dd"))
+
     def best(*groups: tuple[float, Column]) -> Column:
         return F.coalesce(*[F.array_min(d) for _, d in sorted(groups, key=lambda g: -g[0])])
 
@@ -132,7 +135,7 @@ def dates(html: Column, text: Column, today: Column) -> Column:
     def meta(label: str) -> Column:
         names = [k for k, v in META if v == label]
         mine = F.filter(tags, lambda t: key(F.coalesce(value(t, "property"), value(t, "name"), value(t, "itemprop"))).isin(*names))
-        return F.array_compact(F.transform(mine, lambda t: date_in(key(F.coalesce(value(t, "content"), value(t, "value"))), today, True)))
+        return F.array_compact(F.transform(mine, lambda t: stamped(F.coalesce(value(t, "content"), value(t, "value")))))
 
     blocks = F.regexp_extract_all(html, F.lit("(?is)<script\\b[^>]*ld\\+json[^>]*>(.*?)</script>"), F.lit(1))
     maps = "array<map<string,string>>"
@@ -145,10 +148,10 @@ def dates(html: Column, text: Column, today: Column) -> Column:
 
     def linked(*names: str) -> Column:
         found = F.flatten(F.transform(F.filter(every, lambda m: m.isNotNull()), lambda m: F.map_values(F.map_filter(m, lambda k, v: F.lower(k).isin(*names)))))
-        return F.array_compact(F.transform(found, lambda v: date_in(key(v), today, True)))
+        return F.array_compact(F.transform(found, lambda v: stamped(v)))
 
     times = F.regexp_extract_all(html, F.lit("(?is)<time\\b[^>]*>.*?</time>"), F.lit(0))
-    timed = F.array_compact(F.transform(times, lambda t: date_in(key(F.coalesce(value(t, "datetime"), visible(t))), today, False)))
+    timed = F.array_compact(F.transform(times, lambda t: stamped(F.coalesce(value(t, "datetime"), visible(t)), False)))
     return F.struct(
         best((0.95, linked("datepublished", "datecreated", "dateposted")), (0.92, meta("publication")), (0.86, timed), (0.78, labelled_dates(folded, TB.PUBLICATION_LABELS, today, False))).alias("publication"),
         best((0.95, linked("closingdate", "dateclosing")), (0.92, meta("closing")), (0.84, labelled_dates(folded, TB.CLOSING_LABELS, today, True))).alias("closing"),

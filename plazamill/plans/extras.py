@@ -69,11 +69,11 @@ def d11_last_date(spark, sf_dir):
 
 
 
-@query("SELECT user_id % 20 AS run_id, count(*) AS instituciones, sum((event_type = 'purchase')::BIGINT)::BIGINT AS nuevas, sum((event_type = 'error')::BIGINT)::BIGINT AS errores FROM events GROUP BY 1", cte=False)
+@query("SELECT user_id % 20 AS run_id, count(*) AS instituciones, sum((event_type = 'purchase')::BIGINT)::BIGINT AS nuevas, sum((event_type = 'error')::BIGINT)::BIGINT AS errores, '[' || string_agg('{\"institucion\":' || event_id || ',\"nuevas\":' || (event_type = 'purchase')::BIGINT || ',\"errores\":' || (event_type = 'error')::BIGINT || '}', ',' ORDER BY event_id) || ']' AS detalle FROM events GROUP BY 1", cte=False)
 def x13_run_log(spark, sf_dir):
     n = lambda t: (F.col("event_type") == t).cast("long")
     reports = A.read(spark, sf_dir, "events").select((F.col("user_id") % 20).alias("run_id"), F.col("event_id").alias("institucion"), n("purchase").alias("nuevas"), n("error").alias("errores"))
-    return records.run_log(reports).drop("detalle")
+    return records.run_log(reports)
 
 
 @query("SELECT user_id, min(event_id) AS event_id FROM events GROUP BY 1", cte=False)

@@ -106,9 +106,3 @@ def k08_institution_sync(spark, sf_dir):
     return K.upsert(i, i.where("id % 4 = 0").withColumn("nombre", F.upper("nombre")), "id", ["nombre"], "if_not_null").select("id", "nombre")
 
 
-@query(f"SELECT o.id, to_json(struct_pack(title := coalesce(o.cargo, 'Sin cargo'), region := coalesce(o.region, i.region, ''), activo := {ACTIVE}))::VARCHAR AS doc {BASE}")
-def p12_json_documents(spark, sf_dir):
-    doc = F.to_json(F.struct(F.coalesce("cargo", F.lit("Sin cargo")).alias("title"), F.coalesce("region", "i_region", F.lit("")).alias("region"), O.is_active(OFFERS).alias("activo")))
-    return joined(spark, sf_dir).select("id", doc.alias("doc"))
-
-

@@ -37,7 +37,7 @@ def j09_name_cascade(spark, sf_dir):
     return C.name_cascade(names, c, "nombre", "c_custkey", "c_name").select("id", "match_id", "stage")
 
 
-_CAT = "SELECT c_custkey AS id, c_name AS name, CASE WHEN c_custkey % 4 = 0 THEN concat('Sigla larga ', c_custkey) END AS short, CASE WHEN c_custkey % 3 <> 0 THEN concat('sitio', c_custkey % 90, '.cl') END AS domain FROM customer WHERE c_custkey % 2 = 0"
+_CAT = "SELECT c_custkey AS id, c_name AS name, CASE WHEN c_custkey % 4 = 0 THEN concat('Sigla larga ', c_custkey) END AS short, CASE WHEN c_custkey % 6 IN (2, 4) THEN concat('sitio', c_custkey % 90, '.cl') END AS domain FROM customer"
 _ASK = "CASE id % 4 WHEN 0 THEN concat('Dirección de ', nombre, ' central') WHEN 1 THEN upper(nombre) WHEN 2 THEN concat('sigla  larga ', id) ELSE 'otra' END"
 
 
@@ -45,7 +45,7 @@ _ASK = "CASE id % 4 WHEN 0 THEN concat('Dirección de ', nombre, ' central') WHE
  LEFT JOIN (SELECT key, arg_min(domain, (id, o)) AS d FROM (SELECT id, domain, {sql_normal('name')} AS key, 0 AS o FROM ({_CAT}) UNION ALL SELECT id, domain, {sql_normal('short')}, 1 FROM ({_CAT})) WHERE domain IS NOT NULL AND key <> '' GROUP BY key) n ON n.key = r.k
  LEFT JOIN (SELECT a.k, arg_max(b.d, (length(b.key), b.key)) AS d FROM (SELECT DISTINCT {sql_normal('t')} AS k FROM (SELECT {_ASK} AS t FROM instituciones)) a JOIN (SELECT key, arg_min(domain, (id, o)) AS d FROM (SELECT id, domain, {sql_normal('name')} AS key, 0 AS o FROM ({_CAT}) UNION ALL SELECT id, domain, {sql_normal('short')}, 1 FROM ({_CAT})) WHERE domain IS NOT NULL AND length(key) >= 10 GROUP BY key) b ON contains(a.k, b.key) GROUP BY a.k) p ON p.k = r.k""")
 def p09_web_domain(spark, sf_dir):
-    catalog = A.read(spark, sf_dir, "customer").where("c_custkey % 2 = 0").selectExpr("c_custkey AS id", "c_name AS name", "CASE WHEN c_custkey % 4 = 0 THEN concat('Sigla larga ', c_custkey) END AS short", "CASE WHEN c_custkey % 3 <> 0 THEN concat('sitio', c_custkey % 90, '.cl') END AS domain")
+    catalog = A.read(spark, sf_dir, "customer").selectExpr("c_custkey AS id", "c_name AS name", "CASE WHEN c_custkey % 4 = 0 THEN concat('Sigla larga ', c_custkey) END AS short", "CASE WHEN c_custkey % 6 IN (2, 4) THEN concat('sitio', c_custkey % 90, '.cl') END AS domain")
     rows = A.institutions(spark, sf_dir).selectExpr("id", "CASE WHEN id % 5 = 0 THEN id + 1 END AS iid", f"{_ASK} AS t")
     return C.web_domain(rows, catalog, "t", "iid").select("id", F.col("domain").alias("dominio"))
 

@@ -22,10 +22,13 @@ def x01_bound_parameters(spark, sf_dir):
     return spark.sql("SELECT id, cargo FROM plz_ofertas WHERE institucion_id = :inst AND id > :low", args={"inst": 100, "low": 10})
 
 
-@query("SELECT id FROM ofertas WHERE id % 4 = 0 UNION SELECT id FROM ofertas WHERE id % 6 = 0 EXCEPT SELECT id FROM ofertas WHERE id % 24 = 0")
+@query("(SELECT region AS lugar FROM ofertas UNION SELECT ciudad FROM ofertas) EXCEPT (SELECT ciudad FROM ofertas WHERE needs_review INTERSECT SELECT ciudad FROM ofertas WHERE activa)")
 def u01_set_operations(spark, sf_dir):
-    o = A.offers(spark, sf_dir).select("id")
-    return o.where("id % 4 = 0").unionByName(o.where("id % 6 = 0")).distinct().join(o.where("id % 24 = 0"), "id", "left_anti")
+    """Distinct places of either kind, without the towns that stand among both the doubtful and the active offers."""
+    o = A.offers(spark, sf_dir)
+    towns = lambda c: o.where(c).select(F.col("ciudad").alias("lugar"))
+    either = o.select(F.col("region").alias("lugar")).union(o.select("ciudad")).distinct()
+    return either.subtract(towns("needs_review").intersect(towns("activa")))
 
 
 @query("SELECT id, plataforma_empleo FROM instituciones WHERE plataforma_empleo IN ('WordPress', 'Propia') AND activa ORDER BY id LIMIT 25")

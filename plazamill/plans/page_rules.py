@@ -160,7 +160,7 @@ CHECKS = [
 REJECT = ["placeholder_bases_url", "invalid_institution_reference", "stale_active_offer", "listing_page_only", "not_job_related", "closing_date_passed", "missing_publishable_url"]
 REVIEW = ["salary_outlier", "duplicate_candidate", "extractor_failed_validation", "missing_validity_signal", "salary_unit_inconsistent", "contact_channel_ambiguous"]
 _FP = "sha1(coalesce(inst::VARCHAR, nombre, '') || '|' || c || '|' || coalesce(cie::VARCHAR, ''))"
-_SQLV = f"""SELECT *, inst IN (SELECT id FROM instituciones WHERE id % 50 <> 7) AS conocida, c IN ({', '.join(lit(x) for x in TB.LANDING_TITLES)}) AS portada, {sql_any("(c || ' ' || d)", TB.NOT_JOB_MARKERS)} AS ajena, {_UNIT} AS unidad, row_number() OVER (PARTITION BY {_FP} ORDER BY id) > 1 AS repetida FROM ({_K})"""
+_SQLV = f"""SELECT *, inst IN (SELECT id FROM instituciones WHERE activa) AS conocida, c IN ({', '.join(lit(x) for x in TB.LANDING_TITLES)}) AS portada, {sql_any("(c || ' ' || d)", TB.NOT_JOB_MARKERS)} AS ajena, {_UNIT} AS unidad, row_number() OVER (PARTITION BY {_FP} ORDER BY id) > 1 AS repetida FROM ({_K})"""
 
 
 @query(f"""SELECT id, CASE WHEN r[1].a IN ({", ".join(repr(x) for x in REJECT)}) THEN 'reject' WHEN r[1].a IN ({", ".join(repr(x) for x in REVIEW)}) THEN CASE WHEN s >= 0.35 THEN 'review' ELSE 'reject' END ELSE 'publish' END AS decision, r[1].a AS primera, array_to_string(list_transform(r, lambda x: x.a), ',') AS motivos, greatest(0.0, s) AS puntaje
@@ -170,7 +170,7 @@ def v07_quality_validator(spark, sf_dir):
         "id", "institucion_id AS inst", "institucion_nombre AS nombre", "url_oferta AS url", "fecha_publicacion AS pub", "fecha_cierre AS cie", "renta_bruta_min / 4 AS rmin", "renta_bruta_max * 3 AS rmax", "activa", f"{_EST} AS estado", *[f"{e} AS {n}" for n, e in _X.items()]
     )
     rows = rows.withColumns({"c": E.key(F.col("cargo")), "nk": E.key(F.col("nombre")), "d": E.key(F.col("descripcion")), "e": F.coalesce(F.nullif(E.key(F.col("estado")), F.lit("")), F.when(F.col("activa"), "activo").otherwise("")), "unidad": M.unit(F.col("descripcion"))})
-    known = A.institutions(spark, sf_dir).where("id % 50 <> 7").select(F.col("id").alias("known"))
+    known = A.institutions(spark, sf_dir).where("activa").select(F.col("id").alias("known"))
     rows = rows.join(known, F.col("inst") == F.col("known"), "left").withColumn("conocida", F.col("known").isNotNull())
     print_ = F.sha1(F.concat_ws("|", F.coalesce(F.col("inst").cast("string"), "nombre", F.lit("")), "c", F.coalesce(F.col("cie").cast("string"), F.lit(""))))
     rows = rows.withColumn("repetida", F.row_number().over(Window.partitionBy(print_).orderBy("id")) > 1).withColumn("portada", F.col("c").isin(*TB.LANDING_TITLES)).withColumn("ajena", contains_any(F.concat_ws(" ", "c", "d"), TB.NOT_JOB_MARKERS))

@@ -210,7 +210,8 @@ def with_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
     tests = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
     size = tests.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(1, math.ceil(2 * size / block_bytes)) if size > block_bytes else 1
-    counts = counted(docs.select(F.col("text").cast("string").alias("text")), tests)
+    scratch = Scratch(spark, "grams")
+    counts = counted(docs.select(F.col("text").cast("string").alias("text")), tests, scratch)
     documents = docs.count()
     for block in range(blocks):
         rows = tests.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).orderBy("item_id", "text").collect()
@@ -222,12 +223,12 @@ def with_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
             frequency[np.searchsorted(items.keys, got.column("key").to_numpy().view(np.uint64))] = got.column("n").to_numpy()
             items.choose(frequency, documents)
             out = found_in(out, spark.sparkContext.broadcast(items), threshold, whole)
+    scratch.drop()
     return out.drop(whole)
 
 
-def counted(texts: DataFrame, tests: DataFrame) -> DataFrame:
+def counted(texts: DataFrame, tests: DataFrame, scratch: Scratch) -> DataFrame:
     """(key, n): documents that hold each n-gram of the items; a few n-grams of no item come along."""
-    scratch = Scratch(texts.sparkSession, "grams")
 
     def of_items(batches):
         for b in W.slices(batches):

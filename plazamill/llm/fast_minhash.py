@@ -293,5 +293,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     placed = clusters.withColumnRenamed("comp", "cluster").join(rest.groupBy("rep").agg(F.min("comp").alias("now")), F.col("id") == F.col("rep")).select("id", "now", "cluster")
     comps = settle(comps, in_blocks(scratch.save(placed, "placed"), sets, k, percent, scratch, "links-2"), 2)
 
+    for name in ("marks", "classes", "ties", "met", "ranked", "members", "wanted", "sets", "now", "rest", "placed"):  # the result reads tagged and the last components
+        scratch.drop(name)
     out = labelled(tagged, comps, "rep", "top", small).withColumn("component_id", F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("top", "rep", "doc_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))

@@ -85,6 +85,7 @@ def copies(docs: DataFrame, weights=(1, 2, 3), cap: int = 3, seeds: int = 16) ->
     best = F.array_min(F.array(*[F.struct(F.abs(F.col(f"t{k}") - F.col("target")).alias("off"), F.lit(k).alias("k")) for k in range(seeds)]))["k"]
     chosen = sums.select(F.col("source").alias("__source"), best.alias("seed"))
     per_source = scratch.save(per_source.join(F.broadcast(chosen) if n_sources <= BROADCAST_SOURCES else chosen, F.col("source").eqNullSafe(F.col("__source")), "left").drop("__source"), "chosen")
+    scratch.drop("sizes"), scratch.drop("targets")
     out = with_source_row(docs.withColumn("size", n_words(F.col("text"))), per_source, n_sources, F.col("source"))
     flip = F.coalesce(*[F.when(F.col("__mix_seed") == k, coin(k, F.col("doc_id"))) for k in range(seeds)])
     return out.withColumn("copies", (F.col("__mix_whole") + (flip < F.col("__mix_part")).cast("long")).cast("int")).drop("__mix_whole", "__mix_part", "__mix_seed")

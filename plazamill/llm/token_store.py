@@ -301,6 +301,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end: int = 2, out: str | None
 
     manifest = rows.mapInArrow(write, "range int, number int, name string, documents long, tokens long")
     manifest.write.mode("overwrite").parquet(f"{out}/manifest")
+    scratch.drop("frames")
     return out
 
 

@@ -107,8 +107,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int
         yield pa.RecordBatch.from_arrays([pa.array([bias]), pa.array([w.tobytes()], pa.binary()), pa.array([v.tobytes()], pa.binary())], ["bias", "w", "v"])
 
     one = known.repartition(1).sortWithinPartitions("doc_id", "y")
-    got = one.mapInArrow(learn, "bias double, w binary, v binary").first()
-    return (got["bias"], np.frombuffer(got["w"], np.float32), np.frombuffer(got["v"], np.float32).reshape(DIM, RANK)) if got else (0.0, np.zeros(DIM, np.float32), np.zeros((DIM, RANK), np.float32))
+    got = one.mapInArrow(learn, "bias double, w binary, v binary").collect()
+    scratch.drop()
+    return (got[0]["bias"], np.frombuffer(got[0]["w"], np.float32), np.frombuffer(got[0]["v"], np.float32).reshape(DIM, RANK)) if got else (0.0, np.zeros(DIM, np.float32), np.zeros((DIM, RANK), np.float32))
 
 
 def score(docs: DataFrame, model) -> DataFrame:

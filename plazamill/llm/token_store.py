@@ -98,9 +98,8 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.by_piece = separable(spec)
-        added = [re.escape(t["content"].encode()) for t in spec.get("added_tokens") or []]
-        #: Spelt in any case: such a token may be looked for before or after lower-casing.
-        self.added = re.compile(b"|".join(added), re.I) if added else None
+        #: In lower case: such a token may be looked for before or after lower-casing.
+        self.added = [t["content"].encode().lower() for t in spec.get("added_tokens") or []]
         self.model, self.spelt = self.tokenizer.model, {}
         self.reset()
 
@@ -181,11 +180,11 @@ class Encoder:
             return [np.array([*x, end], np.uint32) for x in self.ids([t or "" for t in texts])]
         if len(self.pieces) > MOST_PIECES:
             self.shrink()
-        raw = [(t or "").encode() for t in texts]
-        whole = {i: None for i, r in enumerate(raw) if self.added and self.added.search(r)}
+        raw = [(t or "").encode().lower() for t in texts]
+        whole = {i: None for i, r in enumerate(raw) if any(a in r for a in self.added)}
         if whole:
             whole = dict(zip(whole, self.ids([texts[i] for i in whole])))
-        split = [() if i in whole else r.lower().split() for i, r in enumerate(raw)]
+        split = [() if i in whole else r.split() for i, r in enumerate(raw)]
         counts = np.array([len(s) for s in split], np.int64)
         codes = np.fromiter(map(self.pieces.__getitem__, (p for s in split for p in s)), np.int64, int(counts.sum()))
         if self.pieces.new:

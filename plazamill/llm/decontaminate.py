@@ -39,7 +39,7 @@ SEED = 3
 RARE = 1e-3
 THRESHOLD = 0.5
 BLOCK_BYTES = 8 << 20
-CELLS = 1 << 20
+CELLS = 1 << 17
 LEAK = T.ArrayType(T.StructType().add("item_id", "long").add("score", "double").add("start", "integer").add("stop", "integer"))
 ARROW = pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("start", pa.int32()), ("stop", pa.int32())]))
 
@@ -149,7 +149,7 @@ def align(items: list[np.ndarray], regions: list[np.ndarray]) -> tuple[np.ndarra
     steps = np.arange(w, dtype=np.int32)
     lens = np.array([len(x) for x in items])
     for i in range(m):
-        now = np.maximum(last[:, :-1] + np.where(a[:, i : i + 1] == b, 1, -1), last[:, 1:] - 1)
+        now = np.maximum(last[:, :-1] + np.where(a[:, i : i + 1] == b, np.int32(1), np.int32(-1)), last[:, 1:] - 1)
         now = np.where(real & (i < lens)[:, None], np.maximum(now, 0), 0)
         now = np.maximum.accumulate(now + steps, 1) - steps  # gaps in the item
         now = np.where(real, now, 0).astype(np.int32)

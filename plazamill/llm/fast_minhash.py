@@ -35,7 +35,7 @@ BANDS, ROWS = 50, 6
 HUB, BLOCK, COLUMNS = 500, 512, 4096
 #: Tables of one row per node with a partner are broadcast up to this many rows, else exchanged.
 BROADCAST_IDS = 400_000
-SKETCH_BYTES = 4 << 20
+SKETCH_BYTES = 2 << 20
 
 
 def shingle_sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 P = np.uint64(0x9E3779B97F4A7C13)
 _rng = np.random.default_rng(20240229)
 _VALUES = _rng.integers(1, 2**64, 256, np.uint64)

@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 
 from . import words as W
 from .features import DIM, labelled_ids, one_row_an_id, sigmoid, telling, terms, unlabelled_ids
-from .scratch import Scratch, fresh, without
+from .scratch import Scratch, as_text, without
 
 PER_CLASS = 4000
 POOL = 4000
@@ -103,22 +103,39 @@ class Rows:
         self.idx, self.value, self.n = idx[order], value[order], n
         self.edge = np.searchsorted(doc[order], np.arange(n + 1))
 
+    @classmethod
+    def laid(cls, lens, idx, value):
+        """From rows that lie in order already, without a copy."""
+        rows = cls.__new__(cls)
+        rows.idx, rows.value, rows.n, rows.edge = idx, value, len(lens), np.append(0, np.cumsum(lens))
+        return rows
+
+    def pieces(self, which, at_once: int = 1024):
+        """take, a number of rows at a time, so no array of all their features is made."""
+        for a in range(0, len(which), at_once):
+            yield which[a : a + at_once], *self.take(which[a : a + at_once])
+
     def take(self, which):
         lens = np.diff(self.edge)[which]
         at = np.repeat(self.edge[which] - (np.cumsum(lens) - lens), lens) + np.arange(lens.sum())
         return np.repeat(np.arange(len(which)), lens), self.idx[at], self.value[at]
 
     def margin(self, model):
-        doc = np.repeat(np.arange(self.n), np.diff(self.edge))
-        return model[0] + np.bincount(doc, model[1][self.idx] * self.value, self.n)
+        out = np.empty(self.n)
+        for which, doc, idx, value in self.pieces(np.arange(self.n)):
+            out[which] = model[0] + np.bincount(doc, model[1][idx] * value, len(which))
+        return out
 
 
 def logistic(rows: Rows, which: np.ndarray, y: np.ndarray, stands: np.ndarray, width: int, epochs: int = 6, seed: int = 3):
     """(bias, weights) by mini-batch AdaGrad, over features that the rows allow to learn; the bias is then moved to the
     odds that the classes have when each row counts as the rows it stands for."""
     rng = np.random.default_rng(seed)
-    doc, idx, _ = rows.take(which)
-    seen, in_1 = np.bincount(idx, minlength=width), np.bincount(idx, y[doc], width)
+    seen, in_1, at = np.zeros(width, np.int64), np.zeros(width), 0
+    for part, doc, idx, _ in rows.pieces(which):
+        seen += np.bincount(idx, minlength=width)
+        in_1 += np.bincount(idx, y[at + doc], width)
+        at += len(part)
     use = telling(seen, in_1, len(which), int(y.sum()))
     rate = np.clip(y.mean(), 1e-3, 1 - 1e-3)
     bias, w, g2, b2 = np.log(rate / (1 - rate)), np.zeros(width), np.full(width, 1e-2), 1e-2
@@ -226,14 +243,14 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", metadata=("s
 
     def features(batches):
         for b in W.slices(batches):
-            n, kinds = b.num_rows, (pa.int32(), pa.float64())
+            n, kinds = b.num_rows, (pa.int32(), pa.float32())
             lists = []
             for doc, idx, value in (text_rows(b.column("text")), page_rows(b.select(names))):
                 r = Rows(doc, idx, value, n)
                 lists += [pa.ListArray.from_arrays(pa.array(r.edge.astype(np.int32)), pa.array(x, k)) for x, k in zip((r.idx, r.value), kinds)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("h"), b.column("y"), *lists], ["doc_id", "h", "y", "t_idx", "t_value", "p_idx", "p_value"])
 
-    made = rows.withColumn("h", F.xxhash64("text")).mapInArrow(features, "doc_id long, h long, y int, t_idx array<int>, t_value array<double>, p_idx array<int>, p_value array<double>")
+    made = rows.withColumn("h", F.xxhash64("text")).mapInArrow(features, "doc_id long, h long, y int, t_idx array<int>, t_value array<float>, p_idx array<int>, p_value array<float>")
     known = scratch.save(one_row_an_id(made), "sample")
 
     def learn(batches):
@@ -250,13 +267,15 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", metadata=("s
         y = np.array(y)
         found = (0.0, np.zeros(DIM + STATS * BINS)), (0.0, np.zeros(DIM)), [np.zeros(2)] * 2, np.array([4.0 if not (y >= 0).any() else np.log((stands[1] * np.sum(y == 1) + 0.5) / (stands[0] * np.sum(y == 0) + 0.5)), 0, 0])
         if (y == 0).sum() >= 8 and (y == 1).sum() >= 8:
-            views = [Rows(np.repeat(np.arange(len(y)), np.concatenate(n)), np.concatenate(i), np.concatenate(v), len(y)) for n, i, v in zip(lens, parts[::2], parts[1::2])]
+            views = [Rows.laid(np.concatenate(n), np.concatenate(i), np.concatenate(v)) for n, i, v in zip(lens, parts[::2], parts[1::2])]
+            parts = None
             found = cotrain(*views, y, stands)
         (tb, tw), (pb, pw), each, both = found
         numbers = np.concatenate([[tb, pb], each[0], each[1], both, tw, pw])
         yield pa.RecordBatch.from_arrays([pa.array([numbers.tobytes()], pa.binary())], ["numbers"])
 
     got = known.repartition(1).sortWithinPartitions("y", F.xxhash64("doc_id", F.lit(5)), "doc_id").mapInArrow(learn, "numbers binary").collect()
+    scratch.drop()
     x = np.frombuffer(got[0]["numbers"]) if got else np.concatenate([np.zeros(6), [4, 0, 0], np.zeros(2 * DIM + STATS * BINS)])
     width = DIM + STATS * BINS
     return {"text": (x[0], x[9 : 9 + width]), "page": (x[1], x[9 + width :]), "each": (x[2:4], x[4:6]), "both": x[6:9], "metadata": known_metadata(docs, metadata)}
@@ -267,16 +286,16 @@ def score(docs: DataFrame, model) -> DataFrame:
     docs = without(docs, "text_score", "page_score", "score", "keep")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     view = viewed(docs, model["metadata"]).columns[1:]
-    width, inner = len(docs.columns), fresh(docs, *[f"view_{c}" for c in view])
-    first = inner[0]
-    seen = docs.select("*", *[F.col(f"`{c}`").cast("string").alias(n) for c, n in zip(["text", *model["metadata"]], inner)])
+    width = len(docs.columns)
+    seen, held = as_text(docs, ["text", *model["metadata"]])
+    at = [seen.columns.index(c) for c in held]
 
     def run(batches):
         m = shared.value
         known = m["text"][1][:DIM] != 0
-        for b in W.slices(batches, first):
+        for b in W.slices(batches, held[0]):
             n = b.num_rows
-            own = pa.RecordBatch.from_arrays(b.columns[width:], view)
+            own = pa.RecordBatch.from_arrays([b.column(i) for i in at], view)
             margin = [Rows(*text_rows(own.column("text"), known), n).margin(m["text"]), Rows(*page_rows(own), n).margin(m["page"])]
             logit = [e[0] + e[1] * x for e, x in zip(m["each"], margin)]
             both = sigmoid(m["both"][0] + m["both"][1] * logit[0] + m["both"][2] * logit[1])

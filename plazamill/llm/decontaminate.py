@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 from . import bloom
 from . import words as W
 from .features import _PUNCT, _span_hashes
-from .scratch import Scratch, fresh, without
+from .scratch import Scratch, as_text, without
 
 SEED = 3
 RARE = 1e-3
@@ -205,8 +205,8 @@ def with_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
     """The input rows with `leaks`: item_id, score and the aligned words (about where) of each leaked item."""
     spark = docs.sparkSession
     docs = without(docs, "leaks")
-    (whole,) = fresh(docs, "whole_text")
-    out = docs.select("*", F.col("text").cast("string").alias(whole), F.array().cast(LEAK).alias("leaks"))
+    out, (whole,) = as_text(docs, ["text"])
+    out = out.withColumn("leaks", F.array().cast(LEAK))
     tests = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
     size = tests.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(1, math.ceil(2 * size / block_bytes)) if size > block_bytes else 1
@@ -224,7 +224,7 @@ def with_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
             items.choose(frequency, documents)
             out = found_in(out, spark.sparkContext.broadcast(items), threshold, whole)
     scratch.drop()
-    return out.drop(whole)
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns], "leaks")
 
 
 def counted(texts: DataFrame, tests: DataFrame, scratch: Scratch) -> DataFrame:

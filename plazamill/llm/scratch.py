@@ -50,6 +50,19 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[df[f"`{c}`"] for c in df.columns if c.lower() not in own])
 
 
+def as_text(df: DataFrame, names: list[str]) -> tuple[DataFrame, list[str]]:
+    """The frame, and where these columns (found in any case) stand in it as text: those of another type get a cast
+    copy at the end, texts are not sent twice."""
+    own = {f.name.lower(): f for f in reversed(df.schema.fields)}
+    held, more = [], []
+    for n, inner in zip(names, fresh(df, *[f"text_{n.lower()}" for n in names])):
+        f = own[n.lower()]
+        held.append(f.name if f.dataType.simpleString() == "string" else inner)
+        if held[-1] == inner:
+            more.append(df[f"`{f.name}`"].cast("string").alias(inner))
+    return df.select("*", *more), held
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Names for inner columns that no column of the frame has in any case."""
     own, out = {c.lower() for c in df.columns}, []

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, cotrain, decontaminate, fast_minhash, mixing, perm_index, sharding, substring_dedup, token_store, toxicity_fm
+from . import chat_format, cotrain, decontaminate, divergence, fast_minhash, mixing, perm_index, resampling, robust_rules, sharding, sql, substring_dedup, token_store, toxicity_fm
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,12 +78,31 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_documents(spark, store, digest="crc32")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_substring_dedup, op3_quality, op4_toxicity, op5_mix_sources, op6_near_duplicates, op7_chat_format, op8_nearest, op9_histogram_shards, op10_token_store)}
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The distance of every pair of sources of a language, and the 50 terms that set each source most apart."""
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's weight and score towards the benchmark texts, and the rank of the 5 % that are drawn."""
+    out = resampling.draw(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's statistics, the verdict of the plain rules and that of the robust distance."""
+    out = robust_rules.judge(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_substring_dedup, op3_quality, op4_toxicity, op5_mix_sources, op6_near_duplicates, op7_chat_format, op8_nearest, op9_histogram_shards, op10_token_store, op11_source_divergence, op12_importance_resampling, op13_quality_rules)}
 
 _COIN = "('0x' || substr(md5('{d}:' || coalesce(doc_id::VARCHAR, '')), {a}, 8))::BIGINT / 4294967296.0"
 _COINS = [_COIN.format(d=k // 4, a=1 + 8 * (k % 4)) for k in range(16)]
 
 SQL = {
+    "op11_source_divergence": sql.SOURCE_DIVERGENCE,
+    "op12_importance_resampling": sql.IMPORTANCE_RESAMPLING,
     "op5_mix_sources": rf"""
 WITH sized AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
 totals AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),

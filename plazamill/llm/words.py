@@ -55,15 +55,16 @@ def slices(batches, text: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.
 
 
 class Words:
-    """starts, ends: byte spans in buf; first: for each text its first word, and at the end the number of words."""
+    """starts, ends: byte spans in buf; first: for each text its first word, and at the end the number of words. `kind`
+    marks the bytes that words are made of."""
 
-    def __init__(self, texts: pa.Array, fold: bool = False):
+    def __init__(self, texts: pa.Array, fold: bool = False, kind: np.ndarray = _IS_WORD):
         texts = pa.concat_arrays([pc.fill_null(texts.cast(pa.large_string()), "")])
         off = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
         data = texts.buffers()[2]
         whole = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
         self.buf, self.bounds, self.fold = whole[off[0] : off[-1]], off - off[0], fold
-        is_word = _IS_WORD[self.buf]
+        is_word = kind[self.buf]
         n = len(is_word)
         cut = np.zeros(n + 1, bool)
         cut[self.bounds] = True

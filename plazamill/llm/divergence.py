@@ -22,6 +22,7 @@ table gives no rows; further columns, whatever their names, are not read.
 from __future__ import annotations
 
 from collections import Counter
+from operator import itemgetter
 
 import ahocorasick
 import numpy as np
@@ -40,7 +41,9 @@ ALPHA = 5
 BLOCK_BYTES = 4 << 20
 TILE = 128
 CHUNK_ROWS = 200_000
-HELD = 200_000
+HELD = 400_000
+MERGED = 1_000_000
+PART = 4096
 SLICE_BYTES = 4 << 20
 #: A-Z become a-z; other ASCII that is no letter becomes the delimiter; bytes beyond ASCII stay.
 _PLAIN = bytes(c + 32 if 65 <= c <= 90 else c if c >= 97 and c <= 122 or c >= 128 else 32 for c in range(256))
@@ -59,20 +62,20 @@ def document_counts(rows: DataFrame) -> DataFrame:
     """(lang, term, docs): how many documents of the language hold the term."""
 
     def count(batches):
-        held = Counter()
+        held: dict[str, Counter] = {}
 
         def flushed():
-            langs, terms = zip(*held)
-            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array([t.decode() for t in terms], pa.string()), pa.array(held.values(), pa.int64())], ["lang", "term", "docs"])
+            for lang, n in held.items():
+                terms = pa.array(n, pa.binary()).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), terms, pa.array(n.values(), pa.int64())], ["lang", "term", "docs"])
             held.clear()
 
         for b in W.slices(batches, most=SLICE_BYTES):
             for lang, text in zip(b.column("lang").to_pylist(), plain(b.column("text"))):
-                held.update((lang, t) for t in set(text.split()))
-                if len(held) > HELD:
-                    yield from flushed()
-        if held:
-            yield from flushed()
+                held.setdefault(lang, Counter()).update(set(text.split()))
+            if sum(map(len, held.values())) > HELD:
+                yield from flushed()
+        yield from flushed()
 
     return rows.mapInArrow(count, "lang string, term string, docs long").groupBy("lang", "term").agg(F.sum("docs").alias("docs"))
 
@@ -81,7 +84,7 @@ class Automaton:
     """For each language an automaton over its padded terms of one block; texts are read byte by byte."""
 
     def __init__(self, langs: list[str], terms: list[str]):
-        self.terms, self.of = terms, {}
+        self.of = {}
         for i, (lang, term) in enumerate(zip(langs, terms)):
             self.of.setdefault(lang, ahocorasick.Automaton()).add_word(f" {term.encode().decode('latin-1')} ", i)
         for a in self.of.values():
@@ -92,7 +95,7 @@ class Automaton:
         if lang not in self.of:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         text = (b" " + b" ".join(texts) + b" ").decode("latin-1")
-        return np.unique(np.fromiter((i for _, i in self.of[lang].iter(text)), np.int64), return_counts=True)
+        return np.unique(np.fromiter(map(itemgetter(1), self.of[lang].iter(text)), np.int64), return_counts=True)
 
 
 _built: dict[str, Automaton] = {}
@@ -106,31 +109,74 @@ def automaton(block: str, shared) -> Automaton:
     return _built[block]
 
 
+PARTS = "lang string, source string, part int, ids binary, counts binary"
+
+
 def recounted(rows: DataFrame, block: str, shared) -> DataFrame:
-    """(lang, source, term, count) of the block's terms, above 0; several rows a term until they are summed."""
+    """(lang, source, number, count): occurrences of the block's terms, by the term's number in it, above 0.
 
-    def run(batches):
-        held: dict[tuple, int] = {}
+    A task adds up what it reads and sends each group's counts packed, PART numbers to a row; those of one group and
+    part then meet in one stream, added up row by row.
+    """
+
+    def count(batches):
+        held: dict[tuple[str, str], list] = {}
+
+        def merged(found: list) -> tuple[np.ndarray, np.ndarray]:
+            ids, where = np.unique(np.concatenate([x for x, _ in found]), return_inverse=True)
+            total = np.zeros(len(ids), np.int64)
+            np.add.at(total, where, np.concatenate([n for _, n in found]))
+            return ids, total
 
         def flushed():
-            langs, sources, ids = zip(*held)
-            terms = automaton(block, shared).terms
-            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(sources, pa.string()), pa.array([terms[i] for i in ids], pa.string()), pa.array(held.values(), pa.int64())], ["lang", "source", "term", "count"])
+            out = []
+            for (lang, source), found in held.items():
+                ids, n = merged(found)
+                edge = np.searchsorted(ids, np.arange(0, ids[-1] + PART + 1, PART)) if len(ids) else []
+                out += [(lang, source, k, (ids[a:b] - k * PART).astype("<i4").tobytes(), n[a:b].astype("<i8").tobytes()) for k, (a, b) in enumerate(zip(edge[:-1], edge[1:])) if b > a]
             held.clear()
+            if out:
+                kinds = (pa.string(), pa.string(), pa.int32(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], ["lang", "source", "part", "ids", "counts"])
 
+        size = 0
         for b in W.slices(batches, most=SLICE_BYTES):
             groups: dict[tuple, list[bytes]] = {}
             for lang, source, text in zip(b.column("lang").to_pylist(), b.column("source").to_pylist(), plain(b.column("text"))):
                 groups.setdefault((lang, source), []).append(text)
             for (lang, source), texts in groups.items():
-                for i, n in zip(*(x.tolist() for x in automaton(block, shared).counts(lang, texts))):
-                    held[lang, source, i] = held.get((lang, source, i), 0) + n
-                if len(held) > HELD:
+                ids, n = automaton(block, shared).counts(lang, texts)
+                held.setdefault((lang, source), []).append((ids, n))
+                size += len(ids)
+            if size > MERGED:
+                held = {g: [merged(found)] for g, found in held.items()}
+                size = sum(len(found[0][0]) for found in held.values())
+                if size > MERGED // 2:
                     yield from flushed()
-        if held:
-            yield from flushed()
+                    size = 0
+        yield from flushed()
+
+    def add(batches):
+        of, total = None, np.zeros(PART, np.int64)
+
+        def summed():
+            used = np.flatnonzero(total)
+            names = [pa.array([x] * len(used), pa.string()) for x in of[:2]]
+            out = pa.RecordBatch.from_arrays([*names, pa.array((used + of[2] * PART).astype(np.int32)), pa.array(total[used])], ["lang", "source", "number", "count"])
+            total[:] = 0
+            return out
+
+        for b in batches:
+            for *group, ids, n in zip(*[c.to_pylist() for c in b.columns]):
+                if of is not None and group != of:
+                    yield summed()
+                of = group
+                total[np.frombuffer(ids, "<i4")] += np.frombuffer(n, "<i8")
+        if of is not None:
+            yield summed()
 
-    return rows.mapInArrow(run, "lang string, source string, term string, count long")
+    parts = rows.mapInArrow(count, PARTS)
+    return parts.repartition("lang", "source", "part").sortWithinPartitions("lang", "source", "part").mapInArrow(add, "lang string, source string, number int, count long")
 
 
 def share(count: str, total: str = "total", kept: str = "kept"):
@@ -146,11 +192,12 @@ def counted(rows: DataFrame, kept: DataFrame, scratch: Scratch, block_bytes: int
     blocks = max(1, -(-size // block_bytes))
     parts = []
     for block in range(blocks):
-        terms = kept.where(F.pmod(F.xxhash64("lang", "term"), F.lit(blocks)) == block).select("lang", "term").toArrow()
+        terms = kept.where(F.pmod(F.xxhash64("lang", "term"), F.lit(blocks)) == block).select("lang", "term").orderBy("lang", "term").toArrow()
         shared = spark.sparkContext.broadcast((terms.column("lang").to_pylist(), terms.column("term").to_pylist()))
-        summed = recounted(rows, scratch.path(str(block)), shared).groupBy("lang", "source", "term").agg(F.sum("count").alias("count"))
-        parts.append(scratch.save(summed, f"counts-{block}"))
+        found = scratch.save(recounted(rows, scratch.path(str(block)), shared), f"counts-{block}")
         shared.destroy()
+        named = spark.createDataFrame(pa.table({"number": pa.array(range(len(terms)), pa.int32()), "term": terms.column("term")}))
+        parts.append(found.join(scratch.save(named, f"terms-{block}"), "number").drop("number"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -21,17 +21,18 @@ empty table gives no rows. A document is rejected when its score is below 0.5.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import words as W
 from .features import DIM, labelled_ids, one_row_an_id, sigmoid, telling, terms, unlabelled_ids
-from .scratch import Scratch, as_text, without
+from .scratch import Scratch, fresh, small_batches, without
 
 PER_CLASS = 4000
 POOL = 4000
@@ -282,24 +283,31 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", metadata=("s
 
 
 def score(docs: DataFrame, model) -> DataFrame:
-    """All input columns with text_score, page_score, score and keep; columns of these names are replaced."""
+    """All input columns with text_score, page_score, score and keep; columns of these names are replaced. Only the text
+    and the metadata go to Python, and only the scores come back."""
+    small_batches(docs.sparkSession)
     docs = without(docs, "text_score", "page_score", "score", "keep")
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    view = viewed(docs, model["metadata"]).columns[1:]
-    width = len(docs.columns)
-    seen, held = as_text(docs, ["text", *model["metadata"]])
-    at = [seen.columns.index(c) for c in held]
+    view = viewed(docs, model["metadata"])
+    names = view.columns[1:]
 
-    def run(batches):
+    @F.arrow_udf("struct<text_score double, page_score double, score double, keep boolean>")
+    def scores(columns: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
         m = shared.value
         known = m["text"][1][:DIM] != 0
-        for b in W.slices(batches, held[0]):
-            n = b.num_rows
-            own = pa.RecordBatch.from_arrays([b.column(i) for i in at], view)
-            margin = [Rows(*text_rows(own.column("text"), known), n).margin(m["text"]), Rows(*page_rows(own), n).margin(m["page"])]
-            logit = [e[0] + e[1] * x for e, x in zip(m["each"], margin)]
-            both = sigmoid(m["both"][0] + m["both"][1] * logit[0] + m["both"][2] * logit[1])
-            yield pa.RecordBatch.from_arrays([*b.columns[:width], pa.array(sigmoid(logit[0])), pa.array(sigmoid(logit[1])), pa.array(both), pa.array(both >= 0.5)], [*b.schema.names[:width], "text_score", "page_score", "score", "keep"])
-
-    added = T.StructType().add("text_score", "double").add("page_score", "double").add("score", "double").add("keep", "boolean")
-    return seen.mapInArrow(run, T.StructType([*docs.schema.fields, *added.fields]))
+        for whole in columns:
+            parts = [pa.array([], SCORES)]
+            for b in W.slices([pa.RecordBatch.from_arrays(list(whole), names)]):
+                margin = [Rows(*text_rows(b.column("text"), known), b.num_rows).margin(m["text"]), Rows(*page_rows(b), b.num_rows).margin(m["page"])]
+                logit = [e[0] + e[1] * x for e, x in zip(m["each"], margin)]
+                both = sigmoid(m["both"][0] + m["both"][1] * logit[0] + m["both"][2] * logit[1])
+                parts.append(pa.StructArray.from_arrays([pa.array(x) for x in (sigmoid(logit[0]), sigmoid(logit[1]), both, both >= 0.5)], fields=list(SCORES)))
+            yield pa.concat_arrays(parts)
+
+    # not deterministic to the optimizer: else it may run the function once for a filter and again for the columns
+    called = scores.asNondeterministic()(*[F.col(f"`{c}`").cast("string") for c in ("text", *model["metadata"])])
+    (inner,) = fresh(docs, "scores")
+    return docs.withColumn(inner, called).select(*[F.col(f"`{c}`") for c in docs.columns], f"{inner}.text_score", f"{inner}.page_score", f"{inner}.score", f"{inner}.keep")
+
+
+SCORES = pa.struct([("text_score", pa.float64()), ("page_score", pa.float64()), ("score", pa.float64()), ("keep", pa.bool_())])

@@ -23,6 +23,7 @@ empty tables give no leaks. Input columns named `leaks` are replaced, others pas
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -260,14 +261,19 @@ def counted(texts: DataFrame, tests: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def found_in(rows: DataFrame, shared, threshold: float, whole: str) -> DataFrame:
-    def run(batches):
-        for b in W.slices(batches, whole):
-            new = leaks_in(shared.value, b.column(whole), threshold)
-            merged = [[*old, *x] for old, x in zip(b.column("leaks").to_pylist(), new)]
-            at = b.schema.get_field_index("leaks")
-            yield pa.RecordBatch.from_arrays([c if i != at else pa.array(merged, ARROW) for i, c in enumerate(b.columns)], b.schema.names)
-
-    return rows.mapInArrow(run, rows.schema)
+    """The rows with the leaks of one block of items added to `leaks`; only texts and leaks go to Python."""
+
+    @F.arrow_udf(LEAK)
+    def more(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for texts, before in columns:
+            found = [pa.array([], ARROW)]
+            for b in W.slices([pa.RecordBatch.from_arrays([texts, before], ["text", "leaks"])]):
+                new = leaks_in(shared.value, b.column("text"), threshold)
+                found.append(pa.array([[*old, *x] for old, x in zip(b.column("leaks").to_pylist(), new)], ARROW))
+            yield pa.concat_arrays(found)
+
+    # not deterministic to the optimizer: else it may run the function once for a filter and again for the column
+    return rows.withColumn("leaks", more.asNondeterministic()(F.col(f"`{whole}`"), F.col("leaks")))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -24,11 +24,23 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most BATCH_BYTES (or one row), unless the session names a bound of its own: by rows alone a
+    batch of long texts is as large as the texts are."""
+    if int(spark.conf.get(_BATCH).rstrip("bB")) > 1 << 30:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+
+
 class Scratch:
     """Tables of one operator call. ``save`` writes and re-reads; ``drop`` deletes what later stages don't need."""
 
     def __init__(self, spark: SparkSession, what: str):
         self.spark = spark
+        small_batches(spark)
         self.root = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex[:12]}"
 
     def path(self, name: str) -> str:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from plazamill.functions import labels as LB
 from plazamill.functions import lookups as L
 from plazamill.sources import adapters as A
+from plazamill.sources import listings as LS
 from plazamill.sources import sites as S
 
 from .base import query
@@ -67,3 +68,61 @@ def x19_file_titles(spark, sf_dir):
 def x22_court_calls(spark, sf_dir):
     out = S.court_calls(_fetched(spark, sf_dir), lambda c: L.longest_key(c, L.REGIONS)).where("title LIKE 'LLAMA%'")
     return out.select("source_id", "title", "body", F.col("closes").cast("string").alias("closes"))
+
+
+# --- pages of the table with postings put into them, as markup of every shape; tests hold these against plain Python
+
+PUT_IN = (
+    '<article class="card"><h2><a href="/concursos/1">Concurso p&uacute;blico: abogado a contrata</a></h2><time datetime="1998-05-02">2 de mayo</time><p>Requisitos y funciones del cargo. Postulaciones hasta 30/06/1998. Renta bruta mensual $ 1.250.000, grado 12</p><a href=bases/1.pdf>Bases</a></article>',
+    "<table><tr><th>Cargo<th>Cierre<tr><td><a href='/t/2'>Vacante planta administrativo</a><td>Recepci&oacute;n de antecedentes: bases y requisitos<tr><td>Sin nada<td>-</table>",
+    '<ul><li>Llamado a concurso, cargo de chofer, reemplazo: <a href="https://fuera.example.com/x">ver convocatoria</a><li><a href="/perfil-medico.pdf">Perfil de cargo m&eacute;dico</a> postulaci&oacute;n a honorarios</ul>',
+    '<script type="application/ld+json">{"@graph":[{"@type":"WebPage","mainEntity":[[{"@type":"JobPosting","title":"Analista de gestión","description":"<p>Vacante a contrata, requisitos y bases</p>","url":"https://m.example.net/jp/4","datePosted":"1998-05-01","validThrough":"1998-07-15"}]]}]}</script>',
+    '<div class="entry-content"><h3>Concursos vigentes</h3><p>Cargo: Enfermera de CESFAM. Concurso p&uacute;blico a contrata, postulaciones hasta 05/07/1998, renta $900.000 <a href="/wp-content/e.pdf">Aqu&iacute;</a></p><h3>Cerrados</h3><p>Cargo: Auditor. Concurso p&uacute;blico de planta</p></div>',
+    '<p>Noticias: ceremonia y taller</p><a href="/noticias/9">Noticias del concurso</a>', "",
+)
+
+
+def with_postings(spark, sf_dir):
+    """The pages of the table, each with one of PUT_IN before the end of its body."""
+    rows = A.read(spark, sf_dir, "pages").withColumn("put", F.get(F.array(*[F.lit(x) for x in PUT_IN]), F.pmod("page_id", F.lit(len(PUT_IN))).cast("int")))
+    host = F.regexp_extract("url", "^[a-z]+://(?:www\\.)?([^/?#]+)", 1)
+    html = F.when(F.contains("html", F.lit("</body>")), F.replace("html", F.lit("</body>"), F.concat("put", F.lit("</body>")))).otherwise(F.concat("html", "put"))
+    return rows.select(F.col("page_id").alias("source_id"), "url", html.alias("html"), F.array(host).alias("hosts"), F.concat(F.lit("Municipalidad de "), host).alias("name"))
+
+
+@query()
+def x23_site_candidates(spark, sf_dir):
+    """Candidates of every page of the table, by all four ways."""
+    return LS.site_candidates(with_postings(spark, sf_dir))
+
+
+@query()
+def x23_site_offers(spark, sf_dir):
+    """Candidates, their details from the same pages, and what is still a posting."""
+    pages = with_postings(spark, sf_dir)
+    details = pages.select(F.regexp_replace("url", "[?#].*$", "").alias("url"), "html").unionByName(pages.select(F.lit("https://m.example.net/jp/4").alias("url"), F.lit("<h1>Analista de gestión y datos</h1><p>Vacante, bases y requisitos. Publicado 03/05/1998</p><a href='/b.pdf'>x</a>").alias("html")).distinct())
+    found = LS.enriched(LS.site_candidates(pages), details, pages.select("source_id", F.array("url").alias("urls")))
+    sources = pages.select("source_id", "name", F.lit("Municipal").alias("sector"), F.lit("Maule").alias("region"))
+    return LS.offers(found, sources).withColumns({c: F.col(c).cast("string") for c in ("fecha_publicacion", "fecha_cierre")})
+
+
+@query()
+def x15_blog_listing(spark, sf_dir):
+    return LS.blog_listing(with_postings(spark, sf_dir))
+
+
+@query()
+def x19_pdf_candidates(spark, sf_dir):
+    return LS.pdf_candidates(with_postings(spark, sf_dir))
+
+
+@query()
+def x25_municipal_calls(spark, sf_dir):
+    return LS.municipal_calls(with_postings(spark, sf_dir)).withColumn("fecha_cierre", F.col("fecha_cierre").cast("string"))
+
+
+@query()
+def x26_simple_sites(spark, sf_dir):
+    pages = with_postings(spark, sf_dir)
+    both = [LS.simple_site(pages, shape).withColumn("shape", F.lit(shape)) for shape in LS.SHAPES]
+    return both[0].unionByName(both[1])

@@ -1,7 +1,7 @@
 """Evaluation of a fetched page of a source: profile, dates, validity, signals, page type, relevance, routing.
 
 Input is one row per page: id, platform, url (of the catalog), final_url, status, error, content_type, headers (text),
-html. Everything is column expressions over it; markup is read by patterns, so a page costs a few passes over its text.
+html. Each page is parsed once into its tree (sources/markup.py); everything else is column expressions over that.
 """
 
 from __future__ import annotations
@@ -11,11 +11,13 @@ from datetime import date
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plazamill.functions import json_walk as J
 from plazamill.functions import labels as LB
 from plazamill.functions import tables as TB
 from plazamill.functions.dates import date_in, labelled_dates
 from plazamill.functions.lookups import contains_any, count_of
 from plazamill.functions.text import ascii_fold
+from plazamill.sources import markup as M
 
 #: Profile, domains, institution ids, platform markers, extractor, extract and manual thresholds, renders
 #: scripts, reads PDFs, trusted; the first profile that fits decides.
@@ -73,36 +75,28 @@ def profile(id_: Column, host: Column, platform: Column, hints: Column) -> Colum
 
 
 def visible(html: Column) -> Column:
-    """The text between the tags, scripts and styles left out."""
-    bare = F.regexp_replace(html, "(?is)<(script|style)\\b.*?</(script|style)>", " ")
-    return F.trim(F.regexp_replace(F.regexp_replace(bare, "<[^>]*>", " "), "\\s+", " "))
+    """The text between the tags, references decoded, scripts and styles left out."""
+    return M.text(html)
 
 
-def links(html: Column) -> Column:
-    return F.regexp_extract_all(html, F.lit("(?i)<a\\b[^>]*\\bhref=\"([^\"]*)\""), F.lit(1))
-
-
-def page_title(html: Column) -> Column:
-    return F.nullif(F.trim(F.regexp_extract(html, "(?is)<title[^>]*>(.*?)</title>", 1)), F.lit(""))
-
-
-def runtime_hints(final_url: Column, headers: Column, html: Column) -> Column:
-    """Sorted hints from the address, headers, script sources, meta tags and links."""
-    scripts = F.regexp_extract_all(html, F.lit("(?i)<script\\b[^>]*\\bsrc=\"([^\"]*)\""), F.lit(1))
-    metas = F.regexp_extract_all(html, F.lit("(?i)<meta\\b[^>]*>"), F.lit(0))
-    blob = F.lower(F.concat_ws("\n", final_url, headers, scripts, metas, links(html)))
+def runtime_hints(final_url: Column, headers: Column, page: Column) -> Column:
+    """Sorted hints from the address, headers, script sources, meta tags and links of a page's tree."""
+    of = lambda tag, name: F.array_compact(F.transform(F.filter(page["nodes"], lambda n: n["tag"] == tag), lambda n: M.attr(n, name)))
+    metas = F.flatten(F.transform(F.filter(page["nodes"], lambda n: n["tag"] == "meta"), lambda n: F.map_values(n["attrs"])))
+    blob = F.lower(F.concat_ws("\n", final_url, headers, of("script", "src"), metas, of("link", "href"), M.hrefs(page)))
     return F.array_compact(F.array(F.when(F.contains(blob, F.lit("buk.cl")), "ats_buk"), F.when(F.contains(blob, F.lit("hiringroom")), "ats_hiringroom"), F.when(F.contains(blob, F.lit("trabajando.cl")), "ats_trabajando"), F.when(contains_any(blob, TB.WORDPRESS_MARKERS), "cms_wordpress")))
 
 
-def page_type(final_url: Column, content_type: Column, html: Column, profile_name: Column) -> Column:
-    u, ct, body, title = F.lower(final_url), F.lower(F.coalesce(content_type, F.lit(""))), key(html), key(page_title(html))
-    n = lambda tag: F.regexp_count(html, F.lit(f"(?i)<{tag}\\b"))
+def page_type(final_url: Column, content_type: Column, html: Column, page: Column, profile_name: Column) -> Column:
+    """html and page are the markup and its tree."""
+    u, ct, body, title = F.lower(final_url), F.lower(F.coalesce(content_type, F.lit(""))), key(html), key(M.title(page))
+    n = lambda *tags: M.count(page, *tags)
     wordpress = contains_any(body, TB.WORDPRESS_MARKERS) | contains_any(u, TB.WORDPRESS_MARKERS) | (profile_name == "wordpress")
-    post = (n("article") > 0) | html.rlike("(?i)<body\\b[^>]*class=\"[^\"]*(single|post-template)")
+    post = (n("article") > 0) | F.exists(page["nodes"], lambda x: (x["tag"] == "body") & F.exists(x["classes"], lambda c: c.rlike("(?i)single|post-template")))
     return (
         F.when(F.contains(ct, F.lit("pdf")) | u.endswith(".pdf"), "document_page").when(contains_any(u, TB.ATS_HOSTS), "ats_external").when(wordpress & post, "wordpress_post").when(wordpress, "wordpress_listing")
-        .when(contains_any(u, TB.NEWS_PATHS), "news_page").when(n("article") > 1, "listing_page").when((n("a") >= 12) & (n("(?:table|li)") >= 8), "listing_page")
-        .when((n("h1") > 0) & (visible(html).rlike("(?i)requisitos|funciones|remuneraci") | (n("table") > 0)), "detail_page")
+        .when(contains_any(u, TB.NEWS_PATHS), "news_page").when(n("article") > 1, "listing_page").when((n("a") >= 12) & (n("table", "li") >= 8), "listing_page")
+        .when((n("h1") > 0) & (M.said(page).rlike("(?i)requisitos|funciones|remuneraci") | (n("table") > 0)), "detail_page")
         .when(title.isin("concursos", "trabaja con nosotros", "ofertas laborales"), "listing_page").otherwise("general_page")
     )
 
@@ -117,41 +111,38 @@ def relevance(text: Column, page: Column, confidence: Column) -> Column:
 
 
 def dates(html: Column, text: Column, today: Column) -> Column:
-    """struct(publication, closing, deadline): of meta tags (0.92), JSON-LD (0.95), time tags (0.86) and labelled text
-    the surest evidence counts, the earliest date of equals."""
-    folded = key(text)
+    """dates_of for markup that isn't parsed yet."""
+    return M.let(M.tree(html), lambda page: dates_of(page, text, today))
 
-    def value(tag: Column, name: str) -> Column:
-        return F.nullif(F.regexp_extract(tag, f"(?i)\\b{name}=\"([^\"]*)\"", 1), F.lit(""))
+
+def dates_of(page: Column, text: Column, today: Column) -> Column:
+    """struct(publication, closing, deadline): of meta tags (0.92), linked data at any depth (0.95), time tags (0.86) and
+    labelled text the surest evidence counts, the earliest date of equals."""
+    folded = key(text)
+    filled = lambda c: F.nullif(c, F.lit(""))
 
     def stamped(v: Column, future: bool = True) -> Column:
         return F.coalesce(date_in(key(v), today, future), F.try_to_date(F.regexp_extract(v, "^\\s*([0-9]{4}-[0-9]{2}-[0-9]{2})[Tt ]", 1), "yyyy-MM-dd"))
 
+    def days(values: Column, future: bool = True) -> Column:
+        return F.array_compact(F.transform(F.array_compact(values), lambda v: stamped(v, future)))
+
     def best(*groups: tuple[float, Column]) -> Column:
         return F.coalesce(*[F.array_min(d) for _, d in sorted(groups, key=lambda g: -g[0])])
 
-    tags = F.regexp_extract_all(html, F.lit("(?i)<meta\\b[^>]*>"), F.lit(0))
-
     def meta(label: str) -> Column:
         names = [k for k, v in META if v == label]
-        mine = F.filter(tags, lambda t: key(F.coalesce(value(t, "property"), value(t, "name"), value(t, "itemprop"))).isin(*names))
-        return F.array_compact(F.transform(mine, lambda t: stamped(F.coalesce(value(t, "content"), value(t, "value")))))
-
-    blocks = F.regexp_extract_all(html, F.lit("(?is)<script\\b[^>]*ld\\+json[^>]*>(.*?)</script>"), F.lit(1))
-    maps = "array<map<string,string>>"
-
-    def objects(block: Column) -> Column:
-        one = F.from_json(block, "map<string,string>")
-        return F.coalesce(F.from_json(block, maps), F.concat(F.array(one), F.coalesce(F.from_json(one["@graph"], maps), F.array().cast(maps))), F.array().cast(maps))
+        mine = F.filter(page["nodes"], lambda n: (n["tag"] == "meta") & key(F.coalesce(*[filled(M.attr(n, a)) for a in ("property", "name", "itemprop")])).isin(*names))
+        return days(F.transform(mine, lambda n: F.coalesce(filled(M.attr(n, "content")), filled(M.attr(n, "value")))))
 
-    every = F.flatten(F.transform(blocks, objects))
+    blocks = F.filter(page["nodes"], lambda n: (n["tag"] == "script") & F.contains(F.lower(F.coalesce(M.attr(n, "type"), F.lit(""))), F.lit("ld+json")))
+    every = F.flatten(F.transform(blocks, lambda n: J.objects(n["data"])))
 
     def linked(*names: str) -> Column:
-        found = F.flatten(F.transform(F.filter(every, lambda m: m.isNotNull()), lambda m: F.map_values(F.map_filter(m, lambda k, v: F.lower(k).isin(*names)))))
-        return F.array_compact(F.transform(found, lambda v: stamped(v)))
+        fields = lambda v: F.map_values(F.map_filter(F.try_variant_get(v, "$", "map<string,variant>"), lambda k, _: F.lower(k).isin(*names)))
+        return days(F.flatten(F.transform(every, lambda v: F.transform(fields(v), lambda x: F.try_variant_get(x, "$", "string")))))
 
-    times = F.regexp_extract_all(html, F.lit("(?is)<time\\b[^>]*>.*?</time>"), F.lit(0))
-    timed = F.array_compact(F.transform(times, lambda t: stamped(F.coalesce(value(t, "datetime"), visible(t)), False)))
+    timed = days(F.transform(F.filter(page["nodes"], lambda n: n["tag"] == "time"), lambda n: F.coalesce(filled(M.attr(n, "datetime")), M.said(page, n))), False)
     return F.struct(
         best((0.95, linked("datepublished", "datecreated", "dateposted")), (0.92, meta("publication")), (0.86, timed), (0.78, labelled_dates(folded, TB.PUBLICATION_LABELS, today, False))).alias("publication"),
         best((0.95, linked("closingdate", "dateclosing")), (0.92, meta("closing")), (0.84, labelled_dates(folded, TB.CLOSING_LABELS, today, True))).alias("closing"),
@@ -220,15 +211,16 @@ def evaluate(pages: DataFrame, today: date, noise: Column | None = None) -> Data
     c, day = F.col, F.lit(today)
     noise = F.lit(0.0) if noise is None else noise
     out = pages.withColumn("availability", LB.availability(c("error"), c("status"), c("html"), c("content_type"))).withColumn("body", F.coalesce("html", F.lit("")))
-    out = out.withColumn("hints", F.when(c("availability") == "ok", runtime_hints(c("final_url"), c("headers"), c("body"))).otherwise(F.array().cast("array<string>")))
+    out = out.withColumn("tree", M.tree(c("body")))
+    out = out.withColumn("hints", F.when(c("availability") == "ok", runtime_hints(c("final_url"), c("headers"), c("tree"))).otherwise(F.array().cast("array<string>")))
     host = F.regexp_extract(F.lower("url"), "^[a-z]+://([^/?#]+)", 1)
     out = out.withColumn("p", profile(c("id"), host, c("platform"), c("hints"))).withColumn("noise", noise)
-    out = out.withColumn("text", visible(c("body"))).withColumn("title", page_title(c("body"))).withColumn("pdfs", F.filter(links(c("body")), lambda x: F.lower(x).endswith(".pdf")))
-    out = out.withColumn("page", F.when(c("availability") == "ok", page_type(c("final_url"), c("content_type"), c("body"), c("p.profile"))).otherwise("unknown_page_type"))
-    out = out.withColumn("d", dates(c("body"), c("text"), day))
+    out = out.withColumn("text", M.said(c("tree"))).withColumn("title", M.title(c("tree"))).withColumn("pdfs", F.filter(M.hrefs(c("tree")), lambda x: F.lower(x).endswith(".pdf")))
+    out = out.withColumn("page", F.when(c("availability") == "ok", page_type(c("final_url"), c("content_type"), c("body"), c("tree"), c("p.profile"))).otherwise("unknown_page_type"))
+    out = out.withColumn("d", dates_of(c("tree"), c("text"), day))
     bases = F.exists("pdfs", lambda x: key(x).rlike("bases|perfil"))
     out = out.withColumn("v", validity(c("page"), c("text"), c("d.publication"), c("d.closing"), c("d.deadline"), bases, day))
-    jsonld = c("body").rlike("(?is)<script\\b[^>]*ld\\+json[^>]*>[^<]*jobposting")
+    jsonld = F.exists(M.scripts(c("tree"), "application/ld+json"), lambda x: F.contains(F.lower(x), F.lit("jobposting")))
     ats = (c("page") == "ats_external") | (of_profile(c("p.profile"), 4) == "scraper_external_ats")
     path = F.regexp_extract("final_url", "^[a-z]+://[^/?#]+([^?#]*)", 1)
     barred = c("availability").isin("js_required", "blocked_by_bot_protection")

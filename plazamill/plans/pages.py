@@ -10,6 +10,7 @@ from plazamill.functions import tables as TB
 from plazamill.operators import evaluation as E
 from plazamill.operators import sources_policy as P
 from plazamill.sources import adapters as A
+from plazamill.sources import markup as M
 
 from .base import lit, picked, query, sql_any, sql_count
 from .labels import dealt, dealt_sql
@@ -126,8 +127,8 @@ _PG = f"(SELECT *, lower(url) AS u, lower(coalesce(tipo, '')) AS ct, {sql_key('h
 @query(f"""SELECT id, CASE WHEN contains(ct, 'pdf') OR u LIKE '%.pdf' THEN 'document_page' WHEN {sql_any('u', TB.ATS_HOSTS)} THEN 'ats_external' WHEN {sql_any('b', TB.WORDPRESS_MARKERS)} OR {sql_any('u', TB.WORDPRESS_MARKERS)} THEN CASE WHEN {_n('article')} > 0 OR regexp_matches(html, '(?i)<body\\b[^>]*class="[^"]*(single|post-template)') THEN 'wordpress_post' ELSE 'wordpress_listing' END
  WHEN {sql_any('u', TB.NEWS_PATHS)} THEN 'news_page' WHEN {_n('article')} > 1 OR ({_n('a')} >= 12 AND {_n('(?:table|li)')} >= 8) THEN 'listing_page' WHEN {_n('h1')} > 0 AND (regexp_matches({_VISIBLE}, '(?i)requisitos|funciones|remuneraci') OR {_n('table')} > 0) THEN 'detail_page' WHEN ti IN ('concursos', 'trabaja con nosotros', 'ofertas laborales') THEN 'listing_page' ELSE 'general_page' END AS tipo FROM (SELECT * REPLACE (coalesce(html, '') AS html) FROM {_PG})""", cte=False)
 def v16_page_type(spark, sf_dir):
-    rows = dealt(spark, sf_dir, html=PAGES, url=ADDRESSES, tipo=CONTENT).withColumn("html", F.coalesce("html", F.lit("")))
-    return rows.select("id", E.page_type(F.col("url"), F.col("tipo"), F.col("html"), F.lit("generic_site")).alias("tipo"))
+    rows = dealt(spark, sf_dir, html=PAGES, url=ADDRESSES, tipo=CONTENT).withColumn("html", F.coalesce("html", F.lit(""))).withColumn("page", M.tree(F.col("html")))
+    return rows.select("id", E.page_type(F.col("url"), F.col("tipo"), F.col("html"), F.col("page"), F.lit("generic_site")).alias("tipo"))
 
 
 @query(f"""SELECT id, CASE WHEN good >= 3 AND bad = 0 THEN 'job_like' WHEN bad >= 3 AND good = 0 THEN 'non_job' WHEN good >= 2 AND bad >= 1 THEN 'mixed' WHEN id % 10 < 5 AND tipo IN ('news_page', 'general_page') THEN 'non_job' ELSE 'uncertain' END AS relevancia FROM (SELECT id, tipo, {sql_count('t', E.JOB_TERMS)} AS good, {sql_count('t', E.OTHER_TERMS)} AS bad FROM (SELECT id, tipo, {sql_key('texto')} AS t FROM {_O}))""")
@@ -141,8 +142,8 @@ _BLOB = """lower(url || chr(10) || coalesce(servidor, '') || chr(10) || array_to
 
 @query(f"""SELECT id, array_to_string(list_filter([CASE WHEN contains(x, 'buk.cl') THEN 'ats_buk' END, CASE WHEN contains(x, 'hiringroom') THEN 'ats_hiringroom' END, CASE WHEN contains(x, 'trabajando.cl') THEN 'ats_trabajando' END, CASE WHEN {sql_any('x', TB.WORDPRESS_MARKERS)} THEN 'cms_wordpress' END], lambda y: y IS NOT NULL), ',') AS pistas FROM (SELECT id, {_BLOB} AS x FROM (SELECT * REPLACE (coalesce(html, '') AS html) FROM {_PG}))""", cte=False)
 def v17_runtime_hints(spark, sf_dir):
-    rows = dealt(spark, sf_dir, html=PAGES, url=ADDRESSES, servidor=SERVERS)
-    return rows.select("id", F.array_join(E.runtime_hints(F.col("url"), F.col("servidor"), F.coalesce("html", F.lit(""))), ",").alias("pistas"))
+    rows = dealt(spark, sf_dir, html=PAGES, url=ADDRESSES, servidor=SERVERS).withColumn("page", M.tree(F.col("html")))
+    return rows.select("id", F.array_join(E.runtime_hints(F.col("url"), F.col("servidor"), F.col("page")), ",").alias("pistas"))
 
 
 HOSTS = ("www.empleospublicos.cl", "postulaciones.carabineros.cl", "postulaciones.investigaciones.cl", "ejercito.cl", "x.trabajando.cl", "empresa.buk.cl", "muni.cl", None, "www.bcentral.cl", "muni2.cl", "otra.cl")

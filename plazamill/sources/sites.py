@@ -14,6 +14,8 @@ from plazamill.functions.text import clean, normal
 from plazamill.functions.titles import once
 from plazamill.operators.evaluation import visible
 
+from . import markup as M
+
 #: Pages of a listing and posts a page; windows in days, in the order they are tried (null: no bound).
 MOST_PAGES, PAGE_POSTS, WINDOWS = 25, 20, (180, None, 365)
 POSTS = "array<struct<title: struct<rendered: string>, content: struct<rendered: string>, date: string, link: string>>"
@@ -30,9 +32,9 @@ def absolute(href: Column, base: Column) -> Column:
     return F.when(href.rlike("(?i)^[a-z]+://"), href).when(F.startswith(href, F.lit("/")), F.concat(origin, href)).otherwise(F.concat(F.regexp_replace(folder, "/$", ""), F.lit("/"), href))
 
 
-def pdf_links(html: Column, base: Column) -> Column:
-    found = F.regexp_extract_all(html, F.lit("(?i)<a\\b[^>]*\\bhref=\"([^\"]*\\.pdf[^\"]*)\""), F.lit(1))
-    return F.array_distinct(F.transform(found, lambda h: absolute(h, base)))
+def pdf_links(page: Column, base: Column) -> Column:
+    """Full addresses of a tree's links to PDFs."""
+    return F.array_distinct(F.transform(F.filter(M.hrefs(page), lambda h: F.contains(F.lower(h), F.lit(".pdf"))), lambda h: absolute(h, base)))
 
 
 def first_of_key(rows: DataFrame, *order: str) -> DataFrame:
@@ -51,8 +53,8 @@ def wordpress_posts(pages: DataFrame) -> DataFrame:
     read = read.withColumn("turn", turn).where(F.col("turn").isNotNull() & (F.col("page") <= MOST_PAGES))
     short = read.where(F.size("posts") < PAGE_POSTS).groupBy("source_id", "turn").agg(F.min("page").alias("last"))
     kept = read.join(short, ["source_id", "turn"], "left").where(F.col("last").isNull() | (F.col("page") <= F.col("last")))
-    posts = kept.select("source_id", "site", "turn", "page", F.posexplode("posts").alias("at", "p"))
-    rows = posts.select("source_id", "turn", "page", "at", visible(F.coalesce("p.title.rendered", F.lit(""))).alias("title"), visible(F.coalesce("p.content.rendered", F.lit(""))).alias("body"), F.col("p.date").alias("date"), clean(F.col("p.link")).alias("url"), pdf_links(F.coalesce("p.content.rendered", F.lit("")), F.coalesce("p.link", "site")).alias("pdfs"))
+    posts = kept.select("source_id", "site", "turn", "page", F.posexplode("posts").alias("at", "p")).withColumn("tree", M.tree(F.col("p.content.rendered")))
+    rows = posts.select("source_id", "turn", "page", "at", visible(F.coalesce("p.title.rendered", F.lit(""))).alias("title"), M.said(F.col("tree")).alias("body"), F.col("p.date").alias("date"), clean(F.col("p.link")).alias("url"), pdf_links(F.col("tree"), F.coalesce("p.link", "site")).alias("pdfs"))
     fine = rows.where(LB.blog_gate(F.col("title"), F.col("body")))
     best = fine.groupBy("source_id").agg(F.min("turn").alias("turn"))
     return first_of_key(fine.join(best, ["source_id", "turn"]), "page", "at").drop("turn", "page", "at")
@@ -62,31 +64,36 @@ def feed_items(feeds: DataFrame) -> DataFrame:
     """feeds: source_id, slug_order, payload (JSON feed). The first slug with items counts."""
     read = feeds.withColumn("items", F.from_json("payload", FEED)["items"]).where(F.size("items") > 0)
     first = read.groupBy("source_id").agg(F.min_by("items", "slug_order").alias("items"))
-    rows = first.select("source_id", F.posexplode("items").alias("at", "i"))
     html = F.coalesce(F.nullif("i.content_html", F.lit("")), "i.content_text", F.lit(""))
+    rows = first.select("source_id", F.posexplode("items").alias("at", "i")).withColumn("tree", M.tree(html))
     link = clean(F.coalesce(F.nullif("i.url", F.lit("")), "i.link"))
-    rows = rows.select("source_id", "at", clean(F.col("i.title")).alias("title"), visible(html).alias("body"), F.coalesce("i.date_published", "i.date_modified").alias("date"), link.alias("url"), pdf_links(html, link).alias("pdfs"))
+    rows = rows.select("source_id", "at", clean(F.col("i.title")).alias("title"), M.said(F.col("tree")).alias("body"), F.coalesce("i.date_published", "i.date_modified").alias("date"), link.alias("url"), pdf_links(F.col("tree"), link).alias("pdfs"))
     return first_of_key(rows, "at").drop("at")
 
 
-def job_cards(pages: DataFrame) -> DataFrame:
-    """pages: source_id, url, html. Cards of a listing by the first kind of mark that the page has; a card ends where
-    the next begins; without title or link it doesn't count; titles said twice are collapsed."""
-    marks = ("\\bjobs__card\\b(?![-_])", "jobs__card(?!-)", "\\bjob-card\\b", "JobCard")
-    opened = [f"(?i)<[a-z]+\\b[^>]*class=\"[^\"]*{m}[^\"]*\"[^>]*>" for m in marks] + ["(?i)<article\\b[^>]*class=\"[^\"]*\\bjob\\b[^\"]*\"[^>]*>", "(?i)<li\\b[^>]*class=\"[^\"]*\\bjob\\b[^\"]*\"[^>]*>"]
-    cards = F.array().cast("array<string>")
-    for p in reversed(opened):
-        cards = F.when(F.col("html").rlike(p), _tail(F.split("html", p, -1))).otherwise(cards)
-    rows = pages.select("source_id", F.col("url").alias("base"), F.posexplode(cards).alias("at", "card"))
-    said = lambda cls: F.nullif(visible(F.regexp_extract("card", f"(?is)<[a-z0-9]+\\b[^>]*class=\"[^\"]*{cls}[^\"]*\"[^>]*>(.*?)</", 1)), F.lit(""))
-    head = lambda tag: F.nullif(visible(F.regexp_extract("card", f"(?is)<{tag}\\b[^>]*>(.*?)</{tag}>", 1)), F.lit(""))
-    title = once(F.coalesce(said("job__card-name"), said("job__card-title"), said("card-title"), head("h3"), head("h2")))
-    href = F.nullif(F.regexp_extract("card", "(?i)<a\\b[^>]*\\bhref=\"([^\"]+)\"", 1), F.lit(""))
-    return rows.select("source_id", "at", clean(title).alias("title"), absolute(href, F.col("base")).alias("url"), said("jobs__card-info").alias("info")).where("title IS NOT NULL AND title <> '' AND url IS NOT NULL")
+#: Marks of a card, in the order they are tried: a pattern of the class attribute, and the tags (none: any).
+CARDS = (("(?i)(^|\\s)jobs__card(\\s|$)", ()), ("(?i)jobs__card(?!-)", ()), ("(?i)(^|\\s)job-card(\\s|$)", ()), ("JobCard", ()), ("(?i)(^|\\s)job(\\s|$)", ("article",)), ("(?i)(^|\\s)job(\\s|$)", ("li",)))
 
 
-def _tail(parts: Column) -> Column:
-    return F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))
+def job_cards(pages: DataFrame) -> DataFrame:
+    """pages: source_id, url, html. Cards of a listing by the first kind of mark that the page has; without title or link
+    a card doesn't count; titles said twice are collapsed."""
+    page = F.col("page")
+    classes = lambda n: F.coalesce(M.attr(n, "class"), F.lit(""))
+    kinds = [F.filter(page["nodes"], (lambda p, tags: lambda n: classes(n).rlike(p) & (n["tag"].isin(*tags) if tags else F.lit(True)))(p, tags)) for p, tags in CARDS]
+    marked = F.get(F.filter(F.array(*[F.transform(k, lambda n: n["at"]) for k in kinds]), lambda k: F.size(k) > 0), F.lit(0))
+
+    def card(n: Column) -> Column:
+        said = lambda fits: F.nullif(M.said(page, F.get(F.filter(M.under(page, n), fits), F.lit(0))), F.lit(""))
+        of = lambda name: said(lambda x: F.contains(classes(x), F.lit(name)))
+        title = F.coalesce(of("job__card-name"), of("job__card-title"), of("card-title"), said(lambda x: x["tag"] == "h3"), said(lambda x: x["tag"] == "h2"))
+        href = M.attr(F.get(F.filter(M.under(page, n), M.is_link), F.lit(0)), "href")
+        own = F.when(n["tag"] == "a", M.attr(n, "href"))
+        return F.struct(title.alias("title"), F.nullif(F.coalesce(own, href), F.lit("")).alias("href"), of("jobs__card-info").alias("info"))
+
+    rows = pages.select("source_id", F.col("url").alias("base"), M.tree(F.col("html")).alias("page"))
+    rows = rows.select("source_id", "base", F.posexplode(F.transform(marked, lambda i: M.let(F.get(page["nodes"], i), card))).alias("at", "c"))
+    return rows.select("source_id", "at", clean(once(F.col("c.title"))).alias("title"), absolute(F.col("c.href"), F.col("base")).alias("url"), "c.info").where("title IS NOT NULL AND title <> '' AND url IS NOT NULL")
 
 
 def file_title(url: Column) -> Column:
@@ -105,9 +112,10 @@ def by_relevance(links: Column) -> Column:
 def pdf_postings(pages: DataFrame) -> DataFrame:
     """pages: source_id, url, html. Links to PDFs whose text or name speaks of a posting; the text is the title, else the
     file's name is."""
-    anchors = F.regexp_extract_all("html", F.lit("(?is)<a\\b[^>]*\\bhref=\"[^\"]*\\.pdf[^\"]*\"[^>]*>.*?</a>"), F.lit(0))
-    rows = pages.select("source_id", F.col("url").alias("base"), F.posexplode(anchors).alias("at", "a"))
-    rows = rows.select("source_id", "at", absolute(F.regexp_extract("a", "(?i)href=\"([^\"]*)\"", 1), F.col("base")).alias("url"), visible(F.col("a")).alias("text"))
+    page = F.col("page")
+    rows = pages.select("source_id", F.col("url").alias("base"), M.tree(F.col("html")).alias("page"))
+    papers = F.transform(F.filter(page["nodes"], lambda n: M.is_link(n) & F.contains(F.lower(M.attr(n, "href")), F.lit(".pdf"))), lambda n: F.struct(M.attr(n, "href").alias("href"), M.said(page, n).alias("text")))
+    rows = rows.select("source_id", "base", F.posexplode(papers).alias("at", "a")).select("source_id", "at", absolute(F.col("a.href"), F.col("base")).alias("url"), "a.text")
     rows = rows.where(contains_any(normal(F.concat_ws(" ", "text", "url")), PDF_HINTS))
     return first_of_key(rows.select("source_id", "at", "url", F.coalesce(F.nullif("text", F.lit("")), file_title(F.col("url"))).alias("title")), "at").drop("at")
 
@@ -115,9 +123,9 @@ def pdf_postings(pages: DataFrame) -> DataFrame:
 def court_calls(pages: DataFrame, region_name) -> DataFrame:
     """pages: source_id, url, html. Lines of 20 characters or more that speak of a call; the block is the line before
     and four after, with its first date and region; the address is made of the page's and a hash of the block."""
-    bare = F.regexp_replace(F.regexp_replace("html", "(?is)<(script|style)\\b.*?</(script|style)>", " "), "<[^>]*>", "\n")
-    lines = F.filter(F.transform(F.split(bare, "\n"), lambda x: F.trim(x)), lambda x: x != "")
-    rows = pages.select("source_id", "url", lines.alias("lines")).select("source_id", F.col("url").alias("base"), "lines", F.posexplode("lines").alias("at", "line"))
+    rows = pages.select("source_id", "url", M.tree(F.col("html")).alias("page"))
+    lines = F.filter(F.transform(F.split(F.array_join("page.texts", "\n"), "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    rows = rows.select("source_id", "url", lines.alias("lines")).select("source_id", F.col("url").alias("base"), "lines", F.posexplode("lines").alias("at", "line"))
     rows = rows.where(F.col("line").rlike(COURT_WORDS) & (F.length("line") >= 20))
     low = F.greatest(F.col("at"), F.lit(1))
     block = F.array_join(F.slice("lines", low, F.col("at") + 5 - low + 1), " ")

@@ -377,3 +377,20 @@ def test_registered_offers_and_calls(spark):
     assert {r["cargo"] for r in rows} >= {"Concurso público: abogado a contrata", "Vacante planta administrativo", "Perfil de cargo médico", "Analista de gestión y datos"}
     calls = PS.x25_municipal_calls(spark, SF).collect()
     assert {r["cargo"] for r in calls} >= {"Enfermera de CESFAM"} and not any("Auditor" in r["cargo"] for r in calls)
+
+
+def test_evaluation_reads_references_quotings_and_deep_data(spark):
+    from datetime import date
+
+    from plazamill.operators import evaluation as E
+
+    today = F.lit(date(2026, 6, 1))
+    deep = '<script type="application/ld+json">{"a": [[{"b": {"validThrough": "2026-07-01T10:00:00", "datePosted": "2026-05-02"}}]]}</script>'
+    meta = "<meta property='article:published_time' content=2026-05-01><meta name=fecha_cierre content='30/06/2026'><time datetime=2026-04-01>x</time>"
+    rows = spark.createDataFrame([(1, deep), (2, meta), (3, "<p>Recepci&oacute;n de antecedentes hasta el 15/06/2026</p>")], "i int, h string").withColumn("t", M.tree(F.col("h")))
+    got = {r["i"]: tuple(map(str, r["d"])) for r in rows.select("i", E.dates_of(F.col("t"), M.said(F.col("t")), today).alias("d")).collect()}
+    assert got[1] == ("2026-05-02", "None", "2026-07-01") and got[2] == ("2026-05-01", "2026-06-30", "None") and got[3][2] == "2026-06-15"
+    page = "<title>Concursos p&uacute;blicos</title><a href='/Bases.pdf'>x</a><a href=https://x.hiringroom.com/y>y</a><h1>Cargo</h1><p>Remuneraci&oacute;n</p>"
+    t = F.col("t")
+    seen = spark.createDataFrame([(page,)], "h string").withColumn("t", M.tree(F.col("h"))).select(E.runtime_hints(F.lit("https://m.cl"), F.lit(None).cast("string"), t), E.page_type(F.lit("https://m.cl"), F.lit("text/html"), F.col("h"), t, F.lit("generic_site"))).first()
+    assert tuple(seen) == (["ats_hiringroom"], "detail_page")

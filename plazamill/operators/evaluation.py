@@ -112,7 +112,7 @@ def relevance(text: Column, page: Column, confidence: Column) -> Column:
 
 def dates(html: Column, text: Column, today: Column) -> Column:
     """dates_of for markup that isn't parsed yet."""
-    return M.let(M.tree(html), lambda page: dates_of(page, text, today))
+    return M.let(F.struct(M.tree(html).alias("page"), text.alias("text")), lambda x: dates_of(x["page"], x["text"], today))
 
 
 def dates_of(page: Column, text: Column, today: Column) -> Column:

@@ -46,3 +46,15 @@ def objects(text: Column) -> Column:
 def value(v: Column, name: str) -> Column:
     """A field as text: strings and numbers as they stand, objects and lists as JSON; null without it."""
     return F.try_variant_get(v, f"$.{name}" if name.isidentifier() else f"$['{name}']", "string")
+
+
+def _is_object(v: Column) -> Column:
+    return F.startswith(F.schema_of_variant(v), F.lit("OBJECT"))
+
+
+def graph_objects(text: Column) -> Column:
+    """The objects of linked data: the object itself, or those of a list, each with those of its @graph; nothing deeper."""
+    whole = F.try_parse_json(text)
+    roots = F.filter(F.coalesce(F.try_variant_get(whole, "$", "array<variant>"), F.array(whole)), _is_object)
+    graph = lambda v: F.filter(F.coalesce(F.try_variant_get(v, "$['@graph']", "array<variant>"), F.array().cast("array<variant>")), _is_object)
+    return F.coalesce(F.flatten(F.transform(roots, lambda v: F.concat(F.array(v), graph(v)))), F.array().cast("array<variant>"))

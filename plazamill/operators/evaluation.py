@@ -116,7 +116,7 @@ def dates(html: Column, text: Column, today: Column) -> Column:
 
 
 def dates_of(page: Column, text: Column, today: Column) -> Column:
-    """struct(publication, closing, deadline): of meta tags (0.92), linked data at any depth (0.95), time tags (0.86) and
+    """struct(publication, closing, deadline): of meta tags (0.92), linked data (0.95), time tags (0.86) and
     labelled text the surest evidence counts, the earliest date of equals."""
     folded = key(text)
     filled = lambda c: F.nullif(c, F.lit(""))
@@ -136,7 +136,7 @@ def dates_of(page: Column, text: Column, today: Column) -> Column:
         return days(F.transform(mine, lambda n: F.coalesce(filled(M.attr(n, "content")), filled(M.attr(n, "value")))))
 
     blocks = F.filter(page["nodes"], lambda n: (n["tag"] == "script") & F.contains(F.lower(F.coalesce(M.attr(n, "type"), F.lit(""))), F.lit("ld+json")))
-    every = F.flatten(F.transform(blocks, lambda n: J.objects(n["data"])))
+    every = F.flatten(F.transform(blocks, lambda n: J.graph_objects(n["data"])))
 
     def linked(*names: str) -> Column:
         fields = lambda v: F.map_values(F.map_filter(F.try_variant_get(v, "$", "map<string,variant>"), lambda k, _: F.lower(k).isin(*names)))

@@ -379,13 +379,13 @@ def test_registered_offers_and_calls(spark):
     assert {r["cargo"] for r in calls} >= {"Enfermera de CESFAM"} and not any("Auditor" in r["cargo"] for r in calls)
 
 
-def test_evaluation_reads_references_quotings_and_deep_data(spark):
+def test_evaluation_reads_references_quotings_and_graphs(spark):
     from datetime import date
 
     from plazamill.operators import evaluation as E
 
     today = F.lit(date(2026, 6, 1))
-    deep = '<script type="application/ld+json">{"a": [[{"b": {"validThrough": "2026-07-01T10:00:00", "datePosted": "2026-05-02"}}]]}</script>'
+    deep = '<script type="application/ld+json">[{"@graph": [{"validThrough": "2026-07-01T10:00:00", "datePosted": "2026-05-02", "b": {"datePosted": "2020-01-01"}}]}]</script>'
     meta = "<meta property='article:published_time' content=2026-05-01><meta name=fecha_cierre content='30/06/2026'><time datetime=2026-04-01>x</time>"
     rows = spark.createDataFrame([(1, deep), (2, meta), (3, "<p>Recepci&oacute;n de antecedentes hasta el 15/06/2026</p>")], "i int, h string").withColumn("t", M.tree(F.col("h")))
     got = {r["i"]: tuple(map(str, r["d"])) for r in rows.select("i", E.dates_of(F.col("t"), M.said(F.col("t")), today).alias("d")).collect()}

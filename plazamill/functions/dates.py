@@ -112,6 +112,7 @@ def labelled_dates(folded: Column, labels, today: Column, future: bool) -> Colum
     def of(label: str) -> Column:
         parts = F.split(folded, label.replace(".", "\\."), -1)
         starts = F.transform(F.slice(parts, F.lit(1), F.size(parts) - 1), lambda x, i: F.aggregate(F.slice(parts, 1, i + 1), i * len(label), lambda a, y: a + F.length(y)))
-        return F.transform(starts, lambda s: date_in(F.substring(folded, s + 1, F.lit(120)), today, future))
+        snippets = F.transform(starts, lambda s: F.substring(folded, s + 1, F.lit(120)))  # cut first: within a lambda each use is evaluated
+        return F.transform(snippets, lambda x: date_in(x, today, future))
 
     return F.array_compact(F.concat(*[of(x) for x in labels]))

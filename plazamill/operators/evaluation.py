@@ -118,11 +118,16 @@ def dates(html: Column, text: Column, today: Column) -> Column:
 def dates_of(page: Column, text: Column, today: Column) -> Column:
     """struct(publication, closing, deadline): of meta tags (0.92), linked data (0.95), time tags (0.86) and
     labelled text the surest evidence counts, the earliest date of equals."""
-    folded = key(text)
+    blocks = F.filter(page["nodes"], lambda n: (n["tag"] == "script") & F.contains(F.lower(F.coalesce(M.attr(n, "type"), F.lit(""))), F.lit("ld+json")))
+    every = F.flatten(F.transform(blocks, lambda n: J.graph_objects(n["data"])))
+    return M.let(F.struct(key(text).alias("folded"), every.alias("data")), lambda x: _dates(page, x["folded"], x["data"], today))
+
+
+def _dates(page: Column, folded: Column, data: Column, today: Column) -> Column:
     filled = lambda c: F.nullif(c, F.lit(""))
 
     def stamped(v: Column, future: bool = True) -> Column:
-        return F.coalesce(date_in(key(v), today, future), F.try_to_date(F.regexp_extract(v, "^\\s*([0-9]{4}-[0-9]{2}-[0-9]{2})[Tt ]", 1), "yyyy-MM-dd"))
+        return F.coalesce(M.let(key(v), lambda k: date_in(k, today, future)), F.try_to_date(F.regexp_extract(v, "^\\s*([0-9]{4}-[0-9]{2}-[0-9]{2})[Tt ]", 1), "yyyy-MM-dd"))
 
     def days(values: Column, future: bool = True) -> Column:
         return F.array_compact(F.transform(F.array_compact(values), lambda v: stamped(v, future)))
@@ -135,12 +140,9 @@ def dates_of(page: Column, text: Column, today: Column) -> Column:
         mine = F.filter(page["nodes"], lambda n: (n["tag"] == "meta") & key(F.coalesce(*[filled(M.attr(n, a)) for a in ("property", "name", "itemprop")])).isin(*names))
         return days(F.transform(mine, lambda n: F.coalesce(filled(M.attr(n, "content")), filled(M.attr(n, "value")))))
 
-    blocks = F.filter(page["nodes"], lambda n: (n["tag"] == "script") & F.contains(F.lower(F.coalesce(M.attr(n, "type"), F.lit(""))), F.lit("ld+json")))
-    every = F.flatten(F.transform(blocks, lambda n: J.graph_objects(n["data"])))
-
     def linked(*names: str) -> Column:
         fields = lambda v: F.map_values(F.map_filter(F.try_variant_get(v, "$", "map<string,variant>"), lambda k, _: F.lower(k).isin(*names)))
-        return days(F.flatten(F.transform(every, lambda v: F.transform(fields(v), lambda x: F.try_variant_get(x, "$", "string")))))
+        return days(F.flatten(F.transform(data, lambda v: F.transform(fields(v), lambda x: F.try_variant_get(x, "$", "string")))))
 
     timed = days(F.transform(F.filter(page["nodes"], lambda n: n["tag"] == "time"), lambda n: F.coalesce(filled(M.attr(n, "datetime")), M.said(page, n))), False)
     return F.struct(

@@ -123,8 +123,12 @@ _EVAL = ("decision", "platform", "retry_policy", "quality_score", "reason", "eva
 _LAST10 = ("cargo", "activa", "estado", "fecha_cierre", "url_oferta_valida", "fecha_scraped")
 
 
+def _said(column: str) -> str:
+    return f"strftime({column}, '%Y-%m-%d %H:%M:%S.%f')" if column in ("evaluated_at", "fecha_scraped") else f"lower({column}::VARCHAR)"
+
+
 def _sql_detail(part: str, columns: tuple[str, ...], source: str, number: str) -> str:
-    return " UNION ALL ".join(f"SELECT '{part}' AS parte, {number} AS n, '{c}' AS campo, lower({c}::VARCHAR) AS valor FROM ({source})" for c in columns)
+    return " UNION ALL ".join(f"SELECT '{part}' AS parte, {number} AS n, '{c}' AS campo, {_said(c)} AS valor FROM ({source})" for c in columns)
 
 
 @query(f"""{_sql_detail('institucion', _INST, 'SELECT * FROM instituciones WHERE id = 100', '1')} UNION ALL {_sql_detail('evaluacion', _EVAL, f'SELECT * FROM {LAST} WHERE rn = 1 AND institucion_id = 100', '1')} UNION ALL
@@ -133,7 +137,7 @@ def q23_source_detail(spark, sf_dir):
     """A source: its row, its latest evaluation and its last ten postings, field by field, values as lower-case text."""
 
     def fields(rows: DataFrame, part: str, columns, number) -> DataFrame:
-        said = lambda c: F.lower(F.date_format(c, "yyyy-MM-dd HH:mm:ss") if dict(rows.dtypes)[c].startswith("timestamp") else F.col(c).cast("string"))
+        said = lambda c: F.lower(F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS") if dict(rows.dtypes)[c].startswith("timestamp") else F.col(c).cast("string"))
         each = F.array(*[F.struct(F.lit(c).alias("campo"), said(c).alias("valor")) for c in columns])
         return rows.select(F.lit(part).alias("parte"), number.cast("long").alias("n"), F.inline(each))
 

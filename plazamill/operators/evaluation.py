@@ -17,6 +17,7 @@ from plazamill.functions import tables as TB
 from plazamill.functions.dates import date_in, labelled_dates
 from plazamill.functions.lookups import contains_any, count_of
 from plazamill.functions.text import ascii_fold
+from plazamill.operators.sources_policy import thresholds
 from plazamill.sources import markup as M
 
 #: Profile, domains, institution ids, platform markers, extractor, extract and manual thresholds, renders
@@ -34,6 +35,11 @@ PROFILES = (
     ("wordpress", (), (), ("wordpress", "wp-json", "wp-content"), "scraper_wordpress_jobs", 0.8, 0.6, False, False, False),
     ("generic_site", (), (), (), "scraper_generic_fallback", 0.78, 0.58, False, False, False),
 )
+#: The family whose history adapts a profile's thresholds.
+FAMILY_OF = {
+    "empleos_publicos": "trusted_portal", "carabineros_pdf_first": "pdf_first_waf", "pdi_pdf_first": "pdf_first_waf", "policia_waf": "waf_protected", "ffaa_waf": "waf_protected", "ats_trabajando": "external_ats", "ats_hiringroom": "external_ats",
+    "ats_buk": "external_ats", "playwright_js": "js_intensive", "wordpress": "wordpress", "generic_site": "generic",
+}
 #: Hints found at run time and the profile each names.
 HINTS = (("ats_buk", "ats_buk"), ("ats_hiringroom", "ats_hiringroom"), ("ats_trabajando", "ats_trabajando"), ("cms_wordpress", "wordpress"))
 #: Kinds of overrides that skip the evaluation, with extractor and profile; police ids have their own.
@@ -207,8 +213,10 @@ def select_extractor(profile_name: Column, availability: Column, page: Column, r
     )
 
 
-def evaluate(pages: DataFrame, today: date, noise: Column | None = None) -> DataFrame:
-    """One evaluation per page: availability, profile, page type, dates, validity, signals with the noise penalty, the
+def evaluate(pages: DataFrame, today: date, noise: Column | None = None, history: DataFrame | None = None) -> DataFrame:
+    """history: id, sample, precision, recall of what the source gave before; it adapts the profile's thresholds.
+
+    One evaluation per page: availability, profile, page type, dates, validity, signals with the noise penalty, the
     floor of trusted sources, routing and the repairs of its reason."""
     c, day = F.col, F.lit(today)
     noise = F.lit(0.0) if noise is None else noise
@@ -231,7 +239,13 @@ def evaluate(pages: DataFrame, today: date, noise: Column | None = None) -> Data
     out = out.withColumn("held", F.when(c("availability") == "ok", held).otherwise(0.0)).withColumn("relevance", F.when(c("availability") == "ok", relevance(c("text"), c("page"), c("held"))).otherwise("uncertain"))
     trusted = of_profile(c("p.profile"), 9) & (c("v.status") != "expired_confirmed") & (c("availability") == "ok")
     out = out.withColumn("confidence", F.when(trusted, F.greatest("held", F.lit(0.8))).otherwise(c("held")))
-    out = out.withColumn("x", select_extractor(c("p.profile"), c("availability"), c("page"), c("relevance"), c("v.status"), c("confidence"), of_profile(c("p.profile"), 5), of_profile(c("p.profile"), 6)))
+    extract_at, manual_at = of_profile(c("p.profile"), 5), of_profile(c("p.profile"), 6)
+    if history is not None:
+        family = F.try_element_at(F.create_map(*[F.lit(x) for kv in FAMILY_OF.items() for x in kv]), c("p.profile"))
+        out = out.withColumns({"family": family, "extract_threshold": extract_at, "manual_threshold": manual_at})
+        out = thresholds(out.join(history.select("id", "sample", "precision", "recall"), "id", "left"))
+        extract_at, manual_at = c("extract_applied"), c("manual_applied")
+    out = out.withColumn("x", select_extractor(c("p.profile"), c("availability"), c("page"), c("relevance"), c("v.status"), c("confidence"), extract_at, manual_at))
     undecided = (c("v.status") == "manual_review") & (c("x.decision") == "skip")
     decision = F.when(undecided, "manual_review").otherwise(c("x.decision"))
     reason = F.when(undecided, "manual_review_required").otherwise(F.coalesce("x.reason", "v.reason"))

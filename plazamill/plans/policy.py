@@ -99,14 +99,14 @@ _HOURS = "CASE retry_policy " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in R.TI
 _LATE = "TIMESTAMP '2024-01-30 12:00:00'"
 
 
-@query(f"""SELECT i.id, CASE WHEN e.institucion_id IS NULL THEN 'sin_historial' WHEN (epoch({_LATE}) - epoch(evaluated_at)) / 3600.0 >= {_HOURS} THEN 'cooldown_vencido' WHEN z > 3 AND i.id % 2 = 0 THEN 'cooldown_bypass_one_time_zero_threshold' WHEN coalesce(retry_policy, '') IN ('critical', 'high') THEN 'cooldown_light_recheck_high_priority' WHEN z > 0 THEN 'cooldown_light_recheck_zero_streak' ELSE 'cooldown' END AS motivo
- FROM instituciones i LEFT JOIN (SELECT *, coalesce(TRY_CAST(json_extract_string(signals_json, '$.k') AS INT), 0) % 5 AS z FROM {LAST} WHERE rn = 1) e ON e.institucion_id = i.id""")
+@query(f"""SELECT id, motivo, motivo <> 'cooldown' AS reevaluar FROM (SELECT i.id, CASE WHEN e.institucion_id IS NULL THEN 'sin_historial' WHEN (epoch({_LATE}) - epoch(evaluated_at)) / 3600.0 >= {_HOURS} THEN 'cooldown_vencido' WHEN z > 3 AND i.id % 2 = 0 THEN 'cooldown_bypass_one_time_zero_threshold' WHEN coalesce(retry_policy, '') IN ('critical', 'high') THEN 'cooldown_light_recheck_high_priority' WHEN z > 0 THEN 'cooldown_light_recheck_zero_streak' ELSE 'cooldown' END AS motivo
+ FROM instituciones i LEFT JOIN (SELECT *, coalesce(TRY_CAST(json_extract_string(signals_json, '$.k') AS INT), 0) % 5 AS z FROM {LAST} WHERE rn = 1) e ON e.institucion_id = i.id)""")
 def v24_cooldown_partition(spark, sf_dir):
     e = latest(A.evaluations(spark, sf_dir)).select("institucion_id", "retry_policy", "evaluated_at", (F.coalesce(F.get_json_object("signals_json", "$.k").try_cast("int"), F.lit(0)) % 5).alias("z"))
     i = A.institutions(spark, sf_dir).select("id")
     j = i.join(e, i["id"] == e["institucion_id"], "left")
     c = P.cooldown(F.col("id"), F.col("institucion_id").isNotNull(), F.col("retry_policy"), F.col("evaluated_at"), F.col("z"), F.col("id") % 2 != 0, F.to_timestamp(F.lit("2024-01-30 12:00:00")))
-    return j.select("id", c["reason"].alias("motivo"))
+    return j.select("id", c["reason"].alias("motivo"), c["reevaluate"].alias("reevaluar"))
 
 
 

@@ -394,3 +394,27 @@ def test_evaluation_reads_references_quotings_and_graphs(spark):
     t = F.col("t")
     seen = spark.createDataFrame([(page,)], "h string").withColumn("t", M.tree(F.col("h"))).select(E.runtime_hints(F.lit("https://m.cl"), F.lit(None).cast("string"), t), E.page_type(F.lit("https://m.cl"), F.lit("text/html"), F.col("h"), t, F.lit("generic_site"))).first()
     assert tuple(seen) == (["ats_hiringroom"], "detail_page")
+
+
+def test_history_adapts_the_thresholds(spark):
+    """Of sources alike the one with a good history is extracted at a confidence that is not enough without, and the one
+    with a poor history isn't where it was."""
+    from datetime import date
+
+    from plazamill.operators import evaluation as E
+
+    bodies = ["<h1>Cargo</h1><p>Concurso, vacante, postulacion, bases y requisitos</p>", "<h1>Concurso</h1><p>cierre: 30/06/2026, vacante, cargo, bases</p>", "<p>hola</p>", "<h1>x</h1><p>Noticias y taller, concurso cargo vacante; plazo de postulacion 30/06/2026</p><a href='/bases.pdf'>b</a>"]
+    rows = [(10 * i + k, None, f"https://m{i}.cl/{p}", f"https://m{i}.cl/{p}", 200, None, "text/html", None, b) for i, b in enumerate(bodies) for k, p in enumerate(("", "concursos", "noticias/1"))]
+    pages = spark.createDataFrame(rows, "id long, platform string, url string, final_url string, status int, error string, content_type string, headers string, html string")
+    told = lambda p, r: spark.createDataFrame([(x[0], 500, p, r) for x in rows], "id long, sample int, precision double, recall double")
+    read = lambda h: {r["id"]: (r["confidence"], r["decision"]) for r in E.evaluate(pages, date(2026, 6, 1), history=h).select("id", "confidence", "decision").collect()}
+    bare, good, poor = read(None), read(told(1.0, 1.0)), read(told(0.1, 0.1))
+    assert all(bare[i][0] == good[i][0] == poor[i][0] for i in bare)
+    for i, (confidence, decision) in bare.items():
+        if decision == "manual_review" and 0.73 <= confidence < 0.78:
+            assert good[i][1] == "extract"
+        if decision == "extract" and 0.78 <= confidence < 0.83:
+            assert poor[i][1] != "extract"
+        if decision == "extract":
+            assert good[i][1] == "extract"
+    assert any(d == "extract" and 0.78 <= c < 0.83 for c, d in bare.values())

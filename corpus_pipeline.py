@@ -22,7 +22,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null or empty texts are judged by their metadata, null metadata is a value of its own, null ids are judged like
     others; rows that repeat are judged alike; without labels of both classes nothing goes; an empty table stays empty;
-    further columns pass unread, whatever their names.
+    very long texts are scored whole; further columns pass unread, whatever their names.
     """
     model = cotrain.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return cotrain.score(docs, model).where("keep").select(*[F.col(f"`{c}`") for c in docs.columns])
@@ -32,8 +32,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """One document of each component stays (5-word shingles, similarity 0.8), and one row of each repeated id: the
     least by hash of its text, then by all its columns.
 
-    Null, empty and blank texts are linked with nothing and stay; rows with a null id all stay; an empty table stays
-    empty; further columns pass unread, whatever their names. Rows whose id surely isn't among those to drop pass without an exchange; only the rest is joined.
+    Null, empty and blank texts are linked with nothing and stay; rows with a null id all stay; very long texts are
+    compared whole; an empty table stays empty; further columns pass unread, whatever their names. Rows whose id surely
+    isn't among those to drop pass without an exchange; only the rest is joined.
     """
     found = Scratch(spark, "stage-near").save(fast_minhash.near_duplicates(docs, k=5, percent=80), "found")
     known = found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
@@ -57,7 +58,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Documents that leak a benchmark item go.
 
     Null and empty texts leak nothing and stay, and nothing leaks null or empty items; null ids are judged like others,
-    repeated rows alike; an empty table stays empty; further columns pass unread, whatever their names.
+    repeated rows alike; very long texts are aligned whole; an empty table stays empty; further columns pass unread,
+    whatever their names.
     """
     marked = decontaminate.with_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return marked.where(F.size("leaks") == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
@@ -67,7 +69,8 @@ def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Each document as often as the mix takes it.
 
     Null text has size 0, a null source is a source of its own, null ids share a coin and so do rows that repeat an id;
-    a source without words gives no rows; an empty table stays empty; further columns pass unread.
+    a source without words gives no rows; very long texts count by all their words; an empty table stays empty; further
+    columns pass unread.
     """
     return mixing.mix(docs)
 
@@ -75,8 +78,8 @@ def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mixed corpus in shards of near equal bytes: the document columns with size, shard and slot.
 
-    Null text has 16 bytes, null ids sort first, copies of a row stand together; an empty table gives no rows; input
-    columns named size, shard or slot are replaced.
+    Null text has 16 bytes, null ids sort first, copies of a row stand together, very long texts are one row of their size;
+    an empty table gives no rows; input columns named size, shard or slot are replaced.
     """
     return sharding.shard(docs, N_SHARDS)
 

@@ -9,7 +9,8 @@ spread of its document sizes; therefore ``seeds`` independent coin sets are tota
 source uses the set that lands nearest its target (ties: the smallest number).
 
 Defined cases: null text has size 0; null source is a source of its own, last in order; null ids share a coin;
-rows that repeat an id share its coin; no words at all gives rate 0; an empty table gives an empty table. Input
+rows that repeat an id share its coin; no words at all gives rate 0; very long texts count by all their words; an empty
+table gives an empty table. Input
 columns named like the outputs (size, source_size, target, copies) are replaced.
 """
 

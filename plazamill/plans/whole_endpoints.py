@@ -20,7 +20,6 @@ from .listing import ACTIVE, BASE, CONTRACT, D, NOW, P01, SEEN, joined, latest
 from .policy import LAST
 
 DAYS = ("fecha_publicacion", "fecha_inicio", "fecha_cierre")
-TIMES = ("fecha_scraped", "fecha_actualizado")
 _UNDATED = "CASE WHEN fecha_cierre IS NULL THEN 1 ELSE 0 END"
 _LEGACY = "CASE estado WHEN 'active' THEN 'activo' WHEN 'closing_today' THEN 'activo' WHEN 'upcoming' THEN 'proximo' ELSE 'cerrado' END"
 

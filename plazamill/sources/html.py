@@ -82,7 +82,7 @@ def candidates(pages: DataFrame) -> DataFrame:
                 for kind, title, url in p.found:
                     if (key := (kind, url or title)) not in seen:
                         seen.add(key)
-                        rows.append((page, kind, len(seen) - 1, title[:500], url))
+                        rows.append((page, kind, len(seen) - 1, title, url))
                 if len(rows) >= BATCH:
                     yield batch(rows)
                     rows = []

@@ -4,7 +4,6 @@ import os
 import random
 from datetime import datetime, timedelta
 
-from pyspark.sql import functions as F
 
 from plazamill.streaming import state
 

@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from plazamill.context import OFFERS
+from plazamill.functions import json_walk as J
+from plazamill.operators import evaluation as E
 from plazamill.sources import adapters as A
+from plazamill.sources import markup as M
 from plazamill.sources import portals as P
 
 from .base import query
@@ -67,3 +71,27 @@ def x24_portal_cards(spark, sf_dir):
     pages = boxes.select("portal", F.when(posted, "POST").otherwise("GET").alias("method"), url.alias("url"), data.alias("data"), F.concat("boxes", F.when(c("k") % 2 == 0, link).otherwise(back)).alias("html"), (c("k") == 0).alias("started"))
     out = P.listed_cards(pages).drop("at")
     return out.withColumns({x: c(x).cast("string") for x in ("fecha_publicacion", "fecha_cierre")})
+
+
+_NESTED = """'{"@graph": [{"id": ' || o_orderkey::VARCHAR || ', "deep": [[{"y": "' || o_orderpriority || '", "z": {}}]], "said": "}[{"}], "t": [' || CASE WHEN o_orderkey % 3 = 0 THEN '{"y": "uno"}' ELSE '1, [2]' END || ']}'"""
+
+
+@query(f"""SELECT id, count(*) AS objetos, coalesce(string_agg(y, '|' ORDER BY y), '') AS ys FROM (SELECT o_orderkey AS id, json_extract_string(t.value, '$.y') AS y FROM (SELECT o_orderkey, {_NESTED} AS j FROM orders), json_tree(j) t WHERE t.type = 'OBJECT') GROUP BY id""", cte=False)
+def m02_json_walk(spark, sf_dir):
+    """Every object of nested JSON at any depth, and what one field says in them."""
+    c = F.col
+    deep = F.concat(
+        F.lit('{"@graph": [{"id": '), c("o_orderkey").cast("string"), F.lit(', "deep": [[{"y": "'), c("o_orderpriority"), F.lit('", "z": {}}]], "said": "}[{"}], "t": ['),
+        F.when(c("o_orderkey") % 3 == 0, '{"y": "uno"}').otherwise("1, [2]"), F.lit("]}"),
+    )
+    rows = A.read(spark, sf_dir, "orders").select(c("o_orderkey").alias("id"), J.objects(deep).alias("o"))
+    said = F.array_sort(F.array_compact(F.transform("o", lambda v: J.value(v, "y"))))
+    return rows.select("id", F.size("o").cast("long").alias("objetos"), F.array_join(said, "|").alias("ys"))
+
+
+@query()
+def d06_page_dates(spark, sf_dir):
+    """Dates of every page of the table: meta tags, linked data, time tags and labelled text, by their confidence."""
+    pages = with_scripts(spark, sf_dir).withColumn("page", M.tree(F.col("html")))
+    d = E.dates_of(F.col("page"), M.said(F.col("page")), OFFERS.day)
+    return pages.select("source_id", d.alias("d")).select("source_id", *[F.col(f"d.{x}").cast("string").alias(x) for x in ("publication", "closing", "deadline")])

@@ -141,3 +141,10 @@ def test_registered_portals_meet_their_branches(spark):
     assert {r["title"] for r in jobs} >= {"Analista de gestión", "Médico, vacante de planta"} and "Hola" not in {r["title"] for r in jobs}
     state = registry.QUERIES["x16_state_offers"](spark, sf).collect()
     assert {r["cargo"] for r in state} >= {"Analista contable I", "Chofer a contrata"} and {r["pages"] for r in state} >= {3}
+
+
+def test_registered_page_dates(spark):
+    from plazamill import registry
+
+    rows = registry.QUERIES["d06_page_dates"](spark, "/root/testdata/sf0.001").collect()
+    assert "1998-05-02" in {r["publication"] for r in rows} and any(r["deadline"] or r["closing"] for r in rows)

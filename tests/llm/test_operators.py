@@ -689,6 +689,50 @@ def test_tokens_of_one_id_many_times(spark, monkeypatch):
     assert [r["ids"] for r in again] == [r["ids"] for r in out]
 
 
+def test_pieces_are_words_without_case_and_stops():
+    """One word in capitals, with accents and before stops is one piece, so it is encoded once."""
+    P = pytest.importorskip("public_tokenizers")
+    enc = token_store.Encoder(P.path("word_bpe_49k.json"))
+    out = enc.encode(["Être être, ÊTRE. être;", None, "", " \t", "être"], 2)
+    assert set(enc.pieces) == {"être".encode(), b",", b".", b";"}
+    assert [len(x) for x in out[1:4]] == [1, 1, 1] and enc.encode([], 2) == [] and [x.tolist() for x in enc.encode([None], 2)] == [[2]]
+
+
+def test_cut_pieces_against_the_library(monkeypatch):
+    """Letters before marks (a capital may not compose where the small letter does), stops in odd places, few pieces kept."""
+    P = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    path = P.path("word_bpe_49k.json")
+    tk, r = Tokenizer.from_file(path), np.random.default_rng(10)
+    parts = [*"aZéÉßÿÞ÷×ªĀıİſΣς日1٣_*-'<|>,.!?;: \t\n\x0b\x1c\x85\xa0\u2028", "\u0301", "\u0331", "\u0308", "\u1dc0", "\u0345", "\u037e", "\u212a", "\u200d", "'s", "'LL", "don't", "the", "THE", "<|endoftext|>", "<|EndOfText|>", "😀"]
+    texts = ["H\u0331 T\u0308, W\u030a. Y\u030a J\u030c;", "H\u1dc0\u0331x", "É\u0331 É\u0323", "a,\u0301b é.\u0331", "x,'s y.'LL", "É", "E\u0301,", "ÿ.Ÿ"]
+    texts += ["".join(parts[i] for i in r.integers(0, len(parts), n)) for n in r.integers(0, 30, 3000)]
+    want = [tk.encode(t, add_special_tokens=False).ids + [2] for t in texts]
+    enc = token_store.Encoder(path)
+    assert [t for t, x, w in zip(texts, enc.encode(texts, 2), want) if x.tolist() != w] == []
+    monkeypatch.setattr(token_store, "MOST_PIECES", 50)
+    monkeypatch.setattr(token_store, "KEPT_PIECES", 20)
+    for a in range(0, len(texts), 500):
+        got = enc.encode(pa.array(["", *texts])[1:][a : a + 500], 2)
+        assert [x.tolist() for x in got] == want[a : a + 500]
+
+
+def test_more_pieces_than_are_kept():
+    """At the real limits: the pieces of most uses stay, all others are learnt again."""
+    P = pytest.importorskip("public_tokenizers")
+    enc = token_store.Encoder(P.path("word_bpe_49k.json"))
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = ["".join(letters[i // 26**k % 26] for k in range(5)) for i in range(token_store.MOST_PIECES + 1000)]
+    enc.encode([" ".join(words[:-1000]), " ".join(words[:500])], 2)
+    enc.encode([" ".join(words[-1000:])], 2)
+    assert len(enc.pieces) > token_store.MOST_PIECES
+    some = [" ".join(words[a : a + 100]) for a in (0, 400, 150_000, 350_000, len(words) - 100)]
+    want = [e.ids + [2] for e in enc.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+    assert [x.tolist() for x in enc.encode(some, 2)] == want
+    assert token_store.KEPT_PIECES <= len(enc.pieces) <= token_store.KEPT_PIECES + 500 and {w.encode() for w in words[:500]} <= set(enc.pieces)
+
+
 def test_tokens_refuse_another_dictionary(spark, docs):
     P = pytest.importorskip("public_tokenizers")
     store = token_store.write_tokens(docs.limit(5), P.path("word_bpe_49k.json"))

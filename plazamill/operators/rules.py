@@ -75,7 +75,8 @@ def cooldown_hours(tier: Column) -> Column:
 
 
 def due(tier: Column, last: Column, now: Column) -> Column:
-    hours = (F.unix_timestamp(now) - F.unix_timestamp(last.cast("timestamp"))) / 3600
+    """Hours count to the microsecond: an evaluation that is a split second short of its cooldown isn't due."""
+    hours = (F.unix_micros(now) - F.unix_micros(last.cast("timestamp"))) / 3_600_000_000
     return last.isNull() | (hours >= cooldown_hours(tier))
 
 

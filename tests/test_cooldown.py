@@ -8,7 +8,7 @@ from plazamill import registry
 from .test_queries import SF, plain
 
 
-@pytest.mark.parametrize("name, at", [("v23_cooldown", "2024-01-31 00:00:00")])
+@pytest.mark.parametrize("name, at", [("v23_cooldown", "2024-01-31 00:00:00"), ("v24_cooldown_partition", "2024-01-30 12:00:00")])
 def test_cooldown_counts_microseconds(spark, tmp_path, name, at):
     con = duckdb.connect()
     con.execute("SET timezone = 'UTC'")

@@ -117,17 +117,19 @@ def paragraphs(text: Column, most: int = 2000, width: int = 400) -> Column:
 
 def short_title(text: Column, most: int = 90) -> Column:
     """A long title cut at its first dash, bracket, sentence end or comma between the 21st and 119th character, else at
-    a blank near `most`; full stops of abbreviations and initials end no sentence."""
+    a blank near `most`; full stops of abbreviations and initials end no sentence. No mark looks further ahead than
+    three characters, so those of the whole text are found in its first 125."""
     within = lambda i: F.when((i > 20) & (i < 120), i)
-    first = lambda p: within(F.regexp_instr(text, F.lit(p)) - 1)
+    start = F.substring(text, 1, 125)
+    first = lambda p: within(F.regexp_instr(start, F.lit(p)) - 1)
 
     def ends(m: Column) -> Column:
         i = m["start"]
-        word = F.regexp_extract(F.substring(text, F.lit(1), i), "([A-Za-zÑñÁÉÍÓÚÜáéíóúü]*)\\z", 1)
-        short = (F.length(word) == 1) & word.rlike("^[A-ZÑ]$") | ((i >= 2) & (F.substring(text, i - 1, F.lit(1)) == "."))
+        word = F.regexp_extract(F.substring(start, F.lit(1), i), "([A-Za-zÑñÁÉÍÓÚÜáéíóúü]*)\\z", 1)
+        short = (F.length(word) == 1) & word.rlike("^[A-ZÑ]$") | ((i >= 2) & (F.substring(start, i - 1, F.lit(1)) == "."))
         return (i > 20) & (i < 120) & ((word == "") | ~(short | F.lower(word).isin(*TB.ABBREVIATIONS)))
 
-    stop = F.get(F.filter(matches(text, "\\.(?=\\s|\\z)"), ends), 0)["start"]
+    stop = F.get(F.filter(matches(start, "\\.(?=\\s|\\z)"), ends), 0)["start"]
     best = F.least(first("\\s[-–—]\\s"), first("\\s\\("), stop, first("[,;:](?=\\s|\\z)"))
     head = F.substring(text, 1, most)
     blank = F.length(head) - F.instr(F.reverse(head), " ")

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plazamill.functions.context import let
 from plazamill.functions.text import clean
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -117,11 +118,6 @@ def text(html: Column) -> Column:
     return clean(_text(html))
 
 
-def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value) with the value computed once: within lambdas an expression named twice is evaluated twice."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def said(page: Column, node: Column | None = None) -> Column:
     """The text of a node (null: of the page): its strings with blanks between, single blanks."""
     if node is None:

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import tables as TB
-from .context import around, first_seen, matches
+from .context import around, first_seen, let, matches
 from .lookups import contains_any, count_of
 
 #: Heads of sections.
@@ -33,34 +33,42 @@ def _wide(x: Column) -> Column:
 
 def functions(text: Column) -> Column:
     """Up to 12 lines of two words or more among the seven after a head."""
-    lines = F.transform(_lines(text), lambda x: F.regexp_replace(x, BULLET, ""))
-    after = F.transform(lines, lambda x, i: F.when(x.rlike(f"(?iu){FUNCTIONS}"), F.slice(lines, i + 2, F.lit(7))).otherwise(F.array().cast("array<string>")))
-    return F.slice(first_seen(F.filter(F.flatten(after), _wide)), 1, 12)
+
+    def found(lines: Column) -> Column:
+        after = F.transform(lines, lambda x, i: F.when(x.rlike(f"(?iu){FUNCTIONS}"), F.slice(lines, i + 2, F.lit(7))).otherwise(F.array().cast("array<string>")))
+        return F.slice(first_seen(F.filter(F.flatten(after), _wide)), 1, 12)
+
+    return let(F.transform(_lines(text), lambda x: F.regexp_replace(x, BULLET, "")), found)
 
 
 def _section(lines: Column, pattern: str) -> Column:
-    def block(i: Column) -> Column:
-        window = F.slice(lines, i + 2, F.lit(10))
+    def block(window: Column) -> Column:
         stop = F.array_position(F.transform(window, lambda x: x.rlike(HEADER)), True)
-        return F.when(stop > 0, F.slice(window, F.lit(1), stop.cast("int") - 1)).otherwise(window)
+        return let(stop, lambda n: F.when(n > 0, F.slice(window, F.lit(1), n.cast("int") - 1)).otherwise(window))
 
-    after = F.transform(lines, lambda x, i: F.when(x.rlike(f"(?iu){pattern}"), block(i)).otherwise(F.array().cast("array<string>")))
+    after = F.transform(lines, lambda x, i: F.when(x.rlike(f"(?iu){pattern}"), let(F.slice(lines, i + 2, F.lit(10)), block)).otherwise(F.array().cast("array<string>")))
     return first_seen(F.transform(F.filter(F.flatten(after), _wide), lambda x: F.regexp_replace(x, BULLET, "")))
 
 
 def requirements(text: Column) -> Column:
     """struct(required, desirable, documents), at most 12, 10 and 10 lines."""
-    lines = _lines(text)
-    documents = F.filter(lines, lambda x: x.rlike(f"(?iu){DOCUMENTS}"))
-    return F.struct(F.slice(_section(lines, REQUIRED), 1, 12).alias("required"), F.slice(_section(lines, DESIRABLE), 1, 10).alias("desirable"), F.slice(documents, 1, 10).alias("documents"))
+
+    def found(lines: Column) -> Column:
+        documents = F.filter(lines, lambda x: x.rlike(f"(?iu){DOCUMENTS}"))
+        return F.struct(F.slice(_section(lines, REQUIRED), 1, 12).alias("required"), F.slice(_section(lines, DESIRABLE), 1, 10).alias("desirable"), F.slice(documents, 1, 10).alias("documents"))
+
+    return let(_lines(text), found)
 
 
 def mail_kind(context: Column) -> Column:
     """The kinds of an address by what stands around it."""
-    c = F.lower(context)
-    apply, ask = contains_any(c, TB.APPLY_HINTS), contains_any(c, TB.ASK_HINTS)
-    loose = F.when(F.contains(c, F.lit("postul")), "P").when(contains_any(c, ("consulta", "informaci", "contact")), "C").otherwise("I")
-    return F.when(apply & ask, "PC").when(apply, "P").when(ask, "C").otherwise(loose)
+
+    def kind(c: Column) -> Column:
+        apply, ask = contains_any(c, TB.APPLY_HINTS), contains_any(c, TB.ASK_HINTS)
+        loose = F.when(F.contains(c, F.lit("postul")), "P").when(contains_any(c, ("consulta", "informaci", "contact")), "C").otherwise("I")
+        return let(F.struct(apply.alias("apply"), ask.alias("ask")), lambda x: F.when(x["apply"] & x["ask"], "PC").when(x["apply"], "P").when(x["ask"], "C").otherwise(loose))
+
+    return let(F.lower(context), kind)
 
 
 def mails(text: Column) -> Column:
@@ -68,16 +76,21 @@ def mails(text: Column) -> Column:
     applications, C: for questions, I: unclear."""
     t = F.coalesce(text, F.lit(""))
     every = F.transform(matches(t, ADDRESS), lambda m: F.struct(F.lower(m["value"]).alias("address"), mail_kind(around(t, m, 100)).alias("kinds")))
-    names = F.array_distinct(F.transform(every, lambda m: m["address"]))
-    has = lambda name, k: F.exists(every, lambda m: (m["address"] == name) & F.contains(m["kinds"], F.lit(k)))
-    merged = F.transform(names, lambda a: F.struct(a.alias("address"), F.concat(*[F.when(has(a, k), k).otherwise("") for k in "PCI"]).alias("kinds")))
-    some = lambda k: F.exists(merged, lambda m: F.contains(m["kinds"], F.lit(k)))
-    low = F.lower(t)
-    channel = (
-        F.when(some("P") & some("C"), "postulacion_mixta").when(some("P"), "postulacion_por_email").when(low.rlike("postular|formulario|portal de empleo|trabajando\\.cl|bne\\.cl"), "postulacion_por_portal_externo")
-        .when(low.rlike("presencial|oficina de partes|entrega presencial"), "postulacion_presencial").otherwise("canal_no_determinado")
-    )
-    return F.struct(merged.alias("addresses"), channel.alias("channel"), some("C").alias("asks"))
+
+    def merged(every: Column) -> Column:
+        kinds = lambda a: F.array_join(F.transform(F.filter(every, lambda m: m["address"] == a), lambda m: m["kinds"]), "")
+        named = lambda k: F.concat(*[F.when(F.contains(k, F.lit(x)), x).otherwise("") for x in "PCI"])
+        return F.transform(F.array_distinct(F.transform(every, lambda m: m["address"])), lambda a: F.struct(a.alias("address"), let(kinds(a), named).alias("kinds")))
+
+    def told(x: Column) -> Column:
+        channel = (
+            F.when(x["p"] & x["c"], "postulacion_mixta").when(x["p"], "postulacion_por_email").when(x["low"].rlike("postular|formulario|portal de empleo|trabajando\\.cl|bne\\.cl"), "postulacion_por_portal_externo")
+            .when(x["low"].rlike("presencial|oficina de partes|entrega presencial"), "postulacion_presencial").otherwise("canal_no_determinado")
+        )
+        return F.struct(x["addresses"].alias("addresses"), channel.alias("channel"), x["c"].alias("asks"))
+
+    some = lambda found, k: F.exists(found, lambda m: F.contains(m["kinds"], F.lit(k)))
+    return let(let(every, merged), lambda found: let(F.struct(found.alias("addresses"), some(found, "P").alias("p"), some(found, "C").alias("c"), F.lower(t).alias("low")), told))
 
 
 def pay_in_context(text: Column) -> Column:
@@ -86,20 +99,26 @@ def pay_in_context(text: Column) -> Column:
     t = F.coalesce(text, F.lit(""))
 
     def judged(m: Column) -> Column:
-        near = F.lower(around(t, m, 80))
-        good, bad = count_of(near, TB.PAY_GOOD), count_of(near, TB.PAY_BAD)
-        amount = F.regexp_replace(m["value"], "[^0-9]", "").try_cast("long")
-        return F.struct((good * 3 - bad * 2).alias("score"), (good - bad).alias("surplus"), (-amount).alias("least"), m["value"].alias("raw"), good.alias("good"), bad.alias("bad"))
-
-    best = F.array_max(F.filter(F.transform(matches(t, AMOUNT), judged), lambda x: x["least"] <= -250_000))
-    amount = -best["least"]
-    status = (
-        F.when(amount >= 15_000_000, "remuneracion_descartada").when((amount >= 10_000_000) & ((best["good"] == 0) | (best["bad"] > best["good"])), "remuneracion_no_confiable")
-        .when(amount >= 10_000_000, "remuneracion_sospechosa").when(best["bad"] > best["good"], "remuneracion_no_confiable")
-    )
-    refused = F.coalesce(status.isin("remuneracion_descartada", "remuneracion_no_confiable"), F.lit(False))
-    confidence = F.when(best.isNull(), None).when(refused, "low").when(status.isNull(), "high").otherwise("medium")
-    return F.struct(F.when(~refused, amount).alias("amount"), best["raw"].alias("raw"), confidence.alias("confidence"), status.alias("status"))
+        return let(F.struct(F.lower(around(t, m, 80)).alias("near"), F.regexp_replace(m["value"], "[^0-9]", "").try_cast("long").alias("amount")), lambda x: let(
+            F.struct(count_of(x["near"], TB.PAY_GOOD).alias("good"), count_of(x["near"], TB.PAY_BAD).alias("bad")),
+            lambda n: F.struct((n["good"] * 3 - n["bad"] * 2).alias("score"), (n["good"] - n["bad"]).alias("surplus"), (-x["amount"]).alias("least"), m["value"].alias("raw"), n["good"].alias("good"), n["bad"].alias("bad")),
+        ))
+
+    def decided(best: Column) -> Column:
+        amount = -best["least"]
+        status = (
+            F.when(amount >= 15_000_000, "remuneracion_descartada").when((amount >= 10_000_000) & ((best["good"] == 0) | (best["bad"] > best["good"])), "remuneracion_no_confiable")
+            .when(amount >= 10_000_000, "remuneracion_sospechosa").when(best["bad"] > best["good"], "remuneracion_no_confiable")
+        )
+
+        def shown(status: Column) -> Column:
+            refused = F.coalesce(status.isin("remuneracion_descartada", "remuneracion_no_confiable"), F.lit(False))
+            confidence = F.when(best.isNull(), None).when(refused, "low").when(status.isNull(), "high").otherwise("medium")
+            return F.struct(F.when(~refused, amount).alias("amount"), best["raw"].alias("raw"), confidence.alias("confidence"), status.alias("status"))
+
+        return let(status, shown)
+
+    return let(F.array_max(F.filter(F.transform(matches(t, AMOUNT), judged), lambda x: x["least"] <= -250_000)), decided)
 
 
 def pay_span(text: Column) -> Column:

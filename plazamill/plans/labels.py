@@ -18,9 +18,11 @@ from .scalars import sql_fold, sql_normal
 KEY = "o_orderkey"
 
 
-def dealt(spark, sf_dir, key: str = KEY, table: str = "orders", **texts):
-    """One row per row of a table with texts dealt over its key; dealt_sql says the same."""
-    return A.read(spark, sf_dir, table).selectExpr(f"{key} AS id", *[f"{picked(key, v)} AS {n}" for n, v in texts.items()])
+def dealt(spark, sf_dir, key: str = KEY, table: str = "orders", wide: bool = False, **texts):
+    """One row per row of a table with texts dealt over its key; dealt_sql says the same. wide: the keys are spread over
+    all cores first."""
+    rows = A.read(spark, sf_dir, table)
+    return (A.spread(rows.select(key), key) if wide else rows).selectExpr(f"{key} AS id", *[f"{picked(key, v)} AS {n}" for n, v in texts.items()])
 
 
 def dealt_sql(key: str = KEY, table: str = "orders", **texts) -> str:

@@ -72,7 +72,7 @@ _KIND = f"CASE WHEN {sql_any('c', TB.APPLY_HINTS)} AND {sql_any('c', TB.ASK_HINT
  g AS (SELECT id, string_agg(a || ':' || k, ',' ORDER BY s) AS correos, bool_or(contains(k, 'P')) AS p, bool_or(contains(k, 'C')) AS c FROM a GROUP BY id)
  SELECT id, coalesce(correos, '') AS correos, CASE WHEN p AND c THEN 'postulacion_mixta' WHEN p THEN 'postulacion_por_email' WHEN regexp_matches(lower(t), 'postular|formulario|portal de empleo|trabajando\\.cl|bne\\.cl') THEN 'postulacion_por_portal_externo' WHEN regexp_matches(lower(t), 'presencial|oficina de partes|entrega presencial') THEN 'postulacion_presencial' ELSE 'canal_no_determinado' END AS canal, coalesce(c, FALSE) AS consultas FROM t LEFT JOIN g USING (id)""", cte=False)
 def l11_mails(spark, sf_dir):
-    rows = dealt(spark, sf_dir, texto=MAIL_TEXTS).select("id", S.mails(F.col("texto")).alias("m"))
+    rows = dealt(spark, sf_dir, wide=True, texto=MAIL_TEXTS).select("id", S.mails(F.col("texto")).alias("m"))
     shown = F.array_join(F.transform("m.addresses", lambda x: F.concat(x["address"], F.lit(":"), x["kinds"])), ",")
     return rows.select("id", shown.alias("correos"), F.col("m.channel").alias("canal"), F.col("m.asks").alias("consultas"))
 

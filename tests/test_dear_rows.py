@@ -1,11 +1,17 @@
 """Expressions that cost much a row: each part is worked out once, and rows of one file keep all cores busy."""
 
+import re
 import time
 
 import pytest
 from pyspark.sql import functions as F
 
+from plazamill import registry
+from plazamill.functions import sections as S
 from plazamill.functions import titles as TT
+from plazamill.functions.context import matches
+
+from .test_queries import SF
 
 
 
@@ -22,3 +28,25 @@ def test_short_title_reads_the_start_only(spark):
 ])
 def test_short_title_at_the_edge(spark, text, title):
     assert spark.range(1).select(TT.short_title(F.lit(text)).alias("t")).first()["t"] == title
+
+
+def test_mails_of_a_long_list(spark):
+    text = " ".join(f"postular a uno{i}@correo.cl o consultas a dos{i}@correo.cl" for i in range(400)) + " y postular a uno1@correo.cl"
+    docs = spark.createDataFrame([(i, text) for i in range(12)], "id int, text string")
+    began = time.time()
+    rows = docs.select(S.mails(F.col("text")).alias("m")).collect()
+    assert time.time() - began < 60
+    for r in rows:
+        assert [a["address"] for a in r["m"]["addresses"]] == [f"{n}{i}@correo.cl" for i in range(400) for n in ("uno", "dos")]
+        assert r["m"]["channel"] == "postulacion_mixta" and r["m"]["asks"]
+
+
+def test_matches_know_their_places(spark):
+    texts = ["", None, "ab", "xxabxab", "ñab😀ab", "ab" * 500]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", matches(F.col("t"), "ab").alias("m")).collect()
+    assert {r["t"]: [(x["value"], x["start"]) for x in r["m"]] for r in rows} == {t: [("ab", m.start()) for m in re.finditer("ab", t or "")] for t in texts}
+
+
+def test_rows_of_one_file_are_spread(spark):
+    out = registry.QUERIES["l11_mails"](spark, SF)
+    assert out.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism

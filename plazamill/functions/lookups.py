@@ -63,3 +63,56 @@ def first_group(c: Column, table, default: str | None = None) -> Column:
 def first_word(c: Column, words) -> Column:
     """The first word of the list that c contains."""
     return F.get(F.filter(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(c, w)), 0)
+
+
+def literals(pattern: str) -> list[str] | None:
+    """For each alternative of a pattern the longest plain text that every match of it holds; None if one has none."""
+    runs, run, i, out = [], "", 0, []
+    while i <= len(pattern):
+        x = pattern[i : i + 1]
+        plain = x if x and x not in "\\()[]{}.*+?^$|" else pattern[i + 1] if x == "\\" and not pattern[i + 1].isalnum() else ""
+        if plain:
+            run, i = run + plain, i + 1 + (x == "\\")
+            continue
+        runs.append(run[:-1] if x in ("?", "*", "{") else run)  # the letter before may be absent
+        run = ""
+        if x == "(" and pattern.startswith("(?", i) and not pattern.startswith("(?:", i):
+            return None  # flags change what a letter stands for
+        if x in ("(", "["):
+            i = _closing(pattern, i)
+        elif x == "{":
+            i = pattern.index("}", i)
+        elif x in ("|", ""):
+            out.append(max(runs, key=len))
+            runs = []
+        i += 2 if x == "\\" else 1
+    return out if all(out) else None
+
+
+def _closing(pattern: str, i: int) -> int:
+    """The place of the bracket that closes the one at i."""
+    shut, depth, first = {"(": ")", "[": "]"}[pattern[i]], 0, i
+    while True:
+        if pattern[i] == "\\":
+            i += 1
+        elif pattern[i] == "[" and shut == ")":
+            i = _closing(pattern, i)
+        elif pattern[i] == pattern[first] and shut == ")":
+            depth += 1
+        elif pattern[i] == shut:
+            depth -= 1
+            if depth <= 0:
+                return i
+        i += 1
+
+
+def fits(c: Column, pattern: str) -> Column:
+    """c.rlike(pattern), asked only where c holds a text that each match needs: that is looked for among bytes, while an
+    expression first makes a new string of the text."""
+    texts = literals(pattern)
+    if not texts:
+        return c.rlike(pattern)
+    some = F.contains(c, F.lit(texts[0]))
+    for x in texts[1:]:
+        some = some | F.contains(c, F.lit(x))
+    return some if pattern == re.escape(texts[0]) else some & c.rlike(pattern)

@@ -17,6 +17,7 @@ from plazamill.functions import labels as LB
 from plazamill.functions import policy_lists as PL
 from plazamill.functions import sections as S
 from plazamill.functions.dates import all_dates
+from plazamill.functions.lookups import fits
 
 #: Further positive rules as id, pattern, weight, reason and what they look at.
 EXTRA = (
@@ -74,7 +75,7 @@ def classified(pages: DataFrame, today: date, accept: float = 0.80, unclear: flo
     text = F.lower(F.concat_ws("\n", *[blank(n) for n in ("title", "crumbs", "hint", "body", "tables", "attachments")]))
     out = pages.withColumn("text", text).withColumn("low_url", F.lower(blank("url"))).withColumn("low_tables", F.lower(blank("tables")))
     target = {"text": c("text"), "url": c("low_url"), "tables": c("low_tables")}
-    flags = lambda rules: F.array(*[target[r[4]].rlike(r[1]).cast("int") for r in rules])
+    flags = lambda rules: F.array(*[fits(target[r[4]], r[1]).cast("int") for r in rules])
     good, bad = positive_rules(), negative_rules()
     out = out.withColumn("g", flags(good)).withColumn("b", flags(bad))
     total = lambda name, rules: F.aggregate(F.zip_with(c(name), F.array(*[F.lit(r[2]) for r in rules]), lambda x, w: x * w), F.lit(0.0), lambda a, x: a + x)

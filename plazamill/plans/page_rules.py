@@ -37,7 +37,7 @@ _HTTP = "CASE WHEN o_orderkey % 23 = 0 THEN 404 WHEN o_orderkey % 29 = 0 THEN NU
 
 
 def _pages(spark, sf_dir):
-    rows = A.read(spark, sf_dir, "orders").selectExpr("o_orderkey AS id", *[f"{picked('o_orderkey', v)} AS {n}" for n, v in PAGE.items()], f"{_HTTP} AS http_status")
+    rows = A.spread(A.read(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey").selectExpr("o_orderkey AS id", *[f"{picked('o_orderkey', v)} AS {n}" for n, v in PAGE.items()], f"{_HTTP} AS http_status")
     return rows.withColumn("files", F.when(F.col("id") % 4 == 1, F.array(F.lit("https://muni.cl/docs/bases.pdf"))).otherwise(F.array().cast("array<string>"))).withColumn("headings", F.array(F.lit("Inicio"), F.lit("Llamado abierto")))
 
 

@@ -7,9 +7,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from plazamill import registry
+from plazamill.functions import lookups as L
 from plazamill.functions import sections as S
 from plazamill.functions import titles as TT
 from plazamill.functions.context import matches
+from plazamill.operators import page_rules as PR
 
 from .test_queries import SF
 
@@ -50,3 +52,25 @@ def test_matches_know_their_places(spark):
 def test_rows_of_one_file_are_spread(spark):
     out = registry.QUERIES["l11_mails"](spark, SF)
     assert out.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+
+
+@pytest.mark.parametrize("pattern, texts", [
+    ("noticias?", ["noticia"]), ("a{0,2}bc", ["bc"]), ("\\bfondos? concursables?\\b", [" concursable"]), ("x+y", ["x"]), ("sala\\-de\\.p", ["sala-de.p"]), ("ab|c(de)?f", ["ab", "c"]), ("a|[bc]", None), ("(?i)abc", None),
+    ("(a(b|c)[)]d)?efg", ["efg"]), ("concurso (?:de )?cuentos?", ["concurso "]),
+])
+def test_literals_of_a_pattern(pattern, texts):
+    assert L.literals(pattern) == texts
+
+
+def test_rules_hold_where_their_patterns_do(spark):
+    rules = PR.positive_rules() + PR.negative_rules()
+    words = [w for r in rules for w in (L.literals(r[1]) or [])]
+    texts = [f"{a} {b} del {c}" for a, b, c in zip(words, words[7:] + words[:7], words[31:] + words[:31])] + ["", "resultados del concurso", "enviar a uno@correo.cl", "concurso  publico", "renta y cargo", "cargo x renta y cierre", "bases"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    out = rows.select("t", F.array(*[L.fits(F.col("t"), r[1]) for r in rules]).alias("a"), F.array(*[F.col("t").rlike(r[1]) for r in rules]).alias("b")).collect()
+    assert all(r["a"] == r["b"] for r in out) and sum(map(sum, (r["a"] for r in out))) > 200
+
+
+def test_pages_of_one_file_are_spread(spark):
+    out = registry.QUERIES["v12_page_pipeline"](spark, SF)
+    assert out.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism

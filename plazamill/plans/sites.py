@@ -84,7 +84,7 @@ PUT_IN = (
 
 def with_postings(spark, sf_dir):
     """The pages of the table, each with one of PUT_IN before the end of its body."""
-    rows = A.read(spark, sf_dir, "pages").withColumn("put", F.get(F.array(*[F.lit(x) for x in PUT_IN]), F.pmod("page_id", F.lit(len(PUT_IN))).cast("int")))
+    rows = A.spread(A.read(spark, sf_dir, "pages").select("page_id", "url", "html"), "page_id").withColumn("put", F.get(F.array(*[F.lit(x) for x in PUT_IN]), F.pmod("page_id", F.lit(len(PUT_IN))).cast("int")))
     host = F.regexp_extract("url", "^[a-z]+://(?:www\\.)?([^/?#]+)", 1)
     html = F.when(F.contains("html", F.lit("</body>")), F.replace("html", F.lit("</body>"), F.concat("put", F.lit("</body>")))).otherwise(F.concat("html", "put"))
     return rows.select(F.col("page_id").alias("source_id"), "url", html.alias("html"), F.array(host).alias("hosts"), F.concat(F.lit("Municipalidad de "), host).alias("name"))

@@ -415,6 +415,6 @@ def simple_site(pages: DataFrame, shape: str = "table_first") -> DataFrame:
     found = found.where((F.length("title") >= rule["least"]) & looks_like_offer(c("title"), c("content"), c("url")))
     turn = {"table_first": (2, 1, 3), "links_first": (3, 2, 1)}[shape]
     found = found.withColumn("turn", F.array_position(F.array(*[F.lit(k) for k in turn]), c("kind")))
-    best = found.groupBy(F.col("source_id").alias("__s"), F.col("base").alias("__b")).agg(F.min("turn").alias("__turn"))
-    found = found.join(best, c("source_id").eqNullSafe(c("__s")) & (c("base") == c("__b")) & (c("turn") == c("__turn")))
+    page_of = Window.partitionBy("source_id", "base")  # not a join with the least turns, for which every page would be parsed twice
+    found = found.where("base IS NOT NULL").withColumn("__turn", F.min("turn").over(page_of)).where("turn = __turn")
     return _once(found.select("source_id", "kind", "at", "title", "content", "url"))

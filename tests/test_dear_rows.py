@@ -74,3 +74,9 @@ def test_rules_hold_where_their_patterns_do(spark):
 def test_pages_of_one_file_are_spread(spark):
     out = registry.QUERIES["v12_page_pipeline"](spark, SF)
     assert out.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+
+
+def test_simple_sites_parse_a_page_once_a_shape(spark):
+    plan = registry.QUERIES["x26_simple_sites"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"ArrowEvalPython \[_trees", plan)) == 2
+    assert len(re.findall(r"RepartitionByExpression \[page_id", plan)) == 2

@@ -237,10 +237,10 @@ def v25_bypass(spark, sf_dir):
 @query()
 def v20_source_evaluation(spark, sf_dir):
     """The whole cascade over the pages table; tests hold it against fixed pages."""
-    pages = A.read(spark, sf_dir, "pages").select(
+    pages = A.spread(A.read(spark, sf_dir, "pages").select("page_id", "url", "html"), "page_id").select(
         F.col("page_id").alias("id"), F.lit(None).cast("string").alias("platform"), "url", F.col("url").alias("final_url"), F.lit(200).alias("status"), F.lit(None).cast("string").alias("error"), F.lit("text/html").alias("content_type"), F.lit(None).cast("string").alias("headers"), "html",
     )
-    history = pages.select("id", (F.col("id") % 40).alias("sample"), (F.col("id") % 11 / 10).alias("precision"), (F.col("id") % 7 / 6).alias("recall"))
+    history = A.read(spark, sf_dir, "pages").select(F.col("page_id").alias("id")).select("id", (F.col("id") % 40).alias("sample"), (F.col("id") % 11 / 10).alias("precision"), (F.col("id") % 7 / 6).alias("recall"))
     out = E.evaluate(pages, OFFERS.today, noise=F.when(F.col("id") % 2 == 0, 0.4).otherwise(0.0), history=history)
     return out.withColumns({c: F.col(c).cast("string") for c in ("published", "closes", "deadline")})
 

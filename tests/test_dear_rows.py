@@ -80,3 +80,8 @@ def test_simple_sites_parse_a_page_once_a_shape(spark):
     plan = registry.QUERIES["x26_simple_sites"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert len(re.findall(r"ArrowEvalPython \[_trees", plan)) == 2
     assert len(re.findall(r"RepartitionByExpression \[page_id", plan)) == 2
+
+
+def test_evaluated_pages_are_spread(spark):
+    plan = registry.QUERIES["v20_source_evaluation"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"RepartitionByExpression \[page_id", plan)) == 1

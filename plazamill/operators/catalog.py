@@ -26,31 +26,32 @@ REMEDIES = {
 def contained(texts: DataFrame, keys: DataFrame) -> DataFrame:
     """Pairs (t, k) of distinct texts t and keys k, a key of three letters or more being part of the text.
 
-    A key that stands in a text has all its trigrams there, so the key's rarest one is enough to meet it: no pair
-    without a trigram in common is ever looked at, and a trigram that many texts share is used by few keys.
+    Every piece of a text that is as long as some key is looked up among the keys: what meets is a pair, and work grows
+    with the texts and the lengths that keys have, not with how many keys share a part.
     """
-    grams = texts.select("t").distinct().select("t", F.explode(fuzzy.trigrams(F.col("t"))).alias("g"))
-    often = grams.groupBy("g").agg(F.count("*").alias("n"))
-    wanted = keys.where(F.length("k") >= 3).select("k").distinct().select("k", F.explode(fuzzy.trigrams(F.col("k"))).alias("g")).join(often, "g", "left")
-    rare = wanted.groupBy("k").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "g")).alias("r")).where("r.n > 0").select("k", F.col("r.g").alias("g"))
-    return rare.join(grams, "g").where(F.contains("t", F.col("k"))).select("t", "k")
+    wanted = keys.where(F.length("k") >= 3).select("k").distinct()
+    lengths = wanted.select(F.length("k").alias("n")).distinct()  # few: one row a length
+    pieces = texts.select("t").distinct().join(F.broadcast(lengths), F.length("t") >= F.col("n"))
+    pieces = pieces.select("t", "n", F.explode(F.sequence(F.lit(1), F.length("t") - F.col("n") + 1)).alias("i")).select("t", F.substring("t", F.col("i"), F.col("n")).alias("k"))
+    return pieces.join(wanted.hint("merge"), "k").select("t", "k").distinct()
 
 
 def name_cascade(names: DataFrame, catalog: DataFrame, name: str, key: str, catalog_name: str, threshold: float = 0.80) -> DataFrame:
     """names with match_id and stage: the catalog's folded name, else the first row (least key) of which one name holds
-    the other, else the closest name at or above the threshold. Names below three letters skip the second stage."""
+    the other, else the closest name at or above the threshold. Names below three letters skip the second stage. No side is
+    broadcast: a file of names is several times as large in the driver's memory as Spark takes it to be."""
     own = names.select(F.col(name).alias("raw")).distinct().withColumn("a", normal(F.col("raw"))).where("a <> ''")
-    cat = catalog.select(F.col(key).alias("k_id"), normal(F.col(catalog_name)).alias("b")).where("b <> ''").groupBy("b").agg(F.min("k_id").alias("k_id"))
+    cat = catalog.select(F.col(key).alias("k_id"), normal(F.col(catalog_name)).alias("b")).where("b <> ''").groupBy("b").agg(F.min("k_id").alias("k_id")).hint("merge")
     exact = own.join(cat, F.col("a") == F.col("b")).select("raw", "k_id", F.lit("exact").alias("stage"))
     rest = own.join(cat, F.col("a") == F.col("b"), "left_anti")
     above = contained(rest.select(F.col("a").alias("t")), cat.select(F.col("b").alias("k"))).select(F.col("t").alias("a"), F.col("k").alias("b"))
     below = contained(cat.select(F.col("b").alias("t")), rest.select(F.col("a").alias("k"))).select(F.col("k").alias("a"), F.col("t").alias("b"))
-    first = above.union(below).join(cat, "b").groupBy("a").agg(F.min("k_id").alias("k_id"))
+    first = above.union(below).join(cat, "b").groupBy("a").agg(F.min("k_id").alias("k_id")).hint("merge")
     held = rest.join(first, "a").select("raw", "k_id", F.lit("contained").alias("stage"))
     left = rest.join(first, "a", "left_anti").select("raw")
     close = fuzzy.best_match(left, catalog, "raw", key, catalog_name, threshold).where("match_id IS NOT NULL").select("raw", F.col("match_id").alias("k_id"), F.lit("close").alias("stage"))
     found = exact.unionByName(held).unionByName(close).withColumnsRenamed({"k_id": "match_id"})
-    return names.join(found, names[name].eqNullSafe(found["raw"]), "left").drop("raw")
+    return names.join(found.hint("merge"), names[name].eqNullSafe(found["raw"]), "left").drop("raw")
 
 
 def web_domain(rows: DataFrame, catalog: DataFrame, name: str, id_: str) -> DataFrame:

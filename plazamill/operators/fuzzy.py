@@ -56,7 +56,7 @@ def best_match(names: DataFrame, catalog: DataFrame, name: str, key: str, catalo
     ratio found so far is the threshold of the second, which misses nothing at or above it.
     """
     own = names.select(F.col(name).alias("__raw")).distinct().withColumn("a", normal(F.col("__raw")))
-    cat = catalog.select(F.col(key).alias("k"), normal(F.col(catalog_name)).alias("b")).groupBy("b").agg(F.min("k").alias("k"))
+    cat = catalog.select(F.col(key).alias("k"), normal(F.col(catalog_name)).alias("b")).groupBy("b").agg(F.min("k").alias("k")).hint("merge")  # files of names are too small for their size in memory
     exact = own.join(cat, F.col("a") == F.col("b")).select("__raw", "k", F.lit(1.0).alias("r"))
     unequal = own.join(cat, F.col("a") == F.col("b"), "left_anti")
     best = F.max(F.struct("r", (-F.col("k")).alias("m"))).alias("x")
@@ -66,8 +66,8 @@ def best_match(names: DataFrame, catalog: DataFrame, name: str, key: str, catalo
         near = pairs.where((2 * low >= F.col("t") * total - 1e-6) & (F.levenshtein("a", "b") <= (1 - F.col("t")) * total + 1e-6))
         return near.withColumn("r", ratio("a", "b")).where(F.col("r") >= F.col("t"))
 
-    close = unequal.select("__raw", "a", F.explode(shortened(F.col("a"))).alias("h")).join(cat.select("k", "b", F.explode(shortened(F.col("b"))).alias("h")), "h")
-    close = scored(close.groupBy("__raw", "a", "k", "b").agg(F.lit(threshold).alias("t"))).groupBy(F.col("__raw").alias("__near")).agg(best)
+    close = unequal.select("__raw", "a", F.explode(shortened(F.col("a"))).alias("h")).join(cat.select("k", "b", F.explode(shortened(F.col("b"))).alias("h")).hint("merge"), "h")
+    close = scored(close.groupBy("__raw", "a", "k", "b").agg(F.lit(threshold).alias("t"))).groupBy(F.col("__raw").alias("__near")).agg(best).hint("merge")
     own_lengths, lengths = unequal.select(F.length("a").alias("la")).distinct(), cat.select(F.length("b").alias("lb")).distinct()
     most = F.least("la", "lb", F.greatest("la", "lb") - 2)
     unseen = own_lengths.crossJoin(lengths).groupBy("la").agg(F.max(F.when(most > 0, 2 * most / (F.col("la") + F.col("lb"))).otherwise(0.0)).alias("unseen"))  # one row for each length
@@ -75,14 +75,14 @@ def best_match(names: DataFrame, catalog: DataFrame, name: str, key: str, catalo
     judged = judged.select("__raw", "a", "x", F.coalesce("x.r", F.lit(threshold)).alias("t"), (F.coalesce("unseen", F.lit(0.0)) < F.coalesce("x.r", F.lit(threshold)) - 1e-9).alias("sure"))
     settled = judged.where("sure AND x IS NOT NULL").select("__raw", (-F.col("x.m")).alias("k"), "x.r")
     rest = judged.where("NOT sure").select("__raw", "a", F.col("t").alias("known"))
-    grams = cat.select("k", "b", F.explode(trigrams(F.col("b"))).alias("g"))
-    frequency = grams.groupBy("g").agg(F.count("*").alias("n"))
+    grams = cat.select("k", "b", F.explode(trigrams(F.col("b"))).alias("g")).hint("merge")
+    frequency = grams.groupBy("g").agg(F.count("*").alias("n")).hint("merge")
     rare = Window.partitionBy("__raw").orderBy("n", "g")
     of_name = rest.select("__raw", "a", F.explode(trigrams(F.col("a"))).alias("g"))
 
     first = of_name.join(frequency, "g").withColumn("i", F.row_number().over(rare)).withColumn("sum", F.sum("n").over(rare.rowsBetween(Window.unboundedPreceding, 0)))
     first = first.where((F.col("i") <= rarest) & (F.col("sum") <= FEW)).join(grams, "g").select("__raw", "a", "k", "b").distinct()
-    floor = scored(first.withColumn("t", F.lit(threshold))).groupBy(F.col("__raw").alias("__one")).agg(F.max("r").alias("t"))
+    floor = scored(first.withColumn("t", F.lit(threshold))).groupBy(F.col("__raw").alias("__one")).agg(F.max("r").alias("t")).hint("merge")
     limits = rest.join(floor, F.col("__raw").eqNullSafe(F.col("__one")), "left").select("__raw", "a", F.greatest("known", F.coalesce("t", F.lit(threshold))).alias("t"))
     limits = limits.withColumn("most", broken(F.length("a"), F.col("t"))).withColumn("gs", trigrams(F.col("a")))
     posted = limits.where(F.size("gs") > F.col("most")).select("__raw", "a", "t", "most", F.explode("gs").alias("g")).join(frequency, "g", "left").withColumn("n", F.coalesce("n", F.lit(0)))
@@ -92,4 +92,4 @@ def best_match(names: DataFrame, catalog: DataFrame, name: str, key: str, catalo
     short = short.join(cat.withColumn("length", F.length("b").cast("long")), "length").select("__raw", "a", "t", "k", "b")
     top = scored(posted.unionByName(short)).groupBy("__raw").agg(best).select("__raw", (-F.col("x.m")).alias("k"), "x.r")
     found = exact.unionByName(settled).unionByName(top)
-    return names.join(found, names[name].eqNullSafe(found["__raw"]), "left").drop("__raw").withColumnsRenamed({"k": "match_id", "r": "match_ratio"})
+    return names.join(found.hint("merge"), names[name].eqNullSafe(found["__raw"]), "left").drop("__raw").withColumnsRenamed({"k": "match_id", "r": "match_ratio"})

@@ -41,3 +41,23 @@ def test_numbered_names_meet_few_of_their_kind(spark):
     out = fuzzy.best_match(names, catalog.withColumnRenamed("id", "k"), "nombre", "k", "b")
     assert out.where("match_id = id").count() == 20_000
     assert time.time() - began < 90
+
+
+def test_contained_equals_all_pairs(spark):
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("abñ ") for _ in range(rng.randint(0, 14))) for _ in range(150)] + ["", None, "ab", "abab"]
+    keys = ["".join(rng.choice("abñ ") for _ in range(rng.randint(1, 6))) for _ in range(80)] + ["", None, "ab", "aba", "aba"]
+    out = C.contained(spark.createDataFrame([(t,) for t in texts], "t string"), spark.createDataFrame([(k,) for k in keys], "k string")).collect()
+    assert sorted(map(tuple, out)) == sorted({(t, k) for t in texts if t for k in keys if k and len(k) >= 3 and k in t})
+
+
+def test_cascade_of_numbered_names(spark):
+    """Such names share all their parts; none of their joins may take a side for small by the size of its file."""
+    catalog = spark.range(20_000).select("id", F.format_string("Customer#%09d", "id").alias("b"))
+    kinds = F.when(F.col("id") % 3 == 0, F.concat(F.lit("zz"), "b")).when(F.col("id") % 3 == 1, F.regexp_replace("b", "Customer", "Custumer")).otherwise(F.upper("b"))
+    began = time.time()
+    out = C.name_cascade(catalog.select("id", kinds.alias("nombre")), catalog.withColumnRenamed("id", "k"), "nombre", "k", "b")
+    plan = out._jdf.queryExecution().executedPlan().toString().split("\n")
+    assert all("[length(a#" in line for line in plan if "BroadcastHashJoin" in line)  # of one row a length
+    assert {(r["stage"], r["n"]) for r in out.where("match_id = id").groupBy("stage").agg(F.count("*").alias("n")).collect()} == {("contained", 6667), ("close", 6667), ("exact", 6666)}
+    assert time.time() - began < 90

@@ -33,8 +33,9 @@ from .words import Words, mixed, rolling, slices
 
 BANDS, ROWS = 50, 6
 HUB, BLOCK, COLUMNS = 500, 512, 4096
-#: Tables of one row per node with a partner are broadcast up to this many rows, else exchanged.
-BROADCAST_IDS = 400_000
+#: Tables of one row per node with a partner are broadcast up to this many rows, else exchanged: the driver
+#: builds one for every join with the components, and holds it until it is collected.
+BROADCAST_IDS = 50_000
 SKETCH_BYTES = 2 << 20
 
 
@@ -220,7 +221,7 @@ def joined(left: list, right: list, percent: int) -> list[tuple[int, int]]:
 def labelled(frame: DataFrame, comps: DataFrame, column: str, out: str, small: bool) -> DataFrame:
     """With the component of a column's node, itself where it has no link. small: comps is known to fit a broadcast."""
     side = comps.select(F.col("id").alias("__id"), F.col("comp").alias("__comp"))
-    return frame.join(F.broadcast(side) if small else side, F.col(column) == F.col("__id"), "left").withColumn(out, F.coalesce("__comp", column)).drop("__id", "__comp")
+    return frame.join(F.broadcast(side) if small else side.hint("merge"), F.col(column) == F.col("__id"), "left").withColumn(out, F.coalesce("__comp", column)).drop("__id", "__comp")
 
 
 def bucket_members(classes: DataFrame, scratch: Scratch) -> DataFrame:
@@ -264,7 +265,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
 
     some = slim.where("doc_id IS NOT NULL").select("doc_id", "text", F.xxhash64("doc_id").alias("h")).mapInArrow(maybe, "doc_id long, text string")
     # one row, unless rows repeat the id with several texts: then each of them counts
-    sets = scratch.save(some.join(F.broadcast(wanted) if small else wanted, "doc_id", "left_semi").groupBy("doc_id", F.xxhash64("text").alias("h"), F.length("text").alias("l")).agg(F.min("text").alias("text")).select("doc_id", "text"), "sets")
+    sets = scratch.save(some.join(F.broadcast(wanted) if small else wanted.hint("merge"), "doc_id", "left_semi").groupBy("doc_id", F.xxhash64("text").alias("h"), F.length("text").alias("l")).agg(F.min("text").alias("text")).select("doc_id", "text"), "sets")
 
     def settle(comps: DataFrame | None, found: DataFrame, turn: int) -> DataFrame:
         """The components once the links found are added."""
